@@ -113,14 +113,14 @@ def decide(docs: DataFrame, mix: Mix, row_id: str = "doc_id", text: str = "text"
     return narrow, stage(decided, f"{name}-decisions")
 
 
-def _taken(rows: DataFrame, decided: DataFrame, keys: Sequence[str], mix: Mix, row_id: str) -> DataFrame:
+def _taken(rows: DataFrame, decided: DataFrame, keys: Sequence[str], mix: Mix, row_id: str, epoch: str = "epoch") -> DataFrame:
     part = (F.col("__cut") != "") & (_hash(mix, "__full", row_id) <= F.col("__cut"))
     out = rows.join(decided, list(keys)).withColumn("__times", F.col("__full") + part.cast("long")).where("__times > 0")
-    return out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1))).drop("__times", "__full", "__cut")
+    return out.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1))).drop("__times", "__full", "__cut")
 
 
-def mix_sources(docs: DataFrame, mix: Mix, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The chosen rows of ``docs``, all columns, with ``epoch long``: a row taken in k epochs comes k times.
+def mix_sources(docs: DataFrame, mix: Mix, row_id: str = "doc_id", text: str = "text", epoch: str = "epoch") -> DataFrame:
+    """The chosen rows of ``docs``, all columns, with column ``epoch`` (long): a row taken in k epochs comes k times.
 
     Null levels count as the empty name. Rows that share an id share their hash and are taken or left together. Rows
     without tokens (null, empty) cost nothing and are taken when their hash lies before the leaf's cut or their leaf is
@@ -128,8 +128,8 @@ def mix_sources(docs: DataFrame, mix: Mix, row_id: str = "doc_id", text: str = "
     """
     keys = [f"__k{i}" for i in range(len(mix.levels))]
     _, decided = decide(docs, mix, row_id, text)
-    base = docs.drop("epoch").withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, mix.levels, strict=True)})
-    return _taken(base, decided, keys, mix, row_id).drop(*keys)
+    base = docs.drop(epoch).withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, mix.levels, strict=True)})
+    return _taken(base, decided, keys, mix, row_id, epoch).drop(*keys)
 
 
 #: Which sources make up which domain (by the number in the source's name): below 10, below 15, the others.

@@ -216,11 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, row_id: str = "doc_
     return co_train(content, meta, table["y"].to_numpy(), table["tune"].to_numpy(zero_copy_only=False))
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang", source: str = "source", least: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang", source: str = "source", least: float = 0.3, prefix: str = "") -> DataFrame:
     """``docs`` with ``quality_score, content_score, metadata_score double`` and ``keep boolean`` (score of ``least`` or
-    more); these replace columns of the same names. Null texts read as empty, null names as the empty name; equal rows
+    more), each name after ``prefix``; these replace columns of the same names. Null texts read as empty, null names as the empty name; equal rows
     get equal scores. Without a model every row scores 1 and stays."""
-    names = ("quality_score", "content_score", "metadata_score", "keep")
+    names = tuple(prefix + n for n in ("quality_score", "content_score", "metadata_score", "keep"))
     rest = docs.drop(*names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

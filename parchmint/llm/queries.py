@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from parchmint.llm import fingerprint, mixing, quality, secrets, sharding, toxicity, urlfilter
+from parchmint.llm import decontaminate, fingerprint, jaccard, lmscore, mixing, quality, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_ring_shards": sharding.op1_ring_shards,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_lattice_likelihood": lmscore.op4_lattice_likelihood,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_chunk_fingerprints": fingerprint.op7_chunk_fingerprints,
     "op8_quality_cotraining": quality.op8_quality_cotraining,
     "op9_url_filter": urlfilter.op9_url_filter,
@@ -15,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_source_mix": mixing.OP2_SQL,
+    "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
 }
