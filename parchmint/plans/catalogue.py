@@ -1,8 +1,746 @@
-"""All registered queries of the analytics engine, with equivalent SQL."""
+"""All registered queries of the analytics engine, with equivalent SQL for DuckDB.
+
+Papers stand on ``documents`` (and ``part`` as a library), citations on distinct ``lineitem (l_orderkey, l_partkey)``,
+citing papers on ``orders``, project links on ``orders`` and ``customer``, paged texts on ``conversations``, chunk vectors
+on ``embeddings``, completions and logs on ``events``; the rest on inline tables that both engines read.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parchmint.functions import ids
+from parchmint.functions import text as tx
+from parchmint.operators import catalog, gates, graph, ordered, search, structure, tasks
+from parchmint.plans import fixtures
+from parchmint.plans.fixtures import sql as fix
+from parchmint.plans.fixtures import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NOW = "2024-02-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT citing, count(*) AS shared FROM (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE l_partkey < 200)
+GROUP BY citing HAVING count(*) >= 2 ORDER BY shared DESC, citing LIMIT 100""")
+def shared_citers(spark, sf):
+    edges = _edges(spark, sf)
+    return graph.shared_citers(edges.where("cited < 200"), _read(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("cited")), 2, 100)
+
+
+@query("""
+WITH hit AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 10),
+new AS (SELECT * FROM hit WHERE citing NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')),
+s AS (SELECT citing, list_sort(list(cited)) AS shared_keys, count(*) AS n_shared FROM new GROUP BY citing HAVING count(*) >= 2),
+y AS (SELECT s.*, coalesce(year(o_orderdate), 0)::INT AS year FROM s LEFT JOIN orders ON o_orderkey = citing)
+SELECT citing, shared_keys, n_shared, year,
+  round(n_shared * CASE WHEN year = 0 THEN 0.5 ELSE greatest(0.1::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * (2001 - year)) END, 2) AS score
+FROM y ORDER BY score DESC, year DESC, citing LIMIT 100""")
+def discover_new_scored(spark, sf):
+    orders = _read(spark, sf, "orders")
+    papers = orders.select(F.col("o_orderkey").alias("citing"), F.year("o_orderdate").alias("year"))
+    library = _read(spark, sf, "part").where("p_size <= 10").select(F.col("p_partkey").alias("cited"))
+    known = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("citing"))
+    return graph.discover_new(_edges(spark, sf), papers, library, known, 2001, 2, 100).select("citing", "shared_keys", "n_shared", "year", "score")
+
+
+_NEIGHBOURS = """
+WITH e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE {key} <= 100),
+r AS (SELECT {key0} AS key, {other} AS other, count(*) OVER (PARTITION BY {key0}) AS total, row_number() OVER (PARTITION BY {key0} ORDER BY {other}) AS rn FROM e)
+SELECT key, other, total, {meta} AS info FROM r LEFT JOIN {table} ON {id} = other WHERE rn <= 50"""
+
+
+@query(_NEIGHBOURS.format(key="l_partkey", key0="cited", other="citing", meta="o_orderstatus", table="orders", id="o_orderkey"))
+def citers_with_metadata(spark, sf):
+    papers = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("citing"), F.col("o_orderstatus").alias("info"))
+    of = _read(spark, sf, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("key"))
+    return graph.neighbours(_edges(spark, sf), of, papers, "citing", 50).select("key", "other", "total", "info")
+
+
+@query(_NEIGHBOURS.format(key="l_orderkey", key0="citing", other="cited", meta="p_name", table="part", id="p_partkey"))
+def references_with_metadata(spark, sf):
+    papers = _read(spark, sf, "part").select(F.col("p_partkey").alias("cited"), F.col("p_name").alias("info"))
+    of = _read(spark, sf, "orders").where("o_orderkey <= 100").select(F.col("o_orderkey").alias("key"))
+    return graph.neighbours(_edges(spark, sf), of, papers, "cited", 50).select("key", "other", "total", "info")
+
+
+@query("SELECT (SELECT count(*) FROM part) AS papers, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS citations")
+def graph_stats(spark, sf):
+    e = _edges(spark, sf).distinct().agg(F.count("*").alias("citations"))
+    return _read(spark, sf, "part").agg(F.count("*").alias("papers")).crossJoin(e)
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey IN (5, 17, 99, 1000000)")
+def graph_lookup_many(spark, sf):
+    return _read(spark, sf, "part").where(F.col("p_partkey").isin(5, 17, 99, 1000000)).select("p_partkey", "p_name", "p_brand")
+
+
+@query("""
+WITH last AS (SELECT user_id::VARCHAR AS key, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1),
+k AS (SELECT DISTINCT user_id::VARCHAR AS key FROM events)
+SELECT k.key, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(t)) / 86400000000 AS age_days FROM k LEFT JOIN last USING (key)
+WHERE t IS NULL OR (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(t)) / 86400000000 > 3""")
+def find_stale(spark, sf):
+    ev = _read(spark, sf, "events").withColumn("key", F.col("user_id").cast("string"))
+    seen = ev.where("event_type = 'purchase'").groupBy("key").agg(F.max("ts").alias("last_checked"))
+    return graph.find_stale(ev.select("key").distinct(), seen, NOW, 3)
+
+
+@query(fix("tex_edges") + """, walk(node, depth, path, seen) AS (SELECT 'main', 0, '', ['main'] UNION ALL
+  SELECT child, depth + 1, path || lpad(ord::VARCHAR, 4, '0') || '/', list_append(seen, child) FROM walk JOIN tex_edges ON parent = node WHERE NOT list_contains(seen, child))
+SELECT node, arg_min(depth, path) AS depth, min(path) AS path FROM walk GROUP BY node""")
+def include_tree(spark, sf):
+    return graph.reach(spark, table(spark, "tex_edges"), "main")
+
+
+_DOWN = ", down(id, seen) AS (SELECT 'seed1', ['seed1'] UNION ALL SELECT s2_id, list_append(seen, s2_id) FROM down JOIN explorations ON parent = id WHERE NOT list_contains(seen, s2_id)) "
+
+
+@query(fix("explorations") + _DOWN + "SELECT e.* FROM explorations e WHERE relevance = 'relevant' AND s2_id IN (SELECT id FROM down) AND s2_id NOT IN (SELECT parent FROM explorations WHERE parent IS NOT NULL)")
+def exploration_list(spark, sf):
+    return graph.explorations(spark, table(spark, "explorations"), seed="seed1", expandable=True)
+
+
+@query(fix("explorations") + _DOWN + "SELECT s2_id, s2_id IN (SELECT id FROM down) AS below FROM explorations")
+def exploration_ancestry(spark, sf):
+    nodes = table(spark, "explorations")
+    down = graph.descendants(spark, nodes.select(F.col("s2_id").alias("id"), "parent"), "seed1").select(F.col("id").alias("s2_id"), F.lit(True).alias("below"))
+    return nodes.select("s2_id").join(down, "s2_id", "left").select("s2_id", F.coalesce("below", F.lit(False)).alias("below"))
+
+
+# --- catalogue -----------------------------------------------------------------------------------------------------
+
+_CATALOG = "SELECT d.doc_id, d.lang, d.source, d.n_chars, CASE l.quality WHEN 1 THEN 'verified' WHEN 0 THEN 'manual' ELSE 'review' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+def _catalog(spark, sf):
+    labels = _read(spark, sf, "labels").select("doc_id", "quality")
+    status = F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "manual").otherwise("review")
+    return _read(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", "lang", "source", "n_chars", status.alias("status"))
+
+
+@query(f"SELECT * FROM ({_CATALOG}) WHERE status = 'verified' AND lang = 'de'")
+def catalog_list_filtered(spark, sf):
+    return catalog.catalog_list(_catalog(spark, sf), "doc_id", {"status": "verified", "lang": "de", "source": None})
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'manual') AS n_manual, count(*) FILTER (status = 'review') AS n_review, count(source) AS with_doi FROM ({_CATALOG})")
+def catalog_stats(spark, sf):
+    return catalog.catalog_stats(_catalog(spark, sf), "status", ("verified", "manual", "review"), "source")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 17")
+def catalog_lookup(spark, sf):
+    return _read(spark, sf, "documents").where("doc_id = 17").select("doc_id", "lang", "source")
+
+
+@query("SELECT c_custkey AS content_hash, c_name AS key, o_orderkey AS project_doc FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '2-HIGH'")
+def project_papers(spark, sf):
+    links = _read(spark, sf, "orders").select(F.col("o_custkey").alias("content_hash"), F.col("o_orderkey").alias("project_doc"), F.col("o_orderpriority").alias("project_id"))
+    docs = _read(spark, sf, "customer").select(F.col("c_custkey").alias("content_hash"), F.col("c_name").alias("key"))
+    return catalog.project_papers(links, docs, "2-HIGH").select("content_hash", "key", "project_doc")
+
+
+@query(f"""
+WITH f AS (SELECT c.doc_id, left(d.text, 80) AS title, status, list_has_any([c.lang, c.source], ['de', 'src3']) AS tagged FROM ({_CATALOG}) c JOIN documents d USING (doc_id)),
+g AS (SELECT doc_id, title FROM f WHERE tagged AND status <> 'manual'),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id)::INT AS rn, count(*) OVER () AS total FROM g)
+SELECT * FROM r WHERE rn BETWEEN 51 AND 100""")
+def library_list_page(spark, sf):
+    text = _read(spark, sf, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"))
+    rows = _catalog(spark, sf).where(F.arrays_overlap(F.array("lang", "source"), F.array(F.lit("de"), F.lit("src3"))) & (F.col("status") != "manual"))
+    return ordered.page(rows.join(text, "doc_id").select("doc_id", "title"), ["doc_id"], 2, 50)
+
+
+@query("SELECT DISTINCT key FROM (SELECT 'Brand#11' AS key UNION ALL SELECT 'extra' UNION ALL SELECT p_name FROM part WHERE p_brand IN ('Brand#12', 'Brand#13'))")
+def resolve_keys_union(spark, sf):
+    tags = _read(spark, sf, "part").select(F.col("p_name").alias("key"), F.array("p_brand").alias("tags"))
+    return catalog.resolve_keys(tags, ["Brand#11", "extra"], None, ["Brand#12", "Brand#13"])
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dedup(spark, sf):
+    return catalog.duplicate_content(_read(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(fix("first_source", "second_source") + """,
+b AS (SELECT a.ord AS oa, s.ord AS ob, coalesce(a.doi, s.doi) AS doi, coalesce(a.title, s.title) AS title, s.is_oa FROM first_source a FULL JOIN second_source s ON lower(a.doi) = lower(s.doi))
+SELECT doi, title, is_oa, CASE WHEN oa IS NOT NULL THEN 'first' ELSE 'second' END AS origin FROM b ORDER BY oa NULLS LAST, ob NULLS LAST, title LIMIT 6""")
+def federated_merge(spark, sf):
+    return catalog.federated_merge(table(spark, "first_source"), table(spark, "second_source"), 6)
+
+
+@query(fix("first_source", "second_source") + "SELECT s.doi, s.title, coalesce(lower(s.doi) IN (SELECT lower(doi) FROM first_source WHERE doi IS NOT NULL), false) AS in_library FROM second_source s")
+def in_library_flag(spark, sf):
+    return catalog.in_library(table(spark, "second_source"), table(spark, "first_source")).select("doi", "title", "in_library")
+
+
+@query(fix("first_source", "rejected") + "SELECT doi, title FROM first_source WHERE lower(trim(doi)) IN (SELECT lower(trim(doi)) FROM rejected)")
+def rejected_check(spark, sf):
+    bad = table(spark, "rejected").select(ids.normal_doi(F.col("doi")).alias("k"))
+    return table(spark, "first_source").withColumn("k", ids.normal_doi(F.col("doi"))).join(bad, "k", "left_semi").select("doi", "title")
+
+
+@query("""
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.n_chars = b.was THEN 'unchanged' ELSE 'changed' END AS change
+FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, n_chars + (doc_id % 5 = 0)::INT AS was FROM documents WHERE doc_id % 3 <> 0) b USING (doc_id)""")
+def corpus_sync_classify(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", "n_chars")
+    was = d.where("doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
+    return catalog.sync_classify(d.where("doc_id % 7 <> 0"), was, "doc_id", "n_chars")
+
+
+@query(fix("file_state") + "SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN now = was THEN 'unchanged' ELSE 'changed' END AS change FROM file_state")
+def file_sync_classify(spark, sf):
+    t = table(spark, "file_state")
+    return catalog.sync_classify(t.where("now IS NOT NULL").select("path", F.col("now").alias("s")), t.where("was IS NOT NULL").select("path", F.col("was").alias("s")), "path", "s")
+
+
+@query(fix("bib_keys") + ", c AS (SELECT key AS child, regexp_extract(key, '^(.+)_(errata|erratum|retraction|corrigendum|addendum|comment|reply)(?:_([0-9]+))?$', 1) AS parent, regexp_extract(key, '^(.+)_(errata|erratum|retraction|corrigendum|addendum|comment|reply)(?:_([0-9]+))?$', 2) AS kind FROM bib_keys) SELECT child, parent, kind FROM c WHERE parent <> '' AND parent IN (SELECT key FROM bib_keys)")
+def related_papers(spark, sf):
+    return catalog.related(table(spark, "bib_keys"), ids.RELATED_SUFFIX).select("child", "parent", "kind")
+
+
+@query("SELECT coalesce(a.p_partkey, b.p_partkey) AS id, coalesce(a.p_name, b.p_brand) AS name FROM (SELECT * FROM part WHERE p_partkey <= 50) a FULL JOIN (SELECT * FROM part WHERE p_partkey BETWEEN 40 AND 60) b USING (p_partkey)")
+def lookup_by_priority(spark, sf):
+    p = _read(spark, sf, "part")
+    return catalog.prefer([p.where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), p.where("p_partkey BETWEEN 40 AND 60").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))], ["id"])
+
+
+@query("SELECT count_if(p_name LIKE '% %')::BIGINT AS spaced, count_if(p_name LIKE '% - %')::BIGINT AS dashed, count_if(regexp_matches(p_name, '^[0-9]{2} '))::BIGINT AS numbered, count_if(p_brand IS NULL)::BIGINT AS no_brand FROM part")
+def bad_keys(spark, sf):
+    n = F.col("p_name")
+    return _read(spark, sf, "part").agg(F.count_if(n.like("% %")).alias("spaced"), F.count_if(n.like("% - %")).alias("dashed"), F.count_if(n.rlike("^[0-9]{2} ")).alias("numbered"), F.count_if(F.col("p_brand").isNull()).alias("no_brand"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def documents_without_vectors(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id").join(_read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
+def counts_by_type(spark, sf):
+    return _read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+_DIST = "round(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"
+
+
+def _vector(spark, sf) -> list[float]:
+    return _read(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+def _knn_sql(where: str) -> str:
+    return f"SELECT e.vec_id, e.label, {_DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY distance, vec_id LIMIT 20"
+
+
+@query(_knn_sql("true"))
+def vector_topk(spark, sf):
+    return search.nearest(_read(spark, sf, "embeddings"), _vector(spark, sf), 20)
+
+
+@query(_knn_sql("e.label = 3"))
+def vector_topk_filtered(spark, sf):
+    return search.nearest(_read(spark, sf, "embeddings"), _vector(spark, sf), 20, where=F.col("label") == 3)
+
+
+@query(_knn_sql("e.label IN (1, 4) AND NOT coalesce(CASE WHEN e.vec_id % 4 = 0 THEN true END, false)"))
+def vector_topk_isin(spark, sf):
+    rows = _read(spark, sf, "embeddings").withColumn("heavy", F.when(F.col("vec_id") % 4 == 0, True))
+    return search.nearest(rows, _vector(spark, sf), 20, where=F.col("label").isin(1, 4) & search.not_true("heavy")).drop("heavy")
+
+
+@query(f"SELECT * FROM (SELECT * FROM ({_knn_sql('e.label < 5')}) UNION ALL SELECT * FROM ({_knn_sql('e.label >= 5')})) ORDER BY distance, vec_id LIMIT 20")
+def merged_search(spark, sf):
+    rows, q = _read(spark, sf, "embeddings"), _vector(spark, sf)
+    return search.merged([search.nearest(rows, q, 20, where=F.col("label") < 5), search.nearest(rows, q, 20, where=F.col("label") >= 5)], 20, "vec_id")
+
+
+@query("SELECT label, count(*) AS chunks, max(vec_id) AS last_id FROM embeddings GROUP BY label")
+def indexed_files(spark, sf):
+    return _read(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("chunks"), F.max("vec_id").alias("last_id"))
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+_NORM = r"trim(regexp_replace(lower(regexp_replace(text, '-\s*\n\s*', '', 'g')), '\s+', ' ', 'g'))"
+_ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text, {_NORM} AS n FROM documents WHERE {_ASCII}),
+h AS (SELECT doc_id, text, n, unnest(list_filter(range(1, length(n) - 5), lambda i: substr(n, i, 6) = 'th the')) AS pos0 FROM d WHERE contains(n, 'th the')),
+s AS (SELECT *, floor((pos0 - 1) * length(text) / length(n))::INT AS sc FROM h)
+SELECT doc_id, (pos0 - 1)::INT AS "offset", substr(text, greatest(0, sc - 20) + 1, 46) AS context FROM s""")
+def grep_overlapping(spark, sf):
+    rows = _read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return search.grep(rows, "th the", ["doc_id"], "text", 20)
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def quote_verification(spark, sf):
+    quotes = _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return search.verify_quotes(quotes, _read(spark, sf, "documents").select("doc_id", "text"), "quote", "text").select("item_id", "doc_id")
+
+
+_PAGED = "(SELECT conv_id AS key, (turn + 1)::BIGINT AS page, text FROM conversations)"
+
+
+def _pages(spark, sf):
+    return _read(spark, sf, "conversations").select(F.col("conv_id").alias("key"), (F.col("turn") + 1).alias("page"), "text")
+
+
+_METRICS = rf"""
+WITH a AS (SELECT key, count(*) AS pages, count_if(length(trim(text)) > 50)::BIGINT AS readable_pages, string_agg(text, E'\n\n' ORDER BY page) AS t,
+  coalesce(string_agg(text, E'\n\n' ORDER BY page) FILTER (page <= 2), '') AS h FROM {_PAGED} GROUP BY key),
+b AS (SELECT *, list_transform(regexp_extract_all(t, '\[([0-9]{{1,3}})\]', 1), lambda x: x::INT) AS nums FROM a)
+SELECT key, pages, readable_pages,
+  CASE WHEN trim(t, E' \t\n\x0B\f\r') = '' THEN 0 ELSE len(string_split_regex(trim(t, E' \t\n\x0B\f\r'), '\s+')) END::BIGINT AS word_count,
+  round(CASE WHEN length(h) > 0 THEN length(regexp_replace(h, '[^\x00-\x7F]', '', 'g')) / length(h) ELSE 0.0 END, 3) AS ascii_ratio,
+  coalesce(list_max(nums), len(list_distinct(regexp_extract_all(t, '([A-Z][a-z]+(?: et al\.)?,? \(?(?:19|20)[0-9]{{2}})', 1))))::BIGINT AS ref_count,
+  len(list_distinct(regexp_extract_all(lower(t), 'fig(?:ure|\.)?\s*([0-9]+)', 1)))::BIGINT AS figure_count,
+  len(list_distinct(regexp_extract_all(lower(t), 'table\s*([0-9]+)', 1)))::BIGINT AS table_count
+FROM b"""
+
+
+@query(_METRICS)
+def text_metrics(spark, sf):
+    return gates.text_metrics(_pages(spark, sf), "key", "page", "text")
+
+
+@query(f"SELECT key, CASE WHEN pages <= 4 AND word_count < 4000 THEN 'letter' WHEN ref_count > 80 AND word_count > 8000 THEN 'review' ELSE 'article' END AS paper_type FROM ({_METRICS})")
+def paper_type(spark, sf):
+    m = gates.text_metrics(_pages(spark, sf), "key", "page", "text")
+    return m.select("key", gates.paper_type(F.col("pages"), F.col("word_count"), F.col("ref_count")).alias("paper_type"))
+
+
+@query("SELECT doc_id, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) ELSE 0.0 END, 3) AS ascii_ratio, length(trim(text)) >= 50 AS enough FROM documents")
+def quality_gate(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.round(tx.ascii_ratio(F.col("text")), 3).alias("ascii_ratio"), (F.length(F.trim("text")) >= 50).alias("enough"))
+
+
+def _gate_rows(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("10.1/"), F.col("doc_id") % 50).alias("doi"))
+    known = d.where("doc_id % 10 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "doi")
+    return gates.gate_rows(d, "doc_id", "text", known)
+
+
+_GATES_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, '10.1/' || (doc_id % 50) AS doi FROM documents), k AS (SELECT sha256(t) AS h, doi FROM d WHERE doc_id % 10 = 0),
+o AS (SELECT d.*, sha256(t) NOT IN (SELECT h FROM k) AS nh, doi NOT IN (SELECT doi FROM k) AS nd, CASE WHEN length(t) > 0 THEN length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) / length(t) ELSE 0 END AS a FROM d),
+g AS (SELECT doc_id, 'pdf_integrity' AS gate, t <> '' AS passed, 'no page' AS bad FROM o UNION ALL SELECT doc_id, 'dedup', nh, 'content is catalogued' FROM o WHERE t <> ''
+ UNION ALL SELECT doc_id, 'text_extractable', length(trim(t)) >= 50, 'too little text' FROM o WHERE t <> '' UNION ALL SELECT doc_id, 'text_quality', a >= 0.5, 'unreadable text' FROM o WHERE t <> ''
+ UNION ALL SELECT doc_id, 'doi_duplicate', nd, 'identifier is catalogued' FROM o WHERE t <> '')
+"""
+
+
+@query(_GATES_SQL + "SELECT doc_id, gate, passed, CASE WHEN passed THEN '' ELSE bad END AS message FROM g")
+def validation_gates(spark, sf):
+    return _gate_rows(spark, sf)
+
+
+@query(_GATES_SQL + "SELECT doc_id, bool_and(passed) AS all_passed, bool_and(passed OR gate = 'doi_duplicate') AS accepted, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT passed), '') AS issues, round(avg(passed::INT::DOUBLE), 2) AS confidence FROM g GROUP BY doc_id")
+def gate_report(spark, sf):
+    return gates.report(_gate_rows(spark, sf), "doc_id", exempt_doi=True)
+
+
+@query(fix("ids") + r"""SELECT id, CASE WHEN regexp_matches(id, '^(.+):page([0-9]+)$') THEN 'page' WHEN regexp_matches(id, '^(.+):(fig[\w.-]*)$') THEN 'figure' WHEN contains(id, '/') THEN 'doi'
+ WHEN regexp_matches(id, '^[0-9a-fA-F]{40}$') THEN 's2' ELSE 'slug' END AS kind, CASE WHEN regexp_matches(id, ':page[0-9]+$') THEN regexp_extract(id, ':page([0-9]+)$', 1) WHEN regexp_matches(id, '^(.+):(fig[\w.-]*)$') THEN regexp_extract(id, '^(.+):(fig[\w.-]*)$', 2) END AS part FROM ids""")
+def id_classify(spark, sf):
+    return table(spark, "ids").select("id", ids.classify_id(F.col("id")).alias("c")).select("id", "c.kind", "c.part")
+
+
+@query(fix("terms") + r"""SELECT term, CASE WHEN regexp_matches(term, '^[§¶]\s*[0-9]') OR regexp_matches(term, '^[0-9]+(\.[0-9]+)+$') THEN 'heading' WHEN regexp_matches(term, '^\\(label|ref)\{') THEN 'label'
+ WHEN regexp_matches(term, '(?i)^[a-z][a-z0-9_-]*[0-9]{4}') THEN 'cite' WHEN contains(term, '.tex') THEN 'file' WHEN regexp_matches(term, '^[%\\]') THEN 'marker' ELSE 'semantic' END AS kind FROM terms""")
+def term_classify(spark, sf):
+    return table(spark, "terms").select("term", ids.classify_term(F.col("term")).alias("kind"))
+
+
+@query(fix("keys") + r"""SELECT key, regexp_replace(key, '[/\\:*?"<>|]', '', 'g') AS clean, CASE WHEN regexp_matches(lower(substr(key, 1, 1)), '^[a-z0-9]$') THEN lower(substr(key, 1, 1)) ELSE '_' END AS shard,
+ CASE WHEN key = '' THEN 'empty' WHEN length(key) > 100 THEN 'long' WHEN contains(key, '..') THEN 'parent' WHEN regexp_matches(key, '[/\\]') THEN 'separator' WHEN NOT regexp_matches(key, '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN 'characters' END AS problem FROM keys""")
+def key_safety(spark, sf):
+    k = F.col("key")
+    return table(spark, "keys").select("key", ids.sanitize_key(k).alias("clean"), ids.shard(k).alias("shard"), ids.key_problem(k).alias("problem"))
+
+
+@query(fix("dois") + r""", f AS (SELECT id, regexp_extract(text, '(?i)doi(?:\.org/|:|\s)\s*(10\.[0-9]{4,9}/[^\s"<>{}]+)', 1) AS a, regexp_extract(text, '\b(10\.[0-9]{4,9}/[^\s"<>{}]+)', 1) AS b FROM dois)
+SELECT id, nullif(rtrim(rtrim(rtrim(rtrim(rtrim(CASE WHEN a <> '' THEN a ELSE b END, '.'), ','), ';'), ')'), ']'), '') AS doi FROM f""")
+def doi_extract(spark, sf):
+    return table(spark, "dois").select("id", ids.extract_doi(F.col("text")).alias("doi"))
+
+
+_TT = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+_JAC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
+
+
+@query(fix("papers_a", "papers_b") + f""", p AS (SELECT a.id AS id_a, b.id AS id_b, {_TT.format('a.title')} AS ta, {_TT.format('b.title')} AS tb, string_split(a.names, ',') AS na, string_split(b.names, ',') AS nb, a.year = b.year AS y FROM papers_a a, papers_b b)
+SELECT id_a, id_b, round(0.6::DOUBLE * {_JAC.format(a='ta', b='tb')} + 0.25::DOUBLE * {_JAC.format(a='na', b='nb')} + CASE WHEN y THEN 0.15 ELSE 0.0 END, 6)::DOUBLE AS score FROM p""")
+def title_match_score(spark, sf):
+    a = table(spark, "papers_a").select(F.col("id").alias("id_a"), F.col("title").alias("ta"), F.split("names", ",").alias("na"), F.col("year").alias("ya"))
+    b = table(spark, "papers_b").select(F.col("id").alias("id_b"), F.col("title").alias("tb"), F.split("names", ",").alias("nb"), F.col("year").alias("yb"))
+    s = ids.match_score(*map(F.col, ("ta", "tb", "na", "nb", "ya", "yb")))
+    return a.crossJoin(F.broadcast(b)).select("id_a", "id_b", F.round(s, 6).alias("score"))  # inline tables of three rows
+
+
+_STOP = ", ".join(f"'{w}'" for w in ids.STOP_WORDS)
+
+
+@query(fix("titles") + f""", w AS (SELECT id, title, list_filter(regexp_extract_all(lower(title), '([a-z]{{3,}})', 1), lambda w: NOT list_contains([{_STOP}], w)) AS ws FROM titles),
+s AS (SELECT id, CASE WHEN len(ws) = 0 THEN 'untitled' WHEN length(ws[1]) >= 8 OR len(ws) = 1 THEN ws[1] ELSE ws[1] || ws[2] END AS slug FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS rn FROM s)
+SELECT id, slug, slug || CASE WHEN rn = 1 THEN '' ELSE chr((95 + rn)::INT) END AS key FROM r""")
+def slug_keys(spark, sf):
+    t = table(spark, "titles").select("id", ids.slug(F.col("title")).alias("slug"))
+    return ordered.disambiguate(t, "slug", ["id"], "key")
+
+
+@query(fix("titles") + "SELECT id, CASE WHEN contains(lower(title), 'retract') THEN 'retraction' WHEN contains(lower(title), 'corrigend') THEN 'corrigendum' WHEN contains(lower(title), 'errat') THEN 'errata' WHEN contains(lower(title), 'addend') THEN 'addendum' WHEN contains(lower(title), 'comment on') THEN 'comment' END AS kind FROM titles")
+def related_kind(spark, sf):
+    return table(spark, "titles").select("id", ids.related_kind(F.col("title")).alias("kind"))
+
+
+@query(fix("labels_named") + "SELECT label, coalesce(CASE split_part(label, ':', 1) WHEN label THEN NULL WHEN 'fig' THEN 'figure' WHEN 'tab' THEN 'table' WHEN 'eq' THEN 'equation' WHEN 'sec' THEN 'section' WHEN 'ch' THEN 'chapter' WHEN 'app' THEN 'appendix' END, 'other') AS kind FROM labels_named")
+def label_kind(spark, sf):
+    return table(spark, "labels_named").select("label", ids.label_kind(F.col("label")).alias("kind"))
+
+
+@query("SELECT p_partkey AS id, left(sha256(p_name), 16) AS cache_key FROM part")
+def cache_keys(spark, sf):
+    return _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), ids.cache_key(F.col("p_name")).alias("cache_key"))
+
+
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents) SELECT doc_id, len(s)::INT AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::INT AS longest FROM s")
+def sentence_split_stats(spark, sf):
+    s = tx.sentences(F.col("text"))
+    return _read(spark, sf, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+@query()
+def chunk_text(spark, sf):
+    return search.chunks(_read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query(r"""
+WITH r AS (SELECT conv_id, turn, unnest(string_split_regex(replace(text, '. ', E'.\n\n'), '\n\s*\n')) AS p, generate_subscripts(string_split_regex(replace(text, '. ', E'.\n\n'), '\n\s*\n'), 1) - 1 AS idx FROM conversations)
+SELECT conv_id, turn, idx::INT AS idx, trim(p) AS para FROM r WHERE length(trim(p)) >= 40 AND length(regexp_replace(trim(p), '[^\p{L}]', '', 'g')) / length(trim(p)) >= 0.4""")
+def paragraph_segment(spark, sf):
+    rows = _read(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.paragraphs(F.replace("text", F.lit(". "), F.lit(".\n\n")))).alias("x"))
+    return rows.select("conv_id", "turn", "x.idx", "x.para")
+
+
+@query("""SELECT conv_id, turn, list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around FROM conversations""")
+def context_expansion(spark, sf):
+    return ordered.around(_read(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], "turn", 1, "around")
+
+
+@query(f"SELECT doc_id, {_NORM} AS norm FROM documents WHERE {_ASCII}")
+def normalize_text(spark, sf):
+    return _read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", tx.normalize(F.col("text")).alias("norm"))
+
+
+@query()
+def normalize_unicode(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", tx.clean_for_quote(F.col("text")).alias("quote"))
+
+
+@query()
+def token_proximity(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", F.round(search.token_proximity(F.lit("the and of with"), F.col("text")), 6).alias("score")).where("score >= 0.3")
+
+
+@query()
+def fuzzy_title_dedup(spark, sf):
+    titles = _read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return search.fuzzy_titles(titles, "page_id", "title")
+
+
+@query("""
+WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE n_chars < 1000)
+SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w""")
+def inverted_index_reconstruct(spark, sf):
+    d = _read(spark, sf, "documents").where("n_chars < 1000").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word"))
+    inverted = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
+    return structure.rebuild_abstract(inverted, "doc_id")
+
+
+# --- ordered -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts")
+def asof_nearest(spark, sf):
+    ev = _read(spark, sf, "events")
+    clicks = ev.where("event_type = 'click'").select("user_id", "ts", "event_id")
+    views = ev.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return ordered.asof(clicks, views, ["user_id"], "ts", ["view_id"]).select("event_id", "view_id")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events")
+def forward_fill(spark, sf):
+    ev = _read(spark, sf, "events").withColumn("mark", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    return ordered.forward_fill(ev, ["user_id"], ["ts", "event_id"], "mark", "carried").select("event_id", "carried")
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def first_wins(spark, sf):
+    return ordered.keep_one(_read(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def last_wins(spark, sf):
+    return ordered.keep_one(_read(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_name END AS p_name FROM part UNION ALL SELECT -1, 'added'")
+def upsert_catalog(spark, sf):
+    old = _read(spark, sf, "part").select("p_partkey", "p_name")
+    new = old.where("p_partkey % 3 = 0").select("p_partkey", F.lit("new").alias("p_name")).unionAll(spark.sql("SELECT -1L AS p_partkey, 'added' AS p_name"))
+    return ordered.upsert(old, new, ["p_partkey"], ["p_name"])
+
+
+@query(fix("toc_flat") + "SELECT ord, number, title, (SELECT max(b.ord) FROM toc_flat b WHERE b.ord < a.ord AND b.depth < a.depth) AS parent FROM toc_flat a")
+def toc_hierarchy(spark, sf):
+    return ordered.parents(table(spark, "toc_flat").withColumn("doc", F.lit(1)), ["doc"], "ord", "depth", 6).select("ord", "number", "title", "parent")
+
+
+@query(fix("toc_flat") + ", p AS (SELECT ord, (SELECT max(b.ord) FROM toc_flat b WHERE b.ord < a.ord AND b.depth < a.depth) AS parent FROM toc_flat a), up(ord, anc) AS (SELECT ord, parent FROM p WHERE parent IS NOT NULL UNION ALL SELECT up.ord, p.parent FROM up JOIN p ON p.ord = up.anc WHERE p.parent IS NOT NULL) SELECT p.ord, count(up.ord) AS below FROM p LEFT JOIN up ON up.anc = p.ord GROUP BY p.ord")
+def toc_subtree_counts(spark, sf):
+    p = ordered.parents(table(spark, "toc_flat").withColumn("doc", F.lit(1)), ["doc"], "ord", "depth", 6).select("ord", "parent")
+    return spark.sql("WITH RECURSIVE up(ord, anc) AS (SELECT ord, parent FROM {p} WHERE parent IS NOT NULL UNION ALL SELECT up.ord, p.parent FROM up JOIN {p} p ON p.ord = up.anc WHERE p.parent IS NOT NULL) SELECT p.ord, count(up.ord) AS below FROM {p} p LEFT JOIN up ON up.anc = p.ord GROUP BY p.ord", p=p)
+
+
+@query(fix("toc_flat", "floats") + """, x AS (SELECT f.*, (SELECT max(ord) FROM toc_flat t WHERE t.file = f.file AND t.line <= f.line) AS own,
+ (SELECT max(ord) FROM toc_flat t WHERE t.ord < coalesce((SELECT min(ord) FROM toc_flat u WHERE u.page > f.page), 1000000)) AS by_page FROM floats f)
+SELECT kind, number, coalesce(own, by_page) AS parent FROM x""")
+def float_parents(spark, sf):
+    toc, floats = table(spark, "toc_flat"), table(spark, "floats")
+    own = ordered.asof(floats.select("kind", "number", "file", "line"), toc.select("file", "line", "ord"), ["file"], "line", ["ord"]).select("kind", "number", F.col("ord").alias("own"))
+    # the first heading beyond the float's page ends the search
+    runs = toc.withColumn("reach", F.max("page").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))).withColumn("g", F.lit(1))
+    by_page = ordered.asof(floats.select("kind", "number", F.col("page").alias("reach"), F.lit(1).alias("g")), runs.select("g", "reach", "ord"), ["g"], "reach", ["ord"]).select("kind", "number", F.col("ord").alias("by_page"))
+    return own.join(by_page, ["kind", "number"]).select("kind", "number", F.coalesce("own", "by_page").alias("parent"))
+
+
+@query(fix("diff_lines") + r""", c AS (SELECT *, sum((starts_with(text, '@@'))::INT) OVER (PARTITION BY file ORDER BY line) AS hunk FROM diff_lines)
+SELECT file, hunk::BIGINT AS hunk, max(try_cast(nullif(regexp_extract(text, '^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@', 1), '') AS INT)) AS start, count_if(starts_with(text, '+'))::BIGINT AS added, count_if(starts_with(text, '-'))::BIGINT AS removed FROM c WHERE hunk > 0 GROUP BY file, hunk""")
+def diff_hunks(spark, sf):
+    return structure.diff_hunks(table(spark, "diff_lines"))
+
+
+# --- tasks and freshness ---------------------------------------------------------------------------------------------
+
+_TASKS = """
+WITH c AS (SELECT user_id::VARCHAR AS task, event_type AS file, max(ts) AS done FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2),
+p AS (SELECT DISTINCT user_id::VARCHAR AS task, event_type AS file, user_id % 4 * 24 AS cadence, user_id % 5 = 0 AS changed FROM events),
+h AS (SELECT p.*, c.done, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(c.done)) / 3600000000 AS hours FROM p LEFT JOIN c USING (task, file)),
+s AS (SELECT task, file, CASE WHEN done IS NULL THEN 1000.0 WHEN changed THEN 100.0::DOUBLE + CASE WHEN cadence > 0 THEN hours / cadence ELSE 0.0::DOUBLE END ELSE CASE WHEN cadence > 0 THEN hours / cadence ELSE 0.0::DOUBLE END END AS score FROM h)
+SELECT task, file, round(score, 6)::DOUBLE AS score FROM s WHERE score > 0 ORDER BY s.score DESC, file, task LIMIT 50"""
+
+
+@query(_TASKS)
+def task_ranking(spark, sf):
+    ev = _read(spark, sf, "events").withColumn("task", F.col("user_id").cast("string")).withColumn("file", F.col("event_type"))
+    done = ev.where("ts < TIMESTAMP '2024-01-20'").groupBy("task", "file").agg(F.max("ts").cast("timestamp").alias("done"))
+    items = ev.select("task", "file", (F.col("user_id") % 4 * 24).alias("cadence"), (F.col("user_id") % 5 == 0).alias("changed")).distinct()
+    score = tasks.task_score(F.col("done"), F.lit(NOW).cast("timestamp"), F.col("cadence"), F.col("changed"))
+    return tasks.rank(items.join(done, ["task", "file"], "left").withColumn("score", score), 50).select("task", "file", F.round("score", 6).alias("score"))
+
+
+@query(fix("api_cache") + "SELECT service, kind, identifier, coalesce((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(try_cast(fetched_at AS TIMESTAMP))) / 86400000000 > ttl_days, false) AS expired FROM api_cache")
+def ttl_expired(spark, sf):
+    e = tasks.expired(F.col("fetched_at"), F.col("ttl_days"), F.lit("2024-03-01").cast("timestamp"))
+    return table(spark, "api_cache").select("service", "kind", "identifier", e.alias("expired"))
+
+
+@query(fix("api_cache") + "SELECT service, kind, count(*) AS entries, sum(bytes)::BIGINT AS bytes FROM api_cache GROUP BY ROLLUP (service, kind)")
+def cache_stats(spark, sf):
+    return tasks.cache_stats(table(spark, "api_cache"), "service", "kind", "bytes")
+
+
+@query(fix("summaries", "commits") + """, f AS (SELECT DISTINCT file FROM (SELECT file FROM summaries UNION ALL SELECT file FROM commits)), c AS (SELECT f.file, s.file IS NOT NULL AS has, try_cast(s.updated AS TIMESTAMP) AS t FROM f LEFT JOIN summaries s USING (file)),
+n AS (SELECT c.file, has, t, coalesce(count_if(k.made::TIMESTAMP > t), 0)::BIGINT AS later FROM c LEFT JOIN commits k USING (file) GROUP BY ALL)
+SELECT file, CASE WHEN NOT has THEN 'missing' WHEN t IS NULL THEN 'unknown' WHEN later > 0 THEN 'stale' ELSE 'fresh' END AS status, later FROM n""")
+def summary_staleness(spark, sf):
+    s, c = table(spark, "summaries"), table(spark, "commits").withColumn("made", F.to_timestamp("made"))
+    files = s.select("file").union(c.select("file")).distinct()
+    own = files.join(s.select("file", F.lit(True).alias("has"), F.try_to_timestamp("updated").alias("t")), "file", "left").join(c, "file", "left")
+    n = own.groupBy("file", "has", "t").agg(F.count_if(F.col("made") > F.col("t")).alias("later"))
+    status = F.when(F.col("has").isNull(), "missing").when(F.col("t").isNull(), "unknown").when(F.col("later") > 0, "stale").otherwise("fresh")
+    return n.select("file", status.alias("status"), "later")
+
+
+@query(fix("issues") + "SELECT count_if(starts_with(heading, '## ') AND NOT starts_with(heading, '## [RESOLVED]'))::BIGINT AS open_issues, lpad((max(n) + 1)::VARCHAR, 3, '0') AS next_number FROM issues")
+def open_issues(spark, sf):
+    return table(spark, "issues").agg(F.count_if(F.col("heading").rlike(r"^## (?!\[RESOLVED\])")).alias("open_issues"), F.lpad((F.max("n") + 1).cast("string"), 3, "0").alias("next_number"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def log_window_counts(spark, sf):
+    w = _read(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select("event_type", F.col("window.start").alias("hour"), "calls", "total")
+
+
+@query("SELECT event_type, user_id, value, rn FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id)::INT AS rn, count(*) OVER () AS n FROM events) WHERE rn <= 30")
+def truncated_result(spark, sf):
+    ev = _read(spark, sf, "events")
+    return ordered.page(ev, [F.desc("value"), "event_id"], 1, 30).select("event_type", "user_id", "value", "rn")
+
+
+# --- structure -----------------------------------------------------------------------------------------------------
+
+_FACTS = fix("tex_lines") + r""", n AS (SELECT file, line, text, starts_with(ltrim(text), '%') AS c FROM tex_lines),
+lab AS (SELECT file, line, unnest(regexp_extract_all(text, '\\label\{([^}]+)\}', 1)) AS name FROM n WHERE NOT c),
+rf0 AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(ref|eqref|autoref|cref|pageref)\{([^}]+)\}', 1)) AS extra, unnest(regexp_extract_all(text, '\\(ref|eqref|autoref|cref|pageref)\{([^}]+)\}', 2)) AS ks FROM n WHERE NOT c),
+rf AS (SELECT file, line, extra, trim(unnest(string_split(ks, ','))) AS name FROM rf0),
+ct0 AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(cite[a-z]*|mcitebox[a-z]*)\*?(?:\[[^\]]*\])*\{([^}]+)\}', 1)) AS extra, unnest(regexp_extract_all(text, '\\(cite[a-z]*|mcitebox[a-z]*)\*?(?:\[[^\]]*\])*\{([^}]+)\}', 2)) AS ks FROM n WHERE NOT c),
+ct AS (SELECT file, line, extra, trim(unnest(string_split(ks, ','))) AS name FROM ct0),
+sec AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^}]*)\}', 1)) AS extra, unnest(regexp_extract_all(text, '\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^}]*)\}', 2)) AS name FROM n WHERE NOT c),
+inp0 AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(?:input|include)\{([^}]+)\}', 1)) AS name FROM n),
+inp AS (SELECT file, line, CASE WHEN ends_with(name, '.tex') THEN name ELSE name || '.tex' END AS name FROM inp0),
+facts AS (SELECT file, line, 'label' AS kind, name, NULL AS extra FROM lab UNION ALL SELECT file, line, 'ref', name, extra FROM rf UNION ALL SELECT file, line, 'cite', name, extra FROM ct UNION ALL SELECT file, line, 'section', name, extra FROM sec UNION ALL SELECT file, line, 'input', name, NULL FROM inp)
+"""
+
+
+def _facts(spark):
+    return structure.facts(table(spark, "tex_lines"))
+
+
+@query(_FACTS + "SELECT file, line, kind, name, extra FROM facts")
+def tex_facts(spark, sf):
+    return _facts(spark).drop("pos")
+
+
+@query(_FACTS + "SELECT name, file, line FROM facts WHERE kind = 'ref' AND name NOT IN (SELECT name FROM facts WHERE kind = 'label')")
+def undefined_refs(spark, sf):
+    return structure.undefined_refs(_facts(spark))
+
+
+@query(_FACTS + "SELECT name, file, line FROM facts WHERE kind = 'label' AND name NOT IN (SELECT name FROM facts WHERE kind = 'ref')")
+def orphan_labels(spark, sf):
+    return structure.orphan_labels(_facts(spark))
+
+
+@query(_FACTS + "SELECT name, count(*) AS n, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM facts WHERE kind = 'cite' GROUP BY name HAVING count(*) >= 3 AND NOT bool_or(extra IN ('mciteboxp', 'mciteboxq', 'citeq', 'citep*'))")
+def shallow_high_use(spark, sf):
+    return structure.shallow_cites(_facts(spark))
+
+
+@query(_FACTS + "SELECT f.file, f.line, left(t.text, 200) AS context FROM facts f JOIN tex_lines t USING (file, line) WHERE kind = 'cite' AND name = 'xu2022'")
+def cite_locations(spark, sf):
+    return _facts(spark).where("kind = 'cite' AND name = 'xu2022'").join(table(spark, "tex_lines"), ["file", "line"]).select("file", "line", F.left("text", F.lit(200)).alias("context"))
+
+
+@query(fix("local_files") + ", tree(file) AS (VALUES ('main.tex'), ('sections/intro.tex'), ('sections/method.tex')) SELECT file FROM local_files WHERE file NOT IN (SELECT file FROM tree) AND regexp_extract(file, '^(.*)/[^/]*$', 1) IN (SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) FROM tree WHERE contains(file, '/'))")
+def orphan_files(spark, sf):
+    return structure.orphan_files(table(spark, "local_files"), spark.sql("SELECT * FROM VALUES ('main.tex'), ('sections/intro.tex'), ('sections/method.tex') AS t(file)"))
+
+
+@query(fix("packages", "local_files") + ", c AS (SELECT name, unnest([name || '.sty', 'tex/' || name || '.sty', name || '.cls', 'tex/' || name || '.cls']) AS file FROM packages) SELECT name, file FROM c WHERE file IN (SELECT file FROM local_files)")
+def local_packages(spark, sf):
+    n = F.col("name")
+    c = table(spark, "packages").select("name", F.explode(F.array(*(F.concat(F.lit(d), n, F.lit(e)) for e in (".sty", ".cls") for d in ("", "tex/")))).alias("file"))
+    return c.join(table(spark, "local_files"), "file", "left_semi").select("name", "file")
+
+
+@query(fix("idx_entries") + "SELECT term, coalesce(subterm, '') AS subterm, coalesce(string_agg(DISTINCT CASE WHEN see_target IS NULL THEN page END::VARCHAR, ',' ORDER BY page::VARCHAR) FILTER (see_target IS NULL), '') AS pages, coalesce(string_agg(DISTINCT see_target, ',' ORDER BY see_target), '') AS see FROM (SELECT * FROM idx_entries) GROUP BY 1, 2".replace("string_agg(DISTINCT CASE WHEN see_target IS NULL THEN page END::VARCHAR, ',' ORDER BY page::VARCHAR) FILTER (see_target IS NULL)", "array_to_string(list_sort(list(DISTINCT page) FILTER (see_target IS NULL)), ',')"))
+def index_build(spark, sf):
+    return structure.build_index(table(spark, "idx_entries"))
+
+
+@query(fix("idx_entries") + ", t AS (SELECT DISTINCT term, coalesce(subterm, '') AS s FROM idx_entries), g AS (SELECT term, contains(lower(term), 'entropy') AS own, coalesce(string_agg(s, ',' ORDER BY s) FILTER (contains(lower(s), 'entropy')), '') AS subs FROM t GROUP BY term) SELECT term, CASE WHEN own THEN '' ELSE subs END AS matched_subterms FROM g WHERE own OR subs <> ''")
+def index_search(spark, sf):
+    return structure.search_index(structure.build_index(table(spark, "idx_entries")), "entropy")
+
+
+@query(fix("tex_lines") + r""", w AS (SELECT file, string_agg(text, E'\n' ORDER BY line) AS t FROM tex_lines GROUP BY file),
+x AS (SELECT file, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*%.*$', '', 'g'), '\\[a-zA-Z]+\*?', ' ', 'g'), '[{}]', ' ', 'g'), '\$[^$]*\$', ' ', 'g'), E' \t\n') AS t FROM w)
+SELECT file, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\s+')) END::INT AS words FROM x""")
+def tex_word_count(spark, sf):
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return table(spark, "tex_lines").groupBy("file").agg(whole.alias("t")).select("file", tx.markup_word_count(F.col("t")).alias("words"))
+
+
+@query()
+def tex_plain_text(spark, sf):
+    return table(spark, "tex_lines").select("file", "line", tx.squeeze(tx.strip_markup(F.col("text"))).alias("plain"))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading,
+ len(regexp_extract_all(html, 'href="([^"]*)"', 1))::INT AS links, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)))::INT AS distinct_links FROM pages""")
+def html_headings_links(spark, sf):
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return _read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.size(links).alias("links"), F.size(F.array_distinct(links)).alias("distinct_links"))
+
+
+@query(fix("guides") + """, r AS (SELECT slug, CASE WHEN slug = 'paper' THEN 1 WHEN starts_with(slug, 'paper') THEN 2 WHEN contains(slug, 'paper') THEN 3 WHEN contains(description, 'paper') THEN 4 END AS rank FROM guides) SELECT slug, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, slug LIMIT 1""")
+def guide_topic(spark, sf):
+    s = F.col("slug")
+    rank = F.when(s == "paper", 1).when(s.startswith("paper"), 2).when(s.contains("paper"), 3).when(F.col("description").contains("paper"), 4)
+    return table(spark, "guides").select("slug", rank.alias("rank")).where("rank IS NOT NULL").orderBy("rank", "slug").limit(1)
+
+
+@query(fix("meta_sources") + ", x AS (SELECT id, nullif(trim(crossref), '') AS a, nullif(trim(s2), '') AS b, nullif(trim(xmp), '') AS c, nullif(trim(font), '') AS d, nullif(trim(pdf), '') AS e FROM meta_sources) SELECT id, coalesce(a, b, c, d, e) AS title, CASE WHEN a IS NOT NULL THEN 'crossref' WHEN b IS NOT NULL THEN 's2' WHEN c IS NOT NULL THEN 'xmp' WHEN d IS NOT NULL THEN 'font' WHEN e IS NOT NULL THEN 'pdf' END AS origin FROM x")
+def best_metadata(spark, sf):
+    value, name = gates.best_metadata({n: F.col(n) for n in ("crossref", "s2", "xmp", "font", "pdf")})
+    return table(spark, "meta_sources").select("id", value.alias("title"), name.alias("origin"))
+
+
+@query(fix("spans") + ", m AS (SELECT *, max(size) FILTER (length(trim(text)) >= 3) OVER (PARTITION BY doc) AS top FROM spans), t AS (SELECT doc, string_agg(trim(text), ' ' ORDER BY y) AS title FROM m WHERE size >= top - 1 AND length(trim(text)) >= 3 GROUP BY doc) SELECT doc, title FROM t WHERE length(title) BETWEEN 10 AND 500")
+def title_by_font_size(spark, sf):
+    s = table(spark, "spans").where(F.length(F.trim("text")) >= 3).withColumn("top", F.max("size").over(Window.partitionBy("doc")))
+    t = s.where("size >= top - 1").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("title"))
+    return t.where(F.length("title").between(10, 500))
+
+
+@query("SELECT conv_id AS key, (turn + 1)::BIGINT AS page, count(*) OVER (PARTITION BY conv_id) AS pages, text FROM conversations QUALIFY page = 2")
+def page_view(spark, sf):
+    return _pages(spark, sf).withColumn("pages", F.count("*").over(Window.partitionBy("key"))).where("page = 2")
+
+
+@query("SELECT key, text FROM (SELECT conv_id AS key, turn, text FROM conversations) WHERE turn = 0")
+def first_page_text(spark, sf):
+    return _pages(spark, sf).where("page = 1").select("key", "text")
+
+
+@query("SELECT conv_id AS key, string_agg(text, E'\\n\\n' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def read_all_pages(spark, sf):
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n")
+    return _pages(spark, sf).groupBy("key").agg(joined.alias("text"))
+
+
+@query("SELECT user_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1, 2")
+def json_shaping(spark, sf):
+    m = F.from_json("props", "map<string,string>")
+    first = F.element_at(F.map_values(m), 1)
+    return _read(spark, sf, "events").where("props IS NOT NULL").groupBy("user_id", first.alias("v")).agg(F.count("*").alias("n"))
