@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -74,11 +75,11 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts hold at most ``most`` bytes (or one row)."""
+def slices(off: np.ndarray, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows whose texts hold at most ``most`` bytes (or one row)."""
     n, i = len(off) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
         yield i, j
         i = j
 
@@ -140,6 +141,15 @@ def batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int,
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches hold ``most`` bytes at most in this session, so that a worker's memory doesn't depend on how long
+    the texts are. A smaller limit that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed long."""
     return h.view(np.int64)

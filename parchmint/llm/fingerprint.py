@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm._arrow import mix, powers, slices, strings
+from parchmint.llm._arrow import mix, powers, slices, small_batches, strings
 
 LEAST, NORMAL, MOST = 16, 48, 255
 _WINDOW = 32
@@ -156,6 +156,7 @@ def edited_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
     Null texts read as empty. Rows that share an id follow each other in the order of their texts; null ids come last,
     in the lowest range. A table of one row follows itself; an empty table gives an empty table. Texts are shuffled once.
     """
+    small_batches(docs.sparkSession)
     cuts, heirs = ranges(docs, row_id)
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm._arrow import batches, mix, words
+from parchmint.llm._arrow import batches, mix, small_batches, words
 from parchmint.llm.toxicity import logistic
 
 LABELLED, POOL = 4000, 2000
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, row_id: str = "doc_
     """A model from labelled and unlabelled rows; None without both classes. Null labels and ids are left out, a row
     labelled twice counts as the greater label. A quarter of the labelled sample, chosen by id, calibrates."""
     spark = docs.sparkSession
+    small_batches(spark)
     usable = F.col(row_id).isNotNull()
     own = labels.where(usable & F.col(label).isNotNull() & (F.lit(True) if learn_from is None else learn_from)).groupBy(row_id).agg(F.max(label).cast("int").alias("y"))
     h = F.xxhash64(F.col(row_id), F.lit(11))
@@ -216,12 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, row_id: str = "doc_
     return co_train(content, meta, table["y"].to_numpy(), table["tune"].to_numpy(zero_copy_only=False))
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang", source: str = "source", least: float = 0.3, prefix: str = "") -> DataFrame:
-    """``docs`` with ``quality_score, content_score, metadata_score double`` and ``keep boolean`` (score of ``least`` or
+def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang", source: str = "source", least: float = 0.3, prefix: str = "", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or the named columns of it) with ``quality_score, content_score, metadata_score double`` and ``keep boolean`` (score of ``least`` or
     more), each name after ``prefix``; these replace columns of the same names. Null texts read as empty, null names as the empty name; equal rows
     get equal scores. Without a model every row scores 1 and stays."""
     names = tuple(prefix + n for n in ("quality_score", "content_score", "metadata_score", "keep"))
     rest = docs.drop(*names)
+    small_batches(docs.sparkSession)
+    columns = rest.columns if columns is None else columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -230,13 +233,14 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str =
                 at = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}
                 for i, j, raw, off in batches(batch, text):
                     out[:, i:j] = model.score(*views(raw, off, at[lang].slice(i, j - i).to_pylist(), at[source].slice(i, j - i).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out), pa.array(out[0] >= least)], [*batch.schema.names, *names])
+            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, out), pa.array(out[0] >= least)], [*columns, *names])
 
     kinds = [T.DoubleType()] * 3 + [T.BooleanType()]
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
+    return rest.mapInArrow(run, T.StructType([*rest.select(*columns).schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
 
 
 def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", "quality_score", "content_score", "metadata_score", "keep")
+    return score(docs, model, columns=["doc_id"]).select("doc_id", "quality_score", "content_score", "metadata_score", "keep")
