@@ -49,17 +49,25 @@ def _inverse(x: int) -> int:
     return pow(x, -1, 1 << 64)
 
 
-_POW = _powers(_P, 4096)
-_IPOW = _powers(np.uint64(_inverse(int(_P))), 4096)
+class _Kept:
+    """Arrays kept between slices; a copy that travels to a worker starts empty."""
+
+    def __init__(self) -> None:
+        self.pow = self.ipow = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_kept = _Kept()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**i and p**-i mod 2**64 for i < n; grown on demand and kept for the next slice."""
-    global _POW, _IPOW
-    if len(_POW) < n:
+    if len(_kept.pow) < n:
         size = max(n, SLICE_BYTES + (1 << 17))
-        _POW, _IPOW = _powers(_P, size), _powers(np.uint64(_inverse(int(_P))), size)
-    return _POW, _IPOW
+        _kept.pow, _kept.ipow = _powers(_P, size), _powers(np.uint64(_inverse(int(_P))), size)
+    return _kept.pow, _kept.ipow
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm._arrow import PUNCT, Words, batches, mix, powers, words
+from parchmint.llm._arrow import PUNCT, Words, batches, mix, powers, small_batches, words
 
-TOXIC, ORDINARY = 3000, 6000
+TOXIC, ORDINARY = 2000, 4000
 ORDER, SHARED = 6, 2
 WINDOW = 12
 FEATURES = 6
@@ -79,16 +79,16 @@ class Model:
         """``counts``: (toxic, ordinary) occurrences of each word."""
         n = counts[spelling.word]
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        grams = [spelling.grams(k) for k in range(1, ORDER + 1)]
         below = None  # probabilities of the shorter n-gram at each position
+        gram, context = spelling.grams(1)
         for k in range(1, ORDER + 1):
-            gram, context = grams[k - 1]
+            following = spelling.grams(k + 1) if k < ORDER else (None, None)
             keys, first, at = np.unique(gram, return_index=True, return_inverse=True)
             if k == ORDER:
                 own = np.stack([np.bincount(at, n[:, c], len(keys)) for c in (0, 1)], 1)
             else:
                 # Kneser-Ney: once for each distinct longer n-gram; n-grams from a word's beginning by occurrence
-                longer, one, back = np.unique(grams[k][0], return_index=True, return_inverse=True)
+                longer, one, back = np.unique(following[0], return_index=True, return_inverse=True)
                 whole = spelling.whole(k)
                 own = np.zeros((len(keys), 2))
                 for c in (0, 1):
@@ -100,11 +100,16 @@ class Model:
             held, of = np.unique(context[first], return_inverse=True)
             total = np.stack([np.bincount(of, own[:, c], len(held)) for c in (0, 1)], 1)
             kinds = np.stack([np.bincount(of, own[:, c] > 0, len(held)) for c in (0, 1)], 1)
-            left = np.where(total > 0, _D * kinds / np.maximum(total, 1), 1.0)
+            # n-grams of the long orders that occur once in all pass their whole count to the shorter ones: they aren't kept
+            kept = (own.sum(1) > 1) | (k <= 2)
+            lone = np.stack([np.bincount(of, (own[:, c] > 0) & ~kept, len(held)) for c in (0, 1)], 1)
+            left = np.where(total > 0, (_D * (kinds - lone) + lone) / np.maximum(total, 1), 1.0)
             shorter = np.full((len(keys), 2), 1 / 256) if below is None else below[first]
-            prob = np.maximum(own - _D, 0) / np.maximum(total[of], 1) + left[of] * shorter
-            self.tables.append((keys, np.log(prob[:, 0] / prob[:, 1]).astype(np.float32), held, np.log(left[:, 0] / left[:, 1]).astype(np.float32)))
-            below = prob[at]
+            prob = np.where(kept[:, None], np.maximum(own - _D, 0), 0) / np.maximum(total[of], 1) + left[of] * shorter
+            ratio, rest = np.log(prob[:, 0] / prob[:, 1]).astype(np.float32), np.log(left[:, 0] / left[:, 1]).astype(np.float32)
+            self.tables.append((keys[kept], ratio[kept], held[rest != 0], rest[rest != 0]))
+            below = prob[at].astype(np.float32)
+            gram, context = following
         self.curve: np.ndarray | None = None
 
     def spell(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -203,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, row_id: str = "doc_id", text:
     """A model and its curve from labelled rows that ``learn`` (a condition on ``row_id``) allows; None without both
     classes. A fifth of the sample, chosen by id, is for the curve and is not counted."""
     spark = docs.sparkSession
+    small_batches(spark)
     chosen = spark.createDataFrame(sample(labels, "toxic", row_id, learn, most or {1: TOXIC, 0: ORDINARY}).toArrow())
     rows = docs.select(row_id, text).join(F.broadcast(chosen), row_id).withColumn("tune", F.pmod(F.xxhash64(F.col(row_id), F.lit(5)), F.lit(5)) == 0)
 
@@ -242,13 +248,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn, row_id: str = "doc_id", text:
     return model
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score double`` (0 to 1) and ``predicted int``; both replace columns of these names.
+def score(docs: DataFrame, model: Model | None, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or the named columns of it) with ``score double`` (0 to 1) and ``predicted int``; both replace columns of these names.
 
     Null reads as the empty text, which gets the curve's value at no evidence. Equal texts get equal scores. Without a
     model (no labels of both classes) every score is 0.
     """
     rest = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
+    columns = rest.columns if columns is None else columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -257,9 +265,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             if model is not None:
                 for i, j, raw, off in batches(batch, text):
                     s[i:j] = model.score(model.features(words(raw, off, PUNCT), cache))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return rest.mapInArrow(run, T.StructType([*rest.select(*columns).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out(row_id: str = "doc_id", modulus: int = 5, remainder: int = 0):
@@ -270,4 +279,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, ~held_out())
-    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    return score(docs, model, columns=["doc_id"]).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
