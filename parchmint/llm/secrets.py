@@ -17,11 +17,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm._arrow import slices, strings
+from parchmint.llm._arrow import slices, small_batches, strings
+from parchmint.llm._scratch import stage
 
 #: The base patterns, fixed by the contract: name, pattern, group that is the secret, its least length.
 BASE = (
@@ -186,9 +187,9 @@ def labelled(docs: DataFrame, text: str = "text", per_kind: int = PER_KIND) -> d
                 spans = base_spans(t)
                 for s, kind, e in spans:
                     keep(BASE[kind][0], t[s:e])
-                # one token a text stands for the ordinary ones, any position being as likely
+                # one word a text, and hosts or files, stand for what is ordinary; other tokens with digits may be secrets
                 m = ordinary.search(t, len(t) * (len(t) * 7919 % 101) // 128)
-                if m and not any(s < m.end() and m.start() < e for s, _, e in spans):
+                if m and not _DIGIT.search(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in spans):
                     keep("", m.group())
                 for a, b in candidates(t, spans):
                     if "." in t[a:b]:
@@ -197,12 +198,11 @@ def labelled(docs: DataFrame, text: str = "text", per_kind: int = PER_KIND) -> d
         kinds, values, hashes = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(hashes, pa.int64())], ["kind", "value", "h"])
 
+    small_batches(docs.sparkSession)
     found = docs.select(text).mapInArrow(run, "kind string, value string, h long")
-    w = Window.partitionBy("kind").orderBy("h", "value")
-    out: dict[str, list[str]] = {k: [] for k in (*(b[0] for b in BASE), "")}
-    for r in found.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_kind).collect():
-        out[r.kind].append(r.value)
-    return {k: sorted(v) for k, v in out.items()}
+    found = stage(found, "secret-values")
+    kinds = [*(b[0] for b in BASE), ""]
+    return {k: sorted(r.value for r in found.where(F.col("kind") == k).groupBy("h", "value").count().orderBy("h", "value").limit(per_kind).collect()) for k in kinds}
 
 
 def scan(docs: DataFrame, secret: Automaton | None, ordinary: Automaton | None, text: str = "text", least_total: float = 9.0, least_mean: float = 0.4) -> DataFrame:
