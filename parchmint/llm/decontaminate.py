@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into word n-grams. Their occurrences are counted over the whole corpus, and every item keeps the
-rarer half of its n-grams as seeds (a ranking within the item, so an item that has leaked everywhere keeps seeds too).
+Test items are cut into word n-grams. Their occurrences are counted over the whole corpus, and every item keeps those
+that aren't common in the language as seeds (judged within the item, so one that has leaked everywhere keeps them too).
 Seeds join passages to items: a text in which an item's seeds hit, once for a seed that few texts hold and twice on
 neighbouring diagonals for others, is aligned with the item over a window about the hits. Local alignment over words
 (match 2, mismatch and gap -1) finds verbatim, edited and partly copied passages; its score is divided by that of the
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm._arrow import PUNCT, Words, batches, ngrams, strings, words
+from parchmint.llm._arrow import PUNCT, Words, batches, ngrams, small_batches, strings, words
 
 SEED_WORDS = 3
 BLOCK_WORDS = 200_000
-#: A seed is rare, and one hit enough, when at most this share of the documents holds it.
-RARE = 1 / 1000
+#: A seed is rare, and one hit enough, when at most this share of the documents holds it; others must hit twice, and are no
+#: seeds at all when they are so many times as frequent as the item's median n-gram.
+RARE, COMMON = 1 / 1000, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the item's full score, and least matching words' worth (an item of fewer words: all of them).
 LEAST, LEAST_WORDS = 0.4, 8
@@ -83,6 +84,7 @@ def _hits(keys: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def occurrences(docs: DataFrame, items: Items, text: str) -> tuple[np.ndarray, int]:
     """(texts that hold each of ``items.gram``, number of texts), over all rows."""
     keys = np.unique(items.gram)
+    small_batches(docs.sparkSession)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(keys), np.int64), 0
@@ -105,14 +107,21 @@ def occurrences(docs: DataFrame, items: Items, text: str) -> tuple[np.ndarray, i
 
 
 def seeds(items: Items, held: np.ndarray, rows: int) -> tuple[Items, np.ndarray]:
-    """(items with the rarer half of each one's n-grams, whether each seed is rare)."""
-    order = np.lexsort((items.gram_at, held, items.gram_item))
-    item = items.gram_item[order]
-    rank = np.arange(len(order)) - np.searchsorted(item, item)
+    """(items with the n-grams that may be seeds, whether one hit of a seed is enough).
+
+    Left out is what is common in the language: n-grams in more than ``RARE`` of the rows that are also ``COMMON`` times
+    as frequent as the item's median n-gram. A leak raises all n-grams of an item alike and so costs none.
+    """
+    order = np.lexsort((held, items.gram_item))
+    first = np.searchsorted(items.gram_item[order], np.arange(len(items.ids)))
     size = np.bincount(items.gram_item, minlength=len(items.ids))
-    keep = np.sort(order[rank < np.maximum(4, (size[item] + 1) // 2)])
+    median = np.zeros(len(items.ids))
+    some = size > 0
+    median[some] = held[order][(first + size // 2)[some]]
+    few = max(50, RARE * rows)
+    keep = np.flatnonzero(held <= np.maximum(few, COMMON * median[items.gram_item]))
     out = Items(items.ids, items.hash, items.first, items.gram[keep], items.gram_item[keep], items.gram_at[keep])
-    return out, held[keep] <= max(1, RARE * rows)
+    return out, held[keep] <= few
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
