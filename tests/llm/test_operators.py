@@ -234,6 +234,20 @@ def test_lattice_against_brute_force():
     assert np.allclose(got, [math.log(all_ways(b"\x01" + x)) for x in spelt])
 
 
+def test_adapted_pieces():
+    """Every round raises the likelihood of the words it is fitted on, and the probabilities stay a distribution."""
+    spelt = [f"{a}{b}".encode() for a in ("ston", "glas", "iro") for b in ("ing", "ed", "es", "er")]
+    end = np.cumsum([len(x) for x in spelt])
+    data, start = np.frombuffer(b"".join(spelt), np.uint8), end - [len(x) for x in spelt]
+    lattice = lmscore.vocabulary()
+    was = lattice.score(data, start, end).sum()
+    for rounds in (1, 2, 4):
+        new = lattice.adapted(data, start, end, rounds=rounds, prior=1e-9)
+        now = new.score(data, start, end).sum()
+        assert now > was and math.isclose(np.exp(new.logp).sum(), 1, rel_tol=1e-9)
+        was = now
+
+
 @pytest.mark.parametrize("frequent", [0, 8, 1 << 19])
 def test_scores_against_brute_force(docs, monkeypatch, frequent):
     monkeypatch.setattr(lmscore, "FREQUENT", frequent)
@@ -241,7 +255,7 @@ def test_scores_against_brute_force(docs, monkeypatch, frequent):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     lattice = lmscore.vocabulary()
     got = collections.defaultdict(list)
-    for r in lmscore.score(docs, held, lattice).collect():
+    for r in lmscore.score(docs, held, lattice, adapt=0).collect():
         got[r.doc_id].append(r)
     count, rows = collections.Counter(), []
     for r in docs.collect():
@@ -336,10 +350,11 @@ def brute_components(rows):
     return sorted(((i, len(s), least.get(find(x)) if s else i) for x, (i, s) in enumerate(sets)), key=str)
 
 
-@pytest.mark.parametrize("at_once", [20, 0])
-def test_components_against_brute_force(spark, docs, monkeypatch, at_once):
-    """All pairs at once, and with leaders first; chains of near copies, and texts about the bound."""
-    monkeypatch.setattr(jaccard, "CROSS_AT_ONCE", at_once)
+@pytest.mark.parametrize(("rows", "block"), [(48, 256), (3, 4), (2, 256)])
+def test_components_against_brute_force(spark, docs, monkeypatch, rows, block):
+    """Pairs and dense blocks; chains of near copies, and texts about the bound."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "SHARED_LOCAL", 3)
     r = random.Random(9)
     base = [f"w{r.randrange(10**6)}" for _ in range(80)]
