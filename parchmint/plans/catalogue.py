@@ -744,3 +744,101 @@ def json_shaping(spark, sf):
     m = F.from_json("props", "map<string,string>")
     first = F.element_at(F.map_values(m), 1)
     return _read(spark, sf, "events").where("props IS NOT NULL").groupBy("user_id", first.alias("v")).agg(F.count("*").alias("n"))
+
+
+# --- composed reads --------------------------------------------------------------------------------------------------
+
+
+@query(fix("tex_lines") + r""", l AS (SELECT file, line, text, lower(text) AS t FROM tex_lines WHERE NOT starts_with(ltrim(text), '%') AND contains(lower(text), 'cite'))
+SELECT l.file, l.line, array_to_string(list_transform(list_sort(list({'k': c.line, 't': c.text})), lambda x: x.t), chr(10)) AS context
+FROM l JOIN tex_lines c ON c.file = l.file AND c.line BETWEEN l.line - 1 AND l.line + 1 GROUP BY l.file, l.line""")
+def grep_tex_lines(spark, sf):
+    rows = ordered.around(table(spark, "tex_lines"), ["file"], ["line"], "text", 1, "near")
+    hit = rows.where(~F.ltrim("text").startswith("%") & F.lower("text").contains("cite"))
+    return hit.select("file", "line", F.array_join("near", "\n").alias("context"))
+
+
+@query(fix("caption_pages", "figures") + r""", t AS (SELECT key, string_agg(text, ' ' ORDER BY page) AS t FROM caption_pages GROUP BY key),
+c AS (SELECT f.key, f.figure, nullif(left(regexp_extract(t.t, '(?is)fig(?:ure|\.)\s*' || f.num || '\s*[:.]\s+([A-Z][^.]*\.)', 1), 500), '') AS caption,
+  (SELECT count(*) FROM caption_pages p WHERE p.key = f.key AND regexp_matches(p.text, '(?i)fig(?:ure|\.)\s*' || f.num || '(?:[^0-9]|$)')) AS mentions FROM figures f LEFT JOIN t USING (key))
+SELECT * FROM c""")
+def figure_captions(spark, sf):
+    pages, figures = table(spark, "caption_pages"), table(spark, "figures")
+    whole = pages.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), " ").alias("t"))
+    pattern = F.concat(F.lit(r"(?is)fig(?:ure|\.)\s*"), F.col("num"), F.lit(r"\s*[:.]\s+([A-Z][^.]*\.)"))
+    found = F.try_element_at(F.regexp_extract_all("t", pattern, 1), F.lit(1))
+    named = F.concat(F.lit(r"(?i)fig(?:ure|\.)\s*"), F.col("num"), F.lit(r"(?:[^0-9]|$)"))
+    seen = figures.join(pages, "key").where(F.regexp_like("text", named)).groupBy("key", "figure").agg(F.count("*").alias("mentions"))
+    out = figures.join(whole, "key", "left").join(seen, ["key", "figure"], "left")
+    return out.select("key", "figure", F.nullif(F.left(found, F.lit(500)), F.lit("")).alias("caption"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
+@query(fix("freshness") + "SELECT kind, CASE WHEN kind = 'papers' AND newest IS NULL THEN 'empty' WHEN kind = 'inbox' AND newest > 0 THEN 'pending' WHEN newest > built THEN 'stale' END AS advice FROM freshness WHERE advice IS NOT NULL")
+def freshness_advice(spark, sf):
+    k, new = F.col("kind"), F.col("newest")
+    advice = F.when((k == "papers") & new.isNull(), "empty").when((k == "inbox") & (new > 0), "pending").when(new > F.col("built"), "stale")
+    return table(spark, "freshness").select("kind", advice.alias("advice")).where("advice IS NOT NULL")
+
+
+@query(fix("authors") + ", p AS (SELECT id, name, CASE WHEN contains(name, ',') THEN trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) WHEN contains(name, ' ') THEN regexp_extract(name, '(\\S+)$', 1) || ', ' || regexp_extract(name, '^(.*)\\s\\S+$', 1) END AS other FROM authors) SELECT id, unnest(list_filter([name, other], lambda x: x IS NOT NULL)) AS variant FROM p")
+def name_variants(spark, sf):
+    n = F.col("name")
+    turned = F.when(n.contains(","), F.concat(F.trim(F.split(n, ",")[1]), F.lit(" "), F.trim(F.split(n, ",")[0]))).when(n.contains(" "), F.concat(F.regexp_extract(n, r"(\S+)$", 1), F.lit(", "), F.regexp_extract(n, r"^(.*)\s\S+$", 1)))
+    return table(spark, "authors").select("id", F.explode(F.filter(F.array(n, turned), lambda x: x.isNotNull())).alias("variant"))
+
+
+@query(fix("patches", "bib_rows") + """, p AS (SELECT key, CASE WHEN json_valid(data) THEN json_extract_string(data, '$.title') END AS t, CASE WHEN json_valid(data) THEN json_extract_string(data, '$.year') END AS y, CASE WHEN json_valid(data) THEN json_extract_string(data, '$.doi') END AS d FROM patches)
+SELECT b.key, coalesce(t, title) AS title, coalesce(y, year) AS year, coalesce(d, doi) AS doi, CASE WHEN d IS NOT NULL AND d IS DISTINCT FROM doi THEN 'unchecked' ELSE status END AS status FROM bib_rows b LEFT JOIN p USING (key)""")
+def metadata_patch(spark, sf):
+    p = table(spark, "patches").select("key", F.from_json("data", "title string, year string, doi string").alias("p"))
+    own = table(spark, "bib_rows").join(p, "key", "left")
+    changed = F.col("p.doi").isNotNull() & ~F.col("p.doi").eqNullSafe(F.col("doi"))
+    return own.select("key", F.coalesce("p.title", "title").alias("title"), F.coalesce("p.year", "year").alias("year"), F.coalesce("p.doi", "doi").alias("doi"), F.when(changed, "unchecked").otherwise(F.col("status")).alias("status"))
+
+
+@query(fix("page_scores") + "SELECT key, max(score)::DOUBLE AS max_score, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (score > 0.5), '') AS flagged, max(score) <= 0.5 AS passed FROM page_scores GROUP BY key")
+def injection_report(spark, sf):
+    s = table(spark, "page_scores")
+    flagged = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("score") > 0.5, F.col("page")))), lambda p: p.cast("string")), ",")
+    return s.groupBy("key").agg(F.max("score").cast("double").alias("max_score"), flagged.alias("flagged"), (F.max("score") <= 0.5).alias("passed"))
+
+
+@query(fix("doi_candidates", "papers_b") + f""", p AS (SELECT c.id AS candidate, b.id AS pdf, {_TT.format('c.title')} AS ta, {_TT.format('b.title')} AS tb, string_split(c.names, ',') AS na, string_split(b.names, ',') AS nb FROM doi_candidates c, papers_b b),
+s AS (SELECT candidate, pdf, round(0.6::DOUBLE * {_JAC.format(a='ta', b='tb')} + 0.25::DOUBLE * {_JAC.format(a='na', b='nb')}, 6)::DOUBLE AS score FROM p)
+SELECT pdf, candidate, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY score DESC, candidate) = 1""")
+def doi_candidates(spark, sf):
+    a = table(spark, "doi_candidates").select(F.col("id").alias("candidate"), F.col("title").alias("ta"), F.split("names", ",").alias("na"))
+    b = table(spark, "papers_b").select(F.col("id").alias("pdf"), F.col("title").alias("tb"), F.split("names", ",").alias("nb"))
+    none = F.lit(None).cast("int")
+    # candidates share a title word with the paper they may belong to
+    words = lambda df, t: df.withColumn("w", F.explode(ids.title_tokens(F.col(t))))
+    both = words(a, "ta").join(words(b, "tb"), "w").drop("w").distinct()
+    scored = both.withColumn("score", F.round(ids.match_score(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), none, none), 6)).where("score >= 0.3")
+    return ordered.keep_one(scored, ["pdf"], [F.desc("score"), "candidate"]).select("pdf", "candidate", "score")
+
+
+@query()
+def two_tier_search(spark, sf):
+    """Paragraphs that hold the query verbatim; only where a document has none, those with enough of its words close by."""
+    rows = _read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\n")).alias("para")).where(F.length("para") >= 40)
+    exact = F.when(F.contains(tx.normalize(F.col("para")), F.lit("of the and")), 1.0).otherwise(0.0)
+    rows = rows.withColumn("exact", exact).withColumn("best", F.max("exact").over(Window.partitionBy("doc_id")))
+    near = search.token_proximity(F.lit("of the and"), F.col("para"))
+    scored = rows.where("exact = 1.0 OR best = 0.0").withColumn("score", F.when(F.col("exact") == 1.0, F.lit(1.0)).otherwise(near))
+    return scored.where("score >= 0.3").select("doc_id", "para", F.round("score", 6).alias("score"))
+
+
+@query()
+def chunk_markers(spark, sf):
+    """Labels, references and citations of each file as arrays, with the share of comment lines."""
+    found = _facts(spark).groupBy("file").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name")))).alias(f"{k}s") for k in ("label", "ref", "cite", "section")))
+    share = table(spark, "tex_lines").groupBy("file").agg(F.round(F.avg(F.ltrim("text").startswith("%").cast("double")), 3).alias("comment_ratio"))
+    return share.join(found, "file", "left")
+
+
+@query()
+def quote_score(spark, sf):
+    """Best token-set ratio of each benchmark item's beginning among the sentences of documents that share a rare word."""
+    quotes = _read(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id")).alias("k"), F.left("text", F.lit(120)).alias("t"))
+    heads = _read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("k"), F.left("text", F.lit(120)).alias("t"))
+    return search.fuzzy_titles(quotes.unionAll(heads), "k", "t", 0.8)

@@ -96,3 +96,19 @@ def _spark(rows: str) -> str:
 def sql(*names: str) -> str:
     """``WITH`` clauses for DuckDB."""
     return "WITH RECURSIVE " + ", ".join(f"{n}({TABLES[n][0]}) AS (VALUES {TABLES[n][1]})" for n in names) + " "
+
+
+TABLES |= {
+    "caption_pages": (
+        "key, page, text",
+        """('p1', 1, 'Intro text that cites Fig. 1 twice, and Figure 2 once. More of it follows.'), ('p1', 2, 'Figure 1: The first setup with two mirrors. As seen in Fig. 1 the light bends.'),
+        ('p1', 3, 'Figure 2. Results over time. End.'), ('p2', 1, 'No floats here, though Figure 9 is named.')""",
+    ),
+    "figures": ("key, figure, num, reason", "('p1', 'fig1', 1, 'setup'), ('p1', 'fig2', 2, 'curve'), ('p2', 'fig7', 7, 'lost')"),
+    "freshness": ("kind, newest, built", "('corpus', 20, 10), ('build', 5, 9), ('bib', 7, 7), ('papers', NULL, NULL), ('inbox', 3, NULL)"),
+    "authors": ("id, name", "(1, 'Xu, Ada'), (2, 'Ada Xu'), (3, 'Ada M. Xu'), (4, 'Plato'), (5, 'van Dyck, Anton')"),
+    "doi_candidates": ("id, title, names, year", "(1, 'Noise in quantum dots', 'xu,chen', 2022), (2, 'Quantum noise', 'lee', 2020), (3, 'Trees and graphs', 'smith', 2001)"),
+    "patches": ("key, data", """('xu2022', '{"title": "New title", "doi": "10.1/new"}'), ('chen2023', '{"year": "2024"}'), ('bad', 'not json')"""),
+    "bib_rows": ("key, title, year, doi, status", "('xu2022', 'Old', '2022', '10.1/old', 'valid'), ('chen2023', 'Kept', '2023', NULL, 'missing'), ('bad', 'Same', '2020', '10.1/b', 'valid')"),
+    "page_scores": ("key, page, score", "('a', 1, 0.1), ('a', 2, 0.7), ('a', 3, 0.5), ('b', 1, 0.2), ('c', 1, 0.95), ('c', 2, 0.51)"),
+}
