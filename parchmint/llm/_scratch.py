@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,3 +31,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/parchmint/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files and "/parchmint/" in files[0]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are written: it does so when the driver's JVM
+    finds their plans unreachable, which a small heap makes rare."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

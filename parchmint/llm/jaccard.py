@@ -10,9 +10,11 @@ overlap, are accumulated in full and compared exactly.
 * Order: shingles that many documents share (found by counting in every task) stand last, the others by hash. The order
   decides only how much is compared, never the result.
 * Equal sets are one row of the matrix (64-bit signature of the set), whatever the number of copies.
-* Within a column, rows are compared with a few leaders first and links are closed to components; then only pairs of
-  *different* components in a column are compared, all of them. A group of thousands of near copies costs a few
-  comparisons a member, and no link between components can be missed.
+* Within a column, rows are first compared with the one that shares most of its prefix (near copies' common source, or
+  the least changed of them), and links are closed to components. What lies in different components of a column is then
+  compared in full: long columns by dense blocks of rows times rows, which give one link for each two components; short
+  ones as pairs, of which those are discarded whose overlap over the prefixes and sizes rule a link out. So no link
+  between components is missed, and a group of thousands of near copies is never spelled out as pairs.
 * Columns of shared shingles are salted, so no task gets all rows of a hot group.
 """
 
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm._arrow import Words, batches, mix, ngrams, signed, words
-from parchmint.llm._scratch import stage
+from parchmint.llm._arrow import Words, batches, mix, ngrams, signed, small_batches, words
+from parchmint.llm._scratch import discard, stage, sweep
 
 SHINGLE = 5
 #: Shingles that this many of a task's recent documents share are counted as shared; as many are kept at most. Both only
@@ -37,23 +39,24 @@ _WINDOW = 1 << 21
 SALTS = 64
 #: Bits of the filter that tells which rows are compared in full, at most.
 FILTER_BITS = 1 << 27
-STAR_ROUNDS = 3
+#: Columns of so many rows are multiplied in dense blocks of so many rows by as many.
+BLOCK_ROWS, BLOCK = 400, 256
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle hash) of all distinct shingles of each document, sorted. Fewer words than a shingle are one
-    shingle together; no words, none."""
+    """(document, 52-bit shingle hash) of all distinct shingles of each document, sorted. Fewer words than a shingle are
+    one shingle together; no words, none. At most 4,096 documents at once."""
     gram, at = ngrams(w, SHINGLE)
     doc = w.doc[at]
     short = np.flatnonzero((w.counts > 0) & (w.counts < SHINGLE))
     if len(short):
-        whole = [mix(np.array([int(x) for x in [_fold(w.hash[w.first[d] : w.first[d + 1]])]], np.uint64))[0] for d in short]
-        gram, doc = np.append(gram, np.array(whole, np.uint64)), np.append(doc, short)
-    order = np.lexsort((gram, doc))
-    gram, doc = gram[order], doc[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], gram[new]
+        whole = mix(np.array([_fold(w.hash[w.first[d] : w.first[d + 1]]) for d in short], np.uint64))
+        gram, doc = np.append(gram, whole), np.append(doc, short)
+    key = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (gram >> np.uint64(12)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1)
 
 
 def _fold(h: np.ndarray) -> int:
@@ -96,36 +99,49 @@ def _sets(docs: DataFrame, row_id: str, text: str) -> DataFrame:
         if held:
             yield shared()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(row_id).cast("long").alias("id"), text)
     return rows.mapInArrow(run, "id long, n long, node long, gram long, times long")
 
 
+def _fresh(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether each set is new to this task; ``seen`` is forgotten when it grows long."""
+    if len(seen) > 1 << 20:
+        seen.clear()
+    out = np.zeros(len(node), bool)
+    for k, x in enumerate(node.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[k] = True
+    return out
+
+
 def _prefixes(docs: DataFrame, text: str, shared: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``gram, node, size`` (``n << 32 | position << 1 | shared``) for the longest prefix that any partner asks for."""
     keys, rank = shared
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)  # sets that this task has given; forgotten when it grows long
+        seen: set[int] = set()  # sets that this task has given; forgotten when it grows long
         for batch in it:
             for i, j, raw, off in batches(batch, text):
                 doc, gram = shingles(words(raw, off))
                 size, node = signatures(doc, gram, j - i)
-                _, one = np.unique(node, return_index=True)
-                fresh = np.zeros(j - i, bool)
-                fresh[one] = True
-                fresh &= ~np.isin(node, seen)
-                seen = np.concatenate([seen[-(1 << 19) :], node[fresh]])
-                pick = fresh[doc]
+                pick = _fresh(node, seen)[doc]
                 doc, gram = doc[pick], gram[pick]
                 k = np.searchsorted(keys, gram)
                 k[k == len(keys)] = 0
-                last = np.where(keys[k] == gram, rank[k], 0) if len(keys) else np.zeros(len(gram), np.int64)
-                order = np.lexsort((gram, last, doc))
-                doc, gram, last = doc[order], gram[order], last[order]
-                at = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                n = size[doc]
+                late = keys[k] == gram if len(keys) else np.zeros(len(gram), bool)
+                # shingles that aren't shared come first, by hash, as they stand; then the shared ones by number
+                n, first = size[doc], np.searchsorted(doc, doc)
+                early = np.concatenate(([0], np.cumsum(~late)))
+                at = early[:-1] - early[first]
+                some = np.flatnonzero(late)
+                if len(some):
+                    some = some[np.lexsort((gram[some], rank[k[some]], doc[some]))]
+                    end = np.searchsorted(doc, doc[some], "right")
+                    at[some] = early[end] - early[first[some]] + np.arange(len(some)) - np.searchsorted(doc[some], doc[some])
                 keep = at <= n - (4 * n + 4) // 5
-                value = (n[keep].astype(np.int64) << 32) | (at[keep] << 1) | (last[keep] > 0)
+                value = (n[keep].astype(np.int64) << 32) | (at[keep] << 1) | late[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(gram[keep])), pa.array(signed(node[doc[keep]])), pa.array(value)], ["gram", "node", "size"])
 
     return docs.select(text).mapInArrow(run, "gram long, node long, size long")
@@ -179,41 +195,41 @@ def _rows_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     wanted = _Filter(nodes, nodes.count())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen: set[int] = set()
         for batch in it:
             for i, j, raw, off in batches(batch, text):
                 doc, gram = shingles(words(raw, off))
                 size, node = signatures(doc, gram, j - i)
-                _, one = np.unique(node, return_index=True)
-                fresh = np.zeros(j - i, bool)
-                fresh[one] = True
-                fresh &= wanted.holds(node) & ~np.isin(node, seen) & (size > 0)
-                seen = np.concatenate([seen[-(1 << 19) :], node[fresh]])
-                d = np.flatnonzero(fresh)
+                d = np.flatnonzero(wanted.holds(node) & (size > 0))
+                d = d[_fresh(node[d], seen)]
                 first = np.searchsorted(doc, np.arange(j - i + 1))
                 flat = np.concatenate([gram[first[x] : first[x + 1]] for x in d]) if len(d) else gram[:0]
                 offsets = np.concatenate(([0], np.cumsum(size[d]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(node[d])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat)))], ["node", "grams"])
 
     found = docs.select(text).mapInArrow(run, "node long, grams array<long>")
-    return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    return found.dropDuplicates(["node"])  # the filter's few strangers do no harm
 
 
 def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link, by their full overlap."""
+    pairs = stage(pairs.select("a", "b"), "jaccard-chosen")
     nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
-    rows = stage(_rows_of(docs, text, nodes), "jaccard-sets")
+    rows = _rows_of(docs, text, nodes)  # dealt by node once: both joins read the same exchange
     one = pairs.join(rows.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     both = one.join(rows.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    same = F.size(F.array_intersect("ga", "gb"))
-    return both.withColumn("same", same).where("5 * same >= 4 * (size(ga) + size(gb) - same)").select("a", "b")
+    both = both.withColumn("same", F.size(F.array_intersect("ga", "gb"))).where("5 * same >= 4 * (size(ga) + size(gb) - same)")
+    links = stage(both.select("a", "b"), "jaccard-links")
+    for df in (nodes, pairs):
+        discard(df)
+    sweep(docs.sparkSession)
+    return links
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for all nodes of ``links`` (a, b): the least node that links lead to. Alternating large and small
     stars; each round is written, so nothing of an earlier round is computed again."""
     edges = stage(links.where("a <> b").select("a", "b").distinct(), name)
-    mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -223,10 +239,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select("u", "m")).distinct()
         edges = stage(small, name)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
+        # done when every node points straight at a root
+        if edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and not edges.groupBy("a").count().where("count > 1").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
-        mark = now
 
 
 def linked(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -241,31 +256,36 @@ def linked(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple
     keys, times = top["gram"].to_numpy().view(np.uint64), top["times"].to_numpy()
     order = np.argsort(keys)
     entries = _prefixes(docs, text, (keys[order], times[order]))
-    # columns with more than one row; a shared shingle's column is dealt to SALTS tasks and kept whole
+    # columns with more than one row; a shared shingle's column is dealt to SALTS tasks and kept whole. Copies of a set that
+    # several tasks gave stand side by side
     salt = F.when(F.col("size") % 2 == 1, F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    column = Window.partitionBy("gram", "salt")
-    entries = entries.withColumn("salt", salt).withColumns({"lo": F.min("node").over(column), "hi": F.max("node").over(column)})
-    entries = entries.where("lo < hi OR size % 2 = 1").select("gram", "node", F.shiftright("size", 32).alias("n"), F.expr("(size & 4294967295L) >> 1").alias("p"), F.expr("CAST(size & 1 AS int)").alias("shared"))
-    entries = stage(entries.distinct(), "jaccard-columns")
-
-    links, roots = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        cells = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if turn:
-            # columns in which more than one component is left
-            open_ = cells.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-            cells = stage(cells.join(stage(open_, "jaccard-open"), "gram", "left_semi"), "jaccard-cells")
-            if cells.isEmpty():
-                break
-        pairs = _star(cells, turn) if turn < STAR_ROUNDS else _cross(cells)
-        pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-        new = stage(_verified(docs, text, pairs), "jaccard-links")
-        if new.isEmpty():
-            if turn == STAR_ROUNDS:
-                break
-            continue
-        links = new if links is None else links.unionAll(new)
-        roots = stage(components(links), "jaccard-roots")
+    column = Window.partitionBy("gram", "salt").orderBy("n", "node")
+    entries = entries.withColumns({"salt": salt, "n": F.shiftright("size", 32).cast("int")})
+    entries = entries.withColumns({"less": F.lag(F.struct("n", "node")).over(column), "more": F.lead(F.struct("n", "node")).over(column), "lo": F.min("node").over(Window.partitionBy("gram", "salt")), "hi": F.max("node").over(Window.partitionBy("gram", "salt"))})
+    # rows stand by size: one whose neighbours are both out of its reach links with nothing in this column
+    near = "lo < hi AND (5 * less.n >= 4 * n OR 5 * n >= 4 * more.n) OR size % 2 = 1"
+    entries = entries.where(f"(less IS NULL OR less.node <> node) AND ({near})")
+    entries = stage(entries.select("gram", "node", "n", F.expr("CAST((size & 4294967295L) >> 1 AS int)").alias("p"), F.expr("CAST(size & 1 AS boolean)").alias("shared")), "jaccard-columns")
+    sweep(docs.sparkSession)
+    roots = _closed(None, _verified(docs, text, _star(entries)))
+    cells = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = _open(cells)
+    long = cells.where(F.col("rows") >= BLOCK_ROWS)
+    if not long.isEmpty():
+        long = stage(long, "jaccard-long")
+        was, roots = roots, _closed(roots, _product(docs, text, long))
+        if roots is not None:
+            # components that have become one
+            old = roots.withColumnRenamed("root", "new")
+            old = old.withColumn("root", F.col("node")) if was is None else old.join(was, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            moved = stage(old.where("root <> new").select("root", "new").distinct(), "jaccard-moved")
+            cells = _open(cells.drop("rows", "main").join(moved, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
+        # what two rows share in the long columns is compared; here it only counts towards the bound
+        done = stage(long.groupBy("node").agg(F.count("*").cast("int").alias("done")), "jaccard-done")
+        cells = cells.join(done, "node", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    else:
+        cells = cells.withColumn("done", F.lit(0))
+    roots = _closed(roots, _verified(docs, text, _cross(cells.where(F.col("rows") < BLOCK_ROWS))))
 
     classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     if roots is None:
@@ -276,30 +296,118 @@ def linked(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple
     return rows, stage(classes.join(stage(least, "jaccard-least"), "root").select("node", "component_id"), "jaccard-components")
 
 
-def _star(cells: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a leader and each row of another component in its column and size class."""
-    pick = F.xxhash64("node", F.pmod("gram", F.lit(2)), F.lit(turn))
-    # sizes within a factor of 1.25 and a bit stand together; every other turn the classes are shifted by half
-    kind = F.floor(F.log(1.3, F.col("n").cast("double")) + (0.5 if turn % 2 else 0.0))
-    salt = F.when(F.col("shared") == 1, F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SALTS if turn == 0 else 8))).otherwise(F.lit(0)).cast("int")
-    cells = cells.withColumns({"kind": kind, "salt": salt, "h": pick})
-    w = Window.partitionBy("gram", "kind", "salt").orderBy("h", "node")
-    led = cells.withColumn("lead", F.first(F.struct("node", "n", "p", "root")).over(w))
-    pairs = led.where("lead.root <> root").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.p").alias("pa"), F.col("p").alias("pb"))
+def _closed(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components of what is known already (as one star each) and new links."""
+    if links.isEmpty():
+        return roots
+    known = links.select("a", "b")
+    if roots is not None:
+        known = known.unionAll(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return stage(components(known), "jaccard-roots")
+
+
+def _open(cells: DataFrame) -> DataFrame:
+    """Cells (with their component's ``root``) of the columns in which more than one component is left, with the column's
+    ``rows`` and its largest component ``main``."""
+    size = cells.groupBy("gram", "root").count()
+    left = size.groupBy("gram").agg(F.sum("count").alias("rows"), F.max(F.struct("count", "root")).alias("main"))
+    left = stage(left.where("main.count < rows").select("gram", F.col("rows").cast("int").alias("rows"), F.col("main.root").alias("main")), "jaccard-open")
+    out = stage(cells.join(left, "gram"), "jaccard-cells")
+    discard(left)
+    sweep(cells.sparkSession)
+    return out
+
+
+def _star(cells: DataFrame) -> DataFrame:
+    """Pairs of a leader and each other row in its column and size class. The row leads in whose order the column comes
+    first: unshared shingles stand before, so it is the least changed one."""
+    # sizes within a factor of 1.3 stand together
+    kind = F.floor(F.log(1.3, F.col("n").cast("double"))).cast("int")
+    salt = F.when(F.col("shared"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    cells = cells.withColumns({"kind": kind, "salt": salt})
+    me, first = F.struct("node", "n", "p"), [F.col("p") / F.col("n"), "node"]
+    led = lambda rows, *by: rows.withColumn("lead", F.first(me).over(Window.partitionBy(*by).orderBy(*first)))
     # leaders of a shared shingle's sub-columns are compared with the first of them
-    heads = led.where("lead.node = node AND shared = 1")
-    up = Window.partitionBy("gram", "kind").orderBy("h", "node")
-    heads = heads.withColumn("top", F.first(F.struct("node", "n", "p", "root")).over(up)).where("top.root <> root")
-    heads = heads.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.n").alias("na"), F.col("n").alias("nb"), F.col("top.p").alias("pa"), F.col("p").alias("pb"))
-    return pairs.unionAll(heads).where(_may_link("a", "b")).select("a", "b")
+    heads = led(led(cells.where("shared"), "gram", "kind", "salt").where("lead.node = node"), "gram", "kind")
+    pairs = led(cells, "gram", "kind", "salt").unionByName(heads).where("lead.node <> node")
+    pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.p").alias("pa"), F.col("p").alias("pb"))
+    # a row is compared with the one that leads it most often, if that is in a fair part of its prefix (a passage that
+    # many documents share makes a leader of few columns); what this leaves out is compared later, like all the rest
+    often = pairs.where(_may_link("a", "b")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("nb").alias("n")).where("33 * c >= n")
+    best = often.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m"))
+    return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
 
 
 def _cross(cells: DataFrame) -> DataFrame:
-    """All pairs of different components in a column: rows outside the column's largest component with all others."""
-    size = stage(cells.groupBy("gram", "root").count().groupBy("gram").agg(F.max(F.struct("count", "root")).alias("main")).select("gram", F.col("main.root").alias("main")), "jaccard-main")
-    stray = cells.join(size, "gram").where("root <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("root").alias("ra"), "main")
-    other = cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"))
-    return stray.join(other, "gram").where("ra <> rb AND (rb = main OR a < b) AND " + _may_link("a", "b")).select("a", "b")
+    """All pairs of different components that share a column: rows outside the column's largest component with all
+    others. Overlaps are counted over the prefixes, and pairs whose count and sizes rule the link out are discarded: to
+    the columns that a pair shares here come at most those that are ``done``, and what isn't in both prefixes, which is
+    at most the longer rest."""
+    stray = cells.where("root <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("done").alias("da"), "main")
+    other = cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("done").alias("db"))
+    met = stray.join(other, "gram").where("ra <> rb AND (rb = main OR a < b) AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("na", "nb").alias("n1"), F.least("na", "nb").alias("n2"), F.least("da", "db").alias("d"))
+    c = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("d").alias("d"))
+    # a prefix has n - ceil(4 n / 5) + 1 shingles, so its rest has ceil(4 n / 5) - 1
+    return c.where("c + d + ((4 * n1 + 4) div 5) - 1 >= ((4 * (n1 + n2) + 8) div 9)").select("a", "b")
+
+
+def _product(docs: DataFrame, text: str, cells: DataFrame) -> DataFrame:
+    """Links between components among rows that meet in long columns. Columns that share rows make a cluster; its rows
+    outside their column's largest component are multiplied with all its rows of like size, ``BLOCK`` by ``BLOCK``, and every block's
+    overlaps are accumulated over the whole sets. A task holds two blocks whatever the cluster's size, and gives one link
+    for each two components that it finds linked."""
+    cluster = components(cells.select(F.col("node").alias("a"), F.expr("-1L - gram").alias("b")), "jaccard-clusters").withColumnRenamed("root", "cluster")
+    rows = cells.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"), F.floor(F.log(1.25, F.first("n").cast("double"))).cast("int").alias("kind"))
+    rows = stage(rows.join(cluster, "node"), "jaccard-members")
+    # sizes that link differ by a factor of 1.25 at most, so a size class meets itself and its neighbours
+    size = rows.groupBy("cluster", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("n_stray"))
+    size = stage(size, "jaccard-classes")
+    grid = size.where("n_stray > 0").select("cluster", F.col("kind").alias("k"), "n_stray", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)).alias("t"))
+    grid = stage(grid.join(size.select("cluster", F.col("kind").alias("t"), "n_all"), ["cluster", "t"]), "jaccard-grid")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = rows.withColumnRenamed("kind", "t").join(grid, ["cluster", "t"]).select("cluster", "k", "t", "node", "root", F.lit(False).alias("left"), number("n_all").alias("j"), every("n_stray").alias("i"))
+    left = rows.where("stray").withColumnRenamed("kind", "k").join(grid, ["cluster", "k"]).select("cluster", "k", "t", "node", "root", F.lit(True).alias("left"), number("n_stray").alias("i"), every("n_all").alias("j"))
+    sets = stage(_rows_of(docs, text, rows.select("node")), "jaccard-sets")
+    both = right.unionByName(left).join(sets, "node").select("cluster", "k", "t", "i", "j", "node", "root", "left", "grams")
+
+    def multiply(table: pa.Table) -> pa.Table:
+        side = table["left"].to_numpy()
+        node, root = table["node"].to_numpy(), table["root"].to_numpy()
+        part = table["grams"].combine_chunks()
+        flat, at = part.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(part.offsets.to_numpy()))))
+        owner = np.repeat(np.arange(len(node)), np.diff(at))
+        n = np.diff(at)
+        one, two = np.flatnonzero(side), np.flatnonzero(~side)
+        place = np.empty(len(node), np.int64)
+        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+        order = np.argsort(flat, kind="stable")
+        gram, who = flat[order], owner[order]
+        overlap = np.zeros(len(one) * len(two), np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
+        # columns of the block, some at a time: each adds all its (left, right) pairs
+        for k in range(0, len(edge) - 1, 2048):
+            lo, hi = edge[k], edge[min(k + 2048, len(edge) - 1)]
+            g, w = gram[lo:hi], who[lo:hi]
+            l, r = np.flatnonzero(side[w]), np.flatnonzero(~side[w])
+            first, last = np.searchsorted(g[r], g[l], "left"), np.searchsorted(g[r], g[l], "right")
+            m = last - first
+            a = np.repeat(place[w[l]], m)
+            b = place[w[r[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]]]
+            overlap += np.bincount(a * len(two) + b, minlength=len(overlap))
+        c = overlap.reshape(len(one), len(two))
+        hit = (5 * c >= 4 * (n[one][:, None] + n[two][None] - c)) & (c > 0) & (root[one][:, None] != root[two][None])
+        a, b = np.nonzero(hit)
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        for x, y in zip(one[a].tolist(), two[b].tolist(), strict=True):
+            seen.setdefault((min(root[x], root[y]), max(root[x], root[y])), (node[x], node[y]))
+        return pa.table([pa.array([x for x, _ in seen.values()], pa.int64()), pa.array([y for _, y in seen.values()], pa.int64())], names=["a", "b"])
+
+    links = stage(both.groupBy("cluster", "k", "t", "i", "j").applyInArrow(multiply, "a long, b long"), "jaccard-links")
+    discard(sets)
+    sweep(docs.sparkSession)
+    return links
 
 
 def with_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
