@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into word n-grams. Their occurrences are counted over the whole corpus, and every item keeps those
-that aren't common in the language as seeds (judged within the item, so one that has leaked everywhere keeps them too).
-Seeds join passages to items: a text in which an item's seeds hit, once for a seed that few texts hold and twice on
-neighbouring diagonals for others, is aligned with the item over a window about the hits. Local alignment over words
-(match 2, mismatch and gap -1) finds verbatim, edited and partly copied passages; its score is divided by that of the
-whole item.
+Test items are cut into word n-grams, and every n-gram of an item is a seed, however many texts hold it: what a text's
+match is worth doesn't depend on how often the passage or its parts have been copied. A text in which a seed hits is
+aligned with the item over a window about the hits, unless the window holds too few of the item's words for any
+alignment to count (``possible``, an upper bound, so it loses nothing; it takes the place of dropping common n-grams).
+Local alignment over words (match 2, mismatch and gap -1) finds verbatim, edited and partly copied passages; its score is
+divided by that of the whole item.
 
 The items are a stated query set: they go to the executors in blocks of at most ``BLOCK_WORDS`` words, and each block
-meets all rows. Documents are never shuffled or paired with each other; what the corpus gives back is counts of seeds
-and the matches.
+meets all rows in one pass. Documents are never shuffled or paired with each other; what the corpus gives back is the
+matches.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ from parchmint.llm._arrow import PUNCT, Words, batches, ngrams, small_batches, s
 
 SEED_WORDS = 3
 BLOCK_WORDS = 200_000
-#: A seed is rare, and one hit enough, when at most this share of the documents holds it; others must hit twice, and are no
-#: seeds at all when they are so many times as frequent as the item's median n-gram.
-RARE, COMMON = 1 / 1000, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the item's full score, and least matching words' worth (an item of fewer words: all of them).
 LEAST, LEAST_WORDS = 0.4, 8
@@ -81,47 +78,16 @@ def _hits(keys: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(some, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def occurrences(docs: DataFrame, items: Items, text: str) -> tuple[np.ndarray, int]:
-    """(texts that hold each of ``items.gram``, number of texts), over all rows."""
-    keys = np.unique(items.gram)
-    small_batches(docs.sparkSession)
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(keys), np.int64), 0
-        for batch in it:
-            rows += batch.num_rows
-            for _, _, raw, off in batches(batch, text):
-                w = words(raw, off, PUNCT)
-                gram, at = ngrams(w, SEED_WORDS)
-                i, k = _hits(keys, gram)
-                once = np.unique(w.doc[at[i]] * len(keys) + k) if len(i) else np.zeros(0, np.int64)
-                total += np.bincount(once % max(len(keys), 1), minlength=len(keys))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*k, -1], pa.int32()), pa.array([*total[k], rows], pa.int64())], ["gram", "n"])
-
-    found = docs.select(text).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    gram, n = found["gram"].to_numpy(), found["n"].to_numpy()
-    out = np.zeros(len(keys), np.int64)
-    out[gram[gram >= 0]] = n[gram >= 0]
-    return out[np.searchsorted(keys, items.gram)], int(n[gram < 0].sum())
-
-
-def seeds(items: Items, held: np.ndarray, rows: int) -> tuple[Items, np.ndarray]:
-    """(items with the n-grams that may be seeds, whether one hit of a seed is enough).
-
-    Left out is what is common in the language: n-grams in more than ``RARE`` of the rows that are also ``COMMON`` times
-    as frequent as the item's median n-gram. A leak raises all n-grams of an item alike and so costs none.
-    """
-    order = np.lexsort((held, items.gram_item))
-    first = np.searchsorted(items.gram_item[order], np.arange(len(items.ids)))
-    size = np.bincount(items.gram_item, minlength=len(items.ids))
-    median = np.zeros(len(items.ids))
-    some = size > 0
-    median[some] = held[order][(first + size // 2)[some]]
-    few = max(50, RARE * rows)
-    keep = np.flatnonzero(held <= np.maximum(few, COMMON * median[items.gram_item]))
-    out = Items(items.ids, items.hash, items.first, items.gram[keep], items.gram_item[keep], items.gram_at[keep])
-    return out, held[keep] <= few
+def possible(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether an alignment of ``item`` with each row of ``windows`` can count: the words that they share, repeats
+    included, bound the matches of any alignment from above."""
+    m = len(item)
+    own, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+    row, column = np.nonzero(own[at] == windows)
+    held = np.bincount(row * len(own) + at[row, column], minlength=len(windows) * len(own)).reshape(len(windows), len(own))
+    most = MATCH * np.minimum(held, times).sum(1)
+    return (most / (MATCH * m) >= LEAST) & (most >= MATCH * min(LEAST_WORDS, m))
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +122,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, best_first, best_last
 
 
-def find(w: Words, items: Items, rare: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+def find(w: Words, items: Items) -> list[tuple[int, int, float, int, int]]:
     """(document, item index, score, first and last word) of all contaminated documents of a slice; of several
     alignments of one item in one document, the best."""
     gram, at = ngrams(w, SEED_WORDS)
@@ -166,21 +132,18 @@ def find(w: Words, items: Items, rare: np.ndarray) -> list[tuple[int, int, float
     item, where = items.gram_item[k], at[i]
     doc, diagonal = w.doc[where], where - items.gram_at[k]
     order = np.lexsort((diagonal, item, doc))
-    item, doc, diagonal, ok = item[order], doc[order], diagonal[order], rare[k][order]
+    item, doc, diagonal = item[order], doc[order], diagonal[order]
     size = np.diff(items.first)
     pad = np.maximum(8, size // 3)
     # hits of one item in one document on neighbouring diagonals make one window
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(diagonal) > pad[item[1:]])
-    group = np.cumsum(new) - 1
-    count = np.bincount(group)
-    wanted = np.flatnonzero((count > 1) | (np.bincount(group, ok) > 0))
     first = np.flatnonzero(new)
     lowest, highest = diagonal[first], diagonal[np.append(first[1:], len(item)) - 1]
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     # windows of one item and width are aligned together
     jobs: dict[int, list[int]] = {}
-    for g in wanted.tolist():
+    for g in range(len(first)):
         jobs.setdefault(int(item[first[g]]), []).append(g)
     for k, groups in jobs.items():
         words_of = items.hash[items.first[k] : items.first[k + 1]]
@@ -199,7 +162,9 @@ def find(w: Words, items: Items, rare: np.ndarray) -> list[tuple[int, int, float
             end = np.array([b for _, _, b in some])[:, None]
             index = begin + column
             windows = np.where(index < end, w.hash[np.minimum(index, len(w.hash) - 1)], np.uint64(0))
-            value, lo, hi = align(words_of, windows)
+            able = np.flatnonzero(possible(words_of, windows))
+            some = [some[x] for x in able.tolist()]
+            value, lo, hi = align(words_of, windows[able])
             least = MATCH * min(LEAST_WORDS, m)
             for (d, a, _), v, x, y in zip(some, value.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 score = v / (MATCH * m)
@@ -218,14 +183,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text:
     is empty.
     """
     out = None
-    for block in blocks(benchmark):
-        items, rare = seeds(block, *occurrences(docs, block, text))
+    small_batches(docs.sparkSession)
+    for items in blocks(benchmark):
 
-        def run(it: Iterator[pa.RecordBatch], items: Items = items, rare: np.ndarray = rare) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 own = batch.column(0)
                 for i, _, raw, off in batches(batch, text):
-                    found = find(words(raw, off, PUNCT), items, rare)
+                    found = find(words(raw, off, PUNCT), items)
                     d, k, score, a, b = map(list, zip(*found, strict=True)) if found else ([], [], [], [], [])
                     yield pa.RecordBatch.from_arrays(
                         [own.take(pa.array([i + x for x in d], pa.int64())), pa.array(items.ids[k], pa.int64()), pa.array(score, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
@@ -239,14 +204,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows in which any item is found (see ``matches``); all columns, no shuffle."""
-    for block in blocks(benchmark):
-        items, rare = seeds(block, *occurrences(docs, block, text))
+    small_batches(docs.sparkSession)
+    for items in blocks(benchmark):
 
-        def run(it: Iterator[pa.RecordBatch], items: Items = items, rare: np.ndarray = rare) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, raw, off in batches(batch, text):
-                    clean[[i + x[0] for x in find(words(raw, off, PUNCT), items, rare)]] = False
+                    clean[[i + x[0] for x in find(words(raw, off, PUNCT), items)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

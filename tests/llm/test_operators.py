@@ -216,6 +216,33 @@ def test_leaks_are_found_and_clean_rows_stay(spark, docs):
     assert decontaminate.matches(hot, bench).count() == 50
 
 
+def test_many_copies_of_an_edited_leak_are_found(spark):
+    r = random.Random(4)
+    item = [f"{r.choice(WORDS)}{r.randrange(1000)}" for _ in range(37)]
+    edited = ["changed" if k % 6 == 3 else w for k, w in enumerate(item)]
+    # 2 of 3 words stay together only once: a single seed is left, and all copies share it
+    sparse = [w if k % 3 or k == 18 else f"other{k}" for k, w in enumerate(item)]
+    rows = [(k, f"n{k} " + " ".join(edited)) for k in range(300)] + [(k, f"n{k} " + " ".join(sparse)) for k in range(300, 600)] + [(k, f"own{k} " + " ".join(item[4:7]) + " and no more of it") for k in range(600, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {x.doc_id: x.score for x in decontaminate.matches(docs, bench).collect()}
+    want = {k: smith_waterman(item, t.split()) / (2 * len(item)) for k, t in rows}
+    assert {k: v for k, v in want.items() if v >= decontaminate.LEAST} == found and len(found) == 600
+    assert {x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()} == set(range(600, 900))
+
+
+def test_windows_left_out_hold_no_match():
+    r = np.random.default_rng(6)
+    left = 0
+    for _ in range(300):
+        a, b = r.integers(1, 40, r.integers(3, 30)), r.integers(1, 40, r.integers(3, 60))
+        if not decontaminate.possible(a.astype(np.uint64), b.astype(np.uint64)[None])[0]:
+            left += 1
+            v = smith_waterman(a.tolist(), b.tolist())
+            assert v / (2 * len(a)) < decontaminate.LEAST or v < 2 * min(decontaminate.LEAST_WORDS, len(a))
+    assert left > 50
+
+
 # --- language model ------------------------------------------------------------------------------------------------
 
 
