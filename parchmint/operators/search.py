@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,28 +114,92 @@ def token_set_ratio(a: str, b: str) -> float:
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     if both and (not left or not right):
         return 1.0
-    one, two = (both + " " + left).strip(), (both + " " + right).strip()
-    return max(_indel(one, two), *((_indel(both, one), _indel(both, two)) if both else (0.0, 0.0)))
-
+    # what both begin with is part of a longest common subsequence, and the common words alone are all of their own
+    head = len(both) + 1 if both else 0
+    la, lb = head + len(left), head + len(right)
+    return max((2 * head + _indel(left, right) * (len(left) + len(right))) / (la + lb), *((2 * len(both) / (len(both) + n) for n in (la, lb)) if both else (0.0, 0.0)))
+
+
+def _word_sets(texts: Iterable[str | None]) -> list[str]:
+    """Each text's distinct words, sorted: all that its token-set ratio depends on."""
+    return [" ".join(sorted(set((t or "").split()))) for t in texts]
+
+
+def _bags(sets: Sequence[str], classes: int = 32, pair: bool = False) -> np.ndarray:
+    """Counts of characters, or of neighbouring two, in classes; classes of several characters only loosen the bound."""
+    points = np.frombuffer("".join(sets).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    if pair:
+        points, row = (points[:-1] * 31 + points[1:])[same := row[:-1] == row[1:]], row[:-1][same]
+    return np.bincount(row * classes + points % classes, minlength=classes * len(sets)).reshape(len(sets), classes).astype(np.int32)
+
+
+def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of all pairs of word sets with a token-set ratio of ``least`` and more. Scored are only pairs for which
+    one of the three ratios can reach it: by the length of the common words, and by the characters in common, which
+    bound a common subsequence from above. Its runs are parted by characters outside of it, so L of la and lb characters
+    also keep 3 L - la - lb - 1 neighbouring two (less two, as words are in another order here)."""
+    place = {w: k for k, w in enumerate(sorted({w for x in b for w in x.split()}))}
+    if not place:
+        return
+    length = np.array([len(w) + 1 for w in place], np.float32)
+    has = np.zeros((len(b), len(place)), np.float32)
+    for j, x in enumerate(b):
+        has[j, [place[w] for w in x.split()]] = 1
+    size_b, bag_b, two_b = np.array([len(x) for x in b]), _bags(b), _bags(b, 512, True)
+    for low in range(0, len(a), 1024):
+        part = a[low : low + 1024]
+        own = np.zeros((len(part), len(place)), np.float32)
+        for i, x in enumerate(part):
+            k = [place[w] for w in x.split() if w in place]
+            own[i, k] = length[k]
+        both = np.maximum(own @ has.T - 1, 0)
+        size_a, bag_a = np.array([len(x) for x in part])[:, None], _bags(part)
+        size = size_a + size_b
+        subset = 2 * both / np.maximum(both + np.minimum(size_a, size_b), 1) >= least - 1e-5
+        need = (least - 1e-5) * size / 2
+        i, j = np.nonzero(~subset & (np.minimum(size_a, size_b) >= need))
+        for c in range(0, 32, 8):  # fewer pairs are left after each step
+            rest = np.minimum(bag_a[i, c + 8 :].sum(1), bag_b[j, c + 8 :].sum(1))
+            ok = np.minimum(bag_a[i, : c + 8], bag_b[j, : c + 8]).sum(1) + rest >= need[i, j]
+            i, j = i[ok], j[ok]
+        two_a = _bags(part, 512, True)
+        near = np.zeros(subset.shape, bool)
+        for k in range(0, len(i), 8192):
+            x, y = i[k : k + 8192], j[k : k + 8192]
+            ok = np.minimum(two_a[x], two_b[y]).sum(1) >= 3 * need[x, y] - size[x, y] - 3
+            near[x[ok], y[ok]] = True
+        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(subset | near)), strict=True):
+            ratio = round(token_set_ratio(part[i], b[j]), 6)
+            if ratio >= least:
+                yield low + i, j, ratio
+
+
+def fuzzy_titles(titles: DataFrame, key: str, title: str, least: float = 0.9, block: int = 1024) -> DataFrame:
+    """All pairs of titles with a token-set ratio of ``least`` and more: ``k, k2, ratio``. Distinct word sets are dealt to
+    blocks of about ``block``, every block meets every other, and ``similar`` leaves out what can't reach ``least``."""
+    kind = titles.schema[key].dataType.simpleString()
 
-def fuzzy_titles(titles: DataFrame, key: str, title: str, least: float = 0.9) -> DataFrame:
-    """Pairs of titles with a token-set ratio of ``least`` and more. Candidates share one of each title's three rarest
-    words; the score is computed on Arrow batches of candidates only."""
-    from pyspark.sql import Window
+    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"k": pdf["k"], "s": _word_sets(pdf["t"])})
 
-    t = titles.select(F.col(key).alias("k"), F.col(title).alias("t"))
-    w = t.select("k", F.explode(F.array_distinct(F.split(F.trim(F.lower("t")), r"\s+"))).alias("w")).where("w <> ''")
-    df = w.groupBy("w").count()
-    rare = w.join(df, "w").withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("count", "w"))).where("rn <= 3").select("k", "w")
-    pairs = rare.join(rare.withColumnRenamed("k", "k2"), "w").where("k < k2").select("k", "k2").distinct()
-    both = pairs.join(t, "k").join(t.select(F.col("k").alias("k2"), F.col("t").alias("t2")), "k2").select("k", "k2", "t", "t2")
+    own = titles.select(F.col(key).alias("k"), F.col(title).alias("t")).mapInPandas(sets, f"k {kind}, s string").where("k IS NOT NULL AND s <> ''")
+    distinct = own.select("s").distinct()
+    blocks = max(1, -(-distinct.count() // block))
+    packed = distinct.groupBy(F.pmod(F.xxhash64("s"), F.lit(blocks)).alias("b")).agg(F.sort_array(F.collect_list("s")).alias("x"))
+    met = packed.join(packed.select(F.col("b").alias("b2"), F.col("x").alias("y")), F.col("b") <= F.col("b2")).repartition(max(1, blocks), "b", "b2")
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf[["k", "k2"]].assign(ratio=[round(token_set_ratio(a, b), 6) for a, b in zip(pdf.t, pdf.t2, strict=True)])
-
-    kind = titles.schema[key].dataType.simpleString()
-    return both.mapInPandas(score, f"k {kind}, k2 {kind}, ratio double").where(F.col("ratio") >= least)
+            for b, b2, x, y in zip(pdf["b"], pdf["b2"], pdf["x"], pdf["y"], strict=True):
+                found = [(x[i], y[j], r) for i, j, r in similar(list(x), list(y), least) if b != b2 or i <= j]
+                yield pd.DataFrame(found, columns=["s", "s2", "ratio"])
+
+    near = met.mapInPandas(score, "s string, s2 string, ratio double")
+    other = own.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
+    pairs = near.join(own, "s").join(other, "s2").where((F.col("s") != F.col("s2")) & (F.col("k") != F.col("k2")) | (F.col("k") < F.col("k2")))
+    return pairs.select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"), "ratio")
 
 
 def pack_chunks(sentences: list[str], size: int = 500, overlap: int = 100) -> list[str]:

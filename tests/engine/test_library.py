@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,29 @@ def test_chunk_stream_is_idempotent(spark, tmp_path):
 def test_call_counts(spark):
     df = spark.createDataFrame([("a", "ok", "2024-01-01 10:05:00"), ("a", "error", "2024-01-01 10:50:00"), ("b", "ok", "2024-01-01 11:00:00")], "tool string, status string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.tool, r.calls, r.errors) for r in ingest.call_counts(df).collect()) == [("a", 2, 1), ("b", 1, 0)]
+
+
+def near_title(r, t):
+    """A title with typos, words left out or added, or all of it in another order."""
+    w = t.split()
+    for _ in range(r.randrange(3)):
+        w[r.randrange(len(w))] += r.choice(["s", "x", ""])
+    if r.random() < 0.4:
+        w = w[: r.randrange(1, len(w) + 1)]
+    if r.random() < 0.4:
+        w += r.sample(["rare", "odd", "unique", "seldom", "lone"], 3)
+    return " ".join(r.sample(w, len(w)))
+
+
+def test_fuzzy_titles_against_brute_force(spark):
+    r = random.Random(7)
+    base = [" ".join(r.choice("graph river stone light paper glass wind salt iron moss".split()) for _ in range(r.randrange(1, 7))) for _ in range(25)]
+    titles = base + [near_title(r, t) for t in base for _ in range(3)] + ["", None, "graph", "graph zeta eta theta iota", "Graph", "graph"]
+    titles += ["internationalisation considerations", "internationalisatiom considerationz"]  # near, and no word in common
+    rows = list(enumerate(titles))
+    want = {(i, j): x for i, a in rows for j, b in rows if i < j and a and b and (x := round(search.token_set_ratio(a, b), 6)) >= 0.9}
+    df = spark.createDataFrame(rows, "k long, t string")
+    assert len(want) > 100 and want[len(titles) - 2, len(titles) - 1] < 1
+    for block in (1000, 10):
+        got = search.fuzzy_titles(df, "k", "t", 0.9, block).collect()
+        assert {(x.k, x.k2): x.ratio for x in got} == want and len(got) == len(want)
