@@ -202,6 +202,37 @@ def fuzzy_titles(titles: DataFrame, key: str, title: str, least: float = 0.9, bl
     return pairs.select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"), "ratio")
 
 
+def score_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, row_id: str, text: str, least: float, block: int = 512) -> DataFrame:
+    """``quote_id, row_id, ratio``: the best token-set ratio of each whole quote among all sentences of each document, where
+    it reaches ``least``. Quotes are a stated query set and go to the executors in blocks; each block meets all rows."""
+    sentences = documents.select(row_id, F.explode(tx.sentences(F.col(text))).alias("s"))
+    types = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((quotes, quote_id), (documents, row_id))]
+    out, held = None, []
+
+    def add(held: list) -> DataFrame:
+        keys, sets = [r[0] for r in held], _word_sets(r[1] for r in held)
+
+        def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                best: dict[tuple, float] = {}
+                rows = pdf[row_id].tolist()
+                for i, j, ratio in similar(_word_sets(pdf["s"]), sets, least):
+                    pair = keys[j], rows[i]
+                    best[pair] = max(best.get(pair, 0.0), ratio)
+                yield pd.DataFrame([(*k, v) for k, v in best.items()], columns=[quote_id, row_id, "ratio"])
+
+        part = sentences.mapInPandas(score, ", ".join([*types, "ratio double"]))
+        return part if out is None else out.unionAll(part)
+
+    for r in quotes.where(F.col(quote).isNotNull()).select(quote_id, quote).toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = add(held), []
+    if held or out is None:
+        out = add(held)
+    return out.groupBy(quote_id, row_id).agg(F.max("ratio").alias("ratio"))
+
+
 def pack_chunks(sentences: list[str], size: int = 500, overlap: int = 100) -> list[str]:
     """Greedy packing of sentences into chunks of at most ``size`` characters; a chunk begins with the last sentences of
     the one before that fit in ``overlap``."""

@@ -838,7 +838,7 @@ def chunk_markers(spark, sf):
 
 @query()
 def quote_score(spark, sf):
-    """Best token-set ratio of each benchmark item's beginning among the sentences of documents that share a rare word."""
-    quotes = _read(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id")).alias("k"), F.left("text", F.lit(120)).alias("t"))
-    heads = _read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("k"), F.left("text", F.lit(120)).alias("t"))
-    return search.fuzzy_titles(quotes.unionAll(heads), "k", "t", 0.8)
+    """Best token-set ratio of each whole benchmark item among all sentences of each document, from 0.8."""
+    quotes = _read(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id")).alias("k"), F.col("text").alias("t"))
+    texts = _read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("k2"), "text")
+    return search.score_quotes(quotes, texts, "k", "t", "k2", "text", 0.8)

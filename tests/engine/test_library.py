@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from parchmint.functions import ids
 from parchmint.functions import text as tx
 from parchmint.operators import catalog, graph, ordered, search, structure
+from parchmint.plans import catalogue
 from parchmint.sources import readers, sinks
 from parchmint.streaming import ingest
 
@@ -168,3 +170,30 @@ def test_fuzzy_titles_against_brute_force(spark):
     for block in (1000, 10):
         got = search.fuzzy_titles(df, "k", "t", 0.9, block).collect()
         assert {(x.k, x.k2): x.ratio for x in got} == want and len(got) == len(want)
+
+
+def test_quotes_against_brute_force(spark):
+    r = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in ("gra", "riv", "sto", "lig", "pap") for b in ("ph", "er", "ne", "ht", "ss")]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    quotes = [(k, say(30)) for k in range(6)] + [(6, None)]
+    docs = [(k, ". ".join(say(r.randrange(1, 30)) for _ in range(12)) + (f". {near_title(r, quotes[k % 6][1])}. The end." if k % 2 else "")) for k in range(30)] + [(30, None), (31, "")]
+    want = {}
+    for i, q in quotes:
+        for d, t in docs:
+            best = max((round(search.token_set_ratio(s.strip(), q or ""), 6) for s in re.split(r"(?<=[.!?])\s+", t or "")), default=0)
+            if best >= 0.8:
+                want[i, d] = best
+    df, own = spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(quotes, "q long, t string")
+    for block in (512, 4):
+        got = search.score_quotes(own, df, "q", "t", "d", "text", 0.8, block).collect()
+        assert {(x.q, x.d): x.ratio for x in got} == want and len(want) > 5 and len(got) == len(want)
+    assert search.score_quotes(own.limit(0), df, "q", "t", "d", "text", 0.8).count() == 0
+
+
+def test_quote_score_reads_beyond_the_beginning(spark, tmp_path):
+    item = "seven quiet herons walked along the frozen canal before dawn broke over distant mills"
+    late = "Nothing of note is said here at all. " * 20
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, late + item), (6, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(x) for x in catalogue.quote_score(spark, str(tmp_path)).collect()] == [("q1", "d5", 1.0)]
