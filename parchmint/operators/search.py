@@ -41,7 +41,7 @@ def merged(parts: Sequence[DataFrame], n: int, row_id: str) -> DataFrame:
 
 def grep(rows: DataFrame, needle: str, row_id: Sequence[str], text: str, around: int, limit: int | None = None) -> DataFrame:
     """All occurrences of a normalised needle in normalised text, overlapping ones too, with context from the text."""
-    low = rows.where(F.col(text).isNotNull()).withColumn("__norm", tx.normalize_ascii(F.col(text)))
+    low = rows.where(F.col(text).isNotNull()).withColumn("__norm", tx.normalize(F.col(text)))
     hit = low.where(F.col("__norm").contains(needle)).withColumn("at", F.explode(tx.occurrences(F.col("__norm"), needle)))
     # the place in the raw text is scaled by the ratio of lengths
     scaled = F.floor((F.col("at") - 1) * F.length(text) / F.length("__norm")).cast("int")

@@ -53,6 +53,13 @@ def shared_citers(spark, sf):
     return graph.shared_citers(edges.where("cited < 200"), _read(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("cited")), 2, 100)
 
 
+@query("""
+SELECT citing, count(*) AS shared FROM (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part))
+GROUP BY citing HAVING count(*) >= 2 ORDER BY shared DESC, citing LIMIT 100""")
+def shared_citers_all(spark, sf):
+    return graph.shared_citers(_edges(spark, sf), _read(spark, sf, "part").select(F.col("p_partkey").alias("cited")), 2, 100)
+
+
 @query("""
 WITH hit AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 10),
 new AS (SELECT * FROM hit WHERE citing NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')),
@@ -89,6 +96,23 @@ def references_with_metadata(spark, sf):
     return graph.neighbours(_edges(spark, sf), of, papers, "cited", 50).select("key", "other", "total", "info")
 
 
+_ALL_NEIGHBOURS = _NEIGHBOURS.replace(" WHERE {key} <= 100", "")
+
+
+@query(_ALL_NEIGHBOURS.format(key0="cited", other="citing", meta="o_orderstatus", table="orders", id="o_orderkey"))
+def citers_with_metadata_all(spark, sf):
+    papers = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("citing"), F.col("o_orderstatus").alias("info"))
+    of = _read(spark, sf, "part").select(F.col("p_partkey").alias("key"))
+    return graph.neighbours(_edges(spark, sf), of, papers, "citing", 50).select("key", "other", "total", "info")
+
+
+@query(_ALL_NEIGHBOURS.format(key0="citing", other="cited", meta="p_name", table="part", id="p_partkey"))
+def references_with_metadata_all(spark, sf):
+    papers = _read(spark, sf, "part").select(F.col("p_partkey").alias("cited"), F.col("p_name").alias("info"))
+    of = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
+    return graph.neighbours(_edges(spark, sf), of, papers, "cited", 50).select("key", "other", "total", "info")
+
+
 @query("SELECT (SELECT count(*) FROM part) AS papers, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS citations")
 def graph_stats(spark, sf):
     e = _edges(spark, sf).distinct().agg(F.count("*").alias("citations"))
@@ -232,6 +256,12 @@ def lookup_by_priority(spark, sf):
     return catalog.prefer([p.where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), p.where("p_partkey BETWEEN 40 AND 60").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))], ["id"])
 
 
+@query("SELECT coalesce(s_suppkey, p_partkey) AS id, CASE WHEN s_suppkey IS NULL THEN p_name ELSE s_name END AS name FROM supplier FULL JOIN part ON s_suppkey = p_partkey")
+def lookup_by_priority_all(spark, sf):
+    first = _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return catalog.prefer([first, _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))], ["id"])
+
+
 @query("SELECT count_if(p_name LIKE '% %')::BIGINT AS spaced, count_if(p_name LIKE '% - %')::BIGINT AS dashed, count_if(regexp_matches(p_name, '^[0-9]{2} '))::BIGINT AS numbered, count_if(p_brand IS NULL)::BIGINT AS no_brand FROM part")
 def bad_keys(spark, sf):
     n = F.col("p_name")
@@ -304,6 +334,11 @@ def grep_overlapping(spark, sf):
     return search.grep(rows, "th the", ["doc_id"], "text", 20)
 
 
+@query()
+def grep_overlapping_all(spark, sf):
+    return search.grep(_read(spark, sf, "documents"), "th the", ["doc_id"], "text", 20)
+
+
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_verification(spark, sf):
     quotes = _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
@@ -468,6 +503,11 @@ def normalize_text(spark, sf):
     return _read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", tx.normalize(F.col("text")).alias("norm"))
 
 
+@query()
+def normalize_text_all(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
+
+
 @query()
 def normalize_unicode(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", tx.clean_for_quote(F.col("text")).alias("quote"))
@@ -494,6 +534,15 @@ def inverted_index_reconstruct(spark, sf):
     return structure.rebuild_abstract(inverted, "doc_id")
 
 
+@query("""
+WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents)
+SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w""")
+def inverted_index_reconstruct_all(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word"))
+    inverted = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
+    return structure.rebuild_abstract(inverted, "doc_id")
+
+
 # --- ordered -------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ import gzip
 import json
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,27 @@ def test_quote_score_reads_beyond_the_beginning(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(5, late + item), (6, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(x) for x in catalogue.quote_score(spark, str(tmp_path)).collect()] == [("q1", "d5", 1.0)]
+
+
+def test_whole_table_queries_read_every_row(spark, tmp_path):
+    texts = {1: "Both the first. " * 200, 2: "Caf\u00e9 \ufb01th   the Sm\u00f6rg\u00e5s", 3: "\uff34\uff48\uff45 w\u00efth the th the", 4: "no hit", 5: None, 6: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "coalesce(length(text), 0) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = {k: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()) for k, t in texts.items()}
+    assert dict(map(tuple, catalogue.normalize_text_all(spark, str(tmp_path)).collect())) == norm
+    hits = sorted((r.doc_id, r.offset) for r in catalogue.grep_overlapping_all(spark, str(tmp_path)).collect())
+    assert hits == [(k, m.start()) for k, t in norm.items() for m in re.finditer("(?=th the)", t or "")] and {2, 3} <= {k for k, _ in hits}
+    whole = dict(map(tuple, catalogue.inverted_index_reconstruct_all(spark, str(tmp_path)).collect()))
+    assert whole == {k: " ".join(t.split()) for k, t in texts.items() if t is not None}
+
+
+def test_whole_table_queries_reach_high_keys(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("lineitem", [(7000, 500), (7000, 501), (7000, 501), (7001, 501)], "l_orderkey long, l_partkey long")
+    write("part", [(500, "a"), (501, "b")], "p_partkey long, p_name string")
+    write("orders", [(7000, "O"), (7001, "F")], "o_orderkey long, o_orderstatus string")
+    write("supplier", [(500, "first")], "s_suppkey long, s_name string")
+    run = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("shared_citers_all") == [(7000, 2)]
+    assert run("citers_with_metadata_all") == [(500, 7000, 1, "O"), (501, 7000, 2, "O"), (501, 7001, 2, "F")]
+    assert run("references_with_metadata_all") == [(7000, 500, 2, "a"), (7000, 501, 2, "b"), (7001, 501, 1, "b")]
+    assert run("lookup_by_priority_all") == [(500, "first"), (501, "b")]
