@@ -100,14 +100,11 @@ class Model:
             held, of = np.unique(context[first], return_inverse=True)
             total = np.stack([np.bincount(of, own[:, c], len(held)) for c in (0, 1)], 1)
             kinds = np.stack([np.bincount(of, own[:, c] > 0, len(held)) for c in (0, 1)], 1)
-            # n-grams of the long orders that occur once in all pass their whole count to the shorter ones: they aren't kept
-            kept = (own.sum(1) > 1) | (k <= 2)
-            lone = np.stack([np.bincount(of, (own[:, c] > 0) & ~kept, len(held)) for c in (0, 1)], 1)
-            left = np.where(total > 0, (_D * (kinds - lone) + lone) / np.maximum(total, 1), 1.0)
+            left = np.where(total > 0, _D * kinds / np.maximum(total, 1), 1.0)
             shorter = np.full((len(keys), 2), 1 / 256) if below is None else below[first]
-            prob = np.where(kept[:, None], np.maximum(own - _D, 0), 0) / np.maximum(total[of], 1) + left[of] * shorter
+            prob = np.maximum(own - _D, 0) / np.maximum(total[of], 1) + left[of] * shorter
             ratio, rest = np.log(prob[:, 0] / prob[:, 1]).astype(np.float32), np.log(left[:, 0] / left[:, 1]).astype(np.float32)
-            self.tables.append((keys[kept], ratio[kept], held[rest != 0], rest[rest != 0]))
+            self.tables.append((keys, ratio, held[rest != 0], rest[rest != 0]))
             below = prob[at].astype(np.float32)
             gram, context = following
         self.curve: np.ndarray | None = None

@@ -506,6 +506,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True)) is None
 
 
+def test_a_word_seen_once_is_evidence():
+    spelt = [b"stone", b"stones", b"glass", b"glow", b"river", b"zxqvkj"]
+    ends = np.cumsum([len(x) for x in spelt])
+    s = toxicity.Spelling(np.frombuffer(b"".join(spelt), np.uint8), ends - [len(x) for x in spelt], ends)
+    m = toxicity.Model(s, np.array([[2.0, 2.0]] * 5 + [[1.0, 0.0]]))
+    w = words(*strings(pa.array(["zxqvkj stone"])))
+    once, plain = m.spell(w.data, w.start, w.end)
+    assert once > 3 and abs(plain) < 1
+
+
 def test_spelling_model_is_a_distribution():
     """Over all next bytes the probabilities of a context sum to one in each class (ratios are of real likelihoods)."""
     spelt = [b"stone", b"stones", b"glass", b"glow"] * 3 + [b"stoned"]
