@@ -5,11 +5,10 @@ score, and single bytes where no piece fits. A log-space forward recursion sums
 adds one more edge that spans the word: the words' counts with absolute discounting, whose discounted mass weighs the
 subword paths. A text's score is the marginal probability over all paths of all its words and of its end.
 
-The pieces' probabilities start from the vocabulary's scores, which count as prior observations, and are re-estimated by
-expectation maximisation on a bounded sample of distinct training words (``ADAPT``, those with the smallest hashes).
+The pieces' probabilities are the vocabulary's own; what is learnt from the corpus is the words' counts, over all training
+rows. ``score`` can re-estimate the pieces on a sample of words (``adapt``), which no registered query does.
 
-``lattice_score`` has neither: subword paths only, by the vocabulary's own scores. ``base_score`` is the add-one unigram
-model of the words.
+``lattice_score`` has no counts: subword paths only. ``base_score`` is the add-one unigram model of the words.
 
 Vocabularies are existing files and never trained. A unigram model's scores are log probabilities and are used as they
 are. A BPE model's scores are merge ranks; they become log probabilities by Zipf's law, ``1 / (rank + 2.7)`` normalised.
@@ -42,8 +41,6 @@ RANGE_BYTES, CHUNK_SLICES = 4 << 20, 16
 _MARK = 1  # the byte that stands for a word's beginning
 _CACHE = 1 << 18
 _LOG10 = np.log(10.0)
-#: Distinct training words on which the pieces' probabilities are re-estimated; 0 keeps the vocabulary's own.
-ADAPT = 20_000
 
 
 def _spans(total: np.ndarray, ip: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -270,7 +267,7 @@ class Corpus:
         return base, model
 
 
-def score(docs: DataFrame, held_out, lattice: Lattice, row_id: str = "doc_id", text: str = "text", adapt: int = ADAPT) -> DataFrame:
+def score(docs: DataFrame, held_out, lattice: Lattice, row_id: str = "doc_id", text: str = "text", adapt: int = 0) -> DataFrame:
     """One row for each of ``docs``: ``row_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     lattice_score``; scores are log10 probabilities. Rows where ``held_out`` (a condition; null is false) holds are
     scored and not learnt from.

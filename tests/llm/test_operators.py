@@ -275,6 +275,12 @@ def test_adapted_pieces():
         was = now
 
 
+def test_scores_as_registered_use_no_sample(docs):
+    held, lattice = F.col("doc_id") % 7 == 2, lmscore.vocabulary()
+    plain = lambda df: sorted(((r.doc_id, round(r.score, 9), round(r.lattice_score, 9)) for r in df.collect()), key=str)
+    assert plain(lmscore.score(docs, held, lattice)) == plain(lmscore.score(docs, held, lattice, adapt=0))
+
+
 @pytest.mark.parametrize("frequent", [0, 8, 1 << 19])
 def test_scores_against_brute_force(docs, monkeypatch, frequent):
     monkeypatch.setattr(lmscore, "FREQUENT", frequent)
