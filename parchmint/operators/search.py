@@ -44,25 +44,50 @@ def grep(rows: DataFrame, needle: str, row_id: Sequence[str], text: str, around:
     low = rows.where(F.col(text).isNotNull()).withColumn("__norm", tx.normalize(F.col(text)))
     hit = low.where(F.col("__norm").contains(needle)).withColumn("at", F.explode(tx.occurrences(F.col("__norm"), needle)))
     # the place in the raw text is scaled by the ratio of lengths
-    scaled = F.floor((F.col("at") - 1) * F.length(text) / F.length("__norm")).cast("int")
+    scaled = F.floor((F.col("at") - 1).cast("long") * F.length(text) / F.length("__norm")).cast("int")
     begin = F.greatest(F.lit(0), scaled - around)
     out = hit.withColumn("context", F.substring(F.col(text), begin + 1, F.lit(2 * around + len(needle)))).select(*row_id, (F.col("at") - 1).alias("offset"), "context").orderBy(*row_id, "offset")
     return out.limit(limit) if limit else out
 
 
-def verify_quotes(quotes: DataFrame, documents: DataFrame, quote: str, text: str, words: int = 8) -> DataFrame:
-    """Pairs of quote and document that holds it verbatim. Instead of comparing all pairs, both sides meet on the hash of
-    the quote's first ``words`` words; quotes that are shorter meet on all of theirs (by word count)."""
-    first = lambda c, n: F.array_join(F.slice(F.split(F.trim(c), r"\s+"), 1, n), " ")
-    q = quotes.withColumn("__n", F.least(F.lit(words), F.size(F.split(F.trim(quote), r"\s+")))).withColumn("__k", F.xxhash64(first(F.col(quote), F.col("__n"))))
-    sizes = [r[0] for r in q.select("__n").distinct().collect()]  # ``words`` values at most
-    d = documents.withColumn("__w", F.split(F.trim(text), r"\s+"))
-    grams = None
+def verify_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, row_id: str, text: str, words: int = 8) -> DataFrame:
+    """``quote_id, row_id`` of all pairs of a quote and a document that holds it verbatim, also from within a word on.
+
+    A quote's first and last word may be parts of longer ones in the document; what stands between them are whole words.
+    Both sides meet on the hash of the first ``words`` of these (ids and hashes only, the texts are joined back to the
+    pairs that meet). Quotes without a whole word inside are looked for in every document; they are a bounded literal list
+    only in so far as the quotes are, so they go through one filter for each block of them."""
+    split = lambda c: F.split(c, r"\s+")
+    own = quotes.where(F.col(quote).isNotNull()).select(F.col(quote_id).alias("__q"), F.col(quote).alias("__t"))
+    own = own.withColumn("__inner", F.slice(split(F.col("__t")), 2, F.greatest(F.lit(0), F.size(split(F.col("__t"))) - 2)))
+    own = own.withColumn("__n", F.least(F.lit(words), F.size("__inner")))
+    key = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    keyed = own.where("__n > 0").withColumn("__k", key("__inner", 1, F.col("__n")))
+    sizes = [r[0] for r in keyed.select("__n").distinct().collect()]  # ``words`` values at most
+    d = documents.select(F.col(row_id).alias("__d"), split(F.col(text)).alias("__w"))
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - n + 1))
+    met = None
     for n in sizes:
-        # n - 1 words of a quote's beginning are whole words of the document; the first may begin within a longer one
-        g = d.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, n), " "))))).alias("__k")).withColumn("__n", F.lit(n))
-        grams = g if grams is None else grams.unionAll(g)
-    return grams.join(q, ["__k", "__n"]).where(F.contains(F.col(text), F.col(quote))).drop("__k", "__n", "__w")
+        grams = d.select("__d", F.explode(F.array_distinct(F.transform(starts(n), lambda i: key("__w", i, n)))).alias("__k"))
+        part = grams.join(keyed.where(F.col("__n") == n).select("__q", "__k"), "__k").select("__q", "__d")
+        met = part if met is None else met.unionAll(part)
+    out = own.select(F.col("__q").alias(quote_id), F.lit(None).cast(documents.schema[row_id].dataType).alias(row_id)).where("false")
+    if met is not None:
+        texts = documents.select(F.col(row_id).alias("__d"), F.col(text).alias("__x"))
+        both = met.distinct().join(own.select("__q", "__t"), "__q").join(texts, "__d").where(F.contains("__x", F.col("__t")))
+        out = out.unionAll(both.select("__q", "__d"))
+    short = own.where("__n = 0").select("__q", "__t")
+    held: list = []
+
+    def add(out: DataFrame, held: list) -> DataFrame:
+        found = F.filter(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(t).alias("t")) for q, t in held)), lambda x: F.contains(F.col(text), x["t"]))
+        return out.unionAll(documents.select(F.explode(found).alias("x"), F.col(row_id).alias("__d")).select("x.q", "__d"))
+
+    for r in short.toLocalIterator():
+        held.append(r)
+        if len(held) == 256:
+            out, held = add(out, held), []
+    return add(out, held) if held else out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -234,26 +259,23 @@ def score_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote:
 
 
 def pack_chunks(sentences: list[str], size: int = 500, overlap: int = 100) -> list[str]:
-    """Greedy packing of sentences into chunks of at most ``size`` characters; a chunk begins with the last sentences of
-    the one before that fit in ``overlap``."""
+    """Greedy packing of sentences into chunks: a sentence is added while the chunk and it, the space between them not
+    counted, have at most ``size`` characters; a longer one that begins a chunk is one by itself. A chunk begins with the
+    last sentences of the one before that fit in ``overlap``, spaces counted; a last chunk that repeats the one before it
+    is left out."""
     out: list[str] = []
     held: list[str] = []
-    length = 0
     for s in sentences:
-        extra = len(s) + (1 if held else 0)
-        if held and length + extra > size:
+        if held and len(" ".join(held)) + len(s) > size:
             out.append(" ".join(held))
-            back: list[str] = []
-            room = overlap
-            for t in reversed(held):
-                if len(t) + (1 if back else 0) > room:
-                    break
-                room -= len(t) + (1 if back else 0)
-                back.insert(0, t)
-            held, length = back, len(" ".join(back))
-            extra = len(s) + (1 if held else 0)
+            keep = 0
+            while keep < len(held) and len(" ".join(held[len(held) - keep - 1 :])) <= overlap:
+                keep += 1
+            held = held[len(held) - keep :]
+        elif not held and len(s) > size:
+            out.append(s)
+            continue
         held.append(s)
-        length += extra
     last = " ".join(held)
     if last and (not out or out[-1] != last):
         out.append(last)

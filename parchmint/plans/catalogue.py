@@ -341,8 +341,7 @@ def grep_overlapping_all(spark, sf):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_verification(spark, sf):
-    quotes = _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return search.verify_quotes(quotes, _read(spark, sf, "documents").select("doc_id", "text"), "quote", "text").select("item_id", "doc_id")
+    return search.verify_quotes(_read(spark, sf, "benchmark"), _read(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
 
 
 _PAGED = "(SELECT conv_id AS key, (turn + 1)::BIGINT AS page, text FROM conversations)"

@@ -7,27 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parchmint.operators import search
-from parchmint.sources import sinks
 
 
 def chunk_stream(spark: SparkSession, pages: str, chunks: str, checkpoint: str, schema: str = "key string, page int, text string") -> StreamingQuery:
-    """Chunks of arriving page files, upserted by (key, page, chunk_index); a batch that runs again changes nothing."""
+    """Chunks of arriving page files. A micro-batch writes its own chunks only, into the folder ``batch=<id>``: what it
+    costs depends on what arrived and not on the table, and a batch that runs again writes the same folder again. A page
+    that arrives once more is replaced as a whole: ``read_chunks`` takes each page from the last batch that has it."""
     stream = spark.readStream.schema(schema).parquet(pages)
 
-    def batch(df: DataFrame, _: int) -> None:
-        rows = df.dropDuplicates(["key", "page"]).withColumn("id", F.concat_ws("::", "key", "page"))
+    def batch(df: DataFrame, number: int) -> None:
+        rows = df.dropDuplicates(["key", "page"]).withColumn("id", F.struct("key", "page"))
         own = search.chunks(rows, "id", "text")
-        out = own.select(F.split("id", "::")[0].alias("key"), F.split("id", "::")[1].cast("int").alias("page"), "chunk_index", "text")
-        fs, target = sinks._fs(df.sparkSession, chunks)
-        if fs.exists(target):
-            # a page's chunks are replaced as a whole
-            old = df.sparkSession.read.parquet(chunks).join(rows.select("key", "page"), ["key", "page"], "left_anti")
-            out = old.unionByName(out)
-        sinks.swap(out, chunks)
+        found = own.select("id.key", "id.page", "chunk_index", "text")
+        # a page without a sentence leaves a row without a chunk, so that what it had before goes
+        none = rows.select("key", "page").join(found.select("key", "page").distinct(), ["key", "page"], "left_anti")
+        found.unionByName(none, allowMissingColumns=True).write.mode("overwrite").parquet(f"{chunks}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_chunks(spark: SparkSession, chunks: str) -> DataFrame:
+    """``key, page, chunk_index, text``: every page's chunks of the last batch that held the page."""
+    rows = spark.read.parquet(chunks)
+    last = rows.groupBy("key", "page").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["key", "page", "batch"], "left_semi").where("chunk_index IS NOT NULL").drop("batch")
+
+
 def call_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Calls and errors by tool in tumbling windows of event time; rows later than ``late`` are dropped."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "tool")

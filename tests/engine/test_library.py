@@ -74,6 +74,31 @@ def test_scores(spark):
     assert search._indel("abc", "abd") == pytest.approx(4 / 6)
     out = search.pack_chunks(["x" * 60, "y" * 60, "z" * 60], 130, 70)
     assert out == ["x" * 60 + " " + "y" * 60, "y" * 60 + " " + "z" * 60]
+    assert search.pack_chunks(["a" * 250, "b" * 250], 500) == ["a" * 250 + " " + "b" * 250]  # the space isn't counted
+    assert search.pack_chunks(["a" * 600, "a" * 600], 500) == ["a" * 600, "a" * 600]
+
+
+def test_quotes_begin_and_end_within_words(spark):
+    docs = spark.createDataFrame([(1, "xxalpha beta gammazz and more"), (2, "alpha beta"), (3, "one,two  three"), (4, None)], "d long, t string")
+    quotes = spark.createDataFrame([(1, "alpha beta gamma"), (2, "pha"), (3, "pha be"), (4, "two  three"), (5, "no such words here"), (6, None), (7, "o")], "q long, t string")
+    got = sorted(tuple(r) for r in search.verify_quotes(quotes, docs, "q", "t", "d", "t").collect())
+    assert got == sorted((q.q, d.d) for q in quotes.collect() for d in docs.collect() if q.t and d.t and q.t in d.t)
+
+
+def test_grep_in_long_texts(spark):
+    text = "ab " * 60_000 + "needle" + " cd" * 60_000
+    df = spark.createDataFrame([(1, text)], "d long, t string")
+    rows = search.grep(df, "needle", ["d"], "t", 3).collect()
+    assert [(r.offset, r.context) for r in rows] == [(180_000, "ab needle cd")]
+
+
+def test_versions(spark, tmp_path):
+    p = str(tmp_path / "versions")
+    for k in range(3):
+        assert sinks.write_version(spark.range(k), p) == k + 1
+    assert sinks.read_version(spark, p).count() == 2 and sinks.read_version(spark, p, 2).count() == 1
+    sinks.drop_versions(spark, p)
+    assert [n for n, _ in sorted(sinks._versions(spark, p))] == [2, 3]
 
 
 def test_structure(spark):
@@ -139,7 +164,10 @@ def test_chunk_stream_is_idempotent(spark, tmp_path):
         ingest.chunk_stream(spark, pages, out, mark).awaitTermination()
     spark.createDataFrame([("k", 2, "Changed.")], "key string, page int, text string").write.mode("append").parquet(pages)
     ingest.chunk_stream(spark, pages, out, mark).awaitTermination()
-    assert sorted((r.page, r.text) for r in spark.read.parquet(out).collect()) == [(1, "One. Two."), (2, "Changed.")]
+    assert sorted((r.page, r.text) for r in ingest.read_chunks(spark, out).collect()) == [(1, "One. Two."), (2, "Changed.")]
+    spark.createDataFrame([("k", 1, "")], "key string, page int, text string").write.mode("append").parquet(pages)
+    ingest.chunk_stream(spark, pages, out, mark).awaitTermination()
+    assert [(r.page, r.text) for r in ingest.read_chunks(spark, out).collect()] == [(2, "Changed.")]
 
 
 def test_call_counts(spark):
