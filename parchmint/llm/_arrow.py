@@ -151,7 +151,8 @@ def batches(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int,
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let Arrow batches hold ``most`` bytes at most in this session, so that a worker's memory doesn't depend on how long
-    the texts are. A smaller limit that the session has stays."""
+    the texts are. A smaller limit that the session has stays. The plans that an operator returns run later and read the
+    limit then, so it can't be taken back here."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= most:
@@ -161,3 +162,8 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed long."""
     return h.view(np.int64)
+
+
+def ddl(df, column: str, name: str | None = None) -> str:
+    """``name type`` of a column, for the schema of a function on Arrow batches."""
+    return f"`{name or column}` {df.schema[column].dataType.simpleString()}"

@@ -12,10 +12,14 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where none is set (tests on one machine), a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is set, a folder of our own if the session runs in one process on
+    one machine (tests); anywhere else executors would write where nobody reads, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="parchmint-"))
     return _own[0]
@@ -33,13 +37,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files and "/parchmint/" in files[0]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles() if df is not None else []
+        if files and "/parchmint/" in files[0]:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sweep(spark: SparkSession) -> None:

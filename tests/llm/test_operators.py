@@ -192,9 +192,9 @@ def test_alignment_against_brute_force():
     r = np.random.default_rng(5)
     for _ in range(30):
         a, b = r.integers(1, 6, r.integers(1, 15)), r.integers(1, 6, r.integers(1, 25))
-        score, first, last = decontaminate.align(a.astype(np.uint64), b.astype(np.uint64)[None])
-        assert score[0] == smith_waterman(a.tolist(), b.tolist())
-        assert score[0] == 0 or smith_waterman(a.tolist(), b[first[0] : last[0] + 1].tolist()) == score[0]
+        score, first, last, top, end = (x[0] for x in decontaminate.align(a.astype(np.uint64), b.astype(np.uint64)[None]))
+        assert score == smith_waterman(a.tolist(), b.tolist())
+        assert score == 0 or smith_waterman(a[top : end + 1].tolist(), b[first : last + 1].tolist()) == score
 
 
 def test_leaks_are_found_and_clean_rows_stay(spark, docs):
@@ -231,6 +231,74 @@ def test_many_copies_of_an_edited_leak_are_found(spark):
     assert {x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()} == set(range(600, 900))
 
 
+def brute_matches(rows, items):
+    """Every item aligned with every whole text; short items by their words in a row. No seeds, no windows, no parts."""
+    plain = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for d, t in rows:
+        for i, x in items:
+            a, b = plain(x), plain(t)
+            if i is None or not a:
+                continue
+            if len(a) < decontaminate.SEED_WORDS:
+                if any(b[k : k + len(a)] == a for k in range(len(b))):
+                    out[d, i] = 1.0
+                continue
+            v = smith_waterman(a, b)
+            if v >= 2 * min(decontaminate.LEAST_WORDS, len(a)) and v >= decontaminate.LEAST * 2 * len(a):
+                out[d, i] = v / (2 * len(a))
+    return out
+
+
+def test_matches_against_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    say = lambda n: [r.choice(WORDS) + (str(r.randrange(9)) if r.random() < 0.6 else "") for _ in range(n)]
+    items = [(k, " ".join(say(n))) for k, n in enumerate([1, 2, 3, 5, 12, 25, 40, 40])] + [(20, "stone7 river"), (None, "of"), (21, "..")]
+    rows = []
+    for k in range(120):
+        t = say(r.randrange(0, 40))
+        if k % 3 == 0:
+            w = items[r.randrange(3, 8)][1].split()
+            w = [x if r.random() > 0.15 else r.choice(WORDS) for x in w]
+            t[len(t) // 2 : len(t) // 2] = w
+        rows.append((k, " ".join(t)))
+    rows += [(200, None), (201, ""), (202, "STONE7, River!"), (203, "word" * 5000), (3, rows[3][1])]
+    want = brute_matches(rows, items)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("own")).withColumn("item_id", F.lit(1)).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
+    for words_ in (1 << 19, 20):  # in one block and in several
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words_)
+        got = {(x.doc_id, x.item_id): x.score for x in decontaminate.matches(docs, bench).collect()}
+        assert {k: got.get(k) for k in want} == want and len(want) > 30
+        kept = {x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()}
+        assert kept == {d for d, _ in rows} - {d for d, _ in got}
+    assert len(set(got) - set(want)) <= 0.05 * len(want)  # parts of reordered passages only
+
+
+def test_recall_of_edited_and_reordered_items(spark):
+    """Shipped items with words replaced at random, and with their parts in another order, inside other text."""
+    r = random.Random(5)
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(x.item_id, x.text.split()) for x in bench.collect()]
+    clean = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").orderBy("doc_id").collect()]
+    rows, kind = [], {}
+    for share in (0.1, 0.2, 0.3):
+        for i, w in items:
+            kind[len(rows)] = (share, i)
+            rows.append((len(rows), "Before it. " + " ".join(x if r.random() >= share else f"other{r.randrange(10**6)}" for x in w) + " behind it"))
+    for i, w in items:
+        cut = sorted(r.sample(range(6, len(w) - 5), 2)) if len(w) > 24 else [len(w) // 2]
+        parts = [w[a:b] for a, b in zip([0, *cut], [*cut, len(w)])]
+        kind[len(rows)] = ("reordered", i)
+        rows.append((len(rows), "Before it. " + " ".join(x for p in reversed(parts) for x in p) + " behind it"))
+    n = len(rows)
+    rows += [(n + k, t) for k, t in enumerate(clean)]
+    found = {(x.doc_id, x.item_id) for x in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()}
+    for k in (0.1, 0.2, 0.3, "reordered"):
+        all_ = [(d, i) for d, (x, i) in kind.items() if x == k]
+        assert sum(x in found for x in all_) >= 0.9 * len(all_), k
+
+
 def test_windows_left_out_hold_no_match():
     r = np.random.default_rng(6)
     left = 0
