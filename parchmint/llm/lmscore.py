@@ -1,27 +1,31 @@
 """Language-model scores by subword lattice likelihood.
 
 A word's lattice has an edge for every vocabulary piece that spells part of it, weighted by the vocabulary's own unigram
-score, and single bytes where no piece fits. A log-space forward recursion sums all segmentations. The training corpus
-adds one more edge that spans the word: the words' counts with absolute discounting, whose discounted mass weighs the
-subword paths. A text's score is the marginal probability over all paths of all its words and of its end.
+score, and single bytes where no piece fits. A log-space forward recursion sums all segmentations (words of more than
+``RUN`` bytes are spelt in runs of as many, so that a text without a space costs no more than others).
 
-The pieces' probabilities are the vocabulary's own; what is learnt from the corpus is the words' counts, over all training
-rows. ``score`` can re-estimate the pieces on a sample of words (``adapt``), which no registered query does.
+The training corpus adds longer edges to the lattice. One spans a word: the words' counts with absolute discounting, whose
+discounted mass weighs the subword paths. One spans a segment, a run of about ``SEGMENT`` words that ends where the hash of
+two neighbouring words says so: the segments' counts in the same way, whose discounted mass weighs the paths by words. A
+segment's end depends on its own words only, so segments are a prefix code and the probabilities of all texts add up to
+one at most. A text's ``score`` is the marginal probability over all paths through all its segments and its end.
 
-``lattice_score`` has no counts: subword paths only. ``base_score`` is the add-one unigram model of the words.
+* ``others_score``: as ``score``, but a training row's own segments aren't counted for it: what the *other* rows say. It
+  sets texts that the corpus holds more than once apart from those that it holds once.
+* ``lattice_score`` has no counts: subword paths only. ``base_score`` is the add-one unigram model of the words.
 
+Pieces keep the vocabulary's probabilities; what is learnt are the words' and segments' counts, over all training rows.
 Vocabularies are existing files and never trained. A unigram model's scores are log probabilities and are used as they
 are. A BPE model's scores are merge ranks; they become log probabilities by Zipf's law, ``1 / (rank + 2.7)`` normalised.
 
-Scale: word counts are reduced in packed hash ranges (``2**bits`` of them, so that each holds a few MB whatever the
-corpus). Every text is scored against the most frequent words (at most ``FREQUENT``, broadcast) where it lies; what it
-has of other words travels, packed by hash range, to the counts and returns as sums by text. No table that grows
-with the corpus is broadcast or collected.
+Scale: counts are reduced in packed hash ranges (``2**bits`` of them, so that each holds a few MB whatever the corpus); a
+distinct training word is spelt once, where its counts are reduced. Every text is scored against the most frequent words
+(at most ``FREQUENT``, broadcast) where it lies; what it has of other words and of segments travels, packed by hash range,
+to the counts and returns as sums by segment. No table that grows with the corpus is broadcast or collected.
 """
 
 from __future__ import annotations
 
-import copy
 import secrets
 from collections.abc import Iterator, Sequence
 
@@ -31,16 +35,19 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm._arrow import _Q, Words, batches, mix, powers, small_batches, words
+from parchmint.llm._arrow import _Q, Words, batches, ddl, mix, powers, small_batches, words
 from parchmint.llm._scratch import stage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 1 << 19
 #: Text bytes for one hash range, and bytes of text whose rare words travel together.
 RANGE_BYTES, CHUNK_SLICES = 4 << 20, 16
+#: Bytes of a word that are spelt together, and words of a segment, on average.
+RUN, SEGMENT = 256, 16
 _MARK = 1  # the byte that stands for a word's beginning
 _CACHE = 1 << 18
 _LOG10 = np.log(10.0)
+_ONE = np.uint64(1)
 
 
 def _spans(total: np.ndarray, ip: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -69,44 +76,26 @@ class Lattice:
         self.seen[(self.key >> np.uint64(44)).astype(np.int64)] = True
 
     def score(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log probability of each word ``data[start:end]``, over all its segmentations."""
-        out = np.zeros(len(start))
-        order = np.argsort(start - end, kind="stable")  # longest first
+        """Log probability of each word ``data[start:end]``, over all its segmentations; words of more than ``RUN`` bytes
+        are runs of as many, of which the first has the mark."""
+        runs = np.maximum(1, -(-(end - start) // RUN))
+        word = np.repeat(np.arange(len(start)), runs)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(runs) - runs, runs)
+        a = start[word] + nth * RUN
+        z = np.minimum(a + RUN, end[word])
+        out = np.zeros(len(word))
+        order = np.argsort(a - z, kind="stable")  # longest first
         i = 0
         while i < len(order):
-            most = int(end[order[i]] - start[order[i]]) + 2
+            most = int(z[order[i]] - a[order[i]]) + 2
             j = min(len(order), i + max(1, (1 << 20) // most))
             some = order[i:j]
-            alpha, last = self._forward(data, start[some], end[some])
-            out[some] = alpha[last, np.arange(len(last))]
+            out[some] = self._forward(data, a[some], z[some], nth[some] == 0)
             i = j
-        return out
-
-    def adapted(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, rounds: int = 5, prior: float = 2000.0) -> Lattice:
-        """The same pieces with probabilities re-estimated on distinct words by expectation maximisation over all their
-        segmentations; the existing scores are worth ``prior`` observations."""
-        out = copy.copy(self)
-        order = np.argsort(start - end, kind="stable")
-        base = prior * np.exp(self.logp)
-        for _ in range(rounds):
-            count = base.copy()
-            for i in range(0, len(order), 8192):
-                some = order[i : i + 8192]
-                edges: list = []
-                alpha, size = out._forward(data, start[some], end[some], edges)
-                whole = alpha[size, np.arange(len(size))]
-                beta = np.full(alpha.shape, -np.inf)
-                beta[size, np.arange(len(size))] = 0
-                for at, n, row, k in reversed(edges):
-                    step = out.logp[k] + beta[at, row]
-                    count += np.bincount(k, np.exp(alpha[at - n, row] + step - whole[row]), len(count))
-                    beta[at - n, row] = np.logaddexp(beta[at - n, row], step)
-            out.logp = np.log(count / count.sum())
-        return out
-
-    def _forward(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, edges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of reaching each byte of each word, last byte of each); words come longest first. ``edges``
-        gets (byte, piece length, words, pieces) of all pieces that fit."""
+        return np.bincount(word, out, len(start))
+
+    def _forward(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """Log probability of reaching the last byte of each run; runs come longest first."""
         size = end - start + 1  # with the mark
         first = np.concatenate(([0], np.cumsum(size)))
         raw = np.empty(first[-1], np.uint8)
@@ -116,7 +105,8 @@ class Lattice:
         total, ip = _prefix(raw)
         first, longest = first[:-1], int(size[0])
         alpha = np.full((longest + 1, len(size)), -np.inf)
-        alpha[0] = 0
+        # a run without the mark begins behind it
+        alpha[0, marked], alpha[1, ~marked] = 0, 0
         live = len(size)
         for i in range(1, longest + 1):
             while size[live - 1] < i:
@@ -132,9 +122,7 @@ class Lattice:
                 good = self.key[k] == h[row]
                 row, k = row[good], k[good]
                 alpha[i, row] = np.logaddexp(alpha[i, row], alpha[i - n, row] + self.logp[k])
-                if edges is not None:
-                    edges.append((i, n, row, k))
-        return alpha, size
+        return alpha[size, np.arange(len(size))]
 
 
 def vocabulary(path: str = VOCABULARY) -> Lattice:
@@ -160,9 +148,13 @@ def vocabulary(path: str = VOCABULARY) -> Lattice:
     return Lattice(pieces + lone, logp - top - np.log(np.exp(logp - top).sum()))
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out, at = np.unique(keys, return_inverse=True)
-    return out, np.bincount(at, counts, len(out)).astype(np.int64)
+def _find(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Index of each sought key in sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(sought), -1)
+    k = np.searchsorted(keys, sought)
+    k[k == len(keys)] = 0
+    return np.where(keys[k] == sought, k, -1)
 
 
 def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,239 +163,329 @@ def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1], edge[1:]
 
 
-def sample_words(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends) of at most ``most`` distinct words: those with the smallest hashes, so every word is as likely
-    to be among them, whatever the corpus' size or order."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, bytes] = {}
-        bound = 1 << 64
-        for batch in it:
-            for _, _, raw, off in batches(batch, text):
-                w = words(raw, off)
-                key, first = np.unique(w.hash[w.hash < np.uint64(bound - 1)], return_index=True)
-                first = np.flatnonzero(w.hash < np.uint64(bound - 1))[first]
-                for h, k in list(zip(key.tolist(), first.tolist(), strict=True))[:most]:
-                    held[h] = w.data[w.start[k] : w.end[k]].tobytes()
-                if len(held) > most:
-                    held = {h: held[h] for h in sorted(held)[:most]}
-                    bound = max(held) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([h >> 1 for h in held], pa.int64()), pa.array(list(held.values()), pa.binary())], ["h", "word"])
-
-    found = docs.select(text).mapInArrow(run, "h long, word binary").groupBy("h", "word").count().orderBy("h", "word").limit(most).select("word").toArrow()
-    spelt = found["word"].to_pylist()
-    end = np.cumsum([len(x) for x in spelt], dtype=np.int64) if spelt else np.zeros(0, np.int64)
-    return np.frombuffer(b"".join(spelt), np.uint8), end - np.array([len(x) for x in spelt], np.int64), end
+def segments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each segment, its document, index of its first word). Segments follow each other; a document's last one
+    includes its end and may have no word. Keys of words are even, those of segments odd."""
+    n, first = len(w.hash), w.first
+    docs = len(first) - 1
+    follower = np.append(w.hash[1:], np.uint64(0)) if n else w.hash
+    cut = mix(w.hash * _Q + follower) % np.uint64(SEGMENT) == 0
+    last = first[1:][w.counts > 0] - 1
+    cut[last] = False  # a document's last word ends no segment: its end does
+    # a segment ends behind every cut, and at each document's end, which stands behind its last word
+    inner = np.flatnonzero(cut) + 1
+    stop = np.sort(np.concatenate([inner * 2, first[1:] * 2 + 1]), kind="stable") // 2
+    at_end = np.sort(np.concatenate([inner * 2, first[1:] * 2 + 1]), kind="stable") % 2 == 1
+    doc = np.concatenate(([0], np.cumsum(at_end)[:-1])) if len(stop) else np.zeros(0, np.int64)
+    begin = np.concatenate(([0], stop[:-1])) if docs else np.zeros(0, np.int64)
+    p, ip = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((w.hash + _ONE) * p[:n], out=total[1:])
+    size = (stop - begin).astype(np.uint64)
+    key = mix((total[stop] - total[begin]) * ip[begin] + size * _Q + at_end.astype(np.uint64) * np.uint64(0x51ED270B7F4A7C15))
+    return key | _ONE, doc, begin
+
+
+def _word_keys(w: Words) -> np.ndarray:
+    return w.hash & ~_ONE
 
 
 class Corpus:
-    """Word counts of the training rows, packed by hash range, and their totals."""
+    """Counts of the training rows' words and segments, packed by hash range, and their totals."""
 
-    def __init__(self, docs: DataFrame, train: str, text: str):
+    def __init__(self, docs: DataFrame, train: str, text: str, lattice: Lattice):
         small_batches(docs.sparkSession)
         size, self.ends = docs.agg(F.sum(F.octet_length(text)), F.count(F.when(F.col(train), 1))).first()
-        self.bits = bits = int(min(20, max(4, np.ceil(np.log2(max(size or 1, 1) / RANGE_BYTES + 1)))))
+        self.bits = bits = int(max(4, np.ceil(np.log2(max(size or 1, 1) / RANGE_BYTES + 1))))
 
         def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[tuple] = []  # keys, counts, lengths, log probabilities, spelling
 
-            def flush() -> pa.RecordBatch:
-                keys, n = _merge(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            def flush() -> Iterator[pa.RecordBatch]:
+                keys, n, length, lat, spelt = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                low, high = _ranges(keys, bits)
-                some = np.flatnonzero(high > low)
-                return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[low[k] : high[k]].tobytes() for k in some], pa.binary()), pa.array([n[low[k] : high[k]].tobytes() for k in some], pa.binary())], ["part", "keys", "counts"])
+                begin = np.cumsum(length) - length
+                keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+                n = np.bincount(at, n, len(keys)).astype(np.int64)
+                length, lat, begin = length[first], lat[first], begin[first]
+                for k, (lo, hi) in enumerate(zip(*(x.tolist() for x in _ranges(keys, bits)), strict=True)):
+                    if lo < hi:
+                        own = length[lo:hi]
+                        at = np.arange(own.sum()) + np.repeat(begin[lo:hi] - np.cumsum(own) + own, own)
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[lo:hi], n[lo:hi], own.astype(np.uint16), lat[lo:hi], spelt[at]))], ["part", "keys", "counts", "length", "lattice", "spelt"])
 
             for batch in it:
                 for _, _, raw, off in batches(batch, text):
-                    keys, n = np.unique(words(raw, off).hash, return_counts=True)
-                    held.append((keys, n))
-                    if sum(len(k) for k, _ in held) > 1 << 20:
-                        yield flush()
+                    w = words(raw, off)
+                    keys, first, n = np.unique(_word_keys(w), return_index=True, return_counts=True)
+                    a, z = w.start[first], w.end[first]
+                    length = z - a
+                    # a very long word is spelt here and doesn't travel
+                    long, lat = np.flatnonzero(length > RUN), np.full(len(keys), np.nan)
+                    lat[long] = lattice.score(w.data, a[long], z[long])
+                    length[long] = 0
+                    at = np.arange(length.sum()) + np.repeat(a - np.cumsum(length) + length, length)
+                    held.append((keys, n, length, lat, w.data[at]))
+                    keys, n = np.unique(segments(w)[0], return_counts=True)
+                    held.append((keys, n, np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(0, np.uint8)))
+                    if sum(len(x[0]) for x in held) > 1 << 20:
+                        yield from flush()
             if held:
-                yield flush()
+                yield from flush()
 
         def total(table: pa.Table) -> pa.Table:
-            keys, n = _merge(*(np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64))))
+            columns = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64), ("length", np.uint16), ("lattice", np.float64), ("spelt", np.uint8))]
+            keys, n, length, lat, data = columns
+            length = length.astype(np.int64)
+            begin = np.cumsum(length) - length
+            keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            n = np.bincount(at, n, len(keys)).astype(np.int64)
+            lat = lat[first].copy()
+            new = np.flatnonzero(np.isnan(lat))
+            lat[new] = lattice.score(data, begin[first[new]], begin[first[new]] + length[first[new]])
+            word = (keys & _ONE) == 0
+            sums: list = []
+            for own in (n[word], n[~word]):
+                sums += [pa.array([len(own)]), pa.array([int(own.sum())]), pa.array([int((own == 1).sum())]), pa.array([int((own == 2).sum())])]
             # how many words occur at least 2**k times
-            often = np.searchsorted(np.sort(n), 1 << np.arange(48)) * -1 + len(n)
-            return pa.table([table["part"][:1], pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(n)]), pa.array([int(n.sum())]), pa.array([int((n == 1).sum())]), pa.array([int((n == 2).sum())]), pa.array([often.tolist()])], names=["part", "keys", "counts", "types", "tokens", "once", "twice", "often"])
-
-        packed = docs.where(train).select(text).mapInArrow(count, "part int, keys binary, counts binary")
-        self.table = stage(packed.groupBy("part").applyInArrow(total, "part int, keys binary, counts binary, types long, tokens long, once long, twice long, often array<long>"), "words")
-        sums = self.table.agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "once", "twice")), *(F.sum(F.col("often")[k]).alias(f"o{k}") for k in range(48))).first()
-        self.types = (sums.types or 0) + (self.ends > 0)
-        self.tokens = (sums.tokens or 0) + self.ends
-        once, twice = sums.once or 0, sums.twice or 0
-        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+            often = len(n[word]) - np.searchsorted(np.sort(n[word]), 1 << np.arange(48))
+            return pa.table([table["part"][:1], pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([lat.tobytes()], pa.binary()), *sums, pa.array([often.tolist()])], names=["part", "keys", "counts", "lattice", *names, "often"])
+
+        names = [f"{x}_{y}" for x in ("word", "segment") for y in ("types", "tokens", "once", "twice")]
+        packed = docs.where(train).select(text).mapInArrow(count, "part int, keys binary, counts binary, length binary, lattice binary, spelt binary")
+        self.table = stage(packed.groupBy("part").applyInArrow(total, f"part int, keys binary, counts binary, lattice binary, {', '.join(f'{x} long' for x in names)}, often array<long>"), "words")
+        sums = self.table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), *(F.sum(F.col("often")[k]).alias(f"o{k}") for k in range(48))).first()
+        self.types = sums.word_types + (self.ends > 0)
+        self.tokens = sums.word_tokens + self.ends
+        self.discount = _discount(sums.word_once, sums.word_twice)
+        self.segments, self.segment_types = sums.segment_tokens, sums.segment_types
+        self.segment_discount = _discount(sums.segment_once, sums.segment_twice)
         least = next((1 << k for k in range(48) if (sums[f"o{k}"] or 0) <= FREQUENT), 1 << 48)
 
         def frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    keys, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[n >= least].view(np.int64)), pa.array(n[n >= least])], ["key", "n"])
+                for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    keys, n, lat = (np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.float64), strict=True))
+                    some = (n >= least) & ((keys & _ONE) == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some]), pa.array(lat[some])], ["key", "n", "lattice"])
 
-        top = self.table.select("keys", "counts").mapInArrow(frequent, "key long, n long").toArrow()
-        keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+        top = self.table.select("keys", "counts", "lattice").mapInArrow(frequent, "key long, n long, lattice double").toArrow()
+        keys, n, lat = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["lattice"].to_numpy()
         order = np.argsort(keys)
-        self.frequent = keys[order], n[order]
+        self.frequent = keys[order], n[order], lat[order]
 
     def formulas(self):
-        """(base, model) log10 probabilities from counts and from log lattice probabilities."""
+        """Log10 probabilities: (add-one of a word's count; model of a word's count and log lattice probability; model of
+        a segment's count and log10 probability by its words)."""
         tokens, types, d = self.tokens, self.types, self.discount
         add = np.log10(tokens + types + 1)
         back = np.log(d * types / tokens) if tokens else 0.0
         log_n = np.log(tokens) if tokens else 0.0
+        whole, kinds, e = self.segments, self.segment_types, self.segment_discount
 
         def base(c: np.ndarray) -> np.ndarray:
             return np.log10(c + 1) - add
 
-        def model(c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        def word(c: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+            with np.errstate(divide="ignore"):
+                own = np.log(np.maximum(c - d, 0)) - log_n
+            return np.logaddexp(own, back + lattice) / _LOG10
+
+        def segment(c: np.ndarray, by_words: np.ndarray) -> np.ndarray:
+            if not whole:
+                return by_words
             with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - d, 0)) - log_n
-            return np.logaddexp(whole, back + lattice) / _LOG10
+                own = np.log(np.maximum(c - e, 0)) - np.log(whole)
+            return np.logaddexp(own, np.log(e * kinds / whole) + by_words * _LOG10) / _LOG10
+
+        return base, word, segment
 
-        return base, model
 
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-def score(docs: DataFrame, held_out, lattice: Lattice, row_id: str = "doc_id", text: str = "text", adapt: int = 0) -> DataFrame:
-    """One row for each of ``docs``: ``row_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+
+def score(docs: DataFrame, held_out, lattice: Lattice, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each of ``docs``: ``row_id, held_out, n_tokens, n_known, train_tokens, base_score, score, others_score,
     lattice_score``; scores are log10 probabilities. Rows where ``held_out`` (a condition; null is false) holds are
     scored and not learnt from.
 
-    Null reads as the empty text: one token, its end. Rows are scored each, whatever ids they share. Without training
-    rows the lattice alone scores. An empty table gives an empty table.
+    Null reads as the empty text: one token, its end. Ids may be of any type; rows are scored each, whatever ids they
+    share, and other columns, whatever their names, are left out. Without training rows the lattice alone scores. An empty
+    table gives an empty table.
     """
-    rows = docs.select(F.col(row_id).cast("long").alias("id"), text, F.coalesce(held_out, F.lit(False)).alias("held")).withColumn("train", ~F.col("held"))
-    corpus = Corpus(rows, "train", text)
-    own = lattice.adapted(*sample_words(rows.where("train"), text, adapt)) if adapt else lattice
-    bits, (often, often_n), (base, model) = corpus.bits, corpus.frequent, corpus.formulas()
+    rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held")).withColumn("train", ~F.col("held"))
+    corpus = Corpus(rows, "train", "text", lattice)
+    bits, (often, often_n, often_lat), (base, model, whole) = corpus.bits, corpus.frequent, corpus.formulas()
     ends, tokens = corpus.ends, corpus.tokens
     end_base = float(base(np.array([ends]))[0])
     # a text's end has no spelling: its edge is the corpus' count (without training rows it is certain)
     end_model = float(np.log10(ends / tokens)) if ends else 0.0
+    kind, id_type = rows.limit(0).toArrow().schema.field("id").type, rows.schema["id"].dataType.simpleString()
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = np.zeros(0, np.uint64), np.zeros((2, 0))
+        cache = np.zeros(0, np.uint64), np.zeros(0)
 
         def spelt(w: Words, key: np.ndarray, first: np.ndarray) -> np.ndarray:
+            """Lattice log probabilities of words that the counts may lack."""
             nonlocal cache
             keys, values = cache
-            k = np.searchsorted(keys, key)
-            k[k == len(keys)] = 0
-            old = keys[k] == key if len(keys) else np.zeros(len(key), bool)
-            out = np.zeros((2, len(key)))
-            if old.any():
-                out[:, old] = values[:, k[old]]
-            new = np.flatnonzero(~old)
+            k = _find(keys, key)
+            out = np.where(k >= 0, values[k] if len(values) else 0.0, 0.0)
+            new = np.flatnonzero(k < 0)
             if len(new):
-                at = w.start[first[new]], w.end[first[new]]
-                out[0, new] = own.score(w.data, *at)
-                out[1, new] = lattice.score(w.data, *at) if adapt else out[0, new]
+                out[new] = lattice.score(w.data, w.start[first[new]], w.end[first[new]])
                 if len(keys) + len(new) > _CACHE:
-                    keys, values = keys[:0], values[:, :0]
-                keys, values = np.append(keys, key[new]), np.append(values, out[:, new], 1)
+                    keys, values = keys[:0], values[:0]
+                keys, values = np.append(keys, key[new]), np.append(values, out[new])
                 order = np.argsort(keys)
-                cache = keys[order], values[:, order]
+                cache = keys[order], values[order]
             return out
 
-        chunk: list[tuple] = []  # by slice: ids, held, sums; then rare words: hash, text, count, lattice
+        # by slice: ids, held, documents of segments, sums by segment; then what travels: hash, segment, count, lattice
+        chunk: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = secrets.randbits(62)
             ids, held = (pa.concat_arrays([c[k] for c in chunk]) for k in (0, 1))
-            sums = np.concatenate([c[2] for c in chunk], 1)
-            shift = np.cumsum([0] + [len(c[0]) for c in chunk[:-1]])
-            key, lat, n = (np.concatenate([c[k] for c in chunk]) for k in (3, 6, 5))
-            doc = np.concatenate([c[4] + s for c, s in zip(chunk, shift, strict=True)])
+            doc = np.concatenate([c[2] + s for c, s in zip(chunk, np.cumsum([0] + [len(c[0]) for c in chunk[:-1]]), strict=True)])
+            sums = np.concatenate([c[3] for c in chunk], 1)
+            at = np.concatenate([c[5] + s for c, s in zip(chunk, np.cumsum([0] + [len(c[2]) for c in chunk[:-1]]), strict=True)])
+            key, n, lat = (np.concatenate([c[k] for c in chunk]) for k in (4, 6, 7))
             chunk.clear()
             order = np.argsort(key, kind="stable")
-            key, doc, n, lat = key[order], doc[order], n[order], lat[order]
+            key, at, n, lat = key[order], at[order], n[order], lat[order]
             low, high = _ranges(key, bits)
             some = np.flatnonzero(high > low).tolist()
-            blob = [key[low[k] : high[k]].tobytes() + doc[low[k] : high[k]].astype(np.uint32).tobytes() + n[low[k] : high[k]].astype(np.uint32).tobytes() + lat[low[k] : high[k]].astype(np.float32).tobytes() for k in some]
-            one = pa.array([ids.to_pylist(), *[None] * len(some)], pa.list_(pa.int64()))
+            blob = []
+            for k in some:
+                x = lat[low[k] : high[k]]
+                # spellings travel for words that the counts may lack; a bit says which
+                has = ~np.isnan(x)
+                blob.append(b"".join([np.int64(len(x)).tobytes(), key[low[k] : high[k]].tobytes(), at[low[k] : high[k]].astype(np.uint32).tobytes(), n[low[k] : high[k]].astype(np.uint32).tobytes(), np.packbits(has).tobytes(), x[has].tobytes()]))
+            one = pa.array([ids.to_pylist(), *[None] * len(some)], pa.list_(kind))
             two = pa.array([held.to_pylist(), *[None] * len(some)], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *some], pa.int32()), pa.array([name] * (len(some) + 1), pa.int64()), one, two, pa.array([sums.tobytes(), *blob], pa.binary())], ["part", "chunk", "ids", "held", "blob"])
+            own = np.int64(len(doc)).tobytes() + doc.astype(np.uint32).tobytes() + sums.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([None, *some], pa.int32()), pa.array([name] * (len(some) + 1), pa.int64()), one, two, pa.array([own, *blob], pa.binary())], ["part", "chunk", "ids", "held", "blob"])
 
         for batch in it:
-            for i, j, raw, off in batches(batch, text):
-                w = words(raw, off)
-                key, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
-                lat, plain = spelt(w, key, first)
-                k = np.searchsorted(often, key)
-                k[k == len(often)] = 0
-                near = often[k] == key if len(often) else np.zeros(len(key), bool)
+            for i, j, raw, off in batches(batch, "text"):
+                w, n = words(raw, off), j - i
+                out = batch.column(2).slice(i, n).to_numpy(zero_copy_only=False).astype(bool)
+                key, first, word = np.unique(_word_keys(w), return_index=True, return_inverse=True)
+                k = _find(often, key)
+                near = k >= 0
                 c = np.where(near, often_n[k] if len(often) else 0, 0)
-                doc, n = w.doc, j - i
-                sums = np.zeros((5, n))
-                sums[0] = w.counts + 1
-                sums[1] = np.bincount(doc, near[at], n) + (ends > 0)
-                sums[2] = np.bincount(doc, np.where(near, base(c), 0)[at], n) + end_base
-                sums[3] = np.bincount(doc, np.where(near, model(c, lat), 0)[at], n) + end_model
-                sums[4] = np.bincount(doc, plain[at], n) / _LOG10 + end_model
-                far = np.flatnonzero(~near[at])
-                pair, count = np.unique(doc[far] * max(len(key), 1) + at[far], return_counts=True)
-                of, word = pair // max(len(key), 1), pair % max(len(key), 1)
-                chunk.append((batch.column(0).slice(i, n), batch.column(2).slice(i, n), sums, key[word], of, count, lat[word]))
+                lat = np.where(near, often_lat[k] if len(often) else 0.0, np.nan)
+                # every word of a training row is in the counts; only those of other rows may have to be spelt here
+                maybe = np.zeros(len(key), bool)
+                maybe[word[out[w.doc]]] = True
+                new = np.flatnonzero(maybe & ~near)
+                lat[new] = spelt(w, key[new], first[new])
+                own, doc, begin = segments(w)
+                seg = np.repeat(np.arange(len(own)), np.diff(np.append(begin, len(w.hash))))
+                last = np.append(doc[1:] != doc[:-1], True)
+                sums = np.zeros((5, len(own)))  # tokens; known; base; by words; lattice
+                sums[0] = np.bincount(seg, minlength=len(own)) + last
+                sums[1] = np.bincount(seg, near[word], len(own)) + last * (ends > 0)
+                sums[2] = np.bincount(seg, np.where(near, base(c), 0)[word], len(own)) + last * end_base
+                sums[3] = np.bincount(seg, np.where(near, model(c, np.where(near, lat, 0)), 0)[word], len(own)) + last * end_model
+                sums[4] = np.bincount(seg, np.where(near, lat, 0)[word], len(own)) / _LOG10 + last * end_model
+                far = np.flatnonzero(~near[word])
+                pair, count = np.unique(seg[far] * max(len(key), 1) + word[far], return_counts=True)
+                of, which = pair // max(len(key), 1), pair % max(len(key), 1)
+                chunk.append((batch.column(0).slice(i, n), batch.column(2).slice(i, n), doc, sums, np.append(key[which], own), np.append(of, np.arange(len(own))), np.append(count, _repeats(own, doc)), np.append(lat[which], np.full(len(own), np.nan))))
                 if len(chunk) == CHUNK_SLICES:
                     yield from flush()
         if chunk:
             yield from flush()
 
     # chunk names are drawn once: what is read below is what was written
-    written = stage(rows.select("id", text, "held").mapInArrow(local, "part int, chunk long, ids array<long>, held array<boolean>, blob binary"), "texts")
+    written = stage(rows.select("id", "text", "held").mapInArrow(local, f"part int, chunk long, ids array<{id_type}>, held array<boolean>, blob binary"), "texts")
     asked = written.where("part IS NOT NULL").select("part", "chunk", "blob")
-    known = corpus.table.select("part", F.lit(None).cast("long").alias("chunk"), F.concat("keys", "counts").alias("blob"))
+    known = corpus.table.select("part", F.lit(None).cast("long").alias("chunk"), F.concat("keys", "counts", "lattice").alias("blob"))
 
     def resolve(table: pa.Table) -> pa.Table:
-        keys = counts = np.zeros(0, np.int64)
-        asks, chunks = [], []
+        keys, counts, lats = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        asks, chunks, out = [], [], []
         for name, blob in zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True):
             if name is None:
-                m = len(blob) // 16
-                keys, counts = np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.int64, m, 8 * m)
+                m = len(blob) // 24
+                keys, counts, lats = np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.int64, m, 8 * m), np.frombuffer(blob, np.float64, m, 16 * m)
             else:
                 asks.append(blob)
                 chunks.append(name)
-        out = []
         for blob in asks:
-            m = len(blob) // 20
-            key, doc = np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.uint32, m, 8 * m)
-            n, lat = np.frombuffer(blob, np.uint32, m, 12 * m), np.frombuffer(blob, np.float32, m, 16 * m).astype(float)
-            k = np.searchsorted(keys, key)
-            k[k == len(keys)] = 0
-            c = np.where(keys[k] == key, counts[k], 0) if len(keys) else np.zeros(m, np.int64)
-            of, at = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(at, x, len(of)) for x in (n * (c > 0), n * base(c), n * model(c, lat))]
-            out.append(of.tobytes() + sums[0].astype(np.uint32).tobytes() + sums[1].tobytes() + sums[2].tobytes())
+            m = int(np.frombuffer(blob, np.int64, 1)[0])
+            key, at, n = np.frombuffer(blob, np.uint64, m, 8), np.frombuffer(blob, np.uint32, m, 8 + 8 * m), np.frombuffer(blob, np.uint32, m, 8 + 12 * m)
+            has = np.unpackbits(np.frombuffer(blob, np.uint8, -(-m // 8), 8 + 16 * m), count=m).astype(bool)
+            lat = np.zeros(m)
+            lat[has] = np.frombuffer(blob, np.float64, int(has.sum()), 8 + 16 * m + -(-m // 8))
+            k = _find(keys, key)
+            c = np.where(k >= 0, counts[k], 0) if len(keys) else np.zeros(m, np.int64)
+            if len(keys):
+                lat = np.where((k >= 0) & ~has, lats[k], lat)
+            word = (key & _ONE) == 0
+            of, where = np.unique(at[word], return_inverse=True)
+            c1, n1 = c[word], n[word]
+            sums = [np.bincount(where, x, len(of)) for x in (n1 * (c1 > 0), n1 * base(c1), n1 * model(c1, lat[word]), n1 * lat[word] / _LOG10)]
+            # segments: how often the corpus has them, and how often the text itself; most stand alone
+            some = ~word & (c > n)
+            other = ~word & (c > 0) & (c <= n)
+            head = np.array([len(of), int(some.sum()), int(other.sum())], np.int64)
+            out.append(b"".join([head.tobytes(), of.astype(np.uint32).tobytes(), sums[0].astype(np.uint32).tobytes(), *(x.tobytes() for x in sums[1:]), at[some].tobytes(), n[some].tobytes(), c[some].tobytes(), at[other].tobytes(), c[other].astype(np.uint32).tobytes()]))
         return pa.table([pa.array(chunks, pa.int64()), pa.array(out, pa.binary())], names=["chunk", "blob"])
 
     answered = asked.unionByName(known).groupBy("part").applyInArrow(resolve, "chunk long, blob binary")
-    whole = written.where("part IS NULL").select("chunk", "ids", "held", "blob")
-    joined = whole.unionByName(answered.select("chunk", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"), "blob"))
+    sent = written.where("part IS NULL").select("chunk", "ids", "held", "blob")
+    joined = sent.unionByName(answered.select("chunk", F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"), "blob"))
 
     def finish(table: pa.Table) -> pa.Table:
         rest = []
-        ids = held = sums = None
+        ids = held = doc = sums = None
         for i, h, blob in zip(table["ids"], table["held"], table["blob"].to_pylist(), strict=True):
             if i.is_valid:
                 ids, held = i.values, h.values
-                sums = np.frombuffer(blob).reshape(5, -1).copy()
+                m = int(np.frombuffer(blob, np.int64, 1)[0])
+                doc = np.frombuffer(blob, np.uint32, m, 8).astype(np.int64)
+                sums = np.frombuffer(blob[8 + 4 * m :]).reshape(5, m).copy()
             else:
                 rest.append(blob)
+        count, own = np.zeros((2, sums.shape[1]))
         for blob in sorted(rest):
-            m = len(blob) // 24
-            of = np.frombuffer(blob, np.uint32, m)
-            sums[1, of] += np.frombuffer(blob, np.uint32, m, 4 * m)
-            sums[2, of] += np.frombuffer(blob, np.float64, m, 8 * m)
-            sums[3, of] += np.frombuffer(blob, np.float64, m, 16 * m)
+            m, p, q = np.frombuffer(blob, np.int64, 3).tolist()
+            of = np.frombuffer(blob, np.uint32, m, 24)
+            sums[1, of] += np.frombuffer(blob, np.uint32, m, 24 + 4 * m)
+            for k in range(3):
+                sums[2 + k, of] += np.frombuffer(blob[24 + 8 * m + 8 * m * k : 24 + 16 * m + 8 * m * k])
+            rest_ = blob[24 + 32 * m :]
+            at = np.frombuffer(rest_, np.uint32, p)
+            own[at] = np.frombuffer(rest_, np.uint32, p, 4 * p)
+            count[at] = np.frombuffer(rest_[8 * p :], np.int64, p)
+            rest_ = rest_[16 * p :]
+            at = np.frombuffer(rest_, np.uint32, q)
+            count[at] = own[at] = np.frombuffer(rest_, np.uint32, q, 4 * q)
         n = len(ids)
-        return pa.table([ids, held, *(pa.array(sums[k].astype(np.int64)) for k in (0, 1)), pa.array(np.full(n, tokens)), *(pa.array(sums[k]) for k in (2, 3, 4))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
-
-    out = joined.groupBy("chunk").applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
-    return out.withColumnRenamed("id", row_id)
+        out = held.to_numpy(zero_copy_only=False).astype(bool)
+        others = np.where(out[doc], count, count - own)
+        total = lambda x: np.bincount(doc, x, n)
+        longs = [pa.array(total(sums[0]).astype(np.int64)), pa.array(np.rint(total(sums[1])).astype(np.int64)), pa.array(np.full(n, tokens, np.int64))]
+        doubles = [pa.array(total(x)) for x in (sums[2], whole(count, sums[3]), whole(others, sums[3]), sums[4])]
+        return pa.table([ids, held, *longs, *doubles], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "others_score", "lattice_score"])
+
+    scored = joined.groupBy("chunk").applyInArrow(finish, f"{ddl(rows, 'id')}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, others_score double, lattice_score double")
+    return scored.withColumnRenamed("id", row_id)
+
+
+def _repeats(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each segment's document holds it."""
+    order = np.lexsort((key, doc))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    group = np.cumsum(new) - 1
+    out = np.empty(len(key), np.int64)
+    out[order] = np.bincount(group)[group] if len(key) else 0
+    return out
 
 
 def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

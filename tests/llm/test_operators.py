@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchmint.llm import decontaminate, fingerprint, jaccard, lmscore, mixing, quality, secrets, sharding, toxicity, urlfilter
-from parchmint.llm._arrow import ngrams, strings, words
+from parchmint.llm._arrow import _Q, mix, ngrams, strings, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and model data noise graph river stone light paper glass wind salt iron moss fern birch pine oak".split()
@@ -329,61 +329,110 @@ def test_lattice_against_brute_force():
     assert np.allclose(got, [math.log(all_ways(b"\x01" + x)) for x in spelt])
 
 
-def test_adapted_pieces():
-    """Every round raises the likelihood of the words it is fitted on, and the probabilities stay a distribution."""
-    spelt = [f"{a}{b}".encode() for a in ("ston", "glas", "iro") for b in ("ing", "ed", "es", "er")]
-    end = np.cumsum([len(x) for x in spelt])
-    data, start = np.frombuffer(b"".join(spelt), np.uint8), end - [len(x) for x in spelt]
-    lattice = lmscore.vocabulary()
-    was = lattice.score(data, start, end).sum()
-    for rounds in (1, 2, 4):
-        new = lattice.adapted(data, start, end, rounds=rounds, prior=1e-9)
-        now = new.score(data, start, end).sum()
-        assert now > was and math.isclose(np.exp(new.logp).sum(), 1, rel_tol=1e-9)
-        was = now
+def brute_segments(text, seen):
+    """A text's words cut into segments, each as a tuple; the last one ends in None."""
+    w = words(*strings(pa.array([text or ""])))
+    out, now = [], []
+    for k, x in enumerate(tokens(text)):
+        now.append(x)
+        if k + 1 < len(w.hash) and int(mix(w.hash[k : k + 1] * _Q + w.hash[k + 1 : k + 2])[0]) % lmscore.SEGMENT == 0:
+            out.append(tuple(now))
+            now = []
+    return [*out, (*now, None)]
+
+
+def test_segments_against_brute_force():
+    texts = [t for _, t, *_ in corpus()]
+    w = words(*strings(pa.array(texts, pa.string())))
+    key, doc, begin = lmscore.segments(w)
+    want = [(d, s) for d, t in enumerate(texts) for s in brute_segments(t, {})]
+    assert doc.tolist() == [d for d, _ in want]
+    of = {}
+    assert all(of.setdefault(s, k) == k for (_, s), k in zip(want, key.tolist())) and len(set(of.values())) == len(of)
+    assert np.diff(np.append(begin, len(w.hash))).tolist() == [sum(x is not None for x in s) for _, s in want]
 
 
-def test_scores_as_registered_use_no_sample(docs):
-    held, lattice = F.col("doc_id") % 7 == 2, lmscore.vocabulary()
-    plain = lambda df: sorted(((r.doc_id, round(r.score, 9), round(r.lattice_score, 9)) for r in df.collect()), key=str)
-    assert plain(lmscore.score(docs, held, lattice)) == plain(lmscore.score(docs, held, lattice, adapt=0))
+def test_long_words_take_linear_time():
+    lattice = lmscore.vocabulary()
+    data = np.frombuffer(b"stone\xc3\xa9light" * 40_000, np.uint8)
+    one = lmscore.RUN
+    whole = lattice.score(data, np.array([0]), np.array([len(data)]))[0]
+    head = lattice.score(data, np.array([0]), np.array([one]))[0]
+    assert np.isfinite(whole) and math.isclose(lattice.score(data, np.array([0, 0]), np.array([one, 2 * one]))[0], head)
+    # runs behind the first have no mark
+    spelt = data[one : 2 * one]
+    first = lattice._forward(spelt, np.array([0]), np.array([one]), np.array([False]))[0]
+    assert math.isclose(lattice.score(data, np.array([0]), np.array([2 * one]))[0], head + first)
 
 
 @pytest.mark.parametrize("frequent", [0, 8, 1 << 19])
-def test_scores_against_brute_force(docs, monkeypatch, frequent):
+def test_scores_against_brute_force(spark, docs, monkeypatch, frequent):
     monkeypatch.setattr(lmscore, "FREQUENT", frequent)
     monkeypatch.setattr(lmscore, "CHUNK_SLICES", 1)
+    monkeypatch.setattr(lmscore, "SEGMENT", 4)
+    docs = docs.unionByName(spark.createDataFrame([(500, "x" * 3000 + " and " + "y" * 700, "en", "s", 1), (501, "y" * 700, "en", "s", 1)], SCHEMA)).withColumn("score", F.lit(1)).withColumn("held", F.lit(1))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     lattice = lmscore.vocabulary()
     got = collections.defaultdict(list)
-    for r in lmscore.score(docs, held, lattice, adapt=0).collect():
+    for r in lmscore.score(docs, held, lattice).collect():
         got[r.doc_id].append(r)
-    count, rows = collections.Counter(), []
+    count, whole, rows = collections.Counter(), collections.Counter(), []
     for r in docs.collect():
         out = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2
-        t = [*tokens(r.text), None]
-        rows.append((r.doc_id, out, t))
+        s = brute_segments(r.text, {})
+        rows.append((r.doc_id, out, s))
         if not out:
-            count.update(t)
-    n, v = sum(count.values()), len(count)
-    once, twice = (sum(c == k for w, c in count.items() if w is not None) for k in (1, 2))
-    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+            count.update(x for y in s for x in y)
+            whole.update(s)
+    n, v, m = sum(count.values()), len(count), sum(whole.values())
+
+    def discount(c):
+        once, twice = (sum(x == k for x in c) for k in (1, 2))
+        return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+    d, e = discount([c for w, c in count.items() if w is not None]), discount(whole.values())
+
+    def lat(w):
+        return math.log10(count[None] / n) if w is None else lattice.score(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] / math.log(10)
+
+    log = lambda x: math.log(x) if x > 0 else -math.inf
 
     def word(w):
         if w is None:
             return math.log10(count[None] / n)
-        b = w.encode()
-        lat = math.exp(lattice.score(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
-        return math.log10(max(count[w] - d, 0) / n + d * v / n * lat)
+        return np.logaddexp(log((count[w] - d) / n), math.log(d * v / n) + lat(w) * math.log(10)) / math.log(10)
+
+    def segment(s, c):
+        return np.logaddexp(log((c - e) / m), math.log(e * len(whole) / m) + sum(map(word, s)) * math.log(10)) / math.log(10)
 
-    for i, out, t in rows:
-        r = got[i][0]
+    for i, out, s in rows:
+        r, t = got[i][0], [x for y in s for x in y]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out, len(t), sum(count[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), abs_tol=1e-6)
-        assert math.isclose(r.score, sum(map(word, t)), rel_tol=1e-5)
+        assert math.isclose(r.lattice_score, sum(map(lat, t)), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(segment(x, whole[x]) for x in s), rel_tol=1e-9)
+        assert math.isclose(r.others_score, sum(segment(x, whole[x] - (0 if out else s.count(x))) for x in s), rel_tol=1e-9)
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_scores_with_ids_of_other_types(spark):
+    df = spark.createDataFrame([("a", "one two three"), (None, None), ("a", "one two three")], "doc_id string, text string")
+    out = lmscore.score(df, F.lit(False), lmscore.vocabulary()).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["None", "a", "a"]
+    a, b = (r for r in out if r.doc_id == "a")
+    assert a.score == b.score > a.lattice_score and a.others_score <= a.score
+
+
+def test_texts_that_occur_twice_stand_apart(spark, sf):
+    """``others_score`` a token tells texts that other training rows repeat from those that the corpus holds once."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400")
+    rows = lmscore.score(docs, F.lit(False), lmscore.vocabulary()).join(docs.select("doc_id", "text"), "doc_id").collect()
+    times = collections.Counter(r.text for r in rows)
+    plain = [r.others_score / r.n_tokens for r in rows if times[r.text] == 1]
+    again = [r.others_score / r.n_tokens for r in rows if times[r.text] > 1]
+    assert again and min(again) > sorted(plain)[int(0.9 * len(plain))]
+
+
 # --- secrets -------------------------------------------------------------------------------------------------------
 
 
