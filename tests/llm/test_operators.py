@@ -471,6 +471,74 @@ def test_scan_adds_spans(spark):
     assert [out[k].spans for k in (101, 102, 103, 104)] == ["", "", "", ""]
 
 
+def opaque(r, n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+def credential_corpus(r, three_part=200):
+    """Labelled credentials, credentials that stand alone in several forms (by form), and text without any."""
+    say = lambda n: " ".join(r.choice(WORDS) + r.choice(["", "s", "ed", "ing", "."]) for _ in range(n))
+    rows, planted = [], {}
+    for _ in range(300):
+        rows.append(f'{say(20)} token = "{opaque(r, 36)}" {say(10)}')
+    forms = {
+        "opaque": lambda: opaque(r, 36),
+        "short": lambda: opaque(r, 20),
+        "three parts": lambda: ".".join(opaque(r, n) for n in (20, 30, 27)),
+        "prefixed": lambda: "key_live_" + opaque(r, 28),
+        "letters": lambda: opaque(r, 32, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    }
+    for name, make in forms.items():
+        for _ in range(three_part if name == "three parts" else 100):
+            value = make()
+            planted.setdefault(name, []).append((len(rows), value))
+            rows.append(f"{say(25)} {value} {say(15)}")
+    clean = len(rows)
+    for k in range(900):
+        extra = [f"mail.{k}@mail{k % 9}.example.com", f"www.host{k}.example.org/path/page-{k}.html", f"version 1.{k}.3 of 2024-0{k % 9 + 1}-11", f"report_{k}.final.pdf", "internationalisation", "well-known-phrase"][k % 6]
+        rows.append(f"{say(30)} {extra} {say(30)}")
+    return [(k, t) for k, t in enumerate(rows)], planted, clean
+
+
+def test_planted_credentials_are_found_and_ordinary_text_is_not(spark):
+    rows, planted, clean = credential_corpus(random.Random(11))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {x.doc_id: x for x in secrets.scan(df, *secrets.fit(df)).collect()}
+    for form, all_ in planted.items():
+        hit = sum(f"format:{rows[d][1].index(v)}:{rows[d][1].index(v) + len(v)}" in out[d].spans.split(",") for d, v in all_)
+        assert hit >= 0.9 * len(all_), (form, hit)
+    false = [x for d in range(clean, len(rows)) for x in out[d].spans.split(",") if x.startswith("format")]
+    right = sum(len(x) for x in planted.values())
+    assert len(false) <= 0.02 * right, [rows[0][1], false[:5]]
+
+
+def test_scan_against_brute_force(spark):
+    """The whole operator again in plain Python: every run by a regular expression, one character at a time."""
+    r = random.Random(13)
+    rows, _, _ = credential_corpus(r, 20)
+    rows = rows[::6] + [(9000, None), (9001, ""), (9002, "é" * 500 + " password=" + opaque(r, 30) + "..-. " + opaque(r, 40) + "ü" + opaque(r, 9)), (9003, opaque(r, 120_000)), (9004, "x" * 50_000 + " " + "ab.cd-" * 9)]
+    rows += [rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).repartition(3)
+    secret, ordinary = secrets.fit(df)
+    got = sorted((str(x.doc_id), x.spans, None if x.format_score is None else round(x.format_score, 6)) for x in secrets.scan(df, secret, ordinary).collect())
+    want = []
+    for d, t in rows:
+        base = secrets.base_spans(t) if t else []
+        text, out, best = t or "", [(s, k, e) for s, k, e in base], None
+        hidden = "".join(" " if any(s <= i < e for s, _, e in base) else c for i, c in enumerate(text)) if base else text
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", hidden):
+            a, z = m.start(), m.start() + len(m.group().rstrip(".-"))
+            if z - a < 6:
+                continue
+            ratio = secret.score(text[a:z]) - ordinary.score(text[a:z])
+            best = ratio if best is None else max(best, ratio)
+            if ratio >= secrets.LEAST_TOTAL and ratio >= secrets.LEAST_MEAN * (z - a):
+                out.append((a, 3, z))
+        names = [b[0] for b in secrets.BASE] + [secrets.ADDED]
+        want.append((str(d), ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(out)), None if best is None else round(best, 6)))
+    assert got == sorted(want)
+
+
 # --- n-gram Jaccard ------------------------------------------------------------------------------------------------
 
 
