@@ -9,6 +9,8 @@ other document holds too (containment, 0 to 1).
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm._arrow import mix, powers, slices, small_batches, strings
+from parchmint.llm._arrow import _Q, ddl, mix, powers, slices, small_batches, strings
 
 LEAST, NORMAL, MOST = 16, 48, 255
 _WINDOW = 32
@@ -68,8 +70,11 @@ def ends(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.array(starts, np.int64), np.array(stops, np.int64), np.array(doc, np.int64)
 
 
-def chunk_sets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's sorted distinct chunks, digest in the upper 32 bits and length in the lower 8."""
+Chunks = tuple[np.ndarray, np.ndarray]
+
+
+def chunk_sets(texts: list[str]) -> list[Chunks]:
+    """Each text's distinct chunks by 64-bit digest: (sorted digests, lengths)."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     off = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
     raw = np.frombuffer(b"".join(data), np.uint8)
@@ -77,28 +82,33 @@ def chunk_sets(texts: list[str]) -> list[np.ndarray]:
     p, ip = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=total[1:])
-    digest = mix((total[z] - total[a]) * ip[a]) >> np.uint64(32)
-    value = (digest << np.uint64(8)) | (z - a).astype(np.uint64)
+    digest = mix((total[z] - total[a]) * ip[a] + (z - a).astype(np.uint64) * _Q)
+    size = (z - a).astype(np.uint8)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return [np.unique(value[first[i] : first[i + 1]]) for i in range(len(texts))]
+    out = []
+    for i in range(len(texts)):
+        own, at = np.unique(digest[first[i] : first[i + 1]], return_index=True)
+        out.append((own, size[first[i] : first[i + 1]][at]))
+    return out
 
 
-def show(chunks: np.ndarray) -> str:
-    """Ten hex digits for each chunk: digest, then length."""
-    return b"".join(b"%010x" % c for c in chunks.tolist()).decode()
+def show(chunks: Chunks) -> str:
+    """18 hex digits for each chunk: digest, then length."""
+    return b"".join(b"%016x%02x" % c for c in zip(chunks[0].tolist(), chunks[1].tolist(), strict=True)).decode()
 
 
-def read(fingerprint: str) -> np.ndarray:
-    return np.array([int(fingerprint[i : i + 10], 16) for i in range(0, len(fingerprint), 10)], np.uint64)
+def read(fingerprint: str) -> Chunks:
+    parts = [fingerprint[i : i + 18] for i in range(0, len(fingerprint), 18)]
+    return np.array([int(x[:16], 16) for x in parts], np.uint64), np.array([int(x[16:], 16) for x in parts], np.uint8)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: Chunks, b: Chunks) -> float:
     """The share of ``a``'s chunk bytes that ``b`` holds; two empty sets are alike, an empty and a full one aren't."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    where = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    size = (a & np.uint64(255)).astype(np.int64)
-    return float(size[b[where] == a].sum() / size.sum())
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    where = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    size = a[1].astype(np.int64)
+    return float(size[b[0][where] == a[0]].sum() / size.sum())
 
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
@@ -118,74 +128,82 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint") -
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(to, T.StringType())]))
 
 
-#: Rows of one contiguous id range, which a task walks in order, and the most ranges.
+#: Rows of one contiguous range of ids, which a task walks in order, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 512, 1 << 16
+FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def ranges(docs: DataFrame, row_id: str) -> tuple[np.ndarray, dict[int, list[int]]]:
-    """(cuts between contiguous id ranges of about ``RANGE_ROWS`` rows, ranges by the id that follows their last row).
+@functools.total_ordering
+class Key:
+    """A row's place in the order: ids descend, nulls come last; rows of one id stand by the hash of their texts."""
 
-    Both lists are bounded by ``MOST_RANGES``. Walking by descending id, a range is followed by the greatest id below
-    it, and the lowest range by the greatest id of all.
-    """
-    ids = docs.select(F.col(row_id).cast("long").alias("id")).where("id IS NOT NULL")
-    n = ids.count()
-    want = min(MOST_RANGES, -(-n // RANGE_ROWS))
-    cuts = np.unique(np.array(ids.stat.approxQuantile("id", [k / want for k in range(1, want)], max(1e-4, 0.2 / want)) if want > 1 else [], np.int64))
+    __slots__ = ("h", "id")
+
+    def __init__(self, id_, h: int):
+        self.id, self.h = id_, h
+
+    def __eq__(self, other) -> bool:
+        return self.id == other.id and self.h == other.h
+
+    def __lt__(self, other) -> bool:
+        if self.id == other.id:
+            return self.h < other.h
+        return other.id is None or self.id is not None and self.id > other.id
+
+
+def cuts(rows: DataFrame) -> list[Key]:
+    """First key of each of the contiguous ranges that ``rows (id, h)`` fall into, about ``RANGE_ROWS`` rows each and
+    ``MOST_RANGES`` at most: bounds of a range partitioning of ids and hashes, without the texts. An id that many rows
+    share is divided by their texts."""
+    n = rows.count()
+    dealt = rows.repartitionByRange(max(1, min(MOST_RANGES, -(-n // RANGE_ROWS))), F.desc_nulls_last("id"), "h").sortWithinPartitions(F.desc_nulls_last("id"), "h")
 
-    def greatest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int] = {}
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = np.searchsorted(cuts, own, "right")
-            for k in np.unique(part).tolist():
-                best[k] = max(best.get(k, -(1 << 63)), int(own[part == k].max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], ["part", "id"])
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
 
-    tops = [(r.part, r.id) for r in ids.mapInArrow(greatest, "part int, id long").groupBy("part").agg(F.max("id").alias("id")).orderBy("part").collect()]
-    heirs: dict[int, list[int]] = {}
-    for k, (part, _) in enumerate(tops):
-        heirs.setdefault(tops[k - 1][1], []).append(part)
-    return cuts, heirs
+    return sorted(Key(r.id, r.h) for r in dealt.mapInArrow(first, dealt.schema).toLocalIterator())
 
 
 def edited_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of ``docs``: ``row_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``; the edited text ends in the beginning of the next document by descending id (after the last, the first).
 
-    Null texts read as empty. Rows that share an id follow each other in the order of their texts; null ids come last,
-    in the lowest range. A table of one row follows itself; an empty table gives an empty table. Texts are shuffled once.
+    Ids may be of any type that has an order. Null texts read as empty. Rows that share an id follow each other in the
+    order of their texts' hashes, null ids come last; rows equal in id and text stand in one range. A table of one row
+    follows itself; an empty table gives an empty table; other columns, whatever their names, are left out. Texts are
+    shuffled once: every range also gets the row that follows its last one.
     """
     small_batches(docs.sparkSession)
-    cuts, heirs = ranges(docs, row_id)
-    rows = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(F.col(row_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    heads = cuts(rows.select("id", "h"))
+    kind = ddl(rows, "id")
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the lowest range's rows with null ids stand behind its last id; if all ids are null, there is one range
-        known = np.array(sorted(heirs), np.int64)
+        known = {x.h: k for k, x in enumerate(heads)}
         for batch in it:
-            own = batch.column(0).to_pylist()
-            part = [0 if x is None else int(np.searchsorted(cuts, x, "right")) for x in own]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array([False] * len(own))], ["id", "text", "part", "ghost"])
-            values = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            at = [i for i in np.flatnonzero(np.isin(values, known)).tolist() if own[i] is not None]
-            if at:
-                again = [(i, k) for i in at for k in heirs[own[i]]]
-                took = batch.take(pa.array([i for i, _ in again], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*took.columns, pa.array([k for _, k in again], pa.int32()), pa.array([True] * len(again))], ["id", "text", "part", "ghost"])
+            own, h = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            part = [bisect.bisect_right(heads, Key(i, x)) - 1 for i, x in zip(own, h, strict=True)]
+            names = ["id", "text", "h", "part", "ghost"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array([False] * len(own))], names)
+            again = [k for k, x in enumerate(h) if x in known and heads[part[k]] == Key(own[k], x)]
+            if again:
+                took = batch.take(pa.array(again, pa.int64()))
+                before = [(part[k] - 1) % len(heads) for k in again]
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(before, pa.int32()), pa.array([True] * len(again))], names)
 
     def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple] = []  # the row that waits for its successor; with null ids only, also the first row
+        last: list[tuple] = []  # the row that waits for its successor
         for batch in it:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 3)]
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 4)]
             _, off = strings(batch.column(1))
             for i, j in slices(off):
                 texts = columns[1][i:j]
                 row = last + list(zip(columns[0][i:j], texts, columns[2][i:j], chunk_sets(texts), strict=True))
                 last = row[-1:]
                 yield from emit([(a, b) for a, b in zip(row[:-1], row[1:], strict=True) if not a[2]])
-        if last and not last[0][2]:
-            yield from emit([(last[0], last[0])])  # no id at all: the last row follows itself
 
     def emit(pairs: list[tuple[tuple, tuple]]) -> Iterator[pa.RecordBatch]:
         if not pairs:
@@ -194,7 +212,7 @@ def edited_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
         sets = chunk_sets(edited)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([a[0] for a, _ in pairs], pa.int64()),
+                pa.array([a[0] for a, _ in pairs], id_type),
                 pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
                 pa.array([show(a[3]) for a, _ in pairs], pa.string()),
@@ -205,10 +223,12 @@ def edited_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
             ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    dealt = rows.mapInArrow(deal, "id long, text string, part int, ghost boolean").repartition(max(1, len(cuts) + 1), "part")
-    ordered = dealt.sortWithinPartitions("part", "ghost", F.desc_nulls_last("id"), "text")
-    out = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(walk, out).withColumnRenamed("id", row_id)
+    if not heads:
+        return docs.sparkSession.createDataFrame([], f"{kind}, {FIELDS}").withColumnRenamed("id", row_id)
+    id_type = rows.limit(0).toArrow().schema.field("id").type
+    dealt = rows.mapInArrow(deal, f"{kind}, text string, h long, part int, ghost boolean").repartitionById(len(heads), "part")
+    ordered = dealt.sortWithinPartitions("ghost", F.desc_nulls_last("id"), "h")
+    return ordered.mapInArrow(walk, f"{kind}, {FIELDS}").withColumnRenamed("id", row_id)
 
 
 def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

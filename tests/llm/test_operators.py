@@ -626,7 +626,9 @@ def test_chunks_against_brute_force():
     got = [[bytes(raw[s:e]) for s, e, d in zip(a, z, doc) if d == k] for k in range(len(data))]
     assert got == [brute_chunks(x) for x in data]
     shown = [fingerprint.show(s) for s in fingerprint.chunk_sets(texts)]
-    assert all((fingerprint.read(x) == s).all() for x, s in zip(shown, fingerprint.chunk_sets(texts)))
+    for x, s in zip(shown, fingerprint.chunk_sets(texts)):
+        assert all((a == b).all() for a, b in zip(fingerprint.read(x), s, strict=True))
+    assert [s[1].sum() for s in fingerprint.chunk_sets(texts)] == [sum(len(c) for c in set(brute_chunks(x))) for x in data]
 
 
 def test_insertion_moves_few_boundaries():
@@ -636,13 +638,19 @@ def test_insertion_moves_few_boundaries():
     assert fingerprint.containment(a, b) > 0.97
 
 
-@pytest.mark.parametrize("per_range", [512, 5])
-def test_edited_pairs(spark, docs, monkeypatch, per_range):
+@pytest.mark.parametrize(("per_range", "kind"), [(512, "long"), (5, "long"), (5, "string"), (1, "long")])
+def test_edited_pairs(spark, docs, monkeypatch, per_range, kind):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", per_range)
-    got = fingerprint.edited_pairs(docs.withColumn("near_next", F.lit(1)))
-    rows = sorted(((x.doc_id, x.text or "") for x in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    # several texts under one id, and many rows without an id
+    more = [(9, f"another text of nine {k}", "en", "s", 1) for k in range(12)] + [(None, f"no id {k} {'x y ' * k}", "en", "s", 1) for k in range(15)]
+    docs = docs.unionByName(spark.createDataFrame(more, SCHEMA)).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = fingerprint.edited_pairs(docs.withColumn("near_next", F.lit(1)).withColumn("h", F.lit(2)))
+    assert got.schema["doc_id"].dataType.simpleString() == {"long": "bigint", "string": "string"}[kind]
+    rows = [(x.doc_id, x.t, x.h) for x in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()]
+    ids = sorted({i for i, *_ in rows if i is not None}, reverse=True)
+    rows.sort(key=lambda x: (len(ids) if x[0] is None else ids.index(x[0]), x[2]))
     want = []
-    for k, (i, t) in enumerate(rows):
+    for k, (i, t, _) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         s, f, n = fingerprint.chunk_sets([t, e, nxt])
