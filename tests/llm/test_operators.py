@@ -676,11 +676,91 @@ def test_quality_on_held_out_rows(spark, shipped):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
     model = quality.fit(docs, labels, ~held)
     out = quality.score(docs.withColumn("keep", F.lit(7)), model).where(held).join(labels, "doc_id").toPandas()
-    assert ((out.quality_score > 0.5) == (out.quality == 1)).mean() > 0.96
-    assert out[out.quality == 1].keep.mean() > 0.98
-    odd = spark.createDataFrame([(1, None, None, None), (2, "", "", ""), (3, "word " * 50000, "xx", "unheard")], "doc_id long, text string, lang string, source string")
-    assert all(0 <= x.quality_score <= 1 for x in quality.score(odd, model).collect())
-    assert quality.fit(docs, labels.where("quality = 1")) is None
+    assert ((out.quality_score > 0.5) == (out.quality == 1)).mean() > 0.98
+    assert out[out.quality == 1].keep.mean() > 0.99 and out[out.quality == 0].keep.mean() < 0.1
+    odd = spark.createDataFrame([(1, None, None, None), (2, "", "", ""), (3, "word " * 50000, "xx", "unheard"), (4, "w" * 200000, "xx", None)] * 2, "doc_id long, text string, lang string, source string")
+    rows = quality.score(odd, model).collect()
+    assert all(0 <= x.quality_score <= 1 for x in rows) and len({(x.doc_id, x.quality_score) for x in rows}) == 4
+    assert quality.fit(docs, labels.where("quality = 1")) is None and quality.fit(docs, labels.limit(0)) is None
+
+
+def brute_logits(model, text, lang, source):
+    """Both views of one text, word by word in plain Python, without the hashes' vector code."""
+    raw, off = strings(pa.array([text or ""]))
+    hashes = words(raw, off).hash.tolist()
+    spelt = re.findall(rb"[^\x20\x09-\x0D]+", bytes(raw))
+    kind = lambda c: 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 5 if c >= 128 else 3 if chr(c) in "#$%&*+/<=>@[\\]^_`{|}~!" else 4
+    evidence = 0.0
+    for k, (x, h) in enumerate(zip(spelt, hashes, strict=True)):
+        count = collections.Counter(map(kind, x))
+        shape = ((min(count[1], 2) * 3 + min(count[3], 2)) * 6 + kind(x[-1])) * 2 + (count[2] > 0)
+        evidence += model.views.content[h % quality.WORDS] + model.views.content[quality.WORDS + shape]
+        evidence += model.views.content[-1] if k and hashes[k - 1] == h else 0
+    n, size = max(len(spelt), 1), len(raw)
+    of = lambda chars: 10 * sum(chr(c) in chars for c in raw.tolist()) / max(size, 1)
+    lines = bytes(raw).count(b"\n") + 1
+    upper, digit, symbol = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*+/<=>@[\\]^_`{|}~!"
+    share = len(set(hashes)) / n
+    row = [math.log1p(size), math.log1p(len(spelt)), math.log1p(lines), math.log1p(size / lines), of(upper), of(digit), of(symbol), of("."), size / n / 10, share, share * math.log1p(len(spelt))]
+    row += [0.0] * (quality.META - len(row))
+    for name, low, wide in ((lang, 12, 12), (source, 24, 24)):
+        row[low + int(mix(np.array([quality.hash_name(name)], np.uint64))[0] % np.uint64(wide))] = 1.0
+    curve = model.views.meta
+    meta = curve.bias + sum((x - m) / s * w for x, m, s, w in zip(row, curve.mean, curve.scale, curve.weight, strict=True))
+    return model.views.bias + evidence / n, meta
+
+
+def test_quality_against_brute_force(spark, shipped):
+    docs, labels = shipped
+    model = quality.fit(docs, labels)
+    odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "", "", 0), (90003, "One one ONE two! #3 x@y.z\n\n" * 200, "xx", "y", 0), (90004, "a" * 30000, None, "z", 0), (90004, "a" * 30000, None, "z", 0)], docs.schema)
+    rows = docs.where("doc_id < 150").unionByName(odd)
+    got = {x.doc_id: x for x in quality.score(rows.withColumn("quality_score", F.lit("own")), model).collect()}
+    for x in rows.collect():
+        z = np.clip(np.array(brute_logits(model, x.text, x.lang, x.source)) * model.calibrate[:, 0] + model.calibrate[:, 1], -12, 12)
+        p = 1 / (1 + math.exp(-(z @ model.combine[:2] + model.combine[2])))
+        assert math.isclose(got[x.doc_id].quality_score, p, abs_tol=1e-9) and got[x.doc_id].keep == (p >= 0.5)
+
+
+def test_surest_texts_against_brute_force(spark, shipped):
+    """The whole unlabelled table is searched; a text counts once, however many rows hold it."""
+    docs, labels = shipped
+    model = quality.fit(docs, labels)
+    many = docs.unionByName(docs.where("doc_id < 40").select(*docs.columns)).unionByName(docs.where("doc_id < 5").crossJoin(spark.range(50)).drop("id"))
+    rows = many.select("doc_id", "text", "lang", "source").withColumn("h", F.xxhash64("text")).repartition(5)
+    known = np.sort(np.array([x.h for x in rows.where("doc_id % 9 = 0").select("h").distinct().collect()]))
+    got = collections.defaultdict(list)
+    for x in quality.surest(rows, model.views, known, (7, 20)).collect():
+        got[x.view, x.label].append((-round(x.sure, 6), x.h))
+    want = collections.defaultdict(dict)
+    for x in rows.collect():
+        if x.h not in set(known.tolist()):
+            for view, z in enumerate(brute_logits(model, x.text, x.lang, x.source)):
+                for label in (0, 1):
+                    z2 = z if label else -z
+                    if z2 > quality.SURE:
+                        want[view, label][x.h] = max(z2, want[view, label].get(x.h, z2))
+    for key, found in want.items():
+        assert sorted(got[key]) == sorted((-round(z, 6), h) for h, z in found.items())[: (7, 20)[key[1]]]
+
+
+def test_quality_learns_from_unlabelled_texts(spark):
+    """A word of junk that only unlabelled texts have beside the labelled ones' words becomes evidence by way of the
+    metadata view, which knows those texts by their source."""
+    r = random.Random(21)
+    rows, marks = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        w = [r.choice(WORDS) for _ in range(40)]
+        if bad:
+            w[::4] = ["zonk" if k >= 120 else "blah"] * 10
+        rows.append((k, " ".join(w), "en", "farm" if bad else "press", 1))
+        if k < 120:
+            marks.append((k, int(not bad)))
+    model = quality.fit(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(marks, "doc_id long, quality int"))
+    new = spark.createDataFrame([(1, "zonk stone light zonk paper glass zonk wind", "en", "other", 1), (2, "river stone light moss paper glass salt wind", "en", "other", 1)], SCHEMA)
+    out = {x.doc_id: x.content_score for x in quality.score(new, model).collect()}
+    assert out[1] < 0.3 < 0.7 < out[2]
 
 
 def test_toxicity_on_held_out_rows(spark):

@@ -33,7 +33,7 @@ def test_names_and_columns(steps):
 
 def test_quality_keeps_what_it_scores_clean(spark, sf, steps):
     model = quality.fit(steps[0], spark.read.parquet(f"{sf}/labels.parquet"))
-    want = sorted(str((r.doc_id, r.text)) for r in quality.score(steps[0], model).collect() if r.quality_score >= 0.3)
+    want = sorted(str((r.doc_id, r.text)) for r in quality.score(steps[0], model).collect() if r.quality_score >= 0.5)
     assert sorted(str((r.doc_id, r.text)) for r in steps[1].collect()) == want
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r.doc_id for r in steps[1].collect()}
