@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models, one of toxic and one of ordinary labelled texts, spell words character by character
-(UTF-8 bytes, six at most, within the word and its borders), so inflected and compounded expressions that the sample
-lacks are judged by the parts it has. The short orders, to which both classes back off, are counted over both classes
-together: an expression rare in the sample weighs the same on either side. A text's evidence is its length-normalised
+Two interpolated Kneser-Ney models, one of toxic and one of ordinary labelled texts, predict each word from the one before
+it, so expressions of several words count as such; what a pair of words leaves goes to the word alone, which is spelt
+character by character (UTF-8 bytes, six at most, within the word and its borders), so inflected and compounded expressions
+that the sample lacks are judged by the parts it has. The short orders, to which both classes back off, are counted over
+both classes together: an expression rare in the sample weighs the same on either side. A text's evidence is its length-normalised
 log-likelihood ratio (toxic over ordinary), over the whole text and over its most toxic words and window, calibrated by
 a logistic curve on labelled texts that the counts haven't seen. Only the text is read.
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.llm._arrow import PUNCT, Words, batches, mix, powers, small_batches, words
+from parchmint.llm._arrow import _Q, PUNCT, Words, batches, mix, powers, signed, small_batches, words
+from parchmint.llm._scratch import discard, stage
 
 TOXIC, ORDINARY = 2000, 4000
 ORDER, SHARED = 6, 2
@@ -30,6 +32,7 @@ FEATURES = 6
 _D = 0.75
 _BEGIN, _END = 1, 2  # bytes that can't occur in a word
 _CACHE = 1 << 18
+_FIRST = np.uint64(0x243F6A8885A308D3)
 
 
 class Spelling:
@@ -72,6 +75,17 @@ def _find(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
     return np.where(keys[k] == sought, k, -1)
 
 
+def _before(w: Words) -> np.ndarray:
+    """Hash of the word before each; of a text's first word, a fixed value."""
+    out = np.concatenate(([_FIRST], w.hash[:-1])) if len(w.hash) else w.hash
+    out[w.first[:-1][w.counts > 0]] = _FIRST
+    return out
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * _Q + word)
+
+
 class Model:
     """Log ratios of the two classes by n-gram, and of what their contexts leave to shorter ones."""
 
@@ -107,8 +121,26 @@ class Model:
             self.tables.append((keys, ratio, held[rest != 0], rest[rest != 0]))
             below = prob[at].astype(np.float32)
             gram, context = following
+        # of each word of the sample: log probability by class, in all its characters and its end
+        self.words = np.stack([np.bincount(spelling.word, np.log(below[:, c].astype(float)), len(counts)) for c in (0, 1)], 1)
+        self.pairs = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.after = np.zeros(0, np.uint64), np.zeros(0, np.float32)
         self.curve: np.ndarray | None = None
 
+    def follow(self, before: np.ndarray, word: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Add the pairs of words: hash of the first, index of the second (of ``hashes``), (toxic, ordinary) counts."""
+        held, of = np.unique(before, return_inverse=True)
+        total = np.stack([np.bincount(of, counts[:, c], len(held)) for c in (0, 1)], 1)
+        kinds = np.stack([np.bincount(of, counts[:, c] > 0, len(held)) for c in (0, 1)], 1)
+        left = np.where(total > 0, _D * kinds / np.maximum(total, 1), 1.0)
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(counts - _D, 0) / np.maximum(total[of], 1))
+        prob = np.logaddexp(own, np.log(left[of]) + self.words[word])
+        key = _pair(before, hashes[word])
+        order = np.argsort(key)
+        self.pairs = key[order], (prob[:, 0] - prob[:, 1])[order].astype(np.float32)
+        self.after = held, np.log(left[:, 0] / left[:, 1]).astype(np.float32)
+
     def spell(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log ratio of each word, in all its characters and its end."""
         s = Spelling(data, start, end)
@@ -125,7 +157,7 @@ class Model:
         return np.bincount(s.word, out, len(start))
 
     def ratios(self, w: Words, cache: dict) -> np.ndarray:
-        """Each word's log ratio; ``cache`` keeps those of words seen before (``_CACHE`` at most)."""
+        """Each word's log ratio behind the one before it; ``cache`` keeps those of words by themselves (``_CACHE`` at most)."""
         distinct, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
         keys, values = cache.get("keys", np.zeros(0, np.uint64)), cache.get("values", np.zeros(0))
         k = _find(keys, distinct)
@@ -138,7 +170,14 @@ class Model:
             keys, values = np.append(keys, distinct[new]), np.append(values, ratio[new])
             order = np.argsort(keys)
             cache["keys"], cache["values"] = keys[order], values[order]
-        return ratio[at]
+        out, before = ratio[at], _before(w)
+        held, left = self.after
+        k = _find(held, before)
+        out[k >= 0] += left[k[k >= 0]]
+        keys, values = self.pairs
+        k = _find(keys, _pair(before, w.hash))
+        out[k >= 0] = values[k[k >= 0]]
+        return out
 
     def features(self, w: Words, cache: dict) -> np.ndarray:
         """One row a document: mean ratio by character, by word, of the worst window and of the worst 1 and 4 words, log length."""
@@ -203,35 +242,49 @@ def sample(labels: DataFrame, label: str, row_id: str, learn, most: dict[int, in
 
 def fit(docs: DataFrame, labels: DataFrame, learn, row_id: str = "doc_id", text: str = "text", most: dict[int, int] | None = None) -> Model | None:
     """A model and its curve from labelled rows that ``learn`` (a condition on ``row_id``) allows; None without both
-    classes. A fifth of the sample, chosen by id, is for the curve and is not counted."""
+    classes, as for an empty table. A fifth of the sample, chosen by id, is for the curve and is not counted. Null texts
+    hold no word; rows that share an id and a text count once; other columns, whatever their names, are left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = spark.createDataFrame(sample(labels, "toxic", row_id, learn, most or {1: TOXIC, 0: ORDINARY}).toArrow())
-    rows = docs.select(row_id, text).join(F.broadcast(chosen), row_id).withColumn("tune", F.pmod(F.xxhash64(F.col(row_id), F.lit(5)), F.lit(5)) == 0)
+    chosen = spark.createDataFrame(sample(labels, "toxic", row_id, learn, most or {1: TOXIC, 0: ORDINARY}).withColumnRenamed(row_id, "id").toArrow())
+    rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").distinct()
+    rows = rows.withColumn("tune", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["v", "h", "w", "t", "o"]
         for batch in it:
             y = batch.column(batch.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
-            for i, j, raw, off in batches(batch, text):
+            for i, j, raw, off in batches(batch, "text"):
                 w = words(raw, off, PUNCT)
-                distinct, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
                 toxic = np.repeat(y[i:j] == 1, w.counts)
-                t, o = (np.bincount(at, x, len(distinct)).astype(np.int64) for x in (toxic, ~toxic))
+                both = lambda at, n: (pa.array(np.bincount(at, x, n).astype(np.int64)) for x in (toxic, ~toxic))  # noqa: B023, E731
+                distinct, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
                 spelt = [bytes(w.data[a:z]) for a, z in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(spelt, pa.binary()), pa.array(t), pa.array(o)], ["w", "t", "o"])
-
-    counts = rows.where("NOT tune").mapInArrow(count, "w binary, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy("w").toArrow()
-    n = np.stack([counts["t"].to_numpy(), counts["o"].to_numpy()], 1).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(distinct), pa.int64()), pa.array(signed(distinct)), pa.array(spelt, pa.binary()), *both(at, len(distinct))], names)
+                before = _before(w)
+                key, first, at = np.unique(_pair(before, w.hash), return_index=True, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(before[first])), pa.array(signed(w.hash[first])), pa.nulls(len(key), pa.binary()), *both(at, len(key))], names)
+
+    counted = rows.where("NOT tune").mapInArrow(count, "v long, h long, w binary, t long, o long").groupBy("v", "h", "w").agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o"))
+    counted = stage(counted, "toxicity-counts")
+    table = counted.where("v IS NULL").select("h", "w", "t", "o").orderBy("w").toArrow()
+    n = np.stack([table["t"].to_numpy(), table["o"].to_numpy()], 1).astype(float)
     if not len(n) or not n.sum(0).all():
         return None
-    spelt = counts["w"].to_pylist()
+    spelt = table["w"].to_pylist()
     ends = np.cumsum([len(x) for x in spelt])
     model = Model(Spelling(np.frombuffer(b"".join(spelt), np.uint8), ends - [len(x) for x in spelt], ends), n)
+    hashes = table["h"].to_numpy().view(np.uint64)
+    table = counted.where("v IS NOT NULL").select("v", "h", "t", "o").orderBy("v", "h").toArrow()
+    order = np.argsort(hashes)
+    at = order[np.searchsorted(hashes[order], table["h"].to_numpy().view(np.uint64))]
+    model.follow(table["v"].to_numpy().view(np.uint64), at, hashes, np.stack([table["t"].to_numpy(), table["o"].to_numpy()], 1).astype(float))
+    discard(counted)
 
     def tune(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in it:
-            x = [model.features(words(raw, off, PUNCT), cache) for _, _, raw, off in batches(batch, text)]
+            x = [model.features(words(raw, off, PUNCT), cache) for _, _, raw, off in batches(batch, "text")]
             y = batch.column(batch.schema.get_field_index("y"))
             yield pa.RecordBatch.from_arrays([y, *(pa.array(np.concatenate([v[:, k] for v in x]) if x else [], pa.float64()) for k in range(FEATURES))], ["y", *names])
 

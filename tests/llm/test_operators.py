@@ -795,17 +795,118 @@ def test_a_word_seen_once_is_evidence():
     assert once > 3 and abs(plain) < 1
 
 
-def test_spelling_model_is_a_distribution():
-    """Over all next bytes the probabilities of a context sum to one in each class (ratios are of real likelihoods)."""
-    spelt = [b"stone", b"stones", b"glass", b"glow"] * 3 + [b"stoned"]
-    ends = np.cumsum([len(x) for x in spelt])
-    s = toxicity.Spelling(np.frombuffer(b"".join(spelt), np.uint8), ends - [len(x) for x in spelt], ends)
-    n = np.tile([[2.0, 1.0]], (len(spelt), 1))
-    m = toxicity.Model(s, n)
-    w = words(*strings(pa.array(["stone glass"])))
-    assert np.isfinite(m.spell(w.data, w.start, w.end)).all()
-    # the same counts in proportion say nothing about the class
-    assert abs(m.spell(w.data, w.start, w.end)).max() < 2.5
+class BruteToxicity:
+    """Both classes' models from their definition, with dictionaries of n-grams, one class and one n-gram at a time."""
+
+    def __init__(self, texts):  # (words of a text, toxic) pairs
+        self.words = collections.defaultdict(lambda: [0, 0])
+        self.pairs = collections.defaultdict(lambda: [0, 0])
+        for ws, toxic in texts:
+            for v, w in zip([None, *ws], ws):
+                self.words[w][0 if toxic else 1] += 1
+                self.pairs[v, w][0 if toxic else 1] += 1
+        top, reaches = toxicity.ORDER, {}
+        found = [{} for _ in range(top + 1)]  # n-gram: occurrences by class
+        for w, c in self.words.items():
+            s = (toxicity._BEGIN, *w, toxicity._END)
+            for i in range(1, len(s)):
+                for k in range(1, top + 1):
+                    g = s[max(0, i + 1 - k) : i + 1]
+                    reaches[k, g] = reaches.get((k, g), False) or i + 1 - k <= 0
+                    old = found[k].get(g, (0, 0))
+                    found[k][g] = (old[0] + c[0], old[1] + c[1])
+        self.counts = [None] * (top + 1)
+        self.counts[top] = {g: list(c) for g, c in found[top].items()}
+        for k in range(1, top):
+            own = {}
+            for g, c in found[k].items():
+                own[g] = [0, 0]
+            for w, c in self.words.items():  # n-grams that reach back to the beginning count by occurrence
+                s = (toxicity._BEGIN, *w, toxicity._END)
+                for i in range(1, len(s)):
+                    if i + 1 - k <= 0:
+                        for x in (0, 1):
+                            own[s[: i + 1]][x] += c[x]
+            for g, c in found[k + 1].items():  # others once for each longer one
+                if len(g) == k + 1:
+                    for x in (0, 1):
+                        own[g[1:]][x] += c[x] > 0
+            if k <= toxicity.SHARED:
+                own = {g: [sum(c)] * 2 for g, c in own.items()}
+            self.counts[k] = own
+
+    def byte(self, s, i, x, k=None):
+        """Probability of byte i of a spelt word under class x."""
+        k = toxicity.ORDER if k is None else k
+        if not k:
+            return 1 / 256
+        low = max(0, i + 1 - k)
+        context, g = s[low:i], s[low : i + 1]
+        same = {h: c[x] for h, c in self.counts[k].items() if h[:-1] == context and len(h) == len(g)}
+        total = sum(same.values())
+        shorter = self.byte(s, i, x, k - 1)
+        if not total:
+            return shorter
+        d = toxicity._D
+        return max(same.get(g, 0) - d, 0) / total + d * sum(c > 0 for c in same.values()) / total * shorter
+
+    def word(self, w, x):
+        s = (toxicity._BEGIN, *w, toxicity._END)
+        return math.prod(self.byte(s, i, x) for i in range(1, len(s)))
+
+    def ratio(self, v, w):
+        out = []
+        for x in (0, 1):
+            same = {b: c[x] for (a, b), c in self.pairs.items() if a == v}
+            total, p, d = sum(same.values()), self.word(w, x), toxicity._D
+            out.append(max(same.get(w, 0) - d, 0) / total + d * sum(c > 0 for c in same.values()) / total * p if total else p)
+        return math.log(out[0] / out[1])
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every word's log ratio, in its place, of known and unknown words and pairs; then the features and the score."""
+    r = random.Random(17)
+    known = ["stone", "stones", "glass", "you", "are", "grem", "gremlord", "snot", "\u00e9t\u00e9"]
+    texts = [(k, " ".join(r.choice(known[:5] if k % 3 else known) for _ in range(r.randrange(1, 9))), int(k % 3 == 0)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string").withColumn("y", F.lit("own")).withColumn("tune", F.lit("own"))
+    model = toxicity.fit(docs, spark.createDataFrame([(k, y) for k, _, y in texts], "doc_id long, toxic int"), F.lit(True))
+    tuned = {x.doc_id for x in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).collect()}
+    brute = BruteToxicity([([w.encode() for w in t.split()], y) for k, t, y in texts if k not in tuned])
+    new = ["you are gremlord", "snot stones glass", "gremlords stone unknown you", "are are are you", "x", "", None, "\u00e9t\u00e9 stone", "You, ARE: snot!", "you are gremlord", "z" * 3000 + " snot"]
+    rows = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string").withColumn("score", F.lit("own"))
+    got = {x.doc_id: x for x in toxicity.score(rows, model).collect()}
+    assert len(got) == len(new)
+    for k, t in enumerate(new[:-1]):
+        ws = [x.encode() for x in re.findall(r"[a-z0-9\u0080-\uffff]+", (t or "").lower())]
+        ratios = [brute.ratio(v, w) for v, w in zip([None, *ws], ws)]
+        own = words(*strings(pa.array([t or ""])), toxicity.PUNCT)
+        assert np.allclose(model.ratios(own, {}), ratios, atol=1e-4)
+        n, chars = max(len(ws), 1), max(sum(len(w) + 1 for w in ws), 1)
+        best = sorted(ratios, reverse=True)[:4]
+        x = [sum(ratios) / chars, sum(ratios) / n, sum(ratios) / n, best[0] if best else 0, sum(best) / 4, math.log1p(len(ws)), 1.0]
+        p = 1 / (1 + math.exp(-float(np.dot(x, model.curve))))
+        assert math.isclose(got[k].score, p, abs_tol=1e-4) and got[k].predicted == int(got[k].score >= 0.5)
+    assert got[0].score == got[9].score and got[5].score == got[6].score
+    # the definition is a distribution: all bytes that may follow a context add up to one, in each class
+    for context in ((toxicity._BEGIN,), (toxicity._BEGIN, *b"st"), (toxicity._BEGIN, *b"gremlo"), (toxicity._BEGIN, *b"qq")):
+        for x in (0, 1):
+            assert math.isclose(sum(brute.byte((*context, b), len(context), x) for b in range(256)), 1, rel_tol=1e-9)
+
+
+def test_expressions_of_several_words_count(spark):
+    """Two harmless words that are toxic together only."""
+    r = random.Random(23)
+    rows = []
+    for k in range(900):
+        w = [r.choice(WORDS) for _ in range(20)]
+        at = r.randrange(18)
+        w[at : at + 2] = ["paper", "moss"] if k % 3 == 0 else ["moss", "paper"] if k % 3 == 1 else w[at : at + 2]
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int"), ~toxicity.held_out())
+    w = words(*strings(pa.array(["paper moss", "moss paper"])), toxicity.PUNCT)
+    ratio = model.ratios(w, {})
+    assert ratio[1] > 1.5 > ratio[3]
 
 
 # --- URL filters ---------------------------------------------------------------------------------------------------
