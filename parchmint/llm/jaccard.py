@@ -9,13 +9,17 @@ overlap, are accumulated in full and compared exactly.
 
 * Order: shingles that many documents share (found by counting in every task) stand last, the others by hash. The order
   decides only how much is compared, never the result.
-* Equal sets are one row of the matrix (64-bit signature of the set), whatever the number of copies.
+* Equal sets are one row of the matrix, whatever the number of copies. A row is named by a 64-bit signature of its set; a
+  second one tells whether two sets share a name, and the few that do (by birthday, n**2 / 2**65) are named anew.
 * Within a column, rows are first compared with the one that shares most of its prefix (near copies' common source, or
   the least changed of them), and links are closed to components. What lies in different components of a column is then
   compared in full: long columns by dense blocks of rows times rows, which give one link for each two components; short
   ones as pairs, of which those are discarded whose overlap over the prefixes and sizes rule a link out. So no link
   between components is missed, and a group of thousands of near copies is never spelled out as pairs.
-* Columns of shared shingles are salted, so no task gets all rows of a hot group.
+* Columns of shared shingles are salted by their counts, so no task gets all rows of a hot group. A shingle is shared if
+  some ``_WINDOW`` of a task's shingles holds it ``SHARED_LOCAL`` times; of one that is spread more thinly a column has at
+  most ``SHARED_LOCAL - 1`` rows for each window (some 12 MB of text), and one beyond the ``SHARED_MOST`` most shared has no
+  more than a ``SHARED_MOST``-th of all shared occurrences.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parchmint.llm._arrow import Words, batches, mix, ngrams, signed, small_batches, words
+from parchmint.llm._arrow import Words, batches, ddl, mix, ngrams, signed, small_batches, words
 from parchmint.llm._scratch import discard, stage, sweep
 
 SHINGLE = 5
@@ -35,8 +40,9 @@ SHINGLE = 5
 #: steer the order of comparison.
 SHARED_LOCAL, SHARED_MOST = 4, 1 << 18
 _WINDOW = 1 << 21
-#: Sub-columns of a shared shingle.
-SALTS = 64
+_RENAME = np.uint64(0x8EBC6AF09C88C6E3)
+#: Sub-columns of a shared shingle: at least so many, and one more for so many occurrences.
+SALTS, SALT_ROWS = 64, 50_000
 #: Bits of the filter that tells which rows are compared in full, at most.
 FILTER_BITS = 1 << 27
 #: Columns of so many rows are multiplied in dense blocks of so many rows by as many.
@@ -66,42 +72,72 @@ def _fold(h: np.ndarray) -> int:
     return out
 
 
-def signatures(doc: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(size, 64-bit signature) of each document's set."""
+Clash = tuple[np.ndarray, np.ndarray]
+
+
+def signatures(doc: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, name, second signature) of each document's set, 64 bits each."""
     first = np.searchsorted(doc, np.arange(n + 1))
-    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(gram ^ np.uint64(0xA0761D6478BD642F)))))
     size = np.diff(first)
-    return size, mix((total[first[1:]] - total[first[:-1]]) ^ size.astype(np.uint64))
+
+    def of(salt: int) -> np.ndarray:
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix(gram ^ np.uint64(salt)))))
+        return mix((total[first[1:]] - total[first[:-1]]) ^ size.astype(np.uint64))
+
+    return size, of(0xA0761D6478BD642F), of(0xE7037ED1A0B428DB)
+
+
+def _renamed(node: np.ndarray, check: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """Names of sets; those whose name is in ``clash`` (sorted) get one of their second signature."""
+    if not len(clash):
+        return node
+    k = np.minimum(np.searchsorted(clash, node), len(clash) - 1)
+    return np.where(clash[k] == node, mix(check + _RENAME), node)
+
+
+def _named(doc: np.ndarray, gram: np.ndarray, n: int, clash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size, node, check = signatures(doc, gram, n)
+    return size, _renamed(node, check, clash)
 
 
 def _sets(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Rows ``id, n, node`` for documents and ``gram, times`` for shingles that a task found shared."""
+    """Rows ``id, n, node, sign`` for documents and ``gram, times`` for shingles that a task found shared by different
+    sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: set[int] = set()
+        names = ["id", "n", "node", "sign", "gram", "times"]
 
         def shared() -> pa.RecordBatch:
             gram, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             some = times >= SHARED_LOCAL
-            k = int(some.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(signed(gram[some])), pa.array(times[some])], ["id", "n", "node", "gram", "times"])
+            none = pa.nulls(int(some.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), none, none, none, pa.array(signed(gram[some])), pa.array(times[some])], names)
 
         for batch in it:
-            for i, j, raw, off in batches(batch, text):
+            for i, j, raw, off in batches(batch, "text"):
                 doc, gram = shingles(words(raw, off))
-                size, node = signatures(doc, gram, j - i)
-                held.append(gram)
-                k = j - i
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k), pa.array(size), pa.array(signed(node)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["id", "n", "node", "gram", "times"])
+                size, node, check = signatures(doc, gram, j - i)
+                held.append(gram[_fresh(node, seen)[doc]])
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(signed(node)), pa.array(signed(check)), none, none], names)
                 if sum(map(len, held)) > _WINDOW:
                     yield shared()
         if held:
             yield shared()
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(row_id).cast("long").alias("id"), text)
-    return rows.mapInArrow(run, "id long, n long, node long, gram long, times long")
+    rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
+    kind = rows.limit(0).toArrow().schema.field("id").type
+    return rows.mapInArrow(run, f"{ddl(rows, 'id')}, n long, node long, sign long, gram long, times long")
+
+
+def _clashes(rows: DataFrame) -> np.ndarray:
+    """Names that different sets share, sorted: one aggregation; by birthday few at any size."""
+    both = rows.where("n > 0").groupBy("node").agg(F.min("sign").alias("a"), F.max("sign").alias("z")).where("a <> z").select("node").toArrow()
+    return np.sort(both["node"].to_numpy().view(np.uint64))
 
 
 def _fresh(node: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -116,16 +152,18 @@ def _fresh(node: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, text: str, shared: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``gram, node, size`` (``n << 32 | position << 1 | shared``) for the longest prefix that any partner asks for."""
+def _prefixes(docs: DataFrame, text: str, shared: tuple[np.ndarray, np.ndarray], clash: np.ndarray) -> DataFrame:
+    """``gram, node, size`` (``n << 32 | position << 1 | shared``) ``, salt`` for the longest prefix that any partner asks
+    for."""
     keys, rank = shared
+    salts = np.maximum(SALTS, -(-rank // SALT_ROWS)).astype(np.uint64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets that this task has given; forgotten when it grows long
         for batch in it:
             for i, j, raw, off in batches(batch, text):
                 doc, gram = shingles(words(raw, off))
-                size, node = signatures(doc, gram, j - i)
+                size, node = _named(doc, gram, j - i, clash)
                 pick = _fresh(node, seen)[doc]
                 doc, gram = doc[pick], gram[pick]
                 k = np.searchsorted(keys, gram)
@@ -142,9 +180,11 @@ def _prefixes(docs: DataFrame, text: str, shared: tuple[np.ndarray, np.ndarray])
                     at[some] = early[end] - early[first[some]] + np.arange(len(some)) - np.searchsorted(doc[some], doc[some])
                 keep = at <= n - (4 * n + 4) // 5
                 value = (n[keep].astype(np.int64) << 32) | (at[keep] << 1) | late[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(gram[keep])), pa.array(signed(node[doc[keep]])), pa.array(value)], ["gram", "node", "size"])
+                salt = np.zeros(len(gram), np.uint64)
+                salt[some] = mix(node[doc[some]]) % salts[k[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(gram[keep])), pa.array(signed(node[doc[keep]])), pa.array(value), pa.array(salt[keep].astype(np.int32))], ["gram", "node", "size", "salt"])
 
-    return docs.select(text).mapInArrow(run, "gram long, node long, size long")
+    return docs.select(text).mapInArrow(run, "gram long, node long, size long, salt int")
 
 
 def _may_link(a: str, b: str) -> str:
@@ -190,7 +230,7 @@ class _Filter:
         return out
 
 
-def _rows_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+def _rows_of(docs: DataFrame, text: str, nodes: DataFrame, clash: np.ndarray) -> DataFrame:
     """``node, grams`` (the whole set) of the named rows of the matrix, once each."""
     wanted = _Filter(nodes, nodes.count())
 
@@ -199,7 +239,7 @@ def _rows_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
         for batch in it:
             for i, j, raw, off in batches(batch, text):
                 doc, gram = shingles(words(raw, off))
-                size, node = signatures(doc, gram, j - i)
+                size, node = _named(doc, gram, j - i, clash)
                 d = np.flatnonzero(wanted.holds(node) & (size > 0))
                 d = d[_fresh(node[d], seen)]
                 first = np.searchsorted(doc, np.arange(j - i + 1))
@@ -211,17 +251,16 @@ def _rows_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     return found.dropDuplicates(["node"])  # the filter's few strangers do no harm
 
 
-def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, text: str, pairs: DataFrame, clash: np.ndarray) -> DataFrame:
     """The pairs ``a, b`` that link, by their full overlap."""
     pairs = stage(pairs.select("a", "b"), "jaccard-chosen")
     nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
-    rows = _rows_of(docs, text, nodes)  # dealt by node once: both joins read the same exchange
+    rows = _rows_of(docs, text, nodes, clash)  # dealt by node once: both joins read the same exchange
     one = pairs.join(rows.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     both = one.join(rows.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     both = both.withColumn("same", F.size(F.array_intersect("ga", "gb"))).where("5 * same >= 4 * (size(ga) + size(gb) - same)")
     links = stage(both.select("a", "b"), "jaccard-links")
-    for df in (nodes, pairs):
-        discard(df)
+    discard(nodes, pairs)
     sweep(docs.sparkSession)
     return links
 
@@ -238,42 +277,54 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select("u", "m")).distinct()
-        edges = stage(small, name)
+        small = stage(small, name)
+        discard(edges, large)
+        edges = small
         # done when every node points straight at a root
         if edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and not edges.groupBy("a").count().where("count > 1").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
 
 
-def linked(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows ``id, n, node`` of all documents; ``node, component_id`` of every set that isn't empty).
+def linked(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(rows ``id, n, node`` of all documents; ``node, component_id, main`` of every set that isn't empty; names that were
+    given anew).
 
-    Null and empty texts have the empty set. Rows of equal sets are one node, whatever their ids; a component's id is the
-    least id of its documents (null where none has one). An empty table gives empty tables.
+    Null and empty texts have the empty set. Rows of equal sets are one node, whatever their ids, which may be of any type
+    that has an order; a component's id is the least id of its documents (null where none has one), ``main`` a set that has
+    it. An empty table gives empty tables.
     """
     found = stage(_sets(docs, row_id, text), "jaccard-documents")
-    rows = found.where("node IS NOT NULL").select("id", "n", "node")
+    rows = found.where("node IS NOT NULL").select("id", "n", "node", "sign")
+    clash = _clashes(rows)
+    if len(clash):
+
+        def rename(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                node, sign = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signed(_renamed(node, sign, clash))), batch.column(3)], batch.schema.names)
+
+        rows = rows.mapInArrow(rename, rows.schema)
+    rows = rows.drop("sign")
     top = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(SHARED_MOST).toArrow()
     keys, times = top["gram"].to_numpy().view(np.uint64), top["times"].to_numpy()
     order = np.argsort(keys)
-    entries = _prefixes(docs, text, (keys[order], times[order]))
-    # columns with more than one row; a shared shingle's column is dealt to SALTS tasks and kept whole. Copies of a set that
-    # several tasks gave stand side by side
-    salt = F.when(F.col("size") % 2 == 1, F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    entries = _prefixes(docs, text, (keys[order], times[order]), clash)
+    # columns with more than one row; copies of a set that several tasks gave stand side by side
     column = Window.partitionBy("gram", "salt").orderBy("n", "node")
-    entries = entries.withColumns({"salt": salt, "n": F.shiftright("size", 32).cast("int")})
+    entries = entries.withColumn("n", F.shiftright("size", 32).cast("int"))
     entries = entries.withColumns({"less": F.lag(F.struct("n", "node")).over(column), "more": F.lead(F.struct("n", "node")).over(column), "lo": F.min("node").over(Window.partitionBy("gram", "salt")), "hi": F.max("node").over(Window.partitionBy("gram", "salt"))})
     # rows stand by size: one whose neighbours are both out of its reach links with nothing in this column
     near = "lo < hi AND (5 * less.n >= 4 * n OR 5 * n >= 4 * more.n) OR size % 2 = 1"
     entries = entries.where(f"(less IS NULL OR less.node <> node) AND ({near})")
-    entries = stage(entries.select("gram", "node", "n", F.expr("CAST((size & 4294967295L) >> 1 AS int)").alias("p"), F.expr("CAST(size & 1 AS boolean)").alias("shared")), "jaccard-columns")
+    entries = stage(entries.select("gram", "node", "n", F.expr("CAST((size & 4294967295L) >> 1 AS int)").alias("p"), F.expr("CAST(size & 1 AS boolean)").alias("shared"), "salt"), "jaccard-columns")
     sweep(docs.sparkSession)
-    roots = _closed(None, _verified(docs, text, _star(entries)))
+    roots = _closed(None, _verified(docs, text, _star(entries), clash))
     cells = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     cells = _open(cells)
     long = cells.where(F.col("rows") >= BLOCK_ROWS)
     if not long.isEmpty():
         long = stage(long, "jaccard-long")
-        was, roots = roots, _closed(roots, _product(docs, text, long))
+        was, roots = roots, _closed(roots, _product(docs, text, long, clash))
         if roots is not None:
             # components that have become one
             old = roots.withColumnRenamed("root", "new")
@@ -285,15 +336,18 @@ def linked(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple
         cells = cells.join(done, "node", "left").withColumn("done", F.coalesce("done", F.lit(0)))
     else:
         cells = cells.withColumn("done", F.lit(0))
-    roots = _closed(roots, _verified(docs, text, _cross(cells.where(F.col("rows") < BLOCK_ROWS))))
+    roots = _closed(roots, _verified(docs, text, _cross(cells.where(F.col("rows") < BLOCK_ROWS)), clash))
 
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least")), "jaccard-classes")
     if roots is None:
-        return rows, stage(classes.select("node", F.col("least").alias("component_id")), "jaccard-components")
-    classes = stage(classes, "jaccard-classes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = stage(classes, "jaccard-classes")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, stage(classes.join(stage(least, "jaccard-least"), "root").select("node", "component_id"), "jaccard-components")
+        return rows, classes.select("node", F.col("least").alias("component_id"), F.col("node").alias("main")), clash
+    joined = stage(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-classes")
+    # the least id, nulls last, and of the sets that have it the least name
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    least = stage(joined.groupBy("root").agg(first.alias("m")).select("root", F.col("m.least").alias("component_id"), F.col("m.node").alias("main")), "jaccard-least")
+    out = stage(joined.join(least, "root").select("node", "component_id", "main"), "jaccard-components")
+    discard(classes, joined, least, entries)
+    return rows, out, clash
 
 
 def _closed(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -323,8 +377,7 @@ def _star(cells: DataFrame) -> DataFrame:
     first: unshared shingles stand before, so it is the least changed one."""
     # sizes within a factor of 1.3 stand together
     kind = F.floor(F.log(1.3, F.col("n").cast("double"))).cast("int")
-    salt = F.when(F.col("shared"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    cells = cells.withColumns({"kind": kind, "salt": salt})
+    cells = cells.withColumn("kind", kind)
     me, first = F.struct("node", "n", "p"), [F.col("p") / F.col("n"), "node"]
     led = lambda rows, *by: rows.withColumn("lead", F.first(me).over(Window.partitionBy(*by).orderBy(*first)))
     # leaders of a shared shingle's sub-columns are compared with the first of them
@@ -352,7 +405,7 @@ def _cross(cells: DataFrame) -> DataFrame:
     return c.where("c + d + ((4 * n1 + 4) div 5) - 1 >= ((4 * (n1 + n2) + 8) div 9)").select("a", "b")
 
 
-def _product(docs: DataFrame, text: str, cells: DataFrame) -> DataFrame:
+def _product(docs: DataFrame, text: str, cells: DataFrame, clash: np.ndarray) -> DataFrame:
     """Links between components among rows that meet in long columns. Columns that share rows make a cluster; its rows
     outside their column's largest component are multiplied with all its rows of like size, ``BLOCK`` by ``BLOCK``, and every block's
     overlaps are accumulated over the whole sets. A task holds two blocks whatever the cluster's size, and gives one link
@@ -369,7 +422,7 @@ def _product(docs: DataFrame, text: str, cells: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     right = rows.withColumnRenamed("kind", "t").join(grid, ["cluster", "t"]).select("cluster", "k", "t", "node", "root", F.lit(False).alias("left"), number("n_all").alias("j"), every("n_stray").alias("i"))
     left = rows.where("stray").withColumnRenamed("kind", "k").join(grid, ["cluster", "k"]).select("cluster", "k", "t", "node", "root", F.lit(True).alias("left"), number("n_stray").alias("i"), every("n_all").alias("j"))
-    sets = stage(_rows_of(docs, text, rows.select("node")), "jaccard-sets")
+    sets = stage(_rows_of(docs, text, rows.select("node"), clash), "jaccard-sets")
     both = right.unionByName(left).join(sets, "node").select("cluster", "k", "t", "i", "j", "node", "root", "left", "grams")
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -411,25 +464,42 @@ def _product(docs: DataFrame, text: str, cells: DataFrame) -> DataFrame:
 
 
 def with_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each of ``docs``: ``row_id, n_shingles, component_id``; an empty set's component is its own id."""
-    rows, classes = linked(docs, row_id, text)
+    """One row for each of ``docs``: ``row_id, n_shingles, component_id``; an empty set's component is its own id. Nulls,
+    empty texts, repeated rows and empty tables as ``linked`` says; other columns, whatever their names, are left out."""
+    rows, classes, _ = linked(docs, row_id, text)
     some = rows.where("n > 0").join(classes, "node").select("id", "n", "component_id")
     none = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.unionAll(none).select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one whose id is the component's. Of rows that share
-    an id one stays; rows without an id stay, since nothing tells them apart."""
-    rows = stage(with_components(docs, row_id, text), "jaccard-kept")
-    gone = stage(rows.where(F.col("component_id") != F.col(row_id)).select(row_id).distinct(), "jaccard-dropped")
-    kept = docs.join(gone, row_id, "left_anti")
-    twice = rows.where(F.col(row_id).isNotNull()).groupBy(row_id).count().where("count > 1").select(row_id)
-    if twice.isEmpty():
-        return kept
-    again = stage(twice, "jaccard-repeated")
-    once = kept.join(again, row_id, "left_semi").dropDuplicates([row_id])
-    return kept.join(again, row_id, "left_anti").unionByName(once)
+    """``docs``, all columns, with one document of each component: one that has the component's least id (a row without an
+    id only if none of its component has one). Rows of different components stay whatever ids they share; empty texts,
+    which link with nothing, all stay; of rows equal in id and shingles one stays."""
+    rows, classes, clash = linked(docs, row_id, text)
+    own = docs.select("*", F.col(row_id).alias("__id"), F.col(text).alias("__text")).drop("__node")
+
+    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, j, raw, off in batches(batch, "__text"):
+                doc, gram = shingles(words(raw, off))
+                size, node = _named(doc, gram, j - i, clash)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(signed(node), mask=size == 0)], schema.names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())])
+    named = own.mapInArrow(sign, schema)
+    kept = stage(classes.where("node = main").select(F.col("node").alias("__node"), F.col("component_id").alias("__least")), "jaccard-kept")
+    # sets of which one id has several rows: these, and no others, are cut to one
+    again = rows.where("n > 0").groupBy("node", "id").count().where("count > 1").select(F.col("node").alias("__node"))
+    again = stage(again.distinct(), "jaccard-repeated")
+    # an inner join: what isn't kept has no partner (the texts are dealt by node once)
+    full = named.where("__node IS NOT NULL").join(kept, "__node").where(F.col(row_id).eqNullSafe(F.col("__least"))).drop("__least")
+    empty = docs.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    if again.isEmpty():
+        return full.select(*docs.columns).unionAll(empty)
+    once = full.join(again, "__node", "left_semi").dropDuplicates(["__node"])
+    return full.join(again, "__node", "left_anti").unionByName(once).select(*docs.columns).unionAll(empty)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

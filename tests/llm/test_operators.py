@@ -547,8 +547,7 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
-    sets = [(i, shingle_set(t)) for i, t in rows]
+def brute_roots(sets):
     root = list(range(len(sets)))
 
     def find(x):
@@ -558,14 +557,19 @@ def brute_components(rows):
 
     for x in range(len(sets)):
         for y in range(x):
-            a, b = sets[x][1], sets[y][1]
+            a, b = sets[x], sets[y]
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 root[find(x)] = find(y)
-    least = {}
-    for x, (i, s) in enumerate(sets):
+    return [find(x) for x in range(len(sets))]
+
+
+def brute_components(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    root, least = brute_roots(sets), {}
+    for (i, _), s, c in zip(rows, sets, root, strict=True):
         if s and i is not None:
-            least[find(x)] = min(i, least.get(find(x), i))
-    return sorted(((i, len(s), least.get(find(x)) if s else i) for x, (i, s) in enumerate(sets)), key=str)
+            least[c] = min(i, least.get(c, i))
+    return sorted(((i, len(s), least.get(c) if s else i) for (i, _), s, c in zip(rows, sets, root, strict=True)), key=str)
 
 
 @pytest.mark.parametrize(("rows", "block"), [(48, 256), (3, 4), (2, 256)])
@@ -589,11 +593,42 @@ def test_components_against_brute_force(spark, docs, monkeypatch, rows, block):
 
 
 def test_one_of_each_component(spark, docs):
-    kept = jaccard.one_of_each(docs)
-    assert kept.columns == docs.columns
-    want = {c for i, _, c in brute_components([(x.doc_id, x.text) for x in docs.collect()]) if i is not None}
-    ids = [x.doc_id for x in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+    # different texts under one id, near copies without an id, and a component of rows without ids
+    lone = "these words stand in rows that have no id and no partner with one"
+    more = [(1, "one text under this id of its own kind", "en", "s", 1), (1, "another text under this id quite unlike", "en", "s", 1), (None, corpus()[7][1], "en", "s", 1), (None, lone, "en", "s", 1), (None, lone, "de", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(more, SCHEMA)).withColumn("component_id", F.lit("own"))
+    for kind in ("long", "string"):
+        rows = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        kept = jaccard.one_of_each(rows)
+        assert kept.columns == rows.columns
+        all_ = [(x.doc_id, x.text) for x in rows.collect()]
+        got = [(x.doc_id, x.text) for x in kept.collect()]
+        sets = [shingle_set(t) for _, t in all_]
+        root = brute_roots(sets)
+        assert sum(not shingle_set(t) for _, t in got) == sum(not s for s in sets)
+        left = collections.Counter(root[all_.index(x)] for x in got if shingle_set(x[1]))
+        assert left == collections.Counter({root[k] for k, s in enumerate(sets) if s})
+        for i, t in got:
+            if shingle_set(t):
+                group = [all_[k][0] for k in range(len(all_)) if root[k] == root[all_.index((i, t))] and sets[k]]
+                assert i == min((x for x in group if x is not None), default=None)
+
+
+def test_names_that_clash_are_given_anew(spark, docs, monkeypatch):
+    plain = jaccard.signatures
+    monkeypatch.setattr(jaccard, "signatures", lambda *a: (lambda n, node, sign: (n, node & np.uint64(15), sign))(*plain(*a)))
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.with_components(docs).collect()), key=str)
+    assert got == brute_components([(x.doc_id, x.text) for x in docs.collect()])
+
+
+def test_a_shingle_that_each_task_sees_once(spark):
+    """Every text has one passage and little else, so it stands in all prefixes; no task finds it shared."""
+    r = random.Random(31)
+    passage = [f"p{k}" for k in range(12)]
+    rows = [(k, " ".join(passage + [f"own{k % 29}x{j}" for j in range(r.randrange(1, 5))])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.with_components(df).collect()), key=str)
+    assert got == brute_components(rows)
 
 
 # --- fingerprints --------------------------------------------------------------------------------------------------
