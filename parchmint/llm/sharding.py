@@ -8,7 +8,8 @@ by one at most; with more slack fewer keys move when the number of shards change
 Only counts by ring point reach the driver (``CELLS`` numbers at most, whatever the input), and the walk round the ring
 runs on them. It yields intervals of ranks within a point, which a broadcast table of bounded size brings back to the
 rows. A row's rank is a ``row_number`` within its point; points that hold more than their share of rows (a text that a
-third of all rows repeat) are dealt by a hash of the row's id into sub-buckets, whose sizes are counted first.
+third of all rows repeat) are dealt by a hash of the whole row into sub-buckets, whose sizes are counted first, so rows
+without ids and rows that share one are dealt as well; only rows equal in every column stand in one sub-bucket.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def assign(df: DataFrame, shards: int, key: Column, row_id: Column, vnodes: int
     spark = df.sparkSession
     own = [c for c in df.columns if c not in ("shard", "slot")]
     h = F.xxhash64(key)
-    base = df.withColumns({"__h": h, "__cell": F.shiftrightunsigned(h, 48).cast("int"), "__o": F.xxhash64(row_id, F.lit(7))}).drop("shard", "slot")
+    base = df.withColumns({"__h": h, "__cell": F.shiftrightunsigned(h, 48).cast("int"), "__o": F.xxhash64(row_id, F.lit(7), *(F.col(f"`{c}`") for c in own if "map<" not in df.schema[c].dataType.simpleString()))}).drop("shard", "slot")
     counted = base.groupBy("__cell").count().toPandas()
     counts = np.zeros(CELLS, np.int64)
     counts[counted["__cell"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)

@@ -88,6 +88,23 @@ def test_hot_text_is_dealt_and_few_move(spark):
     assert sum(a[k] != b[k] for k in plain) < 0.35 * len(plain)
 
 
+def test_exact_balance_moves_few_rows():
+    r = np.random.default_rng(4)
+    counts = np.bincount(r.integers(0, sharding.CELLS, 200_000), minlength=sharding.CELLS)
+    place = lambda n: {(c, k): s for c, lo, hi, s, _ in sharding.walk(counts, n, 64, 0.0) for k in range(lo, hi)}
+    a, b = place(24), place(25)
+    assert set(a) == set(b) and max(collections.Counter(b.values()).values()) - min(collections.Counter(b.values()).values()) <= 1
+    assert sum(a[k] != b[k] for k in a) <= 2 / 25 * len(a)
+
+
+def test_rows_without_ids_are_dealt(spark):
+    rows = [(None, "same", f"s{i % 500}") for i in range(4000)] + [(1, f"text {i}", "s") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = shard(df, 7).collect()
+    size = collections.Counter(x.shard for x in out)
+    assert len(out) == 5000 and max(size.values()) - min(size.values()) <= 1 and len({(x.shard, x.slot) for x in out}) == 5000
+
+
 def test_walk_against_brute_force():
     r = np.random.default_rng(3)
     counts = np.zeros(sharding.CELLS, np.int64)
