@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,15 +24,37 @@ def folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _shuffles(spark: SparkSession) -> set[int]:
+    """Ids of all shuffles whose files are kept."""
+    ids = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().iterator()
+    out = set()
+    while ids.hasNext():
+        out.add(int(ids.next()))
+    return out
+
+
+def _others(spark: SparkSession) -> bool:
+    return bool(list(spark.sparkContext.statusTracker().getActiveJobsIds()))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back.
 
     Later jobs read files instead of recomputing, a lost executor costs nothing that was written, and Catalyst knows
-    the table's real size, so it broadcasts by the size it checked and by nothing else.
+    the table's real size, so it broadcasts by the size it checked and by nothing else. The shuffle files that the write
+    left are deleted at once; without that they stay until the driver happens to collect its garbage. (Where another job
+    runs in the session, they are left to that, since nothing tells whose they are. A plan that needs them again would make
+    them again.)
     """
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/parchmint/{name}-{uuid.uuid4().hex}"
+    alone = not _others(spark)
+    before = _shuffles(spark) if alone else set()
     df.write.parquet(path)
+    cleaner = spark.sparkContext._jsc.sc().cleaner()
+    if alone and not _others(spark) and cleaner.isDefined():
+        for k in _shuffles(spark) - before:
+            cleaner.get().doCleanupShuffle(k, False)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,10 +66,3 @@ def discard(*tables: DataFrame | None) -> None:
             spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of steps whose results are written: it does so when the driver's JVM
-    finds their plans unreachable, which a small heap makes rare."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
