@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -49,6 +50,13 @@ def normalize(text: Column) -> Column:
     return normalize_ascii(compat(text))
 
 
+def normal_form(text: str) -> str:
+    """``normalize`` of one string, for functions that run outside the JVM."""
+    out = re.sub(r"-\s*\n\s*", "", unicodedata.normalize("NFKC", text))
+    fold = dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | LIGATURES | {SOFT_HYPHEN: ""}
+    return " ".join(out.translate(str.maketrans(fold)).lower().split())
+
+
 def clean_for_quote(text: Column) -> Column:
     """As ``normalize`` with case kept and zero-width characters removed."""
     return squeeze(F.translate(_fold(compat(text)), "\u200b\u200c\u200d\ufeff", ""))
@@ -95,17 +103,63 @@ def paragraphs(text: Column, least: int = 40, letters: float = 0.4) -> Column:
     return F.filter(raw, lambda x: (F.length(x["para"]) >= least) & (share(x["para"]) >= letters))
 
 
-def strip_markup(text: Column, nesting: int = 6) -> Column:
-    """TeX source to plain text: comments, commands with dropped or kept arguments (to a fixed nesting), the rest."""
-    out = F.regexp_replace(text, r"(?m)(?<!\\)%.*$", "")
-    out = F.regexp_replace(out, r"\\(label|ref|eqref|cite[a-z]*|input|include|usepackage|bibliography|index)\*?(\[[^\]]*\])*\{[^{}]*\}", "")
-    out = F.regexp_replace(out, r"\\(begin|end)\{[^{}]*\}(\[[^\]]*\])?", " ")
-    for _ in range(nesting):
-        out = F.regexp_replace(out, r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", "$1")
-    out = F.regexp_replace(out, r"\\[a-zA-Z]+\*?", " ")
+# Commands that go with their arguments, that become a space, that leave their argument.
+DROPPED = (
+    "cite[tp]?", "mciteboxp?", "citeqp?", "ref", "eqref", "pageref", "nameref", "label", "gls[p]?", "Gls[p]?", "acrshort", "acrlong", "acrfull",
+    "hyperref", "hyperlink", "hypertarget",
+)
+SPACED = (
+    "par", "newline", "noindent", "clearpage", "newpage", "vspace", "hspace", "medskip", "bigskip", "smallskip", "vfill", "hfill", "centering", "raggedright", "raggedleft",
+    "maketitle", "tableofcontents", "listoffigures", "listoftables", "appendix", "frontmatter", "mainmatter", "backmatter",
+)
+KEPT = ("textbf", "textit", "textsf", "texttt", "textsc", "textrm", "emph", "underline", "textsubscript", "textsuperscript", "mbox", "text", r"textcolor\{[^}]*\}")
+# What a heading's markup turns into, in this order.
+HEADING_MARKUP = (
+    (r"\\ignorespaces\s*", ""), (r"\\[Gg]lspl?\s*\{([^}]*)\}", "$1"), (r"\\textbf\s*\{([^}]*)\}", "$1"), (r"\\textit\s*\{([^}]*)\}", "$1"), (r"\\emph\s*\{([^}]*)\}", "$1"),
+    (r"\\hspace\s*\{[^}]*\}", " "), (r"\\text[a-z]+\s*\{([^}]*)\}", "$1"), (r"\\[a-zA-Z]+\s*\{([^}]*)\}", "$1"), (r"\\[,;~]", " "), ("~", " "), (r"\s+", " "),
+)
+_KEEP = r"\\(?:" + "|".join(KEPT) + r")\{([^}]*)\}"
+
+
+@F.pandas_udf(T.StringType())
+def _kept(text: pd.Series) -> pd.Series:
+    """Until no such command is left."""
+    pattern = re.compile(_KEEP)
+
+    def one(t: str | None) -> str | None:
+        while t is not None and pattern.search(t):
+            t = pattern.sub(r"\1", t)
+        return t
+
+    return text.map(one)
+
+
+def strip_markup(text: Column, passes: int = 3) -> Column:
+    """TeX source to plain text: comments, commands with what becomes of their arguments, other commands, delimiters. Kept
+    arguments are unwrapped until none is left: ``passes`` times in the JVM, and only deeper ones elsewhere."""
+    out = F.regexp_replace(text, r"(?<!\\)%[^\n]*", "")
+    out = F.regexp_replace(out, r"\\(?:" + "|".join(DROPPED) + r")(?:\[[^\]]*\])*(?:\{[^}]*\})*", "")
+    out = F.regexp_replace(out, r"\\(?:" + "|".join(SPACED) + r")\b\*?(?:\{[^}]*\}|\[[^\]]*\])*", " ")
+    for _ in range(passes):
+        out = F.regexp_replace(out, _KEEP, "$1")
+    out = F.when(out.rlike(_KEEP), _kept(F.when(out.rlike(_KEEP), out))).otherwise(out)
+    out = F.regexp_replace(out, r"\\[a-zA-Z@]+\*?", "")
     return F.translate(F.replace(out, F.lit("~"), F.lit(" ")), "{}$", "")
 
 
+def normalize_markup(text: Column) -> Column:
+    """TeX source in the form that search text has."""
+    return normalize(strip_markup(text))
+
+
+def clean_heading(text: Column) -> Column:
+    """A heading of a table of contents without its markup."""
+    out = text
+    for pattern, to in HEADING_MARKUP:
+        out = F.regexp_replace(out, pattern, to)
+    return F.trim(out)
+
+
 def markup_word_count(text: Column) -> Column:
     """Words of TeX source: comment lines out, commands, braces and inline math to spaces in this order."""
     out = F.regexp_replace(text, r"(?m)^\s*%.*$", "")

@@ -68,6 +68,23 @@ def reach(spark, edges: DataFrame, root: str, depth: int = 100) -> DataFrame:
     )
 
 
+def closure(edges: DataFrame, root: str, depth: int = 100) -> DataFrame:
+    """``node, depth``: every node that ``root`` leads to, once, with its least depth. A frontier that only gains new nodes:
+    one join a level, however many paths lead to a node (a walk by paths would list them all)."""
+    spark = edges.sparkSession
+    e = edges.select("parent", "child").distinct()
+    seen = spark.createDataFrame([(root, 0)], "node string, depth int")
+    front = seen
+    for level in range(1, depth + 1):
+        new = front.join(e, front.node == e.parent).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        rows = [(r.node, level) for r in new.collect()]  # files of one document
+        if not rows:
+            break
+        front = spark.createDataFrame(rows, "node string, depth int")
+        seen = spark.createDataFrame([tuple(r) for r in seen.collect()] + rows, "node string, depth int")
+    return seen
+
+
 def descendants(spark, parents: DataFrame, seed: str) -> DataFrame:
     """Nodes whose parent chain leads to ``seed``, itself included; ``parents(id, parent)`` may hold cycles."""
     return spark.sql(
@@ -84,14 +101,58 @@ def descendants(spark, parents: DataFrame, seed: str) -> DataFrame:
     )
 
 
-def explorations(spark, nodes: DataFrame, relevance: str | None = None, seed: str | None = None, expandable: bool = False) -> DataFrame:
-    """Explored papers by depth and year. Expandable: relevant, and none of their citers explored yet is left out."""
+def explorations(spark, nodes: DataFrame, relevance: str | None = None, seed: str | None = None, expandable: bool = False, citers: DataFrame | None = None) -> DataFrame:
+    """Explored papers by depth and year. Expandable are relevant papers of whose citers (``citers(s2_id, citing)``) there
+    are some that aren't explored; papers without citers are not."""
     out = nodes
     if relevance:
         out = out.where(F.col("relevance") == relevance)
     if seed:
         out = out.join(descendants(spark, nodes.select(F.col("s2_id").alias("id"), F.col("parent").alias("parent")), seed).select(F.col("id").alias("s2_id")), "s2_id", "left_semi")
     if expandable:
-        grown = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("s2_id")).distinct()
-        out = out.where(F.col("relevance") == "relevant").join(grown, "s2_id", "left_anti")
-    return out.orderBy("depth", F.desc("year"), "s2_id")
+        open_ = citers.join(nodes.select(F.col("s2_id").alias("citing")), "citing", "left_anti").select("s2_id").distinct()
+        out = out.where(F.col("relevance") == "relevant").join(open_, "s2_id", "left_semi")
+    return out.orderBy("depth", F.desc(F.coalesce("year", F.lit(0))), "s2_id")
+
+
+# What an explored paper can be.
+RELEVANCE = ("unknown", "relevant", "irrelevant", "deferred")
+
+
+def mark(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """``nodes`` with the relevance and note of ``marks (s2_id, relevance, note)``: unknown states and papers change
+    nothing, an empty note keeps the old one."""
+    good = marks.where(F.col("relevance").isin(*RELEVANCE)).select("s2_id", F.col("relevance").alias("__r"), F.col("note").alias("__n"))
+    own = nodes.join(good, "s2_id", "left")
+    return own.withColumns({"relevance": F.coalesce("__r", "relevance"), "note": F.when(F.coalesce("__n", F.lit("")) != "", F.col("__n")).otherwise(F.col("note"))}).drop("__r", "__n")
+
+
+def explore(nodes: DataFrame, fetched: DataFrame, now: str, days: float = 7.0) -> DataFrame:
+    """``nodes`` with papers fetched anew (``s2_id, title, year, abstract, parent, depth, fetched_at``): one that was fetched
+    less than ``days`` ago stays as it is; of others relevance and note stay, an empty parent and depth 0 keep the old ones,
+    and abstracts are cut to 500 characters."""
+    old = nodes.select("s2_id", *(F.col(c).alias(f"__{c}") for c in ("title", "year", "abstract", "parent", "depth", "fetched_at", "relevance", "note")))
+    both = old.join(fetched.withColumn("__new", F.lit(True)), "s2_id", "full_outer")
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.try_to_timestamp("__fetched_at"))) / 86_400_000_000
+    keep = F.col("__new").isNull() | F.coalesce(age < days, F.lit(False))
+    pick = lambda c, new: F.when(keep, F.col(f"__{c}")).otherwise(new).alias(c)
+    return both.select(
+        "s2_id",
+        pick("title", F.col("title")),
+        pick("year", F.col("year")),
+        pick("abstract", F.left("abstract", F.lit(500))),
+        pick("parent", F.when(F.coalesce("parent", F.lit("")) != "", F.col("parent")).otherwise(F.col("__parent"))),
+        pick("depth", F.when(F.coalesce("depth", F.lit(0)) != 0, F.col("depth")).otherwise(F.coalesce("__depth", F.lit(0)))),
+        pick("fetched_at", F.col("fetched_at")),
+        F.coalesce("__relevance", F.lit("unknown")).alias("relevance"),
+        F.coalesce("__note", F.lit("")).alias("note"),
+    )
+
+
+def new_edges(known: DataFrame, fetched: DataFrame, papers: DataFrame | None = None, min_year: int | None = None) -> DataFrame:
+    """Edges (``citing, cited``) that aren't known yet, once each, without null ids; with ``min_year`` only those whose
+    citing paper (``papers(citing, year)``) is that young."""
+    out = fetched.dropna(subset=["citing", "cited"]).dropDuplicates(["citing", "cited"]).join(known.select("citing", "cited"), ["citing", "cited"], "left_anti")
+    if min_year is not None:
+        out = out.join(papers.where(F.col("year") >= min_year).select("citing"), "citing", "left_semi")
+    return out

@@ -45,18 +45,11 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 # --- graph ---------------------------------------------------------------------------------------------------------
 
 
-@query("""
-SELECT citing, count(*) AS shared FROM (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE l_partkey < 200)
-GROUP BY citing HAVING count(*) >= 2 ORDER BY shared DESC, citing LIMIT 100""")
-def shared_citers(spark, sf):
-    edges = _edges(spark, sf)
-    return graph.shared_citers(edges.where("cited < 200"), _read(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("cited")), 2, 100)
-
 
 @query("""
 SELECT citing, count(*) AS shared FROM (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part))
 GROUP BY citing HAVING count(*) >= 2 ORDER BY shared DESC, citing LIMIT 100""")
-def shared_citers_all(spark, sf):
+def shared_citers(spark, sf):
     return graph.shared_citers(_edges(spark, sf), _read(spark, sf, "part").select(F.col("p_partkey").alias("cited")), 2, 100)
 
 
@@ -77,37 +70,21 @@ def discover_new_scored(spark, sf):
 
 
 _NEIGHBOURS = """
-WITH e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE {key} <= 100),
+WITH e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem),
 r AS (SELECT {key0} AS key, {other} AS other, count(*) OVER (PARTITION BY {key0}) AS total, row_number() OVER (PARTITION BY {key0} ORDER BY {other}) AS rn FROM e)
 SELECT key, other, total, {meta} AS info FROM r LEFT JOIN {table} ON {id} = other WHERE rn <= 50"""
 
 
-@query(_NEIGHBOURS.format(key="l_partkey", key0="cited", other="citing", meta="o_orderstatus", table="orders", id="o_orderkey"))
-def citers_with_metadata(spark, sf):
-    papers = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("citing"), F.col("o_orderstatus").alias("info"))
-    of = _read(spark, sf, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("key"))
-    return graph.neighbours(_edges(spark, sf), of, papers, "citing", 50).select("key", "other", "total", "info")
-
-
-@query(_NEIGHBOURS.format(key="l_orderkey", key0="citing", other="cited", meta="p_name", table="part", id="p_partkey"))
-def references_with_metadata(spark, sf):
-    papers = _read(spark, sf, "part").select(F.col("p_partkey").alias("cited"), F.col("p_name").alias("info"))
-    of = _read(spark, sf, "orders").where("o_orderkey <= 100").select(F.col("o_orderkey").alias("key"))
-    return graph.neighbours(_edges(spark, sf), of, papers, "cited", 50).select("key", "other", "total", "info")
-
-
-_ALL_NEIGHBOURS = _NEIGHBOURS.replace(" WHERE {key} <= 100", "")
 
-
-@query(_ALL_NEIGHBOURS.format(key0="cited", other="citing", meta="o_orderstatus", table="orders", id="o_orderkey"))
-def citers_with_metadata_all(spark, sf):
+@query(_NEIGHBOURS.format(key0="cited", other="citing", meta="o_orderstatus", table="orders", id="o_orderkey"))
+def citers_with_metadata(spark, sf):
     papers = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("citing"), F.col("o_orderstatus").alias("info"))
     of = _read(spark, sf, "part").select(F.col("p_partkey").alias("key"))
     return graph.neighbours(_edges(spark, sf), of, papers, "citing", 50).select("key", "other", "total", "info")
 
 
-@query(_ALL_NEIGHBOURS.format(key0="citing", other="cited", meta="p_name", table="part", id="p_partkey"))
-def references_with_metadata_all(spark, sf):
+@query(_NEIGHBOURS.format(key0="citing", other="cited", meta="p_name", table="part", id="p_partkey"))
+def references_with_metadata(spark, sf):
     papers = _read(spark, sf, "part").select(F.col("p_partkey").alias("cited"), F.col("p_name").alias("info"))
     of = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
     return graph.neighbours(_edges(spark, sf), of, papers, "cited", 50).select("key", "other", "total", "info")
@@ -139,20 +116,16 @@ def find_stale(spark, sf):
   SELECT child, depth + 1, path || lpad(ord::VARCHAR, 4, '0') || '/', list_append(seen, child) FROM walk JOIN tex_edges ON parent = node WHERE NOT list_contains(seen, child))
 SELECT node, arg_min(depth, path) AS depth, min(path) AS path FROM walk GROUP BY node""")
 def include_tree(spark, sf):
-    return graph.reach(spark, table(spark, "tex_edges"), "main")
+    return graph.reach(spark, table(spark, "tex_edges", sf), "main")
 
 
 _DOWN = ", down(id, seen) AS (SELECT 'seed1', ['seed1'] UNION ALL SELECT s2_id, list_append(seen, s2_id) FROM down JOIN explorations ON parent = id WHERE NOT list_contains(seen, s2_id)) "
 
 
-@query(fix("explorations") + _DOWN + "SELECT e.* FROM explorations e WHERE relevance = 'relevant' AND s2_id IN (SELECT id FROM down) AND s2_id NOT IN (SELECT parent FROM explorations WHERE parent IS NOT NULL)")
-def exploration_list(spark, sf):
-    return graph.explorations(spark, table(spark, "explorations"), seed="seed1", expandable=True)
-
 
 @query(fix("explorations") + _DOWN + "SELECT s2_id, s2_id IN (SELECT id FROM down) AS below FROM explorations")
 def exploration_ancestry(spark, sf):
-    nodes = table(spark, "explorations")
+    nodes = table(spark, "explorations", sf)
     down = graph.descendants(spark, nodes.select(F.col("s2_id").alias("id"), "parent"), "seed1").select(F.col("id").alias("s2_id"), F.lit(True).alias("below"))
     return nodes.select("s2_id").join(down, "s2_id", "left").select("s2_id", F.coalesce("below", F.lit(False)).alias("below"))
 
@@ -216,18 +189,18 @@ def content_hash_dedup(spark, sf):
 b AS (SELECT a.ord AS oa, s.ord AS ob, coalesce(a.doi, s.doi) AS doi, coalesce(a.title, s.title) AS title, s.is_oa FROM first_source a FULL JOIN second_source s ON lower(a.doi) = lower(s.doi))
 SELECT doi, title, is_oa, CASE WHEN oa IS NOT NULL THEN 'first' ELSE 'second' END AS origin FROM b ORDER BY oa NULLS LAST, ob NULLS LAST, title LIMIT 6""")
 def federated_merge(spark, sf):
-    return catalog.federated_merge(table(spark, "first_source"), table(spark, "second_source"), 6)
+    return catalog.federated_merge(table(spark, "first_source", sf), table(spark, "second_source", sf), 6)
 
 
 @query(fix("first_source", "second_source") + "SELECT s.doi, s.title, coalesce(lower(s.doi) IN (SELECT lower(doi) FROM first_source WHERE doi IS NOT NULL), false) AS in_library FROM second_source s")
 def in_library_flag(spark, sf):
-    return catalog.in_library(table(spark, "second_source"), table(spark, "first_source")).select("doi", "title", "in_library")
+    return catalog.in_library(table(spark, "second_source", sf), table(spark, "first_source", sf)).select("doi", "title", "in_library")
 
 
 @query(fix("first_source", "rejected") + "SELECT doi, title FROM first_source WHERE lower(trim(doi)) IN (SELECT lower(trim(doi)) FROM rejected)")
 def rejected_check(spark, sf):
-    bad = table(spark, "rejected").select(ids.normal_doi(F.col("doi")).alias("k"))
-    return table(spark, "first_source").withColumn("k", ids.normal_doi(F.col("doi"))).join(bad, "k", "left_semi").select("doi", "title")
+    bad = table(spark, "rejected", sf).select(ids.normal_doi(F.col("doi")).alias("k"))
+    return table(spark, "first_source", sf).withColumn("k", ids.normal_doi(F.col("doi"))).join(bad, "k", "left_semi").select("doi", "title")
 
 
 @query("""
@@ -239,25 +212,16 @@ def corpus_sync_classify(spark, sf):
     return catalog.sync_classify(d.where("doc_id % 7 <> 0"), was, "doc_id", "n_chars")
 
 
-@query(fix("file_state") + "SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN now = was THEN 'unchanged' ELSE 'changed' END AS change FROM file_state")
+@query(fix("file_state") + "SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN now = was THEN 'unchanged' ELSE 'changed' END AS change FROM file_state WHERE now IS NOT NULL OR was IS NOT NULL")
 def file_sync_classify(spark, sf):
-    t = table(spark, "file_state")
+    t = table(spark, "file_state", sf)
     return catalog.sync_classify(t.where("now IS NOT NULL").select("path", F.col("now").alias("s")), t.where("was IS NOT NULL").select("path", F.col("was").alias("s")), "path", "s")
 
 
-@query(fix("bib_keys") + ", c AS (SELECT key AS child, regexp_extract(key, '^(.+)_(errata|erratum|retraction|corrigendum|addendum|comment|reply)(?:_([0-9]+))?$', 1) AS parent, regexp_extract(key, '^(.+)_(errata|erratum|retraction|corrigendum|addendum|comment|reply)(?:_([0-9]+))?$', 2) AS kind FROM bib_keys) SELECT child, parent, kind FROM c WHERE parent <> '' AND parent IN (SELECT key FROM bib_keys)")
-def related_papers(spark, sf):
-    return catalog.related(table(spark, "bib_keys"), ids.RELATED_SUFFIX).select("child", "parent", "kind")
-
-
-@query("SELECT coalesce(a.p_partkey, b.p_partkey) AS id, coalesce(a.p_name, b.p_brand) AS name FROM (SELECT * FROM part WHERE p_partkey <= 50) a FULL JOIN (SELECT * FROM part WHERE p_partkey BETWEEN 40 AND 60) b USING (p_partkey)")
-def lookup_by_priority(spark, sf):
-    p = _read(spark, sf, "part")
-    return catalog.prefer([p.where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), p.where("p_partkey BETWEEN 40 AND 60").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))], ["id"])
 
 
 @query("SELECT coalesce(s_suppkey, p_partkey) AS id, CASE WHEN s_suppkey IS NULL THEN p_name ELSE s_name END AS name FROM supplier FULL JOIN part ON s_suppkey = p_partkey")
-def lookup_by_priority_all(spark, sf):
+def lookup_by_priority(spark, sf):
     first = _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return catalog.prefer([first, _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))], ["id"])
 
@@ -320,22 +284,17 @@ def indexed_files(spark, sf):
 
 # --- text ----------------------------------------------------------------------------------------------------------
 
-_NORM = r"trim(regexp_replace(lower(regexp_replace(text, '-\s*\n\s*', '', 'g')), '\s+', ' ', 'g'))"
-_ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+# on the shipped texts the compatibility form is the composed one
+_NORM = r"trim(regexp_replace(lower(regexp_replace(nfc_normalize(text), '-\s*\n\s*', '', 'g')), '\s+', ' ', 'g'))"
+
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, text, {_NORM} AS n FROM documents WHERE {_ASCII}),
-h AS (SELECT doc_id, text, n, unnest(list_filter(range(1, length(n) - 5), lambda i: substr(n, i, 6) = 'th the')) AS pos0 FROM d WHERE contains(n, 'th the')),
+WITH d AS (SELECT doc_id, text, {_NORM} AS n FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, text, n, unnest(list_filter(range(1, length(n) - 4), lambda i: substr(n, i, 6) = 'th the')) AS pos0 FROM d WHERE contains(n, 'th the')),
 s AS (SELECT *, floor((pos0 - 1) * length(text) / length(n))::INT AS sc FROM h)
 SELECT doc_id, (pos0 - 1)::INT AS "offset", substr(text, greatest(0, sc - 20) + 1, 46) AS context FROM s""")
 def grep_overlapping(spark, sf):
-    rows = _read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return search.grep(rows, "th the", ["doc_id"], "text", 20)
-
-
-@query()
-def grep_overlapping_all(spark, sf):
     return search.grep(_read(spark, sf, "documents"), "th the", ["doc_id"], "text", 20)
 
 
@@ -351,28 +310,6 @@ def _pages(spark, sf):
     return _read(spark, sf, "conversations").select(F.col("conv_id").alias("key"), (F.col("turn") + 1).alias("page"), "text")
 
 
-_METRICS = rf"""
-WITH a AS (SELECT key, count(*) AS pages, count_if(length(trim(text)) > 50)::BIGINT AS readable_pages, string_agg(text, E'\n\n' ORDER BY page) AS t,
-  coalesce(string_agg(text, E'\n\n' ORDER BY page) FILTER (page <= 2), '') AS h FROM {_PAGED} GROUP BY key),
-b AS (SELECT *, list_transform(regexp_extract_all(t, '\[([0-9]{{1,3}})\]', 1), lambda x: x::INT) AS nums FROM a)
-SELECT key, pages, readable_pages,
-  CASE WHEN trim(t, E' \t\n\x0B\f\r') = '' THEN 0 ELSE len(string_split_regex(trim(t, E' \t\n\x0B\f\r'), '\s+')) END::BIGINT AS word_count,
-  round(CASE WHEN length(h) > 0 THEN length(regexp_replace(h, '[^\x00-\x7F]', '', 'g')) / length(h) ELSE 0.0 END, 3) AS ascii_ratio,
-  coalesce(list_max(nums), len(list_distinct(regexp_extract_all(t, '([A-Z][a-z]+(?: et al\.)?,? \(?(?:19|20)[0-9]{{2}})', 1))))::BIGINT AS ref_count,
-  len(list_distinct(regexp_extract_all(lower(t), 'fig(?:ure|\.)?\s*([0-9]+)', 1)))::BIGINT AS figure_count,
-  len(list_distinct(regexp_extract_all(lower(t), 'table\s*([0-9]+)', 1)))::BIGINT AS table_count
-FROM b"""
-
-
-@query(_METRICS)
-def text_metrics(spark, sf):
-    return gates.text_metrics(_pages(spark, sf), "key", "page", "text")
-
-
-@query(f"SELECT key, CASE WHEN pages <= 4 AND word_count < 4000 THEN 'letter' WHEN ref_count > 80 AND word_count > 8000 THEN 'review' ELSE 'article' END AS paper_type FROM ({_METRICS})")
-def paper_type(spark, sf):
-    m = gates.text_metrics(_pages(spark, sf), "key", "page", "text")
-    return m.select("key", gates.paper_type(F.col("pages"), F.col("word_count"), F.col("ref_count")).alias("paper_type"))
 
 
 @query("SELECT doc_id, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) ELSE 0.0 END, 3) AS ascii_ratio, length(trim(text)) >= 50 AS enough FROM documents")
@@ -380,90 +317,22 @@ def quality_gate(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", F.round(tx.ascii_ratio(F.col("text")), 3).alias("ascii_ratio"), (F.length(F.trim("text")) >= 50).alias("enough"))
 
 
-def _gate_rows(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("10.1/"), F.col("doc_id") % 50).alias("doi"))
-    known = d.where("doc_id % 10 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "doi")
-    return gates.gate_rows(d, "doc_id", "text", known)
-
-
-_GATES_SQL = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, '10.1/' || (doc_id % 50) AS doi FROM documents), k AS (SELECT sha256(t) AS h, doi FROM d WHERE doc_id % 10 = 0),
-o AS (SELECT d.*, sha256(t) NOT IN (SELECT h FROM k) AS nh, doi NOT IN (SELECT doi FROM k) AS nd, CASE WHEN length(t) > 0 THEN length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) / length(t) ELSE 0 END AS a FROM d),
-g AS (SELECT doc_id, 'pdf_integrity' AS gate, t <> '' AS passed, 'no page' AS bad FROM o UNION ALL SELECT doc_id, 'dedup', nh, 'content is catalogued' FROM o WHERE t <> ''
- UNION ALL SELECT doc_id, 'text_extractable', length(trim(t)) >= 50, 'too little text' FROM o WHERE t <> '' UNION ALL SELECT doc_id, 'text_quality', a >= 0.5, 'unreadable text' FROM o WHERE t <> ''
- UNION ALL SELECT doc_id, 'doi_duplicate', nd, 'identifier is catalogued' FROM o WHERE t <> '')
-"""
-
-
-@query(_GATES_SQL + "SELECT doc_id, gate, passed, CASE WHEN passed THEN '' ELSE bad END AS message FROM g")
-def validation_gates(spark, sf):
-    return _gate_rows(spark, sf)
-
-
-@query(_GATES_SQL + "SELECT doc_id, bool_and(passed) AS all_passed, bool_and(passed OR gate = 'doi_duplicate') AS accepted, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT passed), '') AS issues, round(avg(passed::INT::DOUBLE), 2) AS confidence FROM g GROUP BY doc_id")
-def gate_report(spark, sf):
-    return gates.report(_gate_rows(spark, sf), "doc_id", exempt_doi=True)
-
-
-@query(fix("ids") + r"""SELECT id, CASE WHEN regexp_matches(id, '^(.+):page([0-9]+)$') THEN 'page' WHEN regexp_matches(id, '^(.+):(fig[\w.-]*)$') THEN 'figure' WHEN contains(id, '/') THEN 'doi'
- WHEN regexp_matches(id, '^[0-9a-fA-F]{40}$') THEN 's2' ELSE 'slug' END AS kind, CASE WHEN regexp_matches(id, ':page[0-9]+$') THEN regexp_extract(id, ':page([0-9]+)$', 1) WHEN regexp_matches(id, '^(.+):(fig[\w.-]*)$') THEN regexp_extract(id, '^(.+):(fig[\w.-]*)$', 2) END AS part FROM ids""")
-def id_classify(spark, sf):
-    return table(spark, "ids").select("id", ids.classify_id(F.col("id")).alias("c")).select("id", "c.kind", "c.part")
-
-
-@query(fix("terms") + r"""SELECT term, CASE WHEN regexp_matches(term, '^[§¶]\s*[0-9]') OR regexp_matches(term, '^[0-9]+(\.[0-9]+)+$') THEN 'heading' WHEN regexp_matches(term, '^\\(label|ref)\{') THEN 'label'
- WHEN regexp_matches(term, '(?i)^[a-z][a-z0-9_-]*[0-9]{4}') THEN 'cite' WHEN contains(term, '.tex') THEN 'file' WHEN regexp_matches(term, '^[%\\]') THEN 'marker' ELSE 'semantic' END AS kind FROM terms""")
-def term_classify(spark, sf):
-    return table(spark, "terms").select("term", ids.classify_term(F.col("term")).alias("kind"))
-
-
 @query(fix("keys") + r"""SELECT key, regexp_replace(key, '[/\\:*?"<>|]', '', 'g') AS clean, CASE WHEN regexp_matches(lower(substr(key, 1, 1)), '^[a-z0-9]$') THEN lower(substr(key, 1, 1)) ELSE '_' END AS shard,
  CASE WHEN key = '' THEN 'empty' WHEN length(key) > 100 THEN 'long' WHEN contains(key, '..') THEN 'parent' WHEN regexp_matches(key, '[/\\]') THEN 'separator' WHEN NOT regexp_matches(key, '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN 'characters' END AS problem FROM keys""")
 def key_safety(spark, sf):
     k = F.col("key")
-    return table(spark, "keys").select("key", ids.sanitize_key(k).alias("clean"), ids.shard(k).alias("shard"), ids.key_problem(k).alias("problem"))
-
+    return table(spark, "keys", sf).select("key", ids.sanitize_key(k).alias("clean"), ids.shard(k).alias("shard"), ids.key_problem(k).alias("problem"))
 
-@query(fix("dois") + r""", f AS (SELECT id, regexp_extract(text, '(?i)doi(?:\.org/|:|\s)\s*(10\.[0-9]{4,9}/[^\s"<>{}]+)', 1) AS a, regexp_extract(text, '\b(10\.[0-9]{4,9}/[^\s"<>{}]+)', 1) AS b FROM dois)
-SELECT id, nullif(rtrim(rtrim(rtrim(rtrim(rtrim(CASE WHEN a <> '' THEN a ELSE b END, '.'), ','), ';'), ')'), ']'), '') AS doi FROM f""")
-def doi_extract(spark, sf):
-    return table(spark, "dois").select("id", ids.extract_doi(F.col("text")).alias("doi"))
 
 
-_TT = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+_TT = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2))"
 _JAC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
 
 
-@query(fix("papers_a", "papers_b") + f""", p AS (SELECT a.id AS id_a, b.id AS id_b, {_TT.format('a.title')} AS ta, {_TT.format('b.title')} AS tb, string_split(a.names, ',') AS na, string_split(b.names, ',') AS nb, a.year = b.year AS y FROM papers_a a, papers_b b)
-SELECT id_a, id_b, round(0.6::DOUBLE * {_JAC.format(a='ta', b='tb')} + 0.25::DOUBLE * {_JAC.format(a='na', b='nb')} + CASE WHEN y THEN 0.15 ELSE 0.0 END, 6)::DOUBLE AS score FROM p""")
-def title_match_score(spark, sf):
-    a = table(spark, "papers_a").select(F.col("id").alias("id_a"), F.col("title").alias("ta"), F.split("names", ",").alias("na"), F.col("year").alias("ya"))
-    b = table(spark, "papers_b").select(F.col("id").alias("id_b"), F.col("title").alias("tb"), F.split("names", ",").alias("nb"), F.col("year").alias("yb"))
-    s = ids.match_score(*map(F.col, ("ta", "tb", "na", "nb", "ya", "yb")))
-    return a.crossJoin(F.broadcast(b)).select("id_a", "id_b", F.round(s, 6).alias("score"))  # inline tables of three rows
-
 
 _STOP = ", ".join(f"'{w}'" for w in ids.STOP_WORDS)
 
 
-@query(fix("titles") + f""", w AS (SELECT id, title, list_filter(regexp_extract_all(lower(title), '([a-z]{{3,}})', 1), lambda w: NOT list_contains([{_STOP}], w)) AS ws FROM titles),
-s AS (SELECT id, CASE WHEN len(ws) = 0 THEN 'untitled' WHEN length(ws[1]) >= 8 OR len(ws) = 1 THEN ws[1] ELSE ws[1] || ws[2] END AS slug FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS rn FROM s)
-SELECT id, slug, slug || CASE WHEN rn = 1 THEN '' ELSE chr((95 + rn)::INT) END AS key FROM r""")
-def slug_keys(spark, sf):
-    t = table(spark, "titles").select("id", ids.slug(F.col("title")).alias("slug"))
-    return ordered.disambiguate(t, "slug", ["id"], "key")
-
-
-@query(fix("titles") + "SELECT id, CASE WHEN contains(lower(title), 'retract') THEN 'retraction' WHEN contains(lower(title), 'corrigend') THEN 'corrigendum' WHEN contains(lower(title), 'errat') THEN 'errata' WHEN contains(lower(title), 'addend') THEN 'addendum' WHEN contains(lower(title), 'comment on') THEN 'comment' END AS kind FROM titles")
-def related_kind(spark, sf):
-    return table(spark, "titles").select("id", ids.related_kind(F.col("title")).alias("kind"))
-
-
-@query(fix("labels_named") + "SELECT label, coalesce(CASE split_part(label, ':', 1) WHEN label THEN NULL WHEN 'fig' THEN 'figure' WHEN 'tab' THEN 'table' WHEN 'eq' THEN 'equation' WHEN 'sec' THEN 'section' WHEN 'ch' THEN 'chapter' WHEN 'app' THEN 'appendix' END, 'other') AS kind FROM labels_named")
-def label_kind(spark, sf):
-    return table(spark, "labels_named").select("label", ids.label_kind(F.col("label")).alias("kind"))
-
 
 @query("SELECT p_partkey AS id, left(sha256(p_name), 16) AS cache_key FROM part")
 def cache_keys(spark, sf):
@@ -497,13 +366,9 @@ def context_expansion(spark, sf):
     return ordered.around(_read(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], "turn", 1, "around")
 
 
-@query(f"SELECT doc_id, {_NORM} AS norm FROM documents WHERE {_ASCII}")
-def normalize_text(spark, sf):
-    return _read(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", tx.normalize(F.col("text")).alias("norm"))
 
-
-@query()
-def normalize_text_all(spark, sf):
+@query(f"SELECT doc_id, {_NORM} AS norm FROM documents")
+def normalize_text(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
 
 
@@ -524,19 +389,11 @@ def fuzzy_title_dedup(spark, sf):
     return search.fuzzy_titles(titles, "page_id", "title")
 
 
-@query("""
-WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE n_chars < 1000)
-SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w""")
-def inverted_index_reconstruct(spark, sf):
-    d = _read(spark, sf, "documents").where("n_chars < 1000").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word"))
-    inverted = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
-    return structure.rebuild_abstract(inverted, "doc_id")
-
 
 @query("""
 WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents)
 SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w""")
-def inverted_index_reconstruct_all(spark, sf):
+def inverted_index_reconstruct(spark, sf):
     d = _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word"))
     inverted = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
     return structure.rebuild_abstract(inverted, "doc_id")
@@ -576,33 +433,11 @@ def upsert_catalog(spark, sf):
     return ordered.upsert(old, new, ["p_partkey"], ["p_name"])
 
 
-@query(fix("toc_flat") + "SELECT ord, number, title, (SELECT max(b.ord) FROM toc_flat b WHERE b.ord < a.ord AND b.depth < a.depth) AS parent FROM toc_flat a")
-def toc_hierarchy(spark, sf):
-    return ordered.parents(table(spark, "toc_flat").withColumn("doc", F.lit(1)), ["doc"], "ord", "depth", 6).select("ord", "number", "title", "parent")
-
-
-@query(fix("toc_flat") + ", p AS (SELECT ord, (SELECT max(b.ord) FROM toc_flat b WHERE b.ord < a.ord AND b.depth < a.depth) AS parent FROM toc_flat a), up(ord, anc) AS (SELECT ord, parent FROM p WHERE parent IS NOT NULL UNION ALL SELECT up.ord, p.parent FROM up JOIN p ON p.ord = up.anc WHERE p.parent IS NOT NULL) SELECT p.ord, count(up.ord) AS below FROM p LEFT JOIN up ON up.anc = p.ord GROUP BY p.ord")
-def toc_subtree_counts(spark, sf):
-    p = ordered.parents(table(spark, "toc_flat").withColumn("doc", F.lit(1)), ["doc"], "ord", "depth", 6).select("ord", "parent")
-    return spark.sql("WITH RECURSIVE up(ord, anc) AS (SELECT ord, parent FROM {p} WHERE parent IS NOT NULL UNION ALL SELECT up.ord, p.parent FROM up JOIN {p} p ON p.ord = up.anc WHERE p.parent IS NOT NULL) SELECT p.ord, count(up.ord) AS below FROM {p} p LEFT JOIN up ON up.anc = p.ord GROUP BY p.ord", p=p)
-
-
-@query(fix("toc_flat", "floats") + """, x AS (SELECT f.*, (SELECT max(ord) FROM toc_flat t WHERE t.file = f.file AND t.line <= f.line) AS own,
- (SELECT max(ord) FROM toc_flat t WHERE t.ord < coalesce((SELECT min(ord) FROM toc_flat u WHERE u.page > f.page), 1000000)) AS by_page FROM floats f)
-SELECT kind, number, coalesce(own, by_page) AS parent FROM x""")
-def float_parents(spark, sf):
-    toc, floats = table(spark, "toc_flat"), table(spark, "floats")
-    own = ordered.asof(floats.select("kind", "number", "file", "line"), toc.select("file", "line", "ord"), ["file"], "line", ["ord"]).select("kind", "number", F.col("ord").alias("own"))
-    # the first heading beyond the float's page ends the search
-    runs = toc.withColumn("reach", F.max("page").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))).withColumn("g", F.lit(1))
-    by_page = ordered.asof(floats.select("kind", "number", F.col("page").alias("reach"), F.lit(1).alias("g")), runs.select("g", "reach", "ord"), ["g"], "reach", ["ord"]).select("kind", "number", F.col("ord").alias("by_page"))
-    return own.join(by_page, ["kind", "number"]).select("kind", "number", F.coalesce("own", "by_page").alias("parent"))
-
 
 @query(fix("diff_lines") + r""", c AS (SELECT *, sum((starts_with(text, '@@'))::INT) OVER (PARTITION BY file ORDER BY line) AS hunk FROM diff_lines)
 SELECT file, hunk::BIGINT AS hunk, max(try_cast(nullif(regexp_extract(text, '^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@', 1), '') AS INT)) AS start, count_if(starts_with(text, '+'))::BIGINT AS added, count_if(starts_with(text, '-'))::BIGINT AS removed FROM c WHERE hunk > 0 GROUP BY file, hunk""")
 def diff_hunks(spark, sf):
-    return structure.diff_hunks(table(spark, "diff_lines"))
+    return structure.diff_hunks(table(spark, "diff_lines", sf))
 
 
 # --- tasks and freshness ---------------------------------------------------------------------------------------------
@@ -627,19 +462,19 @@ def task_ranking(spark, sf):
 @query(fix("api_cache") + "SELECT service, kind, identifier, coalesce((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(try_cast(fetched_at AS TIMESTAMP))) / 86400000000 > ttl_days, false) AS expired FROM api_cache")
 def ttl_expired(spark, sf):
     e = tasks.expired(F.col("fetched_at"), F.col("ttl_days"), F.lit("2024-03-01").cast("timestamp"))
-    return table(spark, "api_cache").select("service", "kind", "identifier", e.alias("expired"))
+    return table(spark, "api_cache", sf).select("service", "kind", "identifier", e.alias("expired"))
 
 
 @query(fix("api_cache") + "SELECT service, kind, count(*) AS entries, sum(bytes)::BIGINT AS bytes FROM api_cache GROUP BY ROLLUP (service, kind)")
 def cache_stats(spark, sf):
-    return tasks.cache_stats(table(spark, "api_cache"), "service", "kind", "bytes")
+    return tasks.cache_stats(table(spark, "api_cache", sf), "service", "kind", "bytes")
 
 
 @query(fix("summaries", "commits") + """, f AS (SELECT DISTINCT file FROM (SELECT file FROM summaries UNION ALL SELECT file FROM commits)), c AS (SELECT f.file, s.file IS NOT NULL AS has, try_cast(s.updated AS TIMESTAMP) AS t FROM f LEFT JOIN summaries s USING (file)),
 n AS (SELECT c.file, has, t, coalesce(count_if(k.made::TIMESTAMP > t), 0)::BIGINT AS later FROM c LEFT JOIN commits k USING (file) GROUP BY ALL)
 SELECT file, CASE WHEN NOT has THEN 'missing' WHEN t IS NULL THEN 'unknown' WHEN later > 0 THEN 'stale' ELSE 'fresh' END AS status, later FROM n""")
 def summary_staleness(spark, sf):
-    s, c = table(spark, "summaries"), table(spark, "commits").withColumn("made", F.to_timestamp("made"))
+    s, c = table(spark, "summaries", sf), table(spark, "commits", sf).withColumn("made", F.to_timestamp("made"))
     files = s.select("file").union(c.select("file")).distinct()
     own = files.join(s.select("file", F.lit(True).alias("has"), F.try_to_timestamp("updated").alias("t")), "file", "left").join(c, "file", "left")
     n = own.groupBy("file", "has", "t").agg(F.count_if(F.col("made") > F.col("t")).alias("later"))
@@ -647,10 +482,6 @@ def summary_staleness(spark, sf):
     return n.select("file", status.alias("status"), "later")
 
 
-@query(fix("issues") + "SELECT count_if(starts_with(heading, '## ') AND NOT starts_with(heading, '## [RESOLVED]'))::BIGINT AS open_issues, lpad((max(n) + 1)::VARCHAR, 3, '0') AS next_number FROM issues")
-def open_issues(spark, sf):
-    return table(spark, "issues").agg(F.count_if(F.col("heading").rlike(r"^## (?!\[RESOLVED\])")).alias("open_issues"), F.lpad((F.max("n") + 1).cast("string"), 3, "0").alias("next_number"))
-
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def log_window_counts(spark, sf):
@@ -666,81 +497,23 @@ def truncated_result(spark, sf):
 
 # --- structure -----------------------------------------------------------------------------------------------------
 
-_FACTS = fix("tex_lines") + r""", n AS (SELECT file, line, text, starts_with(ltrim(text), '%') AS c FROM tex_lines),
-lab AS (SELECT file, line, unnest(regexp_extract_all(text, '\\label\{([^}]+)\}', 1)) AS name FROM n WHERE NOT c),
-rf0 AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(ref|eqref|autoref|cref|pageref)\{([^}]+)\}', 1)) AS extra, unnest(regexp_extract_all(text, '\\(ref|eqref|autoref|cref|pageref)\{([^}]+)\}', 2)) AS ks FROM n WHERE NOT c),
-rf AS (SELECT file, line, extra, trim(unnest(string_split(ks, ','))) AS name FROM rf0),
-ct0 AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(cite[a-z]*|mcitebox[a-z]*)\*?(?:\[[^\]]*\])*\{([^}]+)\}', 1)) AS extra, unnest(regexp_extract_all(text, '\\(cite[a-z]*|mcitebox[a-z]*)\*?(?:\[[^\]]*\])*\{([^}]+)\}', 2)) AS ks FROM n WHERE NOT c),
-ct AS (SELECT file, line, extra, trim(unnest(string_split(ks, ','))) AS name FROM ct0),
-sec AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^}]*)\}', 1)) AS extra, unnest(regexp_extract_all(text, '\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^}]*)\}', 2)) AS name FROM n WHERE NOT c),
-inp0 AS (SELECT file, line, unnest(regexp_extract_all(text, '\\(?:input|include)\{([^}]+)\}', 1)) AS name FROM n),
-inp AS (SELECT file, line, CASE WHEN ends_with(name, '.tex') THEN name ELSE name || '.tex' END AS name FROM inp0),
-facts AS (SELECT file, line, 'label' AS kind, name, NULL AS extra FROM lab UNION ALL SELECT file, line, 'ref', name, extra FROM rf UNION ALL SELECT file, line, 'cite', name, extra FROM ct UNION ALL SELECT file, line, 'section', name, extra FROM sec UNION ALL SELECT file, line, 'input', name, NULL FROM inp)
-"""
-
-
-def _facts(spark):
-    return structure.facts(table(spark, "tex_lines"))
-
-
-@query(_FACTS + "SELECT file, line, kind, name, extra FROM facts")
-def tex_facts(spark, sf):
-    return _facts(spark).drop("pos")
-
-
-@query(_FACTS + "SELECT name, file, line FROM facts WHERE kind = 'ref' AND name NOT IN (SELECT name FROM facts WHERE kind = 'label')")
-def undefined_refs(spark, sf):
-    return structure.undefined_refs(_facts(spark))
-
-
-@query(_FACTS + "SELECT name, file, line FROM facts WHERE kind = 'label' AND name NOT IN (SELECT name FROM facts WHERE kind = 'ref')")
-def orphan_labels(spark, sf):
-    return structure.orphan_labels(_facts(spark))
-
-
-@query(_FACTS + "SELECT name, count(*) AS n, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM facts WHERE kind = 'cite' GROUP BY name HAVING count(*) >= 3 AND NOT bool_or(extra IN ('mciteboxp', 'mciteboxq', 'citeq', 'citep*'))")
-def shallow_high_use(spark, sf):
-    return structure.shallow_cites(_facts(spark))
-
-
-@query(_FACTS + "SELECT f.file, f.line, left(t.text, 200) AS context FROM facts f JOIN tex_lines t USING (file, line) WHERE kind = 'cite' AND name = 'xu2022'")
-def cite_locations(spark, sf):
-    return _facts(spark).where("kind = 'cite' AND name = 'xu2022'").join(table(spark, "tex_lines"), ["file", "line"]).select("file", "line", F.left("text", F.lit(200)).alias("context"))
-
-
-@query(fix("local_files") + ", tree(file) AS (VALUES ('main.tex'), ('sections/intro.tex'), ('sections/method.tex')) SELECT file FROM local_files WHERE file NOT IN (SELECT file FROM tree) AND regexp_extract(file, '^(.*)/[^/]*$', 1) IN (SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) FROM tree WHERE contains(file, '/'))")
-def orphan_files(spark, sf):
-    return structure.orphan_files(table(spark, "local_files"), spark.sql("SELECT * FROM VALUES ('main.tex'), ('sections/intro.tex'), ('sections/method.tex') AS t(file)"))
-
 
 @query(fix("packages", "local_files") + ", c AS (SELECT name, unnest([name || '.sty', 'tex/' || name || '.sty', name || '.cls', 'tex/' || name || '.cls']) AS file FROM packages) SELECT name, file FROM c WHERE file IN (SELECT file FROM local_files)")
 def local_packages(spark, sf):
     n = F.col("name")
-    c = table(spark, "packages").select("name", F.explode(F.array(*(F.concat(F.lit(d), n, F.lit(e)) for e in (".sty", ".cls") for d in ("", "tex/")))).alias("file"))
-    return c.join(table(spark, "local_files"), "file", "left_semi").select("name", "file")
+    c = table(spark, "packages", sf).select("name", F.explode(F.array(*(F.concat(F.lit(d), n, F.lit(e)) for e in (".sty", ".cls") for d in ("", "tex/")))).alias("file"))
+    return c.join(table(spark, "local_files", sf), "file", "left_semi").select("name", "file")
 
 
 @query(fix("idx_entries") + "SELECT term, coalesce(subterm, '') AS subterm, coalesce(string_agg(DISTINCT CASE WHEN see_target IS NULL THEN page END::VARCHAR, ',' ORDER BY page::VARCHAR) FILTER (see_target IS NULL), '') AS pages, coalesce(string_agg(DISTINCT see_target, ',' ORDER BY see_target), '') AS see FROM (SELECT * FROM idx_entries) GROUP BY 1, 2".replace("string_agg(DISTINCT CASE WHEN see_target IS NULL THEN page END::VARCHAR, ',' ORDER BY page::VARCHAR) FILTER (see_target IS NULL)", "array_to_string(list_sort(list(DISTINCT page) FILTER (see_target IS NULL)), ',')"))
 def index_build(spark, sf):
-    return structure.build_index(table(spark, "idx_entries"))
+    return structure.build_index(table(spark, "idx_entries", sf))
 
 
 @query(fix("idx_entries") + ", t AS (SELECT DISTINCT term, coalesce(subterm, '') AS s FROM idx_entries), g AS (SELECT term, contains(lower(term), 'entropy') AS own, coalesce(string_agg(s, ',' ORDER BY s) FILTER (contains(lower(s), 'entropy')), '') AS subs FROM t GROUP BY term) SELECT term, CASE WHEN own THEN '' ELSE subs END AS matched_subterms FROM g WHERE own OR subs <> ''")
 def index_search(spark, sf):
-    return structure.search_index(structure.build_index(table(spark, "idx_entries")), "entropy")
-
+    return structure.search_index(structure.build_index(table(spark, "idx_entries", sf)), "entropy")
 
-@query(fix("tex_lines") + r""", w AS (SELECT file, string_agg(text, E'\n' ORDER BY line) AS t FROM tex_lines GROUP BY file),
-x AS (SELECT file, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*%.*$', '', 'g'), '\\[a-zA-Z]+\*?', ' ', 'g'), '[{}]', ' ', 'g'), '\$[^$]*\$', ' ', 'g'), E' \t\n') AS t FROM w)
-SELECT file, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\s+')) END::INT AS words FROM x""")
-def tex_word_count(spark, sf):
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return table(spark, "tex_lines").groupBy("file").agg(whole.alias("t")).select("file", tx.markup_word_count(F.col("t")).alias("words"))
-
-
-@query()
-def tex_plain_text(spark, sf):
-    return table(spark, "tex_lines").select("file", "line", tx.squeeze(tx.strip_markup(F.col("text"))).alias("plain"))
 
 
 @query(r"""
@@ -755,26 +528,17 @@ def html_headings_links(spark, sf):
 def guide_topic(spark, sf):
     s = F.col("slug")
     rank = F.when(s == "paper", 1).when(s.startswith("paper"), 2).when(s.contains("paper"), 3).when(F.col("description").contains("paper"), 4)
-    return table(spark, "guides").select("slug", rank.alias("rank")).where("rank IS NOT NULL").orderBy("rank", "slug").limit(1)
+    return table(spark, "guides", sf).select("slug", rank.alias("rank")).where("rank IS NOT NULL").orderBy("rank", "slug").limit(1)
 
 
-@query(fix("meta_sources") + ", x AS (SELECT id, nullif(trim(crossref), '') AS a, nullif(trim(s2), '') AS b, nullif(trim(xmp), '') AS c, nullif(trim(font), '') AS d, nullif(trim(pdf), '') AS e FROM meta_sources) SELECT id, coalesce(a, b, c, d, e) AS title, CASE WHEN a IS NOT NULL THEN 'crossref' WHEN b IS NOT NULL THEN 's2' WHEN c IS NOT NULL THEN 'xmp' WHEN d IS NOT NULL THEN 'font' WHEN e IS NOT NULL THEN 'pdf' END AS origin FROM x")
-def best_metadata(spark, sf):
-    value, name = gates.best_metadata({n: F.col(n) for n in ("crossref", "s2", "xmp", "font", "pdf")})
-    return table(spark, "meta_sources").select("id", value.alias("title"), name.alias("origin"))
-
 
 @query(fix("spans") + ", m AS (SELECT *, max(size) FILTER (length(trim(text)) >= 3) OVER (PARTITION BY doc) AS top FROM spans), t AS (SELECT doc, string_agg(trim(text), ' ' ORDER BY y) AS title FROM m WHERE size >= top - 1 AND length(trim(text)) >= 3 GROUP BY doc) SELECT doc, title FROM t WHERE length(title) BETWEEN 10 AND 500")
 def title_by_font_size(spark, sf):
-    s = table(spark, "spans").where(F.length(F.trim("text")) >= 3).withColumn("top", F.max("size").over(Window.partitionBy("doc")))
+    s = table(spark, "spans", sf).where(F.length(F.trim("text")) >= 3).withColumn("top", F.max("size").over(Window.partitionBy("doc")))
     t = s.where("size >= top - 1").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("title"))
     return t.where(F.length("title").between(10, 500))
 
 
-@query("SELECT conv_id AS key, (turn + 1)::BIGINT AS page, count(*) OVER (PARTITION BY conv_id) AS pages, text FROM conversations QUALIFY page = 2")
-def page_view(spark, sf):
-    return _pages(spark, sf).withColumn("pages", F.count("*").over(Window.partitionBy("key"))).where("page = 2")
-
 
 @query("SELECT key, text FROM (SELECT conv_id AS key, turn, text FROM conversations) WHERE turn = 0")
 def first_page_text(spark, sf):
@@ -797,72 +561,17 @@ def json_shaping(spark, sf):
 # --- composed reads --------------------------------------------------------------------------------------------------
 
 
-@query(fix("tex_lines") + r""", l AS (SELECT file, line, text, lower(text) AS t FROM tex_lines WHERE NOT starts_with(ltrim(text), '%') AND contains(lower(text), 'cite'))
-SELECT l.file, l.line, array_to_string(list_transform(list_sort(list({'k': c.line, 't': c.text})), lambda x: x.t), chr(10)) AS context
-FROM l JOIN tex_lines c ON c.file = l.file AND c.line BETWEEN l.line - 1 AND l.line + 1 GROUP BY l.file, l.line""")
-def grep_tex_lines(spark, sf):
-    rows = ordered.around(table(spark, "tex_lines"), ["file"], ["line"], "text", 1, "near")
-    hit = rows.where(~F.ltrim("text").startswith("%") & F.lower("text").contains("cite"))
-    return hit.select("file", "line", F.array_join("near", "\n").alias("context"))
-
-
-@query(fix("caption_pages", "figures") + r""", t AS (SELECT key, string_agg(text, ' ' ORDER BY page) AS t FROM caption_pages GROUP BY key),
-c AS (SELECT f.key, f.figure, nullif(left(regexp_extract(t.t, '(?is)fig(?:ure|\.)\s*' || f.num || '\s*[:.]\s+([A-Z][^.]*\.)', 1), 500), '') AS caption,
-  (SELECT count(*) FROM caption_pages p WHERE p.key = f.key AND regexp_matches(p.text, '(?i)fig(?:ure|\.)\s*' || f.num || '(?:[^0-9]|$)')) AS mentions FROM figures f LEFT JOIN t USING (key))
-SELECT * FROM c""")
-def figure_captions(spark, sf):
-    pages, figures = table(spark, "caption_pages"), table(spark, "figures")
-    whole = pages.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), " ").alias("t"))
-    pattern = F.concat(F.lit(r"(?is)fig(?:ure|\.)\s*"), F.col("num"), F.lit(r"\s*[:.]\s+([A-Z][^.]*\.)"))
-    found = F.try_element_at(F.regexp_extract_all("t", pattern, 1), F.lit(1))
-    named = F.concat(F.lit(r"(?i)fig(?:ure|\.)\s*"), F.col("num"), F.lit(r"(?:[^0-9]|$)"))
-    seen = figures.join(pages, "key").where(F.regexp_like("text", named)).groupBy("key", "figure").agg(F.count("*").alias("mentions"))
-    out = figures.join(whole, "key", "left").join(seen, ["key", "figure"], "left")
-    return out.select("key", "figure", F.nullif(F.left(found, F.lit(500)), F.lit("")).alias("caption"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
-
-
-@query(fix("freshness") + "SELECT kind, CASE WHEN kind = 'papers' AND newest IS NULL THEN 'empty' WHEN kind = 'inbox' AND newest > 0 THEN 'pending' WHEN newest > built THEN 'stale' END AS advice FROM freshness WHERE advice IS NOT NULL")
-def freshness_advice(spark, sf):
-    k, new = F.col("kind"), F.col("newest")
-    advice = F.when((k == "papers") & new.isNull(), "empty").when((k == "inbox") & (new > 0), "pending").when(new > F.col("built"), "stale")
-    return table(spark, "freshness").select("kind", advice.alias("advice")).where("advice IS NOT NULL")
-
-
-@query(fix("authors") + ", p AS (SELECT id, name, CASE WHEN contains(name, ',') THEN trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) WHEN contains(name, ' ') THEN regexp_extract(name, '(\\S+)$', 1) || ', ' || regexp_extract(name, '^(.*)\\s\\S+$', 1) END AS other FROM authors) SELECT id, unnest(list_filter([name, other], lambda x: x IS NOT NULL)) AS variant FROM p")
-def name_variants(spark, sf):
-    n = F.col("name")
-    turned = F.when(n.contains(","), F.concat(F.trim(F.split(n, ",")[1]), F.lit(" "), F.trim(F.split(n, ",")[0]))).when(n.contains(" "), F.concat(F.regexp_extract(n, r"(\S+)$", 1), F.lit(", "), F.regexp_extract(n, r"^(.*)\s\S+$", 1)))
-    return table(spark, "authors").select("id", F.explode(F.filter(F.array(n, turned), lambda x: x.isNotNull())).alias("variant"))
 
 
 @query(fix("patches", "bib_rows") + """, p AS (SELECT key, CASE WHEN json_valid(data) THEN json_extract_string(data, '$.title') END AS t, CASE WHEN json_valid(data) THEN json_extract_string(data, '$.year') END AS y, CASE WHEN json_valid(data) THEN json_extract_string(data, '$.doi') END AS d FROM patches)
 SELECT b.key, coalesce(t, title) AS title, coalesce(y, year) AS year, coalesce(d, doi) AS doi, CASE WHEN d IS NOT NULL AND d IS DISTINCT FROM doi THEN 'unchecked' ELSE status END AS status FROM bib_rows b LEFT JOIN p USING (key)""")
 def metadata_patch(spark, sf):
-    p = table(spark, "patches").select("key", F.from_json("data", "title string, year string, doi string").alias("p"))
-    own = table(spark, "bib_rows").join(p, "key", "left")
+    p = table(spark, "patches", sf).select("key", F.from_json("data", "title string, year string, doi string").alias("p"))
+    own = table(spark, "bib_rows", sf).join(p, "key", "left")
     changed = F.col("p.doi").isNotNull() & ~F.col("p.doi").eqNullSafe(F.col("doi"))
     return own.select("key", F.coalesce("p.title", "title").alias("title"), F.coalesce("p.year", "year").alias("year"), F.coalesce("p.doi", "doi").alias("doi"), F.when(changed, "unchecked").otherwise(F.col("status")).alias("status"))
 
 
-@query(fix("page_scores") + "SELECT key, max(score)::DOUBLE AS max_score, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (score > 0.5), '') AS flagged, max(score) <= 0.5 AS passed FROM page_scores GROUP BY key")
-def injection_report(spark, sf):
-    s = table(spark, "page_scores")
-    flagged = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("score") > 0.5, F.col("page")))), lambda p: p.cast("string")), ",")
-    return s.groupBy("key").agg(F.max("score").cast("double").alias("max_score"), flagged.alias("flagged"), (F.max("score") <= 0.5).alias("passed"))
-
-
-@query(fix("doi_candidates", "papers_b") + f""", p AS (SELECT c.id AS candidate, b.id AS pdf, {_TT.format('c.title')} AS ta, {_TT.format('b.title')} AS tb, string_split(c.names, ',') AS na, string_split(b.names, ',') AS nb FROM doi_candidates c, papers_b b),
-s AS (SELECT candidate, pdf, round(0.6::DOUBLE * {_JAC.format(a='ta', b='tb')} + 0.25::DOUBLE * {_JAC.format(a='na', b='nb')}, 6)::DOUBLE AS score FROM p)
-SELECT pdf, candidate, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY pdf ORDER BY score DESC, candidate) = 1""")
-def doi_candidates(spark, sf):
-    a = table(spark, "doi_candidates").select(F.col("id").alias("candidate"), F.col("title").alias("ta"), F.split("names", ",").alias("na"))
-    b = table(spark, "papers_b").select(F.col("id").alias("pdf"), F.col("title").alias("tb"), F.split("names", ",").alias("nb"))
-    none = F.lit(None).cast("int")
-    # candidates share a title word with the paper they may belong to
-    words = lambda df, t: df.withColumn("w", F.explode(ids.title_tokens(F.col(t))))
-    both = words(a, "ta").join(words(b, "tb"), "w").drop("w").distinct()
-    scored = both.withColumn("score", F.round(ids.match_score(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), none, none), 6)).where("score >= 0.3")
-    return ordered.keep_one(scored, ["pdf"], [F.desc("score"), "candidate"]).select("pdf", "candidate", "score")
 
 
 @query()
@@ -876,13 +585,6 @@ def two_tier_search(spark, sf):
     return scored.where("score >= 0.3").select("doc_id", "para", F.round("score", 6).alias("score"))
 
 
-@query()
-def chunk_markers(spark, sf):
-    """Labels, references and citations of each file as arrays, with the share of comment lines."""
-    found = _facts(spark).groupBy("file").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name")))).alias(f"{k}s") for k in ("label", "ref", "cite", "section")))
-    share = table(spark, "tex_lines").groupBy("file").agg(F.round(F.avg(F.ltrim("text").startswith("%").cast("double")), 3).alias("comment_ratio"))
-    return share.join(found, "file", "left")
-
 
 @query()
 def quote_score(spark, sf):
@@ -890,3 +592,6 @@ def quote_score(spark, sf):
     quotes = _read(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id")).alias("k"), F.col("text").alias("t"))
     texts = _read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("k2"), "text")
     return search.score_quotes(quotes, texts, "k", "t", "k2", "text", 0.8)
+
+
+from parchmint.plans import intake, library, manuscripts  # noqa: E402, F401  (they register their queries)
