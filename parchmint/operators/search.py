@@ -292,3 +292,21 @@ def chunks(rows: DataFrame, row_id: str, text: str, size: int = 500, overlap: in
             yield pd.DataFrame(out, columns=[row_id, "chunk_index", "text"])
 
     return own.mapInPandas(run, f"{row_id} {rows.schema[row_id].dataType.simpleString()}, chunk_index int, text string")
+
+
+def corpus_search(lines: DataFrame, query: str, globs: Sequence[str], around: int = 3) -> DataFrame:
+    """``file, line, context``: lines of the files that the globs (``*``, ``?``) name whose plain normalised text holds the
+    query, with ``around`` lines on either side. No file that the globs name raises ``LookupError``."""
+    import re
+
+    from parchmint.operators.ordered import around as neighbours
+
+    named = None
+    for g in globs:
+        test = F.regexp_like("file", F.lit("(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g) + r"\z"))
+        named = test if named is None else named | test
+    own = lines if named is None else lines.where(named)
+    if own.limit(1).isEmpty():
+        raise LookupError(f"no file matches {list(globs)}")
+    rows = neighbours(own, ["file"], ["line"], "text", around, "__near")
+    return rows.where(F.contains(tx.normalize_markup(F.col("text")), F.lit(tx.normal_form(query)))).select("file", "line", F.array_join("__near", "\n").alias("context"))

@@ -13,7 +13,7 @@ from parchmint.functions import ids, register
 from parchmint.functions import text as tx
 from parchmint.operators import catalog, contents, figures, fuzzy, gates, graph, library, ordered, search, structure
 from parchmint.plans import catalogue
-from parchmint.sources import readers, sinks
+from parchmint.sources import archive, readers, sinks
 from parchmint.streaming import ingest
 
 
@@ -476,3 +476,42 @@ def test_functions_for_sql(spark):
     assert got == [(1, 0, 0, 25, "One cat sat. One cat sat."), (1, 1, 26, 49, "Quite other words here.")]
     v = [x.embedding for x in register.embeddings(df, "t", embed).collect()]
     assert all(len(x) == 16 for x in v) and abs(sum(x * x for x in v[0]) - 1) < 1e-6 and not any(v[2])
+
+
+def test_archive(spark, tmp_path):
+    path = str(tmp_path / "vault")
+    meta = spark.createDataFrame([("xu2022", "h1", "10.1/a", "T"), ("Xa", "h2", None, "U"), ("9b", "h3", "10.1/b", None)], "key string, content_hash string, doi string, title string")
+    pages = spark.createDataFrame([("xu2022", 1, "one"), ("xu2022", 2, "two"), ("9b", 1, "nine")], "key string, page int, text string")
+    chunks = spark.createDataFrame([("xu2022", 1, 0, "one")], "key string, page int, chunk_index int, text string")
+    archive.write(path, meta, pages, chunks)
+    assert [r.key for r in archive.keys(spark, path).collect()] == ["9b", "Xa", "xu2022"]
+    assert [(r.page, r.text) for r in archive.read(spark, path, "pages", "xu2022").orderBy("page").collect()] == [(1, "one"), (2, "two")]
+    archive.patch(spark, path, spark.createDataFrame([("Xa", "New", None), ("none", "x", None)], "key string, title string, doi string"))
+    archive.write(path, meta.where("key = 'xu2022'").withColumn("title", F.lit("Again")), spark.createDataFrame([("xu2022", 1, "only")], pages.schema))
+    got = {r.key: (r.title, r.doi, r.page_count) for r in archive.catalogue(spark, path).collect()}
+    assert got == {"xu2022": ("Again", "10.1/a", 1), "Xa": ("New", None, 0), "9b": (None, "10.1/b", 1)}
+    old = spark.createDataFrame([("h1", "xu2022", "10.1/a", "2023")], "content_hash string, key string, doi string, ingested_at string")
+    new = spark.createDataFrame([("h1", "renamed", "10.1/a"), ("h9", "fresh", None)], "content_hash string, key string, doi string")
+    assert sorted(tuple(r) for r in archive.upsert(old, new, "2024").collect()) == [("h1", "renamed", "10.1/a", "2023"), ("h9", "fresh", None, "2024")]
+    with pytest.raises(catalog.DuplicateKey):
+        archive.upsert(old, spark.createDataFrame([("h9", "xu2022", None)], new.schema), "2024")
+    archive.remove(spark, path, "xu2022")
+    assert [r.key for r in archive.keys(spark, path).collect()] == ["9b", "Xa"] and archive.read(spark, path, "chunks").count() == 0
+    assert archive.drop(spark, path + "/chunks") and not archive.drop(spark, path + "/chunks")
+    links = spark.createDataFrame([("p", "h1", 1)], "project_id string, content_hash string, added_at int")
+    linked = archive.link(links, spark.createDataFrame([("p", "h1", 5), ("p", "h1", 4), ("q", "h1", 2)], links.schema))
+    assert sorted(tuple(r) for r in linked.collect()) == [("p", "h1", 5), ("q", "h1", 2)] and archive.unlink(linked, "p", "h1").count() == 1
+
+
+def test_corpus_sync_and_search(spark, tmp_path):
+    index = str(tmp_path / "index")
+    schema = "file string, sha256 string, text string"
+    first = spark.createDataFrame([("a.tex", "1", "One. Two."), ("b.tex", "1", "Three."), ("c.md", "1", "Four.")], schema)
+    assert ingest.sync_corpus(spark, first, index, block=2) == {"added": 3}
+    second = spark.createDataFrame([("a.tex", "1", "One. Two."), ("b.tex", "2", "Changed."), ("d.tex", "1", "New.")], schema)
+    assert ingest.sync_corpus(spark, second, index, block=1) == {"unchanged": 1, "changed": 1, "added": 1, "removed": 1}
+    assert sorted((r.file, r.sha256, r.text) for r in ingest.read_index(spark, index).collect()) == [("a.tex", "1", "One. Two."), ("b.tex", "2", "Changed."), ("d.tex", "1", "New.")]
+    lines = spark.createDataFrame([("s/a.tex", 1, r"The \textbf{bold}  claim"), ("s/a.tex", 2, "next"), ("t.md", 1, "bold claim")], "file string, line int, text string")
+    assert [tuple(r) for r in search.corpus_search(lines, "Bold claim", ["s/*.tex"], 1).collect()] == [("s/a.tex", 1, "The \\textbf{bold}  claim\nnext")]
+    with pytest.raises(LookupError):
+        search.corpus_search(lines, "x", ["*.py"])
