@@ -16,24 +16,17 @@ from parchmint.operators import ordered
 LEVELS = 6
 
 
-def _below(bound: Column):
-    return lambda x: x["d"] < bound
-
-
 def tree(entries: DataFrame) -> DataFrame:
-    """``entries`` with ``parent`` and ``ancestors`` (nearest first): the last earlier entry of each lesser depth; of these
-    the latest is the parent, the latest that is shallower still the parent's parent, and so on. One running window."""
+    """``entries`` with ``parent`` and ``ancestors`` (nearest first): of the last earlier entry of each depth, from the latest
+    on, every one that is shallower than the one before it. One running window and one fold of ``LEVELS`` values."""
     w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.struct(F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(w).alias("o"), F.lit(d).alias("d")) for d in range(LEVELS)]
-    own = entries.withColumn("__above", F.filter(F.array(*last), lambda x: x["o"].isNotNull()))
-    bound: Column = F.col("depth")
-    chain = []
-    for k in range(LEVELS):
-        own = own.withColumn(f"__a{k}", F.array_max(F.filter("__above", _below(bound))))
-        bound = F.coalesce(F.col(f"__a{k}")["d"], F.lit(-1))
-        chain.append(F.col(f"__a{k}")["o"])
-    out = own.withColumn("ancestors", F.filter(F.array(*chain), lambda x: x.isNotNull()))
-    return out.withColumn("parent", F.try_element_at("ancestors", F.lit(1))).drop("__above", *(f"__a{k}" for k in range(LEVELS)))
+    kind = entries.schema["ord"].dataType.simpleString()
+    latest = F.sort_array(F.filter("__above", lambda x: x["o"].isNotNull()), asc=False)
+    start = F.struct(F.col("depth").cast("int").alias("d"), F.array().cast(f"array<{kind}>").alias("l"))
+    step = lambda acc, x: F.when(x["d"] < acc["d"], F.struct(x["d"].alias("d"), F.concat(acc["l"], F.array(x["o"])).alias("l"))).otherwise(acc)
+    out = entries.withColumn("__above", F.array(*last)).withColumn("ancestors", F.aggregate(latest, start, step, lambda acc: acc["l"]))
+    return out.withColumn("parent", F.try_element_at("ancestors", F.lit(1))).drop("__above")
 
 
 def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:

@@ -116,6 +116,33 @@ def token_proximity(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(q, t) for q, t in zip(query, text, strict=True)])
 
 
+def proximity(query: str, text: Column) -> Column:
+    """``token_proximity`` for a fixed query, in the JVM: the hits of the query's words are folded once, with the last place of
+    each word as state."""
+    tokens = query.lower().split()
+    wanted = list(dict.fromkeys(tokens))
+    if not tokens:
+        return F.lit(0.0)
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    place = lambda w, i: F.struct(i.alias("i"), F.array_position(F.array(*map(F.lit, wanted)), w).cast("int").alias("k"))
+    whole = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("n"), F.filter(F.transform(ws, place), lambda x: x["k"] > 0).alias("h")))
+
+    def score(s: Column) -> Column:
+        found = F.size(F.array_distinct(F.transform(s["h"], lambda x: x["k"])))
+        start = F.struct(F.array_repeat(F.lit(-1), len(wanted)).alias("last"), s["n"].alias("best"), found.alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            last = F.transform(acc["last"], lambda p, j: F.when(j + 1 == x["k"], x["i"]).otherwise(p))
+            seen = F.filter(last, lambda p: p >= 0)
+            best = F.when(F.size(seen) == acc["found"], F.least(acc["best"], x["i"] - F.array_min(seen) + 1)).otherwise(acc["best"])
+            return F.struct(last.alias("last"), best.alias("best"), acc["found"].alias("found"))
+
+        end = F.aggregate(s["h"], start, step, lambda acc: F.struct(acc["best"].alias("best"), acc["found"].alias("found")))
+        return F.transform(F.array(end), lambda e: F.when(e["found"] == 0, 0.0).when(e["found"] == 1, F.lit(0.3 / len(tokens))).otherwise(e["found"] / len(tokens) * F.least(F.lit(1.0), F.log(e["found"] + 1.0) / F.log(e["best"] + 1.0))))[0]
+
+    return F.transform(whole, score)[0]
+
+
 def _indel(a: str, b: str) -> float:
     """2 * longest common subsequence / total length, by bit-parallel rows."""
     if not a or not b:

@@ -372,15 +372,26 @@ def normalize_text(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", tx.normalize(F.col("text")).alias("norm"))
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '-\s*\n\s*', '', 'g'), '\s+', ' ', 'g')) AS quote FROM documents")
 def normalize_unicode(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", tx.clean_for_quote(F.col("text")).alias("quote"))
 
 
-@query()
+def _proximity_sql(rows: str, words: tuple[str, ...]) -> str:
+    """DuckDB: share of words found, less the wider the least window of all found (``rows``: id, text)."""
+    last = ", ".join(f"max(CASE WHEN tok = '{w}' THEN i END) OVER (PARTITION BY id ORDER BY i) AS l{k}" for k, w in enumerate(words))
+    n = len(words)
+    return f"""r AS ({rows}), w AS (SELECT id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM r),
+u AS (SELECT id, unnest(ws) AS tok, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w), h AS (SELECT * FROM u WHERE tok IN {words}),
+f AS (SELECT id, count(DISTINCT tok) AS found, max(n) AS n FROM h GROUP BY id), l AS (SELECT id, i, {last} FROM h),
+b AS (SELECT l.id, f.found, min(i - least({", ".join(f"l{k}" for k in range(n))}) + 1) AS best FROM l JOIN f USING (id) WHERE {" + ".join(f"(l{k} IS NOT NULL)::INT" for k in range(n))} = f.found GROUP BY l.id, f.found),
+s AS (SELECT id, CASE WHEN found = 1 THEN 0.3::DOUBLE / {n} ELSE found / {n} * least(1.0::DOUBLE, ln(found + 1) / ln(best + 1)) END AS score FROM b)"""
+
+
+@query("WITH " + _proximity_sql("SELECT doc_id AS id, text FROM documents", ("the", "and", "of", "with")) + " SELECT id AS doc_id, round(score, 6) AS score FROM s WHERE round(score, 6) >= 0.3")
 def token_proximity(spark, sf):
     d = _read(spark, sf, "documents").select("doc_id", "text")
-    return d.select("doc_id", F.round(search.token_proximity(F.lit("the and of with"), F.col("text")), 6).alias("score")).where("score >= 0.3")
+    return d.select("doc_id", F.round(search.proximity("the and of with", F.col("text")), 6).alias("score")).where("score >= 0.3")
 
 
 @query()
@@ -574,15 +585,20 @@ def metadata_patch(spark, sf):
 
 
 
-@query()
+_PARAS = "SELECT doc_id, unnest(string_split(text, chr(10))) AS para, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS nth FROM documents"
+
+
+@query(f"""WITH p0 AS ({_PARAS}), p AS (SELECT doc_id, nth, para, contains(lower(trim(regexp_replace(nfc_normalize(para), '\\s+', ' ', 'g'))), 'of the and') AS exact FROM p0 WHERE length(para) >= 40),
+q AS (SELECT *, max(exact::INT) OVER (PARTITION BY doc_id) = 1 AS verbatim FROM p), """ + _proximity_sql("SELECT {'d': doc_id, 'a': nth} AS id, para AS text FROM q WHERE NOT verbatim", ("of", "the", "and")) + """
+SELECT doc_id, para, 1.0::DOUBLE AS score FROM q WHERE exact UNION ALL SELECT q.doc_id, q.para, round(s.score, 6) FROM q JOIN s ON s.id.d = q.doc_id AND s.id.a = q.nth WHERE round(s.score, 6) >= 0.3""")
 def two_tier_search(spark, sf):
     """Paragraphs that hold the query verbatim; only where a document has none, those with enough of its words close by."""
     rows = _read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\n")).alias("para")).where(F.length("para") >= 40)
     exact = F.when(F.contains(tx.normalize(F.col("para")), F.lit("of the and")), 1.0).otherwise(0.0)
     rows = rows.withColumn("exact", exact).withColumn("best", F.max("exact").over(Window.partitionBy("doc_id")))
-    near = search.token_proximity(F.lit("of the and"), F.col("para"))
-    scored = rows.where("exact = 1.0 OR best = 0.0").withColumn("score", F.when(F.col("exact") == 1.0, F.lit(1.0)).otherwise(near))
-    return scored.where("score >= 0.3").select("doc_id", "para", F.round("score", 6).alias("score"))
+    near = search.proximity("of the and", F.col("para"))
+    scored = rows.where("exact = 1.0 OR best = 0.0").withColumn("score", F.round(F.when(F.col("exact") == 1.0, F.lit(1.0)).otherwise(near), 6))
+    return scored.where("score >= 0.3").select("doc_id", "para", "score")
 
 
 

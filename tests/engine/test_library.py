@@ -70,6 +70,12 @@ def test_scores(spark):
     q = spark.createDataFrame([("noise graph", "graph of noise"), ("noise noise", "noise"), ("x", "y"), (None, None)], "q string, t string")
     got = [round(r[0], 4) for r in q.select(search.token_proximity("q", "t")).collect()]
     assert got == [0.7925, 0.15, 0.0, 0.0]
+    r = random.Random(5)
+    texts = [" ".join(r.choices("a b c d e f g".split(), k=r.randrange(0, 30))) for _ in range(60)] + [None, "", "A\u00a0b  C"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for query in ("a b c", "a", "a a b", "z y", "c b a e"):
+        rows = df.select(search.proximity(query, F.col("t")).alias("x"), search.token_proximity(F.lit(query), F.col("t")).alias("y")).collect()
+        assert all(abs(x.x - x.y) < 1e-9 for x in rows)
     assert search.token_set_ratio("a b c", "c b a d") == 1.0
     assert search._indel("abc", "abd") == pytest.approx(4 / 6)
     out = search.pack_chunks(["x" * 60, "y" * 60, "z" * 60], 130, 70)
