@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmint.llm._arrow import Words, batches, mix, small_batches, words
+from parchmint.llm._scratch import stage
 from parchmint.llm.toxicity import logistic
 
 LABELLED = 4000
@@ -287,6 +288,7 @@ def surest(rows: DataFrame, views: Views, known: np.ndarray, counts: tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array([view] * m, pa.int32()), pa.array([label] * m, pa.int32()), pa.array(keys, pa.int64()), pa.array(value)], ["view", "label", "h", "sure"])
 
     found = rows.select("h", "text", "lang", "source").mapInArrow(run, "view int, label int, h long, sure double").groupBy("view", "label", "h").agg(F.max("sure").alias("sure"))
+    found = stage(found, "quality-surest")  # one pass for all four lists
     parts = [found.where((F.col("view") == v) & (F.col("label") == y)).orderBy(F.desc("sure"), "h").limit(counts[y]) for v in (0, 1) for y in (0, 1)]
     out = parts[0]
     for p in parts[1:]:

@@ -132,10 +132,9 @@ def search_gates(documents: DataFrame, key: str, known: DataFrame, least: float
     )
     extracted = own.where(F.coalesce("title", F.lit("")) != "").select(F.col(key).alias("__key"), "title")
     catalogued = known.where(F.coalesce("title", F.lit("")) != "")
-    both = extracted.select(F.struct(F.lit(0).alias("side"), F.col("__key").cast("string").alias("key")).alias("k"), "title").unionByName(catalogued.select(F.struct(F.lit(1).alias("side"), F.col("key").cast("string").alias("key")).alias("k"), "title"))
-    pairs = search.fuzzy_titles(both, "k", "title", title_least).where("k.side = 0 AND k2.side = 1")
-    near = pairs.groupBy(F.col("k.key").alias("__k")).agg(F.min_by(F.struct(F.col("k2.key").alias("key"), "ratio"), F.col("k2.key")).alias("m"))
-    dedup = extracted.join(near, F.col("__key").cast("string") == F.col("__k"), "left").select(
+    hits = search.title_hits(extracted, "__key", "title", catalogued, "key", "title", title_least)
+    near = hits.groupBy(F.col("__key").alias("__k")).agg(F.min_by(F.struct(F.col("known_key").alias("key"), "ratio"), "known_key").alias("m"))
+    dedup = extracted.join(near, F.col("__key") == F.col("__k"), "left").select(
         F.col("__key").alias(key), _gate(8, "title_dedup", F.col("m").isNull(), F.lit("No similar titles found"), F.concat(F.lit("Similar title in vault: '"), F.col("m.key"), F.lit("' (score "), two("m.ratio"), F.lit(")"))).alias("g")
     )
     return titled.unionByName(authored).unionByName(dedup).select(key, "g.*")

@@ -254,6 +254,40 @@ def fuzzy_titles(titles: DataFrame, key: str, title: str, least: float = 0.9, bl
     return pairs.select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"), "ratio")
 
 
+def title_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float = 0.9, block: int = 1024) -> DataFrame:
+    """``key, known_key, ratio``: all known titles that are much the same as a new one. New titles are a stated query set: their
+    distinct word sets go to the executors in blocks, each meets all known rows in one pass, and ``similar`` leaves out what
+    can't reach ``least``. Known rows are never paired with each other or shuffled; titles without a word match nothing."""
+    kinds = [f"`__s` string, `__k` {known.schema[known_key].dataType.simpleString()}, ratio double", f"`__n` {new.schema[key].dataType.simpleString()}, `__s` string"]
+
+    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"__n": pdf["__n"], "__s": _word_sets(pdf["__t"])})
+
+    asked = new.select(F.col(key).alias("__n"), F.col(title).alias("__t")).mapInPandas(sets, kinds[1]).where("__s <> ''")
+    rows = known.select(F.col(known_key).alias("__k"), F.col(known_title).alias("__t")).where("__t IS NOT NULL")
+    out, held = None, []
+
+    def add(held: list[str]) -> DataFrame:
+        def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                own, ids_ = _word_sets(pdf["__t"]), pdf["__k"].tolist()
+                found = [(held[j], ids_[i], r) for i, j, r in similar(own, held, least) if own[i]]
+                if found:
+                    yield pd.DataFrame(found, columns=["__s", "__k", "ratio"])
+
+        part = rows.mapInPandas(score, kinds[0])
+        return part if out is None else out.unionAll(part)
+
+    for r in asked.select("__s").distinct().toLocalIterator():
+        held = [*held, r[0]]
+        if len(held) == block:
+            out, held = add(held), []
+    if held or out is None:
+        out = add(held)
+    return asked.join(out, "__s").select(F.col("__n").alias(key), F.col("__k").alias("known_key"), "ratio")
+
+
 def score_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, row_id: str, text: str, least: float, block: int = 512) -> DataFrame:
     """``quote_id, row_id, ratio``: the best token-set ratio of each whole quote among all sentences of each document, where
     it reaches ``least``. Quotes are a stated query set and go to the executors in blocks; each block meets all rows."""

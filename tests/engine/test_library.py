@@ -222,6 +222,10 @@ def test_fuzzy_titles_against_brute_force(spark):
     df = spark.createDataFrame(rows, "k long, t string")
     assert len(want) > 100 and want[len(titles) - 2, len(titles) - 1] < 1
     for block in (1000, 10):
+        new = df.where("k % 7 = 0")
+        hits = search.title_hits(new, "k", "t", df, "k", "t", 0.9, block).collect()
+        brute = {(i, j): round(search.token_set_ratio(a, b), 6) for i, a in rows if i % 7 == 0 for j, b in rows if a and b and round(search.token_set_ratio(a, b), 6) >= 0.9}
+        assert {(x.k, x.known_key): x.ratio for x in hits} == brute and len(hits) == len(brute)
         got = search.fuzzy_titles(df, "k", "t", 0.9, block).collect()
         assert {(x.k, x.k2): x.ratio for x in got} == want and len(got) == len(want)
 
