@@ -82,14 +82,34 @@ def ascii_ratio(text: Column) -> Column:
     return F.when(n > 0, F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / n).otherwise(F.lit(0.0))
 
 
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def running(values: Column, block: int = 256) -> Column:
+    """Running sums of an int array. A fold that appends to an array copies it every time, so sums are made in blocks: the
+    work grows with length times block, and not with the square of the length."""
+    append = lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+    none = F.array().cast("array<int>")
+    count = lambda v: F.ceil(F.size(v) / block).cast("int")
+
+    def blocks(v: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.greatest(count(v) - 1, F.lit(0))), lambda k: F.aggregate(F.slice(v, k * block + 1, block), none, append))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(b: Column) -> Column:
+        bases = F.aggregate(F.transform(b, lambda x: F.element_at(x, -1)), F.array(F.lit(0)), append)
+        return _bound(bases, lambda base: F.flatten(F.transform(b, lambda x, k: F.transform(x, lambda n: n + F.get(base, k)))))
+
+    return _bound(_bound(values, blocks), joined)
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """1-based places of all occurrences of ``needle``, overlapping ones too."""
-    parts = F.split(text, f"(?={_quote(needle)})")
-    lengths = F.transform(parts, lambda p: F.length(p))
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+    lengths = F.transform(F.split(text, f"(?={_quote(needle)})"), lambda p: F.length(p))
     # a part begins at every occurrence; the first part only if the text begins with one
-    starts = F.transform(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda x: x + 1)
-    return F.filter(starts, lambda at: F.substring(text, at, F.lit(len(needle))) == needle)
+    starts = lambda ends: F.transform(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda x: x + 1)
+    return _bound(running(lengths), lambda ends: F.filter(starts(ends), lambda at: F.substring(text, at, F.lit(len(needle))) == needle))
 
 
 def _quote(text: str) -> str:

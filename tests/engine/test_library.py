@@ -29,6 +29,11 @@ def test_text(spark):
     assert one(spark, tx.sentences(t), t="One. Two!  Three? end") == ["One.", "Two!", "Three?", "end"]
     assert one(spark, tx.occurrences(t, "aXa"), t="aXaXa aXa") == [1, 3, 7]
     assert one(spark, tx.occurrences(t, "zz"), t="aXa") == []
+    many = "ab" * 1500 + "c" + "ab" * 3
+    assert one(spark, tx.occurrences(t, "aba"), t=many) == [m.start() + 1 for m in re.finditer("(?=aba)", many)]
+    for n in (0, 1, 255, 256, 257, 700):
+        r = spark.range(1).select(tx.running(F.transform(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), lambda x: (x % 5).cast("int"))).alias("x")).first().x
+        assert r == [sum(k % 5 for k in range(1, i + 1)) for i in range(1, n + 1)]
     assert one(spark, tx.squeeze(tx.strip_markup(t)), t=r"See \emph{the \textbf{bold} word} \cite{a} % gone") == "See the bold word"
     assert one(spark, tx.word_count(t), t=" \n") == 0
 

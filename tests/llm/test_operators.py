@@ -988,3 +988,14 @@ def test_rules(spark):
     assert out[0] == ("a.example.com", "/en/71", "example.com/en/7", "allow")
     assert [out[k][2:] for k in range(1, 11)] == [("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), ("org/es/", "block"), (None, "allow")]
     assert out[6][:2] == ("", "")
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://a.example.com/en/7" + "x" * 100_000
+    urls = [long, long, "http://b.org/es/" + "?" * 5000, "://", "http://" + "h" * 50_000, None, None]
+    df = spark.createDataFrame([(k % 5, u) for k, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("own"))
+    out = urlfilter.judge(df, urlfilter.RULES, urlfilter.GLOBS).collect()
+    assert len(out) == len(urls)
+    got = [(x.rule, x.verdict) for x in out if x.url == long]
+    assert got == [("example.com/en/7", "allow")] * 2
+    assert all(x.host == "" and x.path == "" for x in out if x.url in (None, "://"))

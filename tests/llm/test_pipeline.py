@@ -18,7 +18,7 @@ from test_operators import brute_components, fill, tokens  # noqa: E402, I001
 @pytest.fixture(scope="module")
 def steps(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "src1", 0), (None, "no id here and some words more", "en", "src1", 5), (90003, "short", "xx", "elsewhere", 5), (90003, "short", "xx", "elsewhere", 5)], docs.schema)
+    odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "src1", 0), (None, "no id here and some words more", "en", "src1", 5), (90003, "short", "xx", "elsewhere", 5), (90003, "short", "xx", "elsewhere", 5), (90004, "plain words of a long text " * 6000, "en", "src2", 162000), (90005, "z" * 150000, "en", "src2", 150000), (None, "no id here and some words more", "de", "src1", 5)], docs.schema)
     out = [stage(docs.unionByName(odd), "t")]
     for name, f in pipe.STAGES:
         out.append(stage(f(spark, out[-1], sf), name))
