@@ -116,14 +116,18 @@ def words(raw: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE) -> W
     n = len(off) - 1
     # one separator after each document keeps words from running across the border
     data = np.full(len(raw) + n, 32, np.uint8)
-    if len(raw):
-        data[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(off))] = LOWER[raw]
+    text = np.ones(len(data), bool)
+    text[off[1:] + np.arange(n)] = False
+    data[text] = LOWER[raw]
     inside = np.concatenate(([False], ~separators[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
     p, ip = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
+    total[1:] = data
+    total[1:] += np.uint64(1)
+    total[1:] *= p[: len(data)]
+    np.cumsum(total[1:], out=total[1:])
     h = mix((total[end] - total[start]) * ip[start] + (end - start).astype(np.uint64) * _Q)
     first = np.searchsorted(start, off + np.arange(n + 1))
     return Words(data, h, start, end, first)

@@ -54,9 +54,9 @@ def columns(raw: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarr
     doc = w.doc
     kind = _shape(raw)
     # words() stands one separator behind each document
-    a, z = w.start - doc, w.end - doc
-    upper, symbol, digit = (np.concatenate(([0], np.cumsum(kind == k))) for k in (1, 3, 2))
-    ups, syms, digs = upper[z] - upper[a], symbol[z] - symbol[a], digit[z] - digit[a]
+    z = w.end - doc
+    # few bytes are of these classes, and all of them are within words
+    ups, syms, digs = (np.bincount(np.searchsorted(z, np.flatnonzero(kind == k), "right"), minlength=len(z)) for k in (1, 3, 2))
     shape = (np.minimum(ups, 2) * 3 + np.minimum(syms, 2)) * 6 + (kind[z - 1] if len(z) else kind[:0])
     shape = shape * 2 + (digs > 0)
     repeat = np.zeros(len(doc), bool)
@@ -81,8 +81,7 @@ def metadata(raw: np.ndarray, off: np.ndarray, w: Words, lang: list, source: lis
     rows = np.zeros((n, META))
 
     def per(mark: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mark)))
-        return total[off[1:]] - total[off[:-1]]
+        return np.diff(np.searchsorted(np.flatnonzero(mark), off))
 
     lines = per(raw == 10) + 1
     b = np.maximum(size, 1)
