@@ -45,6 +45,8 @@ _RENAME = np.uint64(0x8EBC6AF09C88C6E3)
 SALTS, SALT_ROWS = 64, 50_000
 #: Bits of the filter that tells which rows are compared in full, at most.
 FILTER_BITS = 1 << 27
+#: Tasks over which the links of one node are dealt, one bit of a long each.
+SPREAD = 64
 #: Columns of so many rows are multiplied in dense blocks of so many rows by as many.
 BLOCK_ROWS, BLOCK = 400, 256
 
@@ -264,23 +266,32 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, clash: np.ndarray) -
     return links
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """``u, v, m``: each edge with the least ``v`` of its ``u``. The edges of one ``u`` are dealt over ``SPREAD`` tasks: a mask
+    tells in which of them it stands, so the least goes there and nowhere else."""
+    edges = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("mask"))
+    places = F.expr(f"explode(filter(sequence(0, {SPREAD - 1}), x -> getbit(mask, x) = 1))")
+    return edges.join(least.select("u", "m", places.alias("s")), ["u", "s"]).select("u", "v", "m")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for all nodes of ``links`` (a, b): the least node that links lead to. Alternating large and small
-    stars; each round is written, so nothing of an earlier round is computed again."""
+    stars; each round is written, so nothing of an earlier round is computed again. A node with many links, such as the
+    source of a large group of near copies, is dealt over several tasks in every step."""
     edges = stage(links.where("a <> b").select("a", "b").distinct(), name)
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = stage(large, name)
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select("u", "m")).distinct()
-        small = stage(small, name)
+        both = _least(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")))
+        both = both.withColumn("m", F.least("u", "m"))
+        large = stage(both.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), name)
+        down = _least(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        small = down.select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))))
+        small = stage(small.where("a <> b").distinct(), name)
         discard(edges, large)
         edges = small
-        # done when every node points straight at a root
-        if edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and not edges.groupBy("a").count().where("count > 1").limit(1).count():
+        # done when every node points straight at one root: none points at two, or is pointed at and points on
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 AND out > 0").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b").distinct())
 
 

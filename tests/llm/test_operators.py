@@ -609,6 +609,31 @@ def test_components_against_brute_force(spark, docs, monkeypatch, rows, block):
     assert got == brute_components([(x.doc_id, x.text) for x in both.collect()])
 
 
+def test_links_of_a_hub_are_dealt_and_closed(spark):
+    rng = np.random.default_rng(5)
+    hub = [(500_000, int(x)) if x % 2 else (int(x), 500_000) for x in rng.choice(10**6, 3000, replace=False) if x != 500_000]
+    chain = [(2 * 10**6 + k, 2 * 10**6 + k + 1) for k in range(40)]
+    loose = [(3 * 10**6 + int(a), 3 * 10**6 + int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    links = hub + chain + loose + loose[:20]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in jaccard.components(table).collect()}
+    assert got == {x: find(x) for x in root}
+    dealt = jaccard._least(table.selectExpr("a u", "b v")).groupBy("u").agg(F.min("v").alias("v"), F.max("m").alias("m"), F.count("*").alias("c"))
+    assert dealt.where("v <> m").isEmpty() and dealt.agg(F.sum("c")).first()[0] == len(links)
+    assert jaccard.components(table.limit(0)).isEmpty()
+
+
 def test_one_of_each_component(spark, docs):
     # different texts under one id, near copies without an id, and a component of rows without ids
     lone = "these words stand in rows that have no id and no partner with one"
