@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchmint.llm import decontaminate, fingerprint, jaccard, lmscore, mixing, quality, secrets, sharding, toxicity, urlfilter
+from parchmint.llm import conversations, decontaminate, fingerprint, jaccard, lmscore, mixing, quality, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_ring_shards": sharding.op1_ring_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_cotraining": quality.op8_quality_cotraining,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
 }
 ORACLES = {
     "op2_source_mix": mixing.OP2_SQL,
