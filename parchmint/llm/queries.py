@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchmint.llm import conversations, decontaminate, fingerprint, jaccard, lmscore, mixing, quality, secrets, sharding, toxicity, urlfilter
+from parchmint.llm import conversations, decontaminate, fingerprint, jaccard, lmscore, mixing, quality, ranking, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_ring_shards": sharding.op1_ring_shards,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_ranked_search": ranking.op12_ranked_search,
 }
 ORACLES = {
     "op2_source_mix": mixing.OP2_SQL,
     "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op9_url_filter": urlfilter.OP9_SQL,
+    "op12_ranked_search": ranking.OP12_SQL,
 }
