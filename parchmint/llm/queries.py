@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchmint.llm import conversations, decontaminate, fingerprint, jaccard, lmscore, mixing, quality, ranking, secrets, sharding, toxicity, urlfilter
+from parchmint.llm import conversations, decontaminate, fingerprint, jaccard, lmscore, mixing, personal, quality, ranking, secrets, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_ring_shards": sharding.op1_ring_shards,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_ranked_search": ranking.op12_ranked_search,
+    "op13_personal_data": personal.op13_personal_data,
 }
 ORACLES = {
     "op2_source_mix": mixing.OP2_SQL,
