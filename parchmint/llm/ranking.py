@@ -105,14 +105,19 @@ class Index:
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
         return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
 
+    def _kth(self, pairs: DataFrame) -> DataFrame:
+        """``item, sure``: the kth exact score among the pairs, of items that have so many."""
+        return self._first(self.scored(pairs)).where(F.col("rank") == self.k).select("item", F.col("score").alias("sure"))
+
     def thresholds(self) -> DataFrame:
-        """``item, least``: no document of the item's ``k`` best scores less. 0 where fewer than ``k`` are known to score."""
-        kth = self.best.where(F.col("rn") == self.k).select("t", F.col("impact").alias("kth"))
+        """``item, least``: no document of the item's ``k`` best scores less; 0 where fewer than ``k`` are known to score. Stored
+        impacts alone bound it; the documents with the greatest sums of them are scored exactly to raise it."""
         asked = self.asked()
-        single = asked.join(kth, "t", "left").groupBy("item").agg(F.max(F.coalesce(F.expr("times * kth"), F.lit(0).cast("long"))).alias("least"))
-        seeds = asked.select("item", "t").join(self.best.select("t", "row"), "t").select("item", "row").distinct()
-        sure = self._first(self.scored(seeds)).where(F.col("rank") == self.k).select("item", F.col("score").alias("sure"))
-        return single.join(sure, "item", "left").select("item", F.greatest("least", F.coalesce("sure", F.lit(0).cast("long"))).alias("least"))
+        stored = asked.join(self.best, "t").withColumn("part", F.expr("times * impact"))
+        single = stored.groupBy("item").agg(F.max(F.when(F.col("rn") == self.k, F.col("part"))).alias("least"))
+        likely = Window.partitionBy("item").orderBy(F.desc("got"), "row")
+        seeds = stored.groupBy("item", "row").agg(F.sum("part").alias("got")).withColumn("rn", F.row_number().over(likely)).where(F.col("rn") <= self.k)
+        return single.join(self._kth(seeds.select("item", "row")), "item", "left").select("item", F.greatest("least", "sure", F.lit(0).cast("long")).alias("least"))
 
     def needed(self) -> DataFrame:
         """``item, t, times, least, rest``: the terms that aren't pruned, with what the pruned ones add at most."""
@@ -125,10 +130,15 @@ class Index:
         return own.withColumn("rest", rest).where(~pruned).select("item", "t", "times", "least", "rest")
 
     def candidates(self) -> DataFrame:
-        """``item, row`` of all documents that may be among an item's best."""
+        """``item, row`` of all documents that may be among an item's best. The documents that have most from the terms that
+        aren't pruned are scored exactly first, which raises the threshold once more."""
         needed = stage(self.needed(), "ranking-needed")
-        met = self.postings().join(needed, "t").groupBy("item", "row").agg(F.sum(F.expr("times * impact")).alias("got"), F.first("least").alias("least"), F.first("rest").alias("rest"))
-        return met.where("got + rest >= least").select("item", "row")
+        met = self.postings().join(needed.select("item", "t", "times"), "t").groupBy("item", "row").agg(F.sum(F.expr("times * impact")).alias("got"))
+        bounds = needed.groupBy("item").agg(F.first("least").alias("least"), F.first("rest").alias("rest"))
+        met = stage(met.join(bounds, "item").where("got + rest >= least"), "ranking-met")
+        likely = Window.partitionBy("item").orderBy(F.desc("got"), "row")
+        best = met.withColumn("rn", F.row_number().over(likely)).where(F.col("rn") <= self.k).select("item", "row")
+        return met.join(self._kth(best), "item", "left").where("got + rest >= coalesce(sure, 0L)").select("item", "row")
 
     def ranked(self) -> DataFrame:
         """``item_id, rank, doc_id, score``: the ``k`` best documents of each item that score at all, equal scores by id (null
