@@ -107,9 +107,27 @@ def running(values: Column, block: int = 256) -> Column:
 def occurrences(text: Column, needle: str) -> Column:
     """1-based places of all occurrences of ``needle``, overlapping ones too."""
     lengths = F.transform(F.split(text, f"(?={_quote(needle)})"), lambda p: F.length(p))
-    # a part begins at every occurrence; the first part only if the text begins with one
     starts = lambda ends: F.transform(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda x: x + 1)
-    return _bound(running(lengths), lambda ends: F.filter(starts(ends), lambda at: F.substring(text, at, F.lit(len(needle))) == needle))
+    # a part begins at every occurrence; the first part only if the text begins with one
+    return _bound(_bound(running(lengths), starts), lambda at: F.when(F.startswith(text, F.lit(needle)), at).otherwise(F.slice(at, 2, F.size(at))))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def pieces(text: Column, size: int = 512) -> Column:
+    """The text in pieces of ``size`` characters (the last may be shorter), for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def cut(parts: Column, begin: Column, end: Column, size: int = 512) -> Column:
+    """Characters ``begin`` to ``end`` (from 0, end exclusive) of a text in pieces: a text isn't walked from its beginning
+    for each place that is cut out of it."""
+    first = F.floor(begin / size).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, F.greatest(F.lit(0), F.ceil(end / size).cast("int") - first)), "")
+    return F.substring(near, (begin - first * size + 1).cast("int"), F.greatest(F.lit(0), end - begin).cast("int"))
 
 
 def _quote(text: str) -> str:

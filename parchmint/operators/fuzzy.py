@@ -1,15 +1,15 @@
-"""Fuzzy search for a needle in the first pages of a document, and close keys."""
+"""Fuzzy search for a needle in the first pages of a document."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.operators.search import _indel, token_set_ratio
+from parchmint.operators.search import token_set_ratio
 
 ENOUGH = 0.95
 
@@ -65,27 +65,5 @@ def set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def close_keys(asked: DataFrame, keys: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:
-    """``asked, key, ratio``: for keys that don't exist the ``n`` likeliest that do, by indel ratio from ``least``. Asked keys
-    are what users typed, a bounded list, and go to the executors; a key that differs too much in length, or shares too few
-    characters, isn't compared."""
-    wanted = [r[0] for r in asked.join(keys, "key", "left_anti").select("key").distinct().orderBy("key").limit(10_000).collect()]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for k in pdf["key"]:
-                for w in wanted:
-                    if 2 * min(len(k), len(w)) >= least * (len(k) + len(w)):
-                        ratio = round(_indel(w, k), 6)
-                        if ratio >= least:
-                            out.append((w, k, ratio))
-            yield pd.DataFrame(out, columns=["asked", "key", "ratio"])
-
-    near = keys.select("key").where("key IS NOT NULL").mapInPandas(run, "asked string, key string, ratio double")
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("ratio"), "key"))
-    return near.withColumn("rn", rank).where(F.col("rn") <= n).drop("rn")
-
-
 def needle_array(*parts: Column) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != ""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import ids
 from parchmint.functions import text as tx
-from parchmint.operators import fuzzy, search
+from parchmint.operators import fuzzy, simjoin
 
 # Types of document that need no identifier, and gates that only warn.
 EXEMPT_TYPES = ("patent", "datasheet", "book", "thesis", "standard", "report")
@@ -132,7 +132,7 @@ def search_gates(documents: DataFrame, key: str, known: DataFrame, least: float
     )
     extracted = own.where(F.coalesce("title", F.lit("")) != "").select(F.col(key).alias("__key"), "title")
     catalogued = known.where(F.coalesce("title", F.lit("")) != "")
-    hits = search.title_hits(extracted, "__key", "title", catalogued, "key", "title", title_least)
+    hits = simjoin.title_hits(extracted, "__key", "title", catalogued, "key", "title", title_least)
     near = hits.groupBy(F.col("__key").alias("__k")).agg(F.min_by(F.struct(F.col("known_key").alias("key"), "ratio"), "known_key").alias("m"))
     dedup = extracted.join(near, F.col("__key") == F.col("__k"), "left").select(
         F.col("__key").alias(key), _gate(8, "title_dedup", F.col("m").isNull(), F.lit("No similar titles found"), F.concat(F.lit("Similar title in vault: '"), F.col("m.key"), F.lit("' (score "), two("m.ratio"), F.lit(")"))).alias("g")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchmint.sources.staging import Rounds
+
 
 def shared_citers(edges: DataFrame, seeds: DataFrame, least: int, limit: int) -> DataFrame:
     """Papers that cite at least ``least`` of ``seeds`` (column ``cited``): ``citing, shared``, the most first."""
@@ -38,8 +40,9 @@ def neighbours(edges: DataFrame, of: DataFrame, papers: DataFrame, towards: str,
     number in all."""
     key = "cited" if towards == "citing" else "citing"
     hit = edges.join(of.select(F.col("key").alias(key)).distinct(), key, "left_semi").dropDuplicates(["citing", "cited"])
-    w = Window.partitionBy(key)
-    ranked = hit.withColumns({"total": F.count("*").over(w), "rn": F.row_number().over(w.orderBy(towards))}).where(F.col("rn") <= most)
+    # ranked apart from the count, so that the limit works before the shuffle and no key's rows are gathered
+    ranked = hit.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(towards))).where(F.col("rn") <= most)
+    ranked = ranked.join(hit.groupBy(key).agg(F.count("*").alias("total")), key)
     return ranked.join(papers, towards, "left").withColumnRenamed(key, "key").withColumnRenamed(towards, "other")
 
 
@@ -51,54 +54,57 @@ def find_stale(keys: DataFrame, seen: DataFrame, now: str, max_days: float) -> D
     return out.where(F.col("age_days").isNull() | (F.col("age_days") > max_days)).orderBy(F.desc_nulls_first("age_days"), F.desc("key")).select("key", "age_days")
 
 
-def reach(spark, edges: DataFrame, root: str, depth: int = 100) -> DataFrame:
-    """Pre-order walk of an include graph from ``root``: ``node, depth, path``; every node once, cycles cut."""
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(node, depth, path, seen) AS (
-          SELECT CAST(:root AS STRING), 0, CAST('' AS STRING), array(CAST(:root AS STRING))
-          UNION ALL
-          SELECT e.child, w.depth + 1, concat(w.path, lpad(CAST(e.ord AS STRING), 4, '0'), '/'), concat(w.seen, array(e.child))
-          FROM walk w JOIN {edges} e ON e.parent = w.node
-          WHERE w.depth < :depth AND NOT array_contains(w.seen, e.child))
-        SELECT node, min_by(depth, path) AS depth, min(path) AS path FROM walk GROUP BY node
-        """,
-        args={"root": root, "depth": depth},
-        edges=edges,
-    )
+def reach(spark: SparkSession, edges: DataFrame, root: str) -> DataFrame:
+    """Pre-order walk of an include graph ``edges(parent, child, ord)`` from ``root``: ``node, depth, path``; every node once, where
+    the walk first comes to it, so cycles are cut. ``path`` joins the places of the includes on the way.
 
+    A node's least path is the least path of its parent and one place more. So each round carries on only the nodes
+    whose path has become less: one join a level, however many paths lead to a node."""
+    rounds = Rounds(spark, "reach", keep=2)
+    e = edges.select("parent", "child", F.concat(F.lpad(F.col("ord").cast("string"), 9, "0"), F.lit("/")).alias("place")).where("child IS NOT NULL")
+    best = rounds.put(spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(True).alias("new")))
+    while not best.where("new").isEmpty():
+        grown = best.where("new").join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", "place").alias("path"), F.lit(True).alias("new"))
+        both = best.withColumn("new", F.lit(False)).unionByName(grown)
+        # of equal paths the known one is kept, so a node that gains nothing isn't carried on
+        best = rounds.put(both.groupBy("node").agg(F.min(F.struct("path", "new", "depth")).alias("b")).select("node", "b.depth", "b.path", "b.new"))
+    return best.select("node", "depth", "path")
 
-def closure(edges: DataFrame, root: str, depth: int = 100) -> DataFrame:
+
+def closure(edges: DataFrame, root: str) -> DataFrame:
     """``node, depth``: every node that ``root`` leads to, once, with its least depth. A frontier that only gains new nodes:
     one join a level, however many paths lead to a node (a walk by paths would list them all)."""
     spark = edges.sparkSession
-    e = edges.select("parent", "child").distinct()
-    seen = spark.createDataFrame([(root, 0)], "node string, depth int")
-    front = seen
-    for level in range(1, depth + 1):
-        new = front.join(e, front.node == e.parent).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        rows = [(r.node, level) for r in new.collect()]  # files of one document
-        if not rows:
-            break
-        front = spark.createDataFrame(rows, "node string, depth int")
-        seen = spark.createDataFrame([tuple(r) for r in seen.collect()] + rows, "node string, depth int")
+    rounds, level = Rounds(spark, "closure", keep=2), 0
+    e = edges.select("parent", "child").where("child IS NOT NULL").distinct()
+    seen = rounds.put(spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth")))
+    while not (front := seen.where(F.col("depth") == level)).isEmpty():
+        level += 1
+        grown = front.join(e, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), F.lit(level).alias("depth"))
+        seen = rounds.put(seen.unionByName(grown).groupBy("node").agg(F.min("depth").alias("depth")))
     return seen
 
 
-def descendants(spark, parents: DataFrame, seed: str) -> DataFrame:
-    """Nodes whose parent chain leads to ``seed``, itself included; ``parents(id, parent)`` may hold cycles."""
-    return spark.sql(
-        """
-        WITH RECURSIVE down(id, depth, seen) AS (
-          SELECT CAST(:seed AS STRING), 0, array(CAST(:seed AS STRING))
-          UNION ALL
-          SELECT p.id, d.depth + 1, concat(d.seen, array(p.id)) FROM down d JOIN {parents} p ON p.parent = d.id
-          WHERE d.depth < 90 AND NOT array_contains(d.seen, p.id))
-        SELECT id, min(depth) AS steps FROM down GROUP BY id
-        """,
-        args={"seed": seed},
-        parents=parents,
-    )
+def descendants(spark: SparkSession, parents: DataFrame, seed: str) -> DataFrame:
+    """``id, steps``: nodes of ``parents(id, parent)`` whose chain of parents leads to ``seed``, itself included (0 steps).
+
+    Pointer jumping: every node points to an ancestor, at first its parent, and each round to what that one points to, so
+    a chain of n nodes takes log2(n) joins. A node is settled when it points to the seed, or past a node without a parent
+    or out of the table. In every round some node settles unless all that are left lead into cycles: then they don't lead
+    to the seed, and the walk ends. Of several parents of an id the greatest counts; null ids are left out."""
+    rounds, before = Rounds(spark, "ancestry", keep=2), None
+    own = parents.where("id IS NOT NULL").groupBy("id").agg(F.max("parent").alias("to"))
+    is_seed = F.col("id").eqNullSafe(F.lit(seed))
+    found = is_seed | F.col("to").eqNullSafe(F.lit(seed))
+    unsettled = ~found & (F.coalesce("to", F.lit("")) != "")
+    now = rounds.put(own.select("id", "to", F.when(is_seed, 0).otherwise(1).cast("long").alias("steps"), found.alias("found"), unsettled.alias("open")))
+    while (left := now.where("open").count()) and left != before:
+        before = left
+        next_ = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("found").alias("found2"), F.col("open").alias("open2"))
+        jumped = now.where("open").join(next_, "to", "left").select("id", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.coalesce("found2", F.lit(False)).alias("found"), F.coalesce("open2", F.lit(False)).alias("open"))
+        now = rounds.put(now.where("NOT open").unionByName(jumped))
+    root = spark.range(1).select(F.lit(seed).alias("id"), F.lit(0).cast("long").alias("steps"))
+    return now.where("found").select("id", "steps").unionByName(root).groupBy("id").agg(F.min("steps").alias("steps"))
 
 
 def explorations(spark, nodes: DataFrame, relevance: str | None = None, seed: str | None = None, expandable: bool = False, citers: DataFrame | None = None) -> DataFrame:

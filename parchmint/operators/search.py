@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmint.functions import text as tx
+from parchmint.operators.ordered import asof
 
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
@@ -40,14 +41,48 @@ def merged(parts: Sequence[DataFrame], n: int, row_id: str) -> DataFrame:
 
 
 def grep(rows: DataFrame, needle: str, row_id: Sequence[str], text: str, around: int, limit: int | None = None) -> DataFrame:
-    """All occurrences of a normalised needle in normalised text, overlapping ones too, with context from the text."""
+    """All occurrences of a normalised needle in normalised text, overlapping ones too: its ``offset`` there, and the ``context``
+    in the raw text. Both ends of an occurrence are scaled by the ratio of lengths; ``around`` characters before and
+    after them belong to the context, white space at its ends doesn't. Sorted only where there is a limit."""
     low = rows.where(F.col(text).isNotNull()).withColumn("__norm", tx.normalize(F.col(text)))
-    hit = low.where(F.col("__norm").contains(needle)).withColumn("at", F.explode(tx.occurrences(F.col("__norm"), needle)))
-    # the place in the raw text is scaled by the ratio of lengths
-    scaled = F.floor((F.col("at") - 1).cast("long") * F.length(text) / F.length("__norm")).cast("int")
-    begin = F.greatest(F.lit(0), scaled - around)
-    out = hit.withColumn("context", F.substring(F.col(text), begin + 1, F.lit(2 * around + len(needle)))).select(*row_id, (F.col("at") - 1).alias("offset"), "context").orderBy(*row_id, "offset")
-    return out.limit(limit) if limit else out
+    low = low.where(F.col("__norm").contains(needle)).withColumns({"__at": tx.occurrences(F.col("__norm"), needle), "__parts": tx.pieces(F.col(text))})
+    ratio = F.length(text) / F.length("__norm")
+    scaled = lambda at: F.floor(at * ratio).cast("int")
+
+    def hit(at: Column) -> Column:
+        begin = F.greatest(F.lit(0), scaled(at - 1) - around)
+        end = F.least(F.length(text), scaled(at - 1 + len(needle)) + around)
+        return F.struct((at - 1).alias("offset"), tx.strip(tx.cut(F.col("__parts"), begin, end)).alias("context"))
+
+    out = low.select(*row_id, F.explode(F.transform("__at", hit)).alias("__hit")).select(*row_id, "__hit.offset", "__hit.context")
+    return out.orderBy(*row_id, "offset").limit(limit) if limit else out
+
+
+def find_in_files(files: DataFrame, query: str, around: int = 3, limit: int | None = None) -> DataFrame:
+    """``file, hit, line_start, line_end, context``: every occurrence of a pasted text in TeX sources ``files(file, text)``, one
+    row each, those that overlap too. Markup and line breaks don't count: a whole file is one normalised text.
+
+    A place in it is scaled to the raw file by the ratio of lengths, and becomes a line by an as-of join with the running
+    lengths of the file's lines. ``context`` has the lines of the hit and ``around`` on either side, joined by line number.
+    A file is one row; null texts and an empty query have no hits."""
+    needle = tx.normal_form(query)
+    own = files.where(F.col("text").isNotNull()).select("file", "text", tx.normalize_markup(F.col("text")).alias("norm"))
+    own = own.where(F.contains("norm", F.lit(needle)) if needle else F.lit(False))
+    ratio = F.length("text") / F.length("norm")
+    place = lambda at: F.floor(at * ratio).cast("int")
+    spans = F.transform(tx.occurrences(F.col("norm"), needle or " "), lambda at: F.struct(place(at - 1).alias("begin"), F.least(place(at - 1 + len(needle)), F.length("text") - 1).alias("end")))
+    hits = own.select("file", F.posexplode(spans).alias("hit", "x")).select("file", "hit", "x.begin", "x.end")
+    pieces = F.split("text", "\n")
+    ends = tx.running(F.transform(pieces, lambda x: F.length(x) + 1))
+    lines = own.select("file", F.posexplode(F.arrays_zip(pieces.alias("text"), ends.alias("upto"))).alias("line", "x"))
+    lines = lines.select("file", (F.col("line") + 1).alias("line"), "x.text", (F.col("x.upto") - F.length("x.text") - 1).alias("at"))
+    first = asof(hits.withColumnRenamed("begin", "at"), lines, ["file"], "at", ["line"]).select("file", "hit", F.col("line").alias("line_start"), F.col("end").alias("at"))
+    both = asof(first, lines, ["file"], "at", ["line"]).select("file", "hit", "line_start", F.col("line").alias("line_end"))
+    near = both.withColumn("line", F.explode(F.sequence(F.greatest(F.lit(1), F.col("line_start") - around), F.col("line_end") + around)))
+    near = near.join(lines.select("file", "line", "text"), ["file", "line"])
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    out = near.groupBy("file", "hit", "line_start", "line_end").agg(tx.strip(context).alias("context"))
+    return out.orderBy("file", "hit").limit(limit) if limit else out
 
 
 def verify_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, row_id: str, text: str, words: int = 8) -> DataFrame:
@@ -177,7 +212,7 @@ def _word_sets(texts: Iterable[str | None]) -> list[str]:
     return [" ".join(sorted(set((t or "").split()))) for t in texts]
 
 
-def _bags(sets: Sequence[str], classes: int = 32, pair: bool = False) -> np.ndarray:
+def bags(sets: Sequence[str], classes: int = 32, pair: bool = False) -> np.ndarray:
     """Counts of characters, or of neighbouring two, in classes; classes of several characters only loosen the bound."""
     points = np.frombuffer("".join(sets).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -198,7 +233,7 @@ def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[
     has = np.zeros((len(b), len(place)), np.float32)
     for j, x in enumerate(b):
         has[j, [place[w] for w in x.split()]] = 1
-    size_b, bag_b, two_b = np.array([len(x) for x in b]), _bags(b), _bags(b, 512, True)
+    size_b, bag_b, two_b = np.array([len(x) for x in b]), bags(b), bags(b, 512, True)
     for low in range(0, len(a), 1024):
         part = a[low : low + 1024]
         own = np.zeros((len(part), len(place)), np.float32)
@@ -206,7 +241,7 @@ def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[
             k = [place[w] for w in x.split() if w in place]
             own[i, k] = length[k]
         both = np.maximum(own @ has.T - 1, 0)
-        size_a, bag_a = np.array([len(x) for x in part])[:, None], _bags(part)
+        size_a, bag_a = np.array([len(x) for x in part])[:, None], bags(part)
         size = size_a + size_b
         subset = 2 * both / np.maximum(both + np.minimum(size_a, size_b), 1) >= least - 1e-5
         need = (least - 1e-5) * size / 2
@@ -215,7 +250,7 @@ def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[
             rest = np.minimum(bag_a[i, c + 8 :].sum(1), bag_b[j, c + 8 :].sum(1))
             ok = np.minimum(bag_a[i, : c + 8], bag_b[j, : c + 8]).sum(1) + rest >= need[i, j]
             i, j = i[ok], j[ok]
-        two_a = _bags(part, 512, True)
+        two_a = bags(part, 512, True)
         near = np.zeros(subset.shape, bool)
         for k in range(0, len(i), 8192):
             x, y = i[k : k + 8192], j[k : k + 8192]
@@ -227,67 +262,6 @@ def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[
                 yield low + i, j, ratio
 
 
-def fuzzy_titles(titles: DataFrame, key: str, title: str, least: float = 0.9, block: int = 1024) -> DataFrame:
-    """All pairs of titles with a token-set ratio of ``least`` and more: ``k, k2, ratio``. Distinct word sets are dealt to
-    blocks of about ``block``, every block meets every other, and ``similar`` leaves out what can't reach ``least``."""
-    kind = titles.schema[key].dataType.simpleString()
-
-    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"k": pdf["k"], "s": _word_sets(pdf["t"])})
-
-    own = titles.select(F.col(key).alias("k"), F.col(title).alias("t")).mapInPandas(sets, f"k {kind}, s string").where("k IS NOT NULL AND s <> ''")
-    distinct = own.select("s").distinct()
-    blocks = max(1, -(-distinct.count() // block))
-    packed = distinct.groupBy(F.pmod(F.xxhash64("s"), F.lit(blocks)).alias("b")).agg(F.sort_array(F.collect_list("s")).alias("x"))
-    met = packed.join(packed.select(F.col("b").alias("b2"), F.col("x").alias("y")), F.col("b") <= F.col("b2")).repartition(max(1, blocks), "b", "b2")
-
-    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for b, b2, x, y in zip(pdf["b"], pdf["b2"], pdf["x"], pdf["y"], strict=True):
-                found = [(x[i], y[j], r) for i, j, r in similar(list(x), list(y), least) if b != b2 or i <= j]
-                yield pd.DataFrame(found, columns=["s", "s2", "ratio"])
-
-    near = met.mapInPandas(score, "s string, s2 string, ratio double")
-    other = own.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
-    pairs = near.join(own, "s").join(other, "s2").where((F.col("s") != F.col("s2")) & (F.col("k") != F.col("k2")) | (F.col("k") < F.col("k2")))
-    return pairs.select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2"), "ratio")
-
-
-def title_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float = 0.9, block: int = 1024) -> DataFrame:
-    """``key, known_key, ratio``: all known titles that are much the same as a new one. New titles are a stated query set: their
-    distinct word sets go to the executors in blocks, each meets all known rows in one pass, and ``similar`` leaves out what
-    can't reach ``least``. Known rows are never paired with each other or shuffled; titles without a word match nothing."""
-    kinds = [f"`__s` string, `__k` {known.schema[known_key].dataType.simpleString()}, ratio double", f"`__n` {new.schema[key].dataType.simpleString()}, `__s` string"]
-
-    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"__n": pdf["__n"], "__s": _word_sets(pdf["__t"])})
-
-    asked = new.select(F.col(key).alias("__n"), F.col(title).alias("__t")).mapInPandas(sets, kinds[1]).where("__s <> ''")
-    rows = known.select(F.col(known_key).alias("__k"), F.col(known_title).alias("__t")).where("__t IS NOT NULL")
-    out, held = None, []
-
-    def add(held: list[str]) -> DataFrame:
-        def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                own, ids_ = _word_sets(pdf["__t"]), pdf["__k"].tolist()
-                found = [(held[j], ids_[i], r) for i, j, r in similar(own, held, least) if own[i]]
-                if found:
-                    yield pd.DataFrame(found, columns=["__s", "__k", "ratio"])
-
-        part = rows.mapInPandas(score, kinds[0])
-        return part if out is None else out.unionAll(part)
-
-    for r in asked.select("__s").distinct().toLocalIterator():
-        held = [*held, r[0]]
-        if len(held) == block:
-            out, held = add(held), []
-    if held or out is None:
-        out = add(held)
-    return asked.join(out, "__s").select(F.col("__n").alias(key), F.col("__k").alias("known_key"), "ratio")
-
-
 def score_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, row_id: str, text: str, least: float, block: int = 512) -> DataFrame:
     """``quote_id, row_id, ratio``: the best token-set ratio of each whole quote among all sentences of each document, where
     it reaches ``least``. Quotes are a stated query set and go to the executors in blocks; each block meets all rows."""
@@ -355,19 +329,15 @@ def chunks(rows: DataFrame, row_id: str, text: str, size: int = 500, overlap: in
     return own.mapInPandas(run, f"{row_id} {rows.schema[row_id].dataType.simpleString()}, chunk_index int, text string")
 
 
-def corpus_search(lines: DataFrame, query: str, globs: Sequence[str], around: int = 3) -> DataFrame:
-    """``file, line, context``: lines of the files that the globs (``*``, ``?``) name whose plain normalised text holds the
-    query, with ``around`` lines on either side. No file that the globs name raises ``LookupError``."""
+def corpus_search(files: DataFrame, query: str, globs: Sequence[str], around: int = 3, limit: int | None = None) -> DataFrame:
+    """``find_in_files`` over the files that the globs (``*``, ``?``) name. No file that they name raises ``LookupError``."""
     import re
 
-    from parchmint.operators.ordered import around as neighbours
-
     named = None
     for g in globs:
         test = F.regexp_like("file", F.lit("(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g) + r"\z"))
         named = test if named is None else named | test
-    own = lines if named is None else lines.where(named)
+    own = files if named is None else files.where(named)
     if own.limit(1).isEmpty():
         raise LookupError(f"no file matches {list(globs)}")
-    rows = neighbours(own, ["file"], ["line"], "text", around, "__near")
-    return rows.where(F.contains(tx.normalize_markup(F.col("text")), F.lit(tx.normal_form(query)))).select("file", "line", F.array_join("__near", "\n").alias("context"))
+    return find_in_files(own, query, around, limit)

@@ -7,6 +7,7 @@ on ``embeddings``, completions and logs on ``events``; the rest on inline tables
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import ids
 from parchmint.functions import text as tx
-from parchmint.operators import catalog, gates, graph, ordered, search, structure, tasks
+from parchmint.operators import catalog, gates, graph, ordered, search, simjoin, structure, tasks, vectors
 from parchmint.plans import fixtures
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
+from parchmint.sources.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,7 +115,7 @@ def find_stale(spark, sf):
 
 
 @query(fix("tex_edges") + """, walk(node, depth, path, seen) AS (SELECT 'main', 0, '', ['main'] UNION ALL
-  SELECT child, depth + 1, path || lpad(ord::VARCHAR, 4, '0') || '/', list_append(seen, child) FROM walk JOIN tex_edges ON parent = node WHERE NOT list_contains(seen, child))
+  SELECT child, depth + 1, path || lpad(ord::VARCHAR, 9, '0') || '/', list_append(seen, child) FROM walk JOIN tex_edges ON parent = node WHERE NOT list_contains(seen, child))
 SELECT node, arg_min(depth, path) AS depth, min(path) AS path FROM walk GROUP BY node""")
 def include_tree(spark, sf):
     return graph.reach(spark, table(spark, "tex_edges", sf), "main")
@@ -260,6 +262,14 @@ def vector_topk(spark, sf):
     return search.nearest(_read(spark, sf, "embeddings"), _vector(spark, sf), 20)
 
 
+@query(_knn_sql("true"))
+def vector_topk_by_cells(spark, sf):
+    """The nearest rows by the inverted file: its nearest cells, then those that may hold a nearer row."""
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    vectors.build(_read(spark, sf, "embeddings"), path)
+    return vectors.Cells(spark, path).exact(_vector(spark, sf), 20)
+
+
 @query(_knn_sql("e.label = 3"))
 def vector_topk_filtered(spark, sf):
     return search.nearest(_read(spark, sf, "embeddings"), _vector(spark, sf), 20, where=F.col("label") == 3)
@@ -292,8 +302,8 @@ _NORM = r"trim(regexp_replace(lower(regexp_replace(nfc_normalize(text), '-\s*\n\
 @query(f"""
 WITH d AS (SELECT doc_id, text, {_NORM} AS n FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, text, n, unnest(list_filter(range(1, length(n) - 4), lambda i: substr(n, i, 6) = 'th the')) AS pos0 FROM d WHERE contains(n, 'th the')),
-s AS (SELECT *, floor((pos0 - 1) * length(text) / length(n))::INT AS sc FROM h)
-SELECT doc_id, (pos0 - 1)::INT AS "offset", substr(text, greatest(0, sc - 20) + 1, 46) AS context FROM s""")
+s AS (SELECT *, greatest(0, floor((pos0 - 1) * (length(text) / length(n)))::BIGINT - 20) AS a, least(length(text), floor((pos0 + 5) * (length(text) / length(n)))::BIGINT + 20) AS z FROM h)
+SELECT doc_id, (pos0 - 1)::INT AS "offset", regexp_replace(substr(text, a + 1, z - a), '^\\s+|\\s+$', '', 'g') AS context FROM s""")
 def grep_overlapping(spark, sf):
     return search.grep(_read(spark, sf, "documents"), "th the", ["doc_id"], "text", 20)
 
@@ -399,7 +409,7 @@ def fuzzy_title_dedup(spark, sf):
     """Titles of every fiftieth page, as new ones, against those of all other pages: the first that is much the same. No SQL:
     tested by brute force."""
     titles = _read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    hits = search.title_hits(titles.where("page_id % 50 = 0"), "page_id", "title", titles, "page_id", "title").where("page_id <> known_key")
+    hits = simjoin.title_hits(titles.where("page_id % 50 = 0"), "page_id", "title", titles, "page_id", "title").where("page_id <> known_key")
     first = hits.groupBy("page_id").agg(F.min_by(F.struct("known_key", "ratio"), "known_key").alias("m"), F.count("*").alias("hits"))
     return titles.where("page_id % 50 = 0").select("page_id").join(first, "page_id", "left").select("page_id", "m.known_key", "m.ratio", F.coalesce("hits", F.lit(0)).alias("hits"))
 

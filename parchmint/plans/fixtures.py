@@ -110,6 +110,8 @@ SHIPPED = "region nation customer supplier part orders lineitem events documents
 _B, _K = "chr(92)", "CAST({} AS STRING)".format
 #: Rows that both engines derive from shipped tables in the same words, so that every query runs over as many rows as there are.
 DERIVED: dict[str, str] = {
+    "tex_edges": f"""SELECT CASE WHEN p_partkey < 8 THEN 'main' ELSE 'n' || {_K('CAST(floor(p_partkey / 8) AS INT)')} END, 'n' || {_K('p_partkey')}, CAST(3 + p_partkey % 8 AS INT) FROM {{part}}
+        UNION ALL SELECT 'n' || {_K('p_partkey')}, 'n' || {_K('p_partkey * 9')}, CAST(20 + p_partkey % 8 AS INT) FROM {{part}} WHERE p_partkey % 5 = 0""",
     "tex_lines": f"""SELECT 'sections/s' || {_K('o_orderkey % 97')} || '.tex', CAST(100 + o_orderkey AS INT), CASE o_orderkey % 9
         WHEN 0 THEN {_B} || 'section{{{{Part ' || {_K('o_orderkey')} || '}}}}' || {_B} || 'label{{{{sec:' || {_K('o_orderkey')} || '}}}}'
         WHEN 1 THEN 'As ' || {_B} || 'cite{{{{k' || {_K('o_custkey % 50')} || ', k' || {_K('o_custkey % 7')} || ',}}}} and ' || {_B} || 'citealp{{{{no}}}} show'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import ids
 from parchmint.functions import text as tx
-from parchmint.operators import fuzzy, gates, ordered
+from parchmint.operators import gates, ordered, simjoin
 from parchmint.plans.catalogue import _JAC, _STOP, _TT, _pages, _read, query
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
@@ -106,7 +106,7 @@ def close_keys(spark, sf):
     """Likeliest keys for keys that don't exist. No SQL: tested by brute force."""
     keys = _read(spark, sf, "customer").select(F.col("c_name").alias("key"))
     asked = _read(spark, sf, "supplier").select(F.regexp_replace("s_name", "Supplier", "Custmer").alias("key"))
-    return fuzzy.close_keys(asked, keys)
+    return simjoin.close_keys(asked, keys)
 
 
 # --- metrics and gates -----------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchmint.functions import text as tx
-from parchmint.operators import contents, figures, graph, ordered, structure
+from parchmint.operators import contents, figures, graph, search, structure
 from parchmint.plans.catalogue import _pages, _read, query
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
@@ -117,16 +117,23 @@ def tex_plain_text(spark, sf):
     return table(spark, "tex_lines", sf).select("file", "line", tx.squeeze(tx.strip_markup(F.col("text"))).alias("plain"))
 
 
-@query(fix("tex_lines") + rf""", n AS (SELECT file, line, text, lower(trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g'))) AS plain FROM tex_lines),
-h AS (SELECT * FROM n WHERE contains(plain, 'words'))
-SELECT h.file, h.line, array_to_string(list_transform(list_sort(list({{'k': c.line, 't': c.text}})), lambda x: x.t), chr(10)) AS context
-FROM h JOIN (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS rn FROM tex_lines) o ON o.file = h.file AND o.line = h.line
-JOIN (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS rn FROM tex_lines) c ON c.file = o.file AND c.rn BETWEEN o.rn - 3 AND o.rn + 3 GROUP BY h.file, h.line""")
+def _files(spark, sf):
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return table(spark, "tex_lines", sf).groupBy("file").agg(whole.alias("text"))
+
+
+_FOUND = _PLAIN.replace("text,", "raw,")
+
+
+@query(fix("tex_lines") + rf""", f AS (SELECT file, string_agg(text, chr(10) ORDER BY line) AS raw FROM tex_lines GROUP BY file),
+n AS (SELECT file, raw, lower(trim(regexp_replace({_FOUND}, '\s+', ' ', 'g'))) AS norm FROM f),
+h AS (SELECT *, unnest(list_filter(range(1, length(norm) - 5), lambda i: substr(norm, i, 7) = 'here as')) AS pos FROM n WHERE contains(norm, 'here as')),
+o AS (SELECT file, raw, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS hit, floor((pos - 1) * (length(raw) / length(norm)))::BIGINT AS a, least(floor((pos + 6) * (length(raw) / length(norm)))::BIGINT, length(raw) - 1) AS z FROM h),
+l AS (SELECT file, raw, hit, 1 + length(substr(raw, 1, a)) - length(replace(substr(raw, 1, a), chr(10), '')) AS line_start, 1 + length(substr(raw, 1, z)) - length(replace(substr(raw, 1, z), chr(10), '')) AS line_end FROM o)
+SELECT file, hit::INT AS hit, line_start::INT AS line_start, line_end::INT AS line_end, regexp_replace(array_to_string(string_split(raw, chr(10))[greatest(1, line_start - 3):line_end + 3], chr(10)), '^\s+|\s+$', '', 'g') AS context FROM l""")
 def grep_tex_lines(spark, sf):
-    """Lines whose normalised plain text holds the needle, with three lines around."""
-    rows = ordered.around(table(spark, "tex_lines", sf), ["file"], ["line"], "text", 3, "near")
-    hit = rows.where(F.contains(tx.normalize_markup(F.col("text")), F.lit("words")))
-    return hit.select("file", "line", F.array_join("near", "\n").alias("context"))
+    """A phrase that may wrap over lines, in whole normalised files, with the lines of the source around each hit."""
+    return search.find_in_files(_files(spark, sf), "Here\nas", 3)
 
 
 @query(fix("tex_lines") + r""", g AS (SELECT file, string_agg(text, E'\n' ORDER BY line) AS text, floor(line / 2000)::BIGINT AS chunk FROM tex_lines GROUP BY file, floor(line / 2000)),

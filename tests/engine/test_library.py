@@ -103,6 +103,27 @@ def test_grep_in_long_texts(spark):
     assert [(r.offset, r.context) for r in rows] == [(180_000, "ab needle cd")]
 
 
+def plain_grep(text, needle, around):
+    """Offsets and contexts by a walk over the whole text."""
+    norm, out, at = tx.normal_form(text), [], -1
+    while (at := norm.find(needle, at + 1)) >= 0:
+        ratio = len(text) / max(len(norm), 1)
+        out.append((at, text[max(0, int(at * ratio) - around) : min(len(text), int((at + len(needle)) * ratio) + around)].strip()))
+    return out
+
+
+def test_grep_context(spark):
+    """Both ends are scaled and clipped, the end is taken from the occurrence, and white space goes."""
+    r = random.Random(2)
+    texts = ["abc needle xxx", "needle", "  needle   needle  ", "a" * 1100 + " needle\n\n\n  needle " + "é" * 600, "needleneedle", "none", ""]
+    texts += ["".join(r.choice(["aa", "a a", " ", "\n  ", "é", "aaa", "-\nb"]) for _ in range(r.randrange(1, 400))) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    for needle, around in (("needle", 20), ("aa", 7), ("a", 0)):
+        got = sorted((x.d, x.offset, x.context) for x in search.grep(df, needle, ["d"], "t", around).collect())
+        assert got == sorted((i, at, c) for i, t in enumerate(texts) for at, c in plain_grep(t, needle, around))
+    assert search.grep(df.where("d = 0"), "needle", ["d"], "t", 20).collect()[0].context == "abc needle xxx"
+
+
 def test_versions(spark, tmp_path):
     p = str(tmp_path / "versions")
     for k in range(3):
@@ -217,24 +238,6 @@ def near_title(r, t):
     return " ".join(r.sample(w, len(w)))
 
 
-def test_fuzzy_titles_against_brute_force(spark):
-    r = random.Random(7)
-    base = [" ".join(r.choice("graph river stone light paper glass wind salt iron moss".split()) for _ in range(r.randrange(1, 7))) for _ in range(25)]
-    titles = base + [near_title(r, t) for t in base for _ in range(3)] + ["", None, "graph", "graph zeta eta theta iota", "Graph", "graph"]
-    titles += ["internationalisation considerations", "internationalisatiom considerationz"]  # near, and no word in common
-    rows = list(enumerate(titles))
-    want = {(i, j): x for i, a in rows for j, b in rows if i < j and a and b and (x := round(search.token_set_ratio(a, b), 6)) >= 0.9}
-    df = spark.createDataFrame(rows, "k long, t string")
-    assert len(want) > 100 and want[len(titles) - 2, len(titles) - 1] < 1
-    for block in (1000, 10):
-        new = df.where("k % 7 = 0")
-        hits = search.title_hits(new, "k", "t", df, "k", "t", 0.9, block).collect()
-        brute = {(i, j): round(search.token_set_ratio(a, b), 6) for i, a in rows if i % 7 == 0 for j, b in rows if a and b and round(search.token_set_ratio(a, b), 6) >= 0.9}
-        assert {(x.k, x.known_key): x.ratio for x in hits} == brute and len(hits) == len(brute)
-        got = search.fuzzy_titles(df, "k", "t", 0.9, block).collect()
-        assert {(x.k, x.k2): x.ratio for x in got} == want and len(got) == len(want)
-
-
 def test_quotes_against_brute_force(spark):
     r = random.Random(8)
     vocabulary = [f"{a}{b}" for a in ("gra", "riv", "sto", "lig", "pap") for b in ("ph", "er", "ne", "ht", "ss")]
@@ -434,15 +437,6 @@ def test_figure_contexts(spark):
     assert [x for x in got if x[0] == 2] == [(2, m.start(), text[max(0, m.start() - 100) : m.end() + 100].strip().replace("\n", " ")) for m in re.finditer(r"(?i)(?:figure|fig\.?)\s*3", text)] and len(got) == 4
 
 
-def test_close_keys(spark):
-    import difflib
-
-    keys = spark.createDataFrame([(k,) for k in ("xu2022noise", "xu2021noise", "chen2023graph", "smith2001", "xu2022")], "key string")
-    got = [(r.asked, r.key) for r in fuzzy.close_keys(spark.createDataFrame([("xu2022nois",), ("smith2001",)], "key string"), keys).orderBy("asked", F.desc("ratio"), "key").collect()]
-    assert [k for _, k in got][0] == difflib.get_close_matches("xu2022nois", [r.key for r in keys.collect()], 5, 0.5)[0] and {a for a, _ in got} == {"xu2022nois"}
-    assert got == [("xu2022nois", "xu2022noise"), ("xu2022nois", "xu2021noise"), ("xu2022nois", "xu2022")]
-
-
 def test_library_state(spark, tmp_path):
     assert library.search_bag(["cited_by:xu2022", "online"]) == library.Bag("cited_by", key="xu2022")
     assert library.search_bag(["graph", "noise", "page:3"]) == library.Bag("local", query="graph noise", offset=40)
@@ -526,7 +520,7 @@ def test_corpus_sync_and_search(spark, tmp_path):
     second = spark.createDataFrame([("a.tex", "1", "One. Two."), ("b.tex", "2", "Changed."), ("d.tex", "1", "New.")], schema)
     assert ingest.sync_corpus(spark, second, index, block=1) == {"unchanged": 1, "changed": 1, "added": 1, "removed": 1}
     assert sorted((r.file, r.sha256, r.text) for r in ingest.read_index(spark, index).collect()) == [("a.tex", "1", "One. Two."), ("b.tex", "2", "Changed."), ("d.tex", "1", "New.")]
-    lines = spark.createDataFrame([("s/a.tex", 1, r"The \textbf{bold}  claim"), ("s/a.tex", 2, "next"), ("t.md", 1, "bold claim")], "file string, line int, text string")
-    assert [tuple(r) for r in search.corpus_search(lines, "Bold claim", ["s/*.tex"], 1).collect()] == [("s/a.tex", 1, "The \\textbf{bold}  claim\nnext")]
+    files = spark.createDataFrame([("s/a.tex", "The \\textbf{bold}  claim\nnext"), ("t.md", "bold claim")], "file string, text string")
+    assert [(r.file, r.line_start, r.context) for r in search.corpus_search(files, "Bold claim", ["s/*.tex"], 1).collect()] == [("s/a.tex", 1, "The \\textbf{bold}  claim\nnext")]
     with pytest.raises(LookupError):
-        search.corpus_search(lines, "x", ["*.py"])
+        search.corpus_search(files, "x", ["*.py"])
