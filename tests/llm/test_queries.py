@@ -28,7 +28,7 @@ def words(text):
 @pytest.mark.parametrize("name", ORACLES)
 def test_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = c.sql(ORACLES[name])
     got = QUERIES[name](spark, sf)
