@@ -58,6 +58,14 @@ def rebuild(rows: DataFrame, text: str, vector: str, embed: Embedder) -> DataFra
     return kept.withColumn(vector, F.col(vector).cast("array<float>")).unionByName(made)
 
 
+def semantic_pages(pages: DataFrame, key: str, number: str, text: str, embed: Embedder, tokens: int = 512, least: float = 0.5) -> DataFrame:
+    """``semantic_chunks`` of each page by itself: ``key, page`` and the chunks, with offsets in the stripped page."""
+    own = pages.select(F.struct(F.col(key).alias("k"), F.col(number).alias("p")).alias("__id"), F.col(text).alias("__t"))
+    found = semantic_chunks(own.select(F.to_json("__id", {"ignoreNullFields": "false"}).alias("id"), "__t"), "id", "__t", embed, tokens, least)
+    kind = own.schema["__id"].dataType
+    return found.withColumn("id", F.from_json("id", kind)).select(F.col("id.k").alias(key), F.col("id.p").alias("page"), "chunk_index", "char_start", "char_end", "text")
+
+
 def semantic_chunks(rows: DataFrame, row_id: str, text: str, embed: Embedder, tokens: int = 512, least: float = 0.5) -> DataFrame:
     """``row_id, chunk_index, char_start, char_end, text``: sentences stay together while neighbours' vectors have a cosine of
     ``least`` and more and the chunk has ``tokens`` words at most. Offsets are those in the stripped text."""

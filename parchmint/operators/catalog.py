@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmint.functions import ids
+from parchmint.operators.ordered import page
+
 
 class DuplicateKey(ValueError):
     """A key or identifier that must be unique is held by two contents."""
@@ -49,6 +52,24 @@ def resolve_keys(tags: DataFrame, keys: Sequence[str] | None = None, key: str |
     return out.distinct()
 
 
+def library_list(papers: DataFrame, order: Sequence[str], number: int = 1, size: int = 50, tags: Sequence[str] = (), status: str | None = None) -> DataFrame:
+    """Page ``number`` of ``papers (key, title, year, has_pdf, doi_status, tags)`` with any of the tags and that status: titles cut
+    to 80 characters, ``related`` and ``parent`` where the key's suffix names a related document, ``retracted`` where a
+    retraction of the paper is among the listed ones (on whatever page), and the ``total``.
+
+    The page is a top-k of the listed papers; the retractions' parents then meet its few rows by key."""
+    own = papers
+    if tags:
+        own = own.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    if status:
+        own = own.where(F.col("doi_status") == status)
+    part = lambda k: F.nullif(F.regexp_extract("key", ids.RELATED_SUFFIX, k), F.lit(""))
+    own = own.select("key", F.left(F.coalesce("title", F.lit("")), F.lit(80)).alias("title"), "year", "has_pdf", "doi_status", "tags", part(2).alias("related"), part(1).alias("parent"), *(c for c in order if c not in papers.columns[:6]))
+    shown = page(own, order, max(1, number), size).drop("rn")
+    withdrawn = own.where("related = 'retraction'").select(F.col("parent").alias("key"), F.lit(True).alias("retracted")).distinct()
+    return shown.join(withdrawn, "key", "left").withColumn("retracted", F.coalesce("retracted", F.lit(False)))
+
+
 def duplicate_content(documents: DataFrame, row_id: str, text: str) -> DataFrame:
     """Documents whose content hash another document has too: hash, first id, copies."""
     h = documents.select(F.sha2(F.col(text).cast("binary"), 256).alias("content_hash"), row_id)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.operators import ordered
+from parchmint.sources.staging import Rounds
 
 LEVELS = 6
 
@@ -37,7 +38,8 @@ def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def float_parents(floats: DataFrame, entries: DataFrame) -> DataFrame:
     """``floats(doc, file, line, page, ...)`` with ``parent``: in the float's own file the last heading (in document order)
     at or before its line; else the last heading before the first one beyond the float's page. Two as-of joins."""
-    f = floats.withColumn("__id", F.monotonically_increasing_id())
+    # written once, since the number must be the same wherever it is read
+    f = Rounds(floats.sparkSession, "floats").put(floats.withColumn("__id", F.monotonically_increasing_id()))
     own = ordered.asof(f.select("doc", "file", "line", "__id").where("file <> ''"), entries.where("file <> ''").groupBy("doc", "file", "line").agg(F.max("ord").alias("own")), ["doc", "file"], "line", ["own"])
     # of the headings at or before the line the last in document order, which needn't be the one with the greatest line
     best = entries.where("file <> ''").withColumn("own", F.max("ord").over(Window.partitionBy("doc", "file").orderBy("line").rangeBetween(Window.unboundedPreceding, 0)))

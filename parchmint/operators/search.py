@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,11 +101,10 @@ def verify_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote:
     sizes = [r[0] for r in keyed.select("__n").distinct().collect()]  # ``words`` values at most
     d = documents.select(F.col(row_id).alias("__d"), split(F.col(text)).alias("__w"))
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - n + 1))
+    runs = lambda n: F.transform(starts(n), lambda i: key("__w", i, n))
     met = None
-    for n in sizes:
-        grams = d.select("__d", F.explode(F.array_distinct(F.transform(starts(n), lambda i: key("__w", i, n)))).alias("__k"))
-        part = grams.join(keyed.where(F.col("__n") == n).select("__q", "__k"), "__k").select("__q", "__d")
-        met = part if met is None else met.unionAll(part)
+    if sizes:  # all lengths in one pass over the texts
+        met = d.select("__d", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("__k")).join(keyed.select("__q", "__k"), "__k").select("__q", "__d")
     out = own.select(F.col("__q").alias(quote_id), F.lit(None).cast(documents.schema[row_id].dataType).alias(row_id)).where("false")
     if met is not None:
         texts = documents.select(F.col(row_id).alias("__d"), F.col(text).alias("__x"))
@@ -178,6 +177,29 @@ def proximity(query: str, text: Column) -> Column:
     return F.transform(whole, score)[0]
 
 
+def paragraph_matches(pages: DataFrame, key: str, number: str, text: str, query: str, paragraphs: int = 1, n: int = 5, least: float = 0.3) -> DataFrame:
+    """``key, rank, page, score, pages, texts``: the ``n`` best paragraphs of each document with what stands around them.
+
+    A paragraph holds the normalised query (score 1), or, in documents where none does, enough of its words close by. Around
+    it stand its neighbours in the order of the document, across pages (``paragraphs`` in all, an even number less one):
+    ``pages`` lists theirs in order and ``texts`` what they say on each. Equal scores come in the order of the document."""
+    needle, reach = tx.normal_form(query), (max(1, paragraphs) - 1) // 2
+    paras = pages.where(F.col(text).isNotNull()).select(key, F.col(number).alias("__page"), F.explode(tx.paragraphs(F.col(text))).alias("__x"))
+    clean = F.struct(F.col("__page").alias("page"), tx.clean_for_quote(F.col("__x.para")).alias("text"))
+    w = Window.partitionBy(key).orderBy("__page", "__x.idx")
+    norm = tx.normalize(F.col("__x.para"))
+    own = paras.select(key, "__page", "__x.idx", norm.alias("__norm"), F.collect_list(clean).over(w.rowsBetween(-reach, reach)).alias("__near"))
+    own = own.withColumn("__exact", F.contains("__norm", F.lit(needle)) if needle else F.lit(False))
+    held = own.where("__exact").select(key).distinct()
+    found = own.where("__exact").withColumn("score", F.lit(1.0))
+    close = own.where("NOT __exact").join(held, key, "left_anti").withColumn("score", proximity(needle, F.col("__norm"))).where(F.col("score") >= least)
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "__page", "idx")
+    top = found.unionByName(close.select(*found.columns)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    at = F.array_distinct(F.transform("__near", lambda x: x["page"]))
+    says = F.transform(at, lambda p: F.array_join(F.transform(F.filter("__near", lambda x: x["page"] == p), lambda x: x["text"]), "\n\n"))
+    return top.select(key, "rank", F.col("__page").alias("page"), F.round("score", 3).alias("score"), at.alias("pages"), says.alias("texts"))
+
+
 def _indel(a: str, b: str) -> float:
     """2 * longest common subsequence / total length, by bit-parallel rows."""
     if not a or not b:

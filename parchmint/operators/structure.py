@@ -152,16 +152,21 @@ def search_index(index: DataFrame, query: str, prefix: bool = False) -> DataFram
 
 
 def diff_hunks(lines: DataFrame) -> DataFrame:
-    """Hunks of unified diffs: file, number, start line, lines added and removed. ``lines(file, line, text)``."""
+    """Hunks of unified diffs: file, number, the line they start at and how many they have before and after, lines added and
+    removed (file headers don't count). ``lines(file, line, text)``; what stands before a file's first hunk is left out."""
     from parchmint.operators.ordered import segments
 
-    at = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
-    cut = segments(lines, ["file"], "line", F.col("text").startswith("@@"), "hunk").where("hunk > 0")
-    return cut.groupBy("file", "hunk").agg(
-        F.max(F.try_to_number(F.nullif(F.regexp_extract("text", at, 1), F.lit("")), F.lit("999999")).cast("int")).alias("start"),
-        F.count_if(F.col("text").startswith("+")).alias("added"),
-        F.count_if(F.col("text").startswith("-")).alias("removed"),
-    )
+    at = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    begins = F.regexp_like("text", F.lit(at))
+    number = lambda k, absent=None: F.max(F.when(begins, F.coalesce(F.nullif(F.regexp_extract("text", at, k), F.lit("")), F.lit(absent)).try_cast("long")))
+    signed = lambda sign: F.count_if(F.col("text").startswith(sign) & ~F.col("text").startswith(sign * 3))
+    cut = segments(lines, ["file"], "line", begins, "hunk").where("hunk > 0")
+    return cut.groupBy("file", "hunk").agg(number(3).alias("start"), number(4, "1").alias("lines"), number(1).alias("old_start"), number(2, "1").alias("old_lines"), signed("+").alias("added"), signed("-").alias("removed"))
+
+
+def diff_totals(hunks: DataFrame) -> DataFrame:
+    """Hunks, added and removed lines by file, and over all files (file null)."""
+    return hunks.rollup("file").agg(F.count("*").alias("hunks"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"))
 
 
 def rebuild_abstract(positions: DataFrame, row_id: str) -> DataFrame:

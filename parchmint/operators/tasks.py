@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmint.sources.staging import Rounds
+
 
 def task_score(done: Column, now: Column, cadence_hours: Column, changed: Column) -> Column:
     """Never done (or unreadable) 1000; changed since 100 and the overdue ratio; else hours over cadence. Cadence 0 and
@@ -33,10 +35,16 @@ def cache_stats(cache: DataFrame, service: str, kind: str, size: str) -> DataFra
 
 
 def append_numbered(rows: DataFrame, new: DataFrame, number: str, order: str) -> DataFrame:
-    """``rows`` and ``new`` (in ``order``) numbered on from the greatest number. New rows are what one session adds."""
+    """``rows`` and ``new`` (in ``order``) numbered on from the greatest number. New rows are dealt by range and numbered where
+    they lie, from the counts of the parts before; no task gets them all."""
     top = rows.agg(F.coalesce(F.max(number), F.lit(0)).alias("__top"))
-    ranked = new.withColumn("__rn", F.row_number().over(Window.orderBy(order))).crossJoin(top)
-    return rows.unionByName(ranked.withColumn(number, F.col("__top") + F.col("__rn")).select(*rows.columns))
+    dealt = new.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    placed = Rounds(new.sparkSession, "numbered").put(dealt).withColumn("__part", F.shiftright("__at", 33))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("__part").count().select("__part", before.alias("__before"))
+    ranked = placed.join(parts, "__part").crossJoin(top)
+    nth = F.col("__top") + F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.unionByName(ranked.withColumn(number, nth.cast(rows.schema[number].dataType)).select(*rows.columns))
 
 
 def by_glob(defined: DataFrame, files: DataFrame, block: int = 64) -> DataFrame:

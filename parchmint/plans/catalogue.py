@@ -13,13 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.functions import ids
+from parchmint.functions import ids, register
 from parchmint.functions import text as tx
 from parchmint.operators import catalog, gates, graph, ordered, search, simjoin, structure, tasks, vectors
 from parchmint.plans import fixtures
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
 from parchmint.sources.staging import shared_folder
+from parchmint.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -459,12 +460,23 @@ def upsert_catalog(spark, sf):
 
 
 
-@query(fix("diff_lines") + r""", c AS (SELECT *, sum((starts_with(text, '@@'))::INT) OVER (PARTITION BY file ORDER BY line) AS hunk FROM diff_lines)
-SELECT file, hunk::BIGINT AS hunk, max(try_cast(nullif(regexp_extract(text, '^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@', 1), '') AS INT)) AS start, count_if(starts_with(text, '+'))::BIGINT AS added, count_if(starts_with(text, '-'))::BIGINT AS removed FROM c WHERE hunk > 0 GROUP BY file, hunk""")
+_AT = r"'^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@'"
+_HUNKS = f""", c AS (SELECT *, sum(regexp_matches(text, {_AT})::INT) OVER (PARTITION BY file ORDER BY line) AS hunk FROM diff_lines), g AS (SELECT *, regexp_matches(text, {_AT}) AS b FROM c WHERE hunk > 0),
+k AS (SELECT file, hunk::BIGINT AS hunk, max(CASE WHEN b THEN regexp_extract(text, {_AT}, 3)::BIGINT END) AS start, max(CASE WHEN b THEN coalesce(nullif(regexp_extract(text, {_AT}, 4), ''), '1')::BIGINT END) AS lines,
+ max(CASE WHEN b THEN regexp_extract(text, {_AT}, 1)::BIGINT END) AS old_start, max(CASE WHEN b THEN coalesce(nullif(regexp_extract(text, {_AT}, 2), ''), '1')::BIGINT END) AS old_lines,
+ count_if(starts_with(text, '+') AND NOT starts_with(text, '+++'))::BIGINT AS added, count_if(starts_with(text, '-') AND NOT starts_with(text, '---'))::BIGINT AS removed FROM g GROUP BY file, hunk)"""
+
+
+@query(fix("diff_lines") + _HUNKS + " SELECT * FROM k")
 def diff_hunks(spark, sf):
     return structure.diff_hunks(table(spark, "diff_lines", sf))
 
 
+@query(fix("diff_lines") + _HUNKS + " SELECT file, count(*) AS hunks, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed FROM k GROUP BY ROLLUP (file)")
+def diff_totals(spark, sf):
+    return structure.diff_totals(structure.diff_hunks(table(spark, "diff_lines", sf)))
+
+
 # --- tasks and freshness ---------------------------------------------------------------------------------------------
 
 _TASKS = """
@@ -616,6 +628,63 @@ def two_tier_search(spark, sf):
 
 
 
+@query(r"""
+WITH t0 AS (SELECT conv_id, (turn + 1)::BIGINT AS page, string_split_regex(replace(text, '. ', chr(46) || chr(10) || chr(10)), '\n\s*\n') AS ps FROM conversations),
+u0 AS (SELECT conv_id, page, unnest(ps) AS p, unnest(range(0, len(ps))) AS idx FROM t0), v0 AS (SELECT conv_id, page, idx, trim(p) AS para FROM u0 WHERE length(trim(p)) >= 40 AND length(regexp_replace(trim(p), '[^\p{L}]', '', 'g')) / length(trim(p)) >= 0.4),
+o0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page, idx) AS nth, trim(regexp_replace(regexp_replace(nfc_normalize(para), '-\s*\n\s*', '', 'g'), '\s+', ' ', 'g')) AS clean FROM v0),
+q0 AS (SELECT *, contains(lower(clean), 'of the') AS exact FROM o0), f0 AS (SELECT *, max(exact::INT) OVER (PARTITION BY conv_id) = 1 AS verbatim FROM q0), """ + _proximity_sql("SELECT {'c': conv_id, 'n': nth} AS id, lower(clean) AS text FROM f0 WHERE NOT verbatim", ("of", "the")) + r""",
+h0 AS (SELECT conv_id, nth, page, 1.0::DOUBLE AS score FROM f0 WHERE exact UNION ALL SELECT conv_id, nth, page, s.score FROM f0 JOIN s ON s.id.c = conv_id AND s.id.n = nth WHERE NOT verbatim AND s.score >= 0.3),
+k0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, nth)::INT AS rank FROM h0),
+g0 AS (SELECT k0.conv_id, k0.rank, k0.page, k0.score, f0.page AS pg, string_agg(f0.clean, chr(10) || chr(10) ORDER BY f0.nth) AS says FROM k0 JOIN f0 ON f0.conv_id = k0.conv_id AND f0.nth BETWEEN k0.nth - 1 AND k0.nth + 1 WHERE rank <= 5 GROUP BY ALL)
+SELECT conv_id, rank, page, round(score, 3) AS score, list(pg ORDER BY pg) AS pages, list(says ORDER BY pg) AS texts FROM g0 GROUP BY conv_id, rank, page, score""")
+def paragraph_context(spark, sf):
+    """The best paragraphs of each document for a query, with the paragraphs around them by page."""
+    pages = _pages(spark, sf).select(F.col("key").alias("conv_id"), "page", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return search.paragraph_matches(pages, "conv_id", "page", "text", "of the", 3)
+
+
+@query()
+def semantic_chunk_pages(spark, sf):
+    """Pages cut where neighbouring sentences differ. No SQL: tested by brute force."""
+    return register.semantic_pages(_pages(spark, sf), "key", "page", "text", register.hashing_embedder(64), 40, 0.1)
+
+
+_STORE = """, u AS (SELECT doc_id, CASE WHEN doc_id % 14 = 3 THEN 'xx' ELSE lang END AS lang, n_chars + CASE WHEN doc_id % 11 = 0 AND doc_id % 14 <> 3 THEN 1 ELSE 0 END AS n FROM documents WHERE doc_id % 7 <> 3 OR doc_id % 14 = 3),
+r AS (SELECT 'catalog' AS name, doc_id AS key, lang || ' ' || n AS val FROM u UNION ALL SELECT 'bib', doc_id, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE quality END::VARCHAR FROM labels WHERE doc_id % 7 <> 3
+UNION ALL SELECT 'raw', doc_id, left(text, 30) FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT 'archive', page_id, url FROM pages WHERE page_id % 7 <> 3
+UNION ALL SELECT 'vectors', vec_id, label::VARCHAR FROM embeddings WHERE vec_id % 7 <> 3 UNION ALL SELECT 'manifest', doc_id, source FROM documents WHERE doc_id % 7 <> 3)
+SELECT name, key, val FROM r"""
+
+
+@query("WITH none AS (SELECT 1)" + _STORE)
+def store_cascade(spark, sf):
+    """Six tables after an upsert into two, a removal from all, and a paper that comes back, resolved at read."""
+    read = lambda t: _read(spark, sf, t)
+    docs, labels = read("documents"), read("labels")
+    row = "key long, val string"
+    tables = {
+        "catalog": docs.select(F.col("doc_id").alias("key"), F.concat_ws(" ", "lang", "n_chars").alias("val")),
+        "bib": labels.select(F.col("doc_id").alias("key"), F.col("quality").cast("string").alias("val")),
+        "raw": docs.select(F.col("doc_id").alias("key"), F.left("text", F.lit(30)).alias("val")),
+        "archive": read("pages").select(F.col("page_id").alias("key"), F.col("url").alias("val")),
+        "vectors": read("embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("val")),
+        "manifest": docs.select(F.col("doc_id").alias("key"), F.col("source").alias("val")),
+    }
+    s = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", {n: ("key", row) for n in tables})
+    s.upsert(tables)
+    changed = docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("key"), F.concat_ws(" ", "lang", F.col("n_chars") + 1).alias("val"))
+    s.upsert({"catalog": changed, "bib": labels.where("doc_id % 11 = 0").select(F.col("doc_id").alias("key"), F.lit("2").alias("val"))})
+    every = docs.select(F.col("doc_id").alias("key")).unionAll(read("pages").select("page_id")).unionAll(read("embeddings").select("vec_id"))
+    s.remove(every.where("key % 7 = 3").distinct())
+    s.compact("raw")
+    s.upsert({"catalog": docs.where("doc_id % 14 = 3").select(F.col("doc_id").alias("key"), F.concat_ws(" ", F.lit("xx"), "n_chars").alias("val"))})
+    out = None
+    for n in tables:
+        part = s.read(n).select(F.lit(n).alias("name"), "key", "val")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query()
 def quote_score(spark, sf):
     """Best token-set ratio of each whole benchmark item among all sentences of each document, from 0.8."""

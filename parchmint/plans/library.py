@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchmint.operators import library, tasks
+from parchmint.operators import catalog, library, tasks
 from parchmint.plans.catalogue import _pages, _read, query
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
@@ -258,3 +258,17 @@ def _half(texts: list[str]):
 def archive_listing(spark, sf):
     w = _read(spark, sf, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))
     return w.orderBy("host")
+
+
+_LISTED = "SELECT DISTINCT key, 'On ' || repeat(key || ' ', 12) AS title, 1990 + length(key) AS year, length(key) % 2 = 0 AS has_pdf, CASE WHEN length(key) % 5 = 0 THEN 'missing' ELSE 'valid' END AS doi_status FROM bib_keys"
+
+
+@query(fix("bib_keys") + f""", l AS ({_LISTED}), m AS (SELECT *, nullif(regexp_extract(key, {_SUFFIX}, 2), '') AS related, nullif(regexp_extract(key, {_SUFFIX}, 1), '') AS parent FROM l WHERE doi_status = 'valid' AND (contains(key, '1') OR contains(key, 'xu'))),
+r AS (SELECT *, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS total FROM m)
+SELECT key, left(title, 80) AS title, year::INT AS year, has_pdf, doi_status, related, parent, coalesce(key IN (SELECT parent FROM m WHERE related = 'retraction'), false) AS retracted, total FROM r WHERE rn BETWEEN 51 AND 100""")
+def library_list_flags(spark, sf):
+    """A page of the library list with its related documents and retractions, whatever page these are on."""
+    t = table(spark, "bib_keys", sf).distinct()
+    words = F.filter(F.array(F.when(F.contains("key", F.lit("1")), "one"), F.when(F.contains("key", F.lit("xu")), "xu")), lambda x: x.isNotNull())
+    papers = t.select("key", F.concat(F.lit("On "), F.repeat(F.concat("key", F.lit(" ")), F.lit(12))).alias("title"), (F.lit(1990) + F.length("key")).alias("year"), (F.length("key") % 2 == 0).alias("has_pdf"), F.when(F.length("key") % 5 == 0, "missing").otherwise("valid").alias("doi_status"), words.alias("tags"))
+    return catalog.library_list(papers, ["key"], 2, tags=["one", "xu"], status="valid").drop("tags")

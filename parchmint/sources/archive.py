@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parchmint.functions.ids import shard
 from parchmint.operators.catalog import check_unique
 from parchmint.sources import sinks
+from parchmint.sources.staging import Rounds
 
 TABLES = ("meta", "pages", "chunks")
 
@@ -29,6 +30,7 @@ def _put(df: DataFrame, path: str) -> None:
         touched = [r[0] for r in new.select("shard").distinct().collect()]  # 37 shards at most
         kept = old.where(F.col("shard").isin(touched)).join(new.select("key").distinct(), "key", "left_anti")
         new = kept.unionByName(new, allowMissingColumns=True)
+    new = Rounds(spark, "archive").put(new)  # merged once, not for each shard
     for s in [r[0] for r in new.select("shard").distinct().collect()]:
         sinks.swap(new.where(F.col("shard") == s).drop("shard"), f"{path}/shard={s}")
 

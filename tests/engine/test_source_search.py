@@ -33,3 +33,35 @@ def test_hits_across_lines(spark, query, around):
     if query == "bold claim":
         assert any(f == "wrap.tex" and last > first for f, _, first, last, _ in got)
         assert search.find_in_files(df, query, around, limit=2).count() == 2
+
+
+def test_hunks_of_any_size(spark):
+    from parchmint.operators import structure
+
+    text = ["--- a/x", "+++ b/x", "@@ -1,3 +1000000,4 @@ title", " same", "+new", "++", "+++ not a header to us", "-old", "@@ no hunk", "@@ -99999999999 +20 @@", "-gone", "--- gone"]
+    lines = spark.createDataFrame([("x", i, t) for i, t in enumerate(text)], "file string, line int, text string")
+    hunks = structure.diff_hunks(lines)
+    assert sorted(map(tuple, hunks.collect())) == [("x", 1, 1000000, 4, 1, 3, 2, 1), ("x", 2, 20, 1, 99999999999, 1, 0, 1)]
+    assert sorted(map(tuple, structure.diff_totals(hunks).collect()), key=str) == [("x", 2, 2, 2), (None, 2, 2, 2)]
+
+
+def test_semantic_chunks_by_page(spark):
+    """Offsets are those of the stripped page; a chunk ends where neighbours differ or grow too long."""
+    from parchmint.functions import register
+
+    embed = register.hashing_embedder(64)
+    pages = [("p", 1, "  One two three. One two four. Moss and fern grow. Moss and fern die.  "), ("p", 2, ""), ("q", 1, None), (None, 3, "Only one."), ("q", 2, "A b c. " * 40)]
+    df = spark.createDataFrame(pages, "key string, page int, text string")
+    got = {}
+    for r in sorted(register.semantic_pages(df, "key", "page", "text", embed, 12, 0.2).collect(), key=lambda r: r.chunk_index):
+        got.setdefault((r.key, r.page), []).append(r)
+    assert set(got) == {("p", 1), (None, 3), ("q", 2)}
+    for key, page, text in pages:
+        for i, r in enumerate(got.get((key, page), [])):
+            t = text.strip()
+            assert r.chunk_index == i and t[r.char_start : r.char_end] == r.text and len(r.text.split()) <= 12
+            said = [x + "." for x in r.text.rstrip(".").split(". ")]
+            v = embed(said)
+            assert all(float(a @ b) >= 0.2 for a, b in zip(v, v[1:], strict=False))
+    assert [r.text for r in got["p", 1]] == ["One two three. One two four.", "Moss and fern grow. Moss and fern die."]
+    assert "".join(r.text.replace(" ", "") for r in got["q", 2]) == "Abc." * 40
