@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,28 @@ def key_problem(key: Column) -> Column:
     )
 
 
+def path_problem(path: Column) -> Column:
+    """Why a relative path is unsafe; null for a safe one."""
+    return (
+        F.when(path.isNull() | (path == ""), "empty")
+        .when(F.contains(path, F.lit("\x00")), "null byte")
+        .when(path.startswith("/"), "absolute")
+        .when(F.array_contains(F.split(path, "/"), ".."), "parent")
+    )
+
+
+def resolved(path: Column) -> Column:
+    """An absolute path without empty parts, ``.`` and ``..`` (which can't lead above the root); by its spelling, links aside."""
+    step = lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).otherwise(F.concat(a, F.lit("/"), x))
+    return F.aggregate(F.split(path, "/"), F.lit(""), step)
+
+
+def within(path: Column, root: Column) -> Column:
+    """Whether an absolute path stays in ``root`` (or is it)."""
+    inner, outer = resolved(path), resolved(root)
+    return (inner == outer) | F.startswith(inner, F.concat(outer, F.lit("/")))
+
+
 def classify_id(text: Column) -> Column:
     """struct(kind, id, part): page, figure, doi, s2 (40 hex digits) or slug."""
     page, figure = r"^(.+):page(\d+)$", r"^(.+):(fig[\p{L}\p{N}_]+)$"
@@ -184,11 +206,19 @@ def match_score(title_a: Column, title_b: Column, names_a: Column, names_b: Colu
     return F.lit(0.6) * jaccard(title_tokens(title_a), title_tokens(title_b)) + F.lit(0.25) * jaccard(names_a, names_b) + year
 
 
-def slug(title: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """First telling word of a title, alone if it has eight letters or more, else joined to the second; empty without any."""
+def read_words(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """A word list for ``slug`` from a text file, one word a line (lines that begin with ``#`` aside), with the academic words.
+    Lists have a few thousand words and reach the driver."""
+    rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> '' AND NOT startswith(w, '#')")
+    return (*sorted({r.w for r in rows.collect()}), *ACADEMIC_WORDS)
+
+
+def slug(title: Column, stop: tuple[str, ...] = STOP_WORDS, most: int = 2) -> Column:
+    """First telling word of a title, alone if it has eight letters or more, else joined to those that follow, ``most`` in all;
+    empty without any. Which words tell nothing is a parameter, and a longer list changes slugs: libraries pass their own."""
     found = F.filter(F.regexp_extract_all(F.lower(ascii_fold(title)), F.lit("([a-z]{3,})"), 1), lambda w: ~w.isin(*stop))
-    first, second = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(2))
-    return F.when(first.isNull(), "").when((F.length(first) >= 8) | second.isNull(), first).otherwise(F.concat(first, second))
+    first = F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
+    return F.when(F.length(first) >= 8, first).otherwise(F.array_join(F.slice(found, 1, most), ""))
 
 
 def make_key(surname_: Column, year: Column, title: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:

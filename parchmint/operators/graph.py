@@ -20,15 +20,21 @@ def recency(year: Column, as_of: int) -> Column:
     return F.when(year.isNull() | (year == 0), F.lit(0.5)).otherwise(aged)
 
 
-def discover_new(edges: DataFrame, papers: DataFrame, library: DataFrame, known: DataFrame, as_of: int, least: int, limit: int, min_year: int | None = None) -> DataFrame:
+def discover_new(edges: DataFrame, papers: DataFrame, library: DataFrame, known: DataFrame, as_of: int, least: int, limit: int, min_year: int | None = None, dismissed: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
     """Citing papers outside the library, scored by how many library papers they cite and how recent they are.
 
-    ``edges(citing, cited)``, ``papers(citing, year)``, ``library(cited)``, ``known(citing)`` (own or dismissed papers).
-    """
+    ``edges(citing, cited)``, ``papers(citing, year)``, ``library(cited)``, ``known(citing)``. With ``dismissed(citing)`` and
+    ``held(doi)`` papers that were dismissed go as well, and those whose DOI (a column of ``papers``) the library holds
+    under another id, in whatever case. Three anti-joins; the last meets only papers with enough shared references."""
     hit = edges.join(library, "cited", "left_semi").join(known, "citing", "left_anti")
+    if dismissed is not None:
+        hit = hit.join(dismissed.select("citing"), "citing", "left_anti")
     sets = hit.groupBy("citing").agg(F.array_sort(F.collect_set("cited")).alias("shared_keys"))
     sets = sets.withColumn("n_shared", F.size("shared_keys").cast("long")).where(F.col("n_shared") >= least)
     out = sets.join(papers, "citing", "left").withColumn("year", F.coalesce("year", F.lit(0)))
+    if held is not None:
+        own = held.where("doi <> ''").select(F.lower("doi").alias("__doi"))
+        out = out.join(own, F.lower("doi") == F.col("__doi"), "left_anti")
     if min_year is not None:
         out = out.where(F.col("year") >= min_year)
     out = out.withColumn("score", F.round(F.col("n_shared") * recency(F.col("year"), as_of), 2))

@@ -72,6 +72,22 @@ def discover_new_scored(spark, sf):
     return graph.discover_new(_edges(spark, sf), papers, library, known, 2001, 2, 100).select("citing", "shared_keys", "n_shared", "year", "score")
 
 
+@query("""
+WITH hit AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 10),
+new AS (SELECT * FROM hit WHERE citing NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND citing NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 1)),
+s AS (SELECT citing, count(*) AS n_shared FROM new GROUP BY citing HAVING count(*) >= 2)
+SELECT citing, n_shared, doi FROM s JOIN (SELECT o_orderkey AS citing, CASE WHEN o_orderkey % 4 <> 0 THEN '10.1/X' || o_custkey END AS doi FROM orders) USING (citing)
+WHERE doi IS NULL OR lower(doi) NOT IN (SELECT '10.1/x' || p_partkey FROM part WHERE p_size <= 10)""")
+def discover_new_excluding(spark, sf):
+    """Candidates that the library has neither by id nor by DOI and that weren't dismissed."""
+    orders = _read(spark, sf, "orders")
+    papers = orders.select(F.col("o_orderkey").alias("citing"), F.year("o_orderdate").alias("year"), F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("10.1/X"), "o_custkey")).alias("doi"))
+    library = _read(spark, sf, "part").where("p_size <= 10").select(F.col("p_partkey").alias("cited"), F.concat(F.lit("10.1/x"), "p_partkey").alias("doi"))
+    known, gone = (orders.where(x).select(F.col("o_orderkey").alias("citing")) for x in ("o_orderpriority = '1-URGENT'", "o_orderkey % 6 = 1"))
+    every = orders.count()  # no limit: all candidates
+    return graph.discover_new(_edges(spark, sf), papers, library.select("cited"), known, 2001, 2, every, dismissed=gone, held=library.select("doi")).select("citing", "n_shared", "doi")
+
+
 _NEIGHBOURS = """
 WITH e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem),
 r AS (SELECT {key0} AS key, {other} AS other, count(*) OVER (PARTITION BY {key0}) AS total, row_number() OVER (PARTITION BY {key0} ORDER BY {other}) AS rn FROM e)

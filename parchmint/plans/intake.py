@@ -259,3 +259,15 @@ def cover_years(spark, sf):
 def clean_headings(spark, sf):
     raw = F.concat(F.lit("\\ignorespaces "), F.regexp_replace(F.left("text", F.lit(50)), r"\.", ""), F.lit("~\\textbf {bold}\\,\\emph{x}\\hspace {1em}\\gls{y}"))
     return _read(spark, sf, "documents").select("doc_id", tx.clean_heading(raw).alias("title"))
+
+
+_PATHS = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/' || url WHEN 2 THEN '../' || url WHEN 3 THEN 'a/./b//..' || page_id WHEN 4 THEN 'a/../../' || url WHEN 5 THEN 'a/b/../' || page_id ELSE url END AS path FROM {pages}"
+
+
+@query(f"""WITH p AS ({_PATHS.format(pages="pages")}), r AS (SELECT *, list_reduce(list_prepend('', string_split('/vault/' || path, '/')), lambda a, x: CASE WHEN x IN ('', '.') THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) AS full_path FROM p)
+SELECT page_id, CASE WHEN path = '' THEN 'empty' WHEN starts_with(path, '/') THEN 'absolute' WHEN list_contains(string_split(path, '/'), '..') THEN 'parent' END AS problem, full_path, full_path = '/vault' OR starts_with(full_path, '/vault/') AS within FROM r""")
+def path_safety(spark, sf):
+    """Why relative paths are unsafe, what they lead to below a root, and whether they stay there."""
+    full = F.concat(F.lit("/vault/"), "path")
+    rows = spark.sql(_PATHS, pages=_read(spark, sf, "pages"))
+    return rows.select("page_id", ids.path_problem(F.col("path")).alias("problem"), ids.resolved(full).alias("full_path"), ids.within(full, F.lit("/vault")).alias("within"))
