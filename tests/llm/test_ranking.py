@@ -40,12 +40,12 @@ def made_up(n, seed=3):
     words = [f"w{i}" for i in range(60)] + ["Über", "日本", "naïve", "x9"]
     text = lambda most: " ".join(r.choice(words[: r.choice([4, 12, 64])]) + r.choice(["", ",", "."]) for _ in range(r.randrange(1, most)))
     docs = [(i, text(80)) for i in range(n)]
-    docs += [(n + i, docs[5][1]) for i in range(30)] + [docs[7], docs[7], (None, docs[9][1]), (n + 40, None), (n + 41, ""), (n + 42, " .,;\n"), (n + 43, "w1 w2 " * 40000)]
-    items = [(i, text(30)) for i in range(12)] + [(20, docs[5][1]), (21, None), (22, "!!"), (23, "nowhere"), (24, "W1 w1 w1"), (25, docs[9][1]), (25, docs[9][1])]
+    docs += [(n + i, docs[5][1]) for i in range(30)] + [docs[7], docs[7], (None, docs[8][1]), (n + 40, None), (n + 41, ""), (n + 42, " .,;\n"), (n + 43, "w1 w2 " * 40000)]
+    items = [(i, text(30)) for i in range(12)] + [(20, docs[5][1]), (21, None), (22, "!!"), (23, "nowhere"), (24, "W1 w1 w1"), (25, docs[8][1]), (25, docs[8][1])]
     return docs, items
 
 
-@pytest.mark.parametrize(("n", "k"), [(150, 20), (9, 20), (150, 3)])
+@pytest.mark.parametrize(("n", "k"), [(150, 20), (10, 20), (150, 3)])
 def test_made_up(spark, n, k):
     docs, items = made_up(n)
     wide = {c: F.lit("w1") for c in ("row", "id", "n", "t", "f", "item", "rank", "score")}
