@@ -160,12 +160,12 @@ def all_labels(spark, sf):
 # A table of contents for each nation: parts, sections and so on by order keys; lines as a build leaves them.
 _TOC_SQL = """SELECT 'n' || {k1} || '.toc' AS file, CAST(o_orderkey AS INT) AS line, chr(92) || 'contentsline {{' || CASE CAST(o_orderkey AS INT) % 11 WHEN 0 THEN 'part' WHEN 1 THEN 'section' WHEN 6 THEN 'section' WHEN 2 THEN 'subsection' WHEN 4 THEN 'subsection' WHEN 5 THEN 'odd'
  WHEN 7 THEN 'subsubsection' WHEN 8 THEN 'paragraph' ELSE 'subsection' END || '}}{{' || CASE CAST(o_orderkey AS INT) % 11 WHEN 0 THEN 'IV ' ELSE chr(92) || 'numberline {{' || {k2} || '.' || {k3} || '}}' END
- || 'On ' || chr(92) || 'emph {{' || o_orderpriority || '}}~' || {k4} || chr(92) || 'tomeinfo {{./s' || {k3} || '.tex}}{{' || {k4} || '}}}}{{' || CASE WHEN o_orderkey % 13 = 0 THEN 'xii' ELSE {k5} END || '}}{{section.' || {k4} || '}}%' AS text FROM {orders}"""
+ || 'On ' || chr(92) || 'emph {{' || o_orderpriority || '}}~' || {k4} || chr(92) || 'fileinfo {{./s' || {k3} || '.tex}}{{' || {k4} || '}}}}{{' || CASE WHEN o_orderkey % 13 = 0 THEN 'xii' ELSE {k5} END || '}}{{section.' || {k4} || '}}%' AS text FROM {orders}"""
 
 
 def _toc_sql(orders: str) -> str:
     k = "CAST({} AS STRING)".format
-    return _TOC_SQL.format(k1=k("o_custkey % 20"), k2=k("o_custkey % 9"), k3=k("o_custkey % 4"), k4=k("o_orderkey"), k5=k("o_orderkey % 300"), orders=orders).replace("tomeinfo", "fileinfo")
+    return _TOC_SQL.format(k1=k("o_custkey % 20"), k2=k("o_custkey % 9"), k3=k("o_custkey % 4"), k4=k("o_orderkey"), k5=k("o_orderkey % 300"), orders=orders)
 
 
 def _toc(spark, sf):
