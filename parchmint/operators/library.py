@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,15 +184,16 @@ def cache_drop(cache: DataFrame, service: str = "", kind: str = "", identifier:
     return cache.where(~F.coalesce(gone, F.lit(False)))
 
 
-def throttled(calls: DataFrame) -> DataFrame:
-    """``calls (service, at double)`` with ``waits``: how long each would have had to wait for its service's interval. A call
-    that waits moves those behind it: start(i) = max(at(i), start(i - 1) + interval) = i * interval + max over j <= i of
-    at(j) - j * interval, a running maximum."""
-    table = F.create_map(*(F.lit(x) for kv in THROTTLE_SECONDS.items() for x in kv))
+def throttled(calls: DataFrame, digits: int = 6) -> DataFrame:
+    """``calls (service, at double)`` with ``waits``: how long each would have had to wait for its service's interval, rounded
+    once. A call that waits moves those behind it: start(i) = max(at(i), start(i - 1) + interval) = i * interval + max over
+    j <= i of at(j) - j * interval, a running maximum. Intervals are decimals, so their multiples are exact."""
+    table = F.create_map(*(F.lit(x) for k, v in THROTTLE_SECONDS.items() for x in (k, Decimal(str(v)))))
     w = Window.partitionBy("service").orderBy("at")
-    own = calls.withColumns({"gap": F.coalesce(F.try_element_at(table, F.col("service")), F.lit(0.0)), "i": F.row_number().over(w)})
-    start = F.col("i") * F.col("gap") + F.max(F.col("at") - F.col("i") * F.col("gap")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return own.select("service", "at", F.round(start - F.col("at"), 6).alias("waits"))
+    own = calls.withColumns({"gap": F.coalesce(F.try_element_at(table, F.col("service")), F.lit(Decimal("0.0"))), "i": F.row_number().over(w)})
+    own = own.withColumn("gaps", (F.col("i") * F.col("gap")).cast("double"))
+    start = F.col("gaps") + F.max(F.col("at") - F.col("gaps")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return own.select("service", "at", F.round(start - F.col("at"), digits).alias("waits"))
 
 
 # --- views -----------------------------------------------------------------------------------------------------------------

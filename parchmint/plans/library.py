@@ -154,8 +154,7 @@ SELECT service, count(*) AS calls, count_if(w > 0)::BIGINT AS waited FROM (SELEC
 def throttled_calls(spark, sf):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0) / 60 + F.col("event_id") / F.lit(1e9)
     calls = _read(spark, sf, "events").select(F.when(F.col("user_id") % 2 == 0, "s2").otherwise("crossref").alias("service"), at.alias("at"))
-    out = library.throttled(calls).withColumn("w", F.round("waits", 3))
-    return out.groupBy("service").agg(F.count("*").alias("calls"), F.count_if(F.col("w") > 0).alias("waited"))
+    return library.throttled(calls, 3).groupBy("service").agg(F.count("*").alias("calls"), F.count_if(F.col("waits") > 0).alias("waited"))
 
 
 # --- views -------------------------------------------------------------------------------------------------------------------
