@@ -200,10 +200,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def tokens_score(tokens_a: Column, tokens_b: Column, names_a: Column, names_b: Column, year_a: Column, year_b: Column) -> Column:
+    """``match_score`` of titles whose ``title_tokens`` are at hand (distinct ones, so the union needn't be made)."""
+    year = F.when((year_a == year_b) & (year_a != 0), 0.15).otherwise(0.0)
+    shared = F.array(F.size(F.array_intersect(tokens_a, tokens_b)))
+    title = F.when((F.size(tokens_a) > 0) & (F.size(tokens_b) > 0), F.transform(shared, lambda n: n / (F.size(tokens_a) + F.size(tokens_b) - n))[0]).otherwise(F.lit(0.0))
+    return F.lit(0.6) * title + F.lit(0.25) * jaccard(names_a, names_b) + year
+
+
 def match_score(title_a: Column, title_b: Column, names_a: Column, names_b: Column, year_a: Column, year_b: Column) -> Column:
     """0.6 title overlap + 0.25 surname overlap + 0.15 for equal years (0 is no year)."""
-    year = F.when((year_a == year_b) & (year_a != 0), 0.15).otherwise(0.0)
-    return F.lit(0.6) * jaccard(title_tokens(title_a), title_tokens(title_b)) + F.lit(0.25) * jaccard(names_a, names_b) + year
+    return tokens_score(title_tokens(title_a), title_tokens(title_b), names_a, names_b, year_a, year_b)
 
 
 def read_words(spark: SparkSession, path: str) -> tuple[str, ...]:

@@ -38,7 +38,7 @@ def grams(text: Column, n: int) -> Column:
     return F.transform(F.array(sorted_), numbered)[0]
 
 
-def _spread(pairs: DataFrame) -> DataFrame:
+def spread(pairs: DataFrame) -> DataFrame:
     """Dealt over all cores: pairs are small in bytes and dear to score, so partitions must not be chosen by size."""
     spark = pairs.sparkSession
     return pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -113,7 +113,7 @@ def set_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
                         out.append((x, y, ratio))
             yield pd.DataFrame(out, columns=["s", "s2", "ratio"])
 
-    return _spread(met).mapInPandas(score, "s string, s2 string, ratio double")
+    return spread(met).mapInPandas(score, "s string, s2 string, ratio double")
 
 
 def title_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float = 0.9) -> DataFrame:
@@ -162,7 +162,7 @@ def _ratios(pairs: DataFrame) -> DataFrame:
                         out.append((a, k, ratio))
             yield pd.DataFrame(out, columns=["asked", "key", "ratio"])
 
-    return _spread(pairs.select("asked", "key", "goal")).sortWithinPartitions("asked").mapInPandas(run, "asked string, key string, ratio double")
+    return spread(pairs.select("asked", "key", "goal")).sortWithinPartitions("asked").mapInPandas(run, "asked string, key string, ratio double")
 
 
 def close_keys(asked: DataFrame, keys: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:

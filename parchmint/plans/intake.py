@@ -10,6 +10,7 @@ from parchmint.operators import gates, ordered, simjoin
 from parchmint.plans.catalogue import _JAC, _STOP, _TT, _pages, _read, query
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
+from parchmint.sources.staging import Rounds
 
 # --- identifiers and titles ------------------------------------------------------------------------------------------------
 
@@ -94,11 +95,13 @@ p AS (SELECT c.doi, d.doc_id, {_TT.format('c.title')} AS tc, {_TT.format('d.page
 SELECT doc_id, doi, round(greatest(0.6::DOUBLE * {_JAC.format(a='tc', b='tp')} + s, 0.6::DOUBLE * {_JAC.format(a='tc', b='tt')} + s), 3)::DOUBLE AS score FROM p""")
 def doi_candidates(spark, sf):
     """Candidates proposed for a document, all of them scored against its first page and its title, the best first."""
-    c = _read(spark, sf, "part").select(F.col("p_partkey").alias("doi"), F.col("p_name").alias("tc"), F.array(ids.surname(F.col("p_brand"))).alias("na"), (F.col("p_partkey") % 500).alias("doc_id"))
-    d = _read(spark, sf, "documents").select("doc_id", F.left("text", F.lit(3000)).alias("tp"), F.left("text", F.lit(50)).alias("tt"), F.array(F.lit("brand#11")).alias("nb"))
+    c = _read(spark, sf, "part").select(F.col("p_partkey").alias("doi"), ids.title_tokens(F.col("p_name")).alias("tc"), F.array(ids.surname(F.col("p_brand"))).alias("na"), (F.col("p_partkey") % 500).alias("doc_id"))
+    # the words of a document are found once and not for each of its candidates; candidates are small in bytes, so they are dealt
+    d = _read(spark, sf, "documents").select("doc_id", ids.title_tokens(F.left("text", F.lit(3000))).alias("tp"), ids.title_tokens(F.left("text", F.lit(50))).alias("tt"), F.array(F.lit("brand#11")).alias("nb"))
+    d = Rounds(spark, "words").put(d.join(c.select("doc_id").distinct(), "doc_id", "left_semi"))
     none = F.lit(None).cast("int")
-    score = lambda t: ids.match_score(F.col("tc"), F.col(t), F.col("na"), F.col("nb"), none, none)
-    return c.join(d, "doc_id").select("doc_id", "doi", F.round(F.greatest(score("tp"), score("tt")), 3).alias("score")).orderBy("doc_id", F.desc("score"), "doi")
+    score = lambda t: ids.tokens_score(F.col("tc"), F.col(t), F.col("na"), F.col("nb"), none, none)
+    return simjoin.spread(c).join(d, "doc_id").select("doc_id", "doi", F.round(F.greatest(score("tp"), score("tt")), 3).alias("score")).orderBy("doc_id", F.desc("score"), "doi")
 
 
 @query()

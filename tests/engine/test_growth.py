@@ -1,9 +1,11 @@
 """Queries on small tables that show what larger ones ran into."""
 
 import datetime as dt
+import re
 
 import duckdb
 
+from parchmint.operators import search
 from parchmint.plans import catalogue
 
 
@@ -24,3 +26,21 @@ def test_waits_are_rounded_once(spark, tmp_path):
     events = spark.createDataFrame([(0, at, 2), (0, at + dt.timedelta(seconds=59.970024), 2), (0, at, 1)], "event_id long, ts timestamp, user_id long")
     got, want = both(spark, tmp_path, "throttled_calls", events=events)
     assert got == want == [("crossref", 1, 0), ("s2", 2, 0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_document_are_found_once(spark, sf):
+    """Not for each candidate that is joined to it."""
+    above, _ = plan(catalogue.QUERIES["doi_candidates"](spark, sf)).split("Join", 1)
+    assert "regexp_replace" not in above
+
+
+def test_lengths_are_taken_once_a_file(spark):
+    """Not at every hit, which made the search quadratic in a file's hits."""
+    files = spark.createDataFrame([("a", "here\nas\n" * 500)], "file string, text string")
+    hits = search.find_in_files(files, "here as", 0)
+    assert not re.search(r"lambdafunction\([^\n]*length\(text", plan(hits))
+    assert sorted((x.hit, x.line_start, x.line_end) for x in hits.collect())[-1] == (499, 999, 1000)
