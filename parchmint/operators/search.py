@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from parchmint.functions import text as tx
 from parchmint.operators.ordered import asof
+from parchmint.sources.staging import Rounds
 
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
@@ -66,16 +67,18 @@ def find_in_files(files: DataFrame, query: str, around: int = 3, limit: int | No
     lengths of the file's lines. ``context`` has the lines of the hit and ``around`` on either side, joined by line number.
     A file is one row; null texts and an empty query have no hits."""
     needle = tx.normal_form(query)
+    rounds = Rounds(files.sparkSession, "files")
     own = files.where(F.col("text").isNotNull()).select("file", "text", tx.normalize_markup(F.col("text")).alias("norm"))
-    own = own.where(F.contains("norm", F.lit(needle)) if needle else F.lit(False))
-    ratio = F.length("text") / F.length("norm")
-    place = lambda at: F.floor(at * ratio).cast("int")
-    spans = F.transform(tx.occurrences(F.col("norm"), needle or " "), lambda at: F.struct(place(at - 1).alias("begin"), F.least(place(at - 1 + len(needle)), F.length("text") - 1).alias("end")))
-    hits = own.select("file", F.posexplode(spans).alias("hit", "x")).select("file", "hit", "x.begin", "x.end")
+    own = rounds.put(own.where(F.contains("norm", F.lit(needle)) if needle else F.lit(False)))
+    # lengths are taken once for each file: a text's length is counted anew wherever it is named
+    found = own.select("file", F.length("text").alias("size"), F.length("norm").alias("plain"), tx.occurrences(F.col("norm"), needle or " ").alias("at"))
+    place = lambda at: F.floor(at * (F.col("size") / F.col("plain"))).cast("int")
+    hits = found.select("file", "size", "plain", F.posexplode("at").alias("hit", "at"))
+    hits = rounds.put(hits.select("file", "hit", place(F.col("at") - 1).alias("begin"), F.least(place(F.col("at") - 1 + len(needle)), F.col("size") - 1).alias("end")))
     pieces = F.split("text", "\n")
     ends = tx.running(F.transform(pieces, lambda x: F.length(x) + 1))
     lines = own.select("file", F.posexplode(F.arrays_zip(pieces.alias("text"), ends.alias("upto"))).alias("line", "x"))
-    lines = lines.select("file", (F.col("line") + 1).alias("line"), "x.text", (F.col("x.upto") - F.length("x.text") - 1).alias("at"))
+    lines = rounds.put(lines.select("file", (F.col("line") + 1).alias("line"), "x.text", (F.col("x.upto") - F.length("x.text") - 1).alias("at")))
     first = asof(hits.withColumnRenamed("begin", "at"), lines, ["file"], "at", ["line"]).select("file", "hit", F.col("line").alias("line_start"), F.col("end").alias("at"))
     both = asof(first, lines, ["file"], "at", ["line"]).select("file", "hit", "line_start", F.col("line").alias("line_end"))
     near = both.withColumn("line", F.explode(F.sequence(F.greatest(F.lit(1), F.col("line_start") - around), F.col("line_end") + around)))
