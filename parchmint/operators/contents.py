@@ -5,9 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +15,18 @@ LEVELS = 6
 
 
 def tree(entries: DataFrame) -> DataFrame:
-    """``entries`` with ``parent`` and ``ancestors`` (nearest first): of the last earlier entry of each depth, from the latest
-    on, every one that is shallower than the one before it. One running window and one fold of ``LEVELS`` values."""
+    """``entries`` with ``parent`` and ``ancestors`` (nearest first): of the last earlier entry of each depth those that are
+    shallower than the entry and behind the last ones of all lesser depths. One running window and plain comparisons."""
     w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.struct(F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(w).alias("o"), F.lit(d).alias("d")) for d in range(LEVELS)]
-    kind = entries.schema["ord"].dataType.simpleString()
-    latest = F.sort_array(F.filter("__above", lambda x: x["o"].isNotNull()), asc=False)
-    start = F.struct(F.col("depth").cast("int").alias("d"), F.array().cast(f"array<{kind}>").alias("l"))
-    step = lambda acc, x: F.when(x["d"] < acc["d"], F.struct(x["d"].alias("d"), F.concat(acc["l"], F.array(x["o"])).alias("l"))).otherwise(acc)
-    out = entries.withColumn("__above", F.array(*last)).withColumn("ancestors", F.aggregate(latest, start, step, lambda acc: acc["l"]))
-    return out.withColumn("parent", F.try_element_at("ancestors", F.lit(1))).drop("__above")
+    last = [F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(w) for d in range(LEVELS)]
+    out = entries.withColumns({f"__{d}": x for d, x in enumerate(last)})
+    above = []
+    for d in range(LEVELS):
+        lesser = [F.col(f"__{k}") for k in range(d)]
+        behind = F.lit(True) if d == 0 else F.coalesce(F.col(f"__{d}") >= (F.greatest(*lesser) if d > 1 else lesser[0]), F.lit(True))
+        above.insert(0, F.when((F.col("depth") > d) & behind, F.col(f"__{d}")))
+    out = out.withColumn("ancestors", F.array_compact(F.array(*above))).drop(*(f"__{d}" for d in range(LEVELS)))
+    return out.withColumn("parent", F.try_element_at("ancestors", F.lit(1)))
 
 
 def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -38,14 +37,16 @@ def with_labels(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def float_parents(floats: DataFrame, entries: DataFrame) -> DataFrame:
     """``floats(doc, file, line, page, ...)`` with ``parent``: in the float's own file the last heading (in document order)
     at or before its line; else the last heading before the first one beyond the float's page. Two as-of joins."""
-    # written once, since the number must be the same wherever it is read
-    f = Rounds(floats.sparkSession, "floats").put(floats.withColumn("__id", F.monotonically_increasing_id()))
-    own = ordered.asof(f.select("doc", "file", "line", "__id").where("file <> ''"), entries.where("file <> ''").groupBy("doc", "file", "line").agg(F.max("ord").alias("own")), ["doc", "file"], "line", ["own"])
+    # written once, since the number must be the same wherever it is read, and entries are dear to parse
+    rounds = Rounds(floats.sparkSession, "floats")
+    f = rounds.put(floats.withColumn("__id", F.monotonically_increasing_id()))
+    heads = rounds.put(entries.select("doc", "file", "line", "ord", "page"))
     # of the headings at or before the line the last in document order, which needn't be the one with the greatest line
-    best = entries.where("file <> ''").withColumn("own", F.max("ord").over(Window.partitionBy("doc", "file").orderBy("line").rangeBetween(Window.unboundedPreceding, 0)))
-    own = own.select("doc", "file", F.col("own").alias("ord"), "__id").join(best.select("doc", "file", "ord", "own"), ["doc", "file", "ord"], "left").select("__id", "own")
+    best = heads.where("file <> ''").groupBy("doc", "file", "line").agg(F.max("ord").alias("own"))
+    best = best.withColumn("own", F.max("own").over(Window.partitionBy("doc", "file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    own = ordered.asof(f.select("doc", "file", "line", "__id").where("file <> ''"), best, ["doc", "file"], "line", ["own"]).select("__id", "own")
     reach = F.max("page").over(Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    runs = entries.withColumn("page", reach).groupBy("doc", "page").agg(F.max("ord").alias("by_page"))
+    runs = heads.withColumn("page", reach).groupBy("doc", "page").agg(F.max("ord").alias("by_page"))
     by_page = ordered.asof(f.select("doc", "page", "__id"), runs, ["doc"], "page", ["by_page"]).select("__id", "by_page")
     return f.join(own, "__id", "left").join(by_page, "__id", "left").withColumn("parent", F.coalesce("own", "by_page")).drop("__id", "own", "by_page")
 
@@ -61,11 +62,13 @@ def matched(entries: DataFrame, query: str = "", file: str = "", pages: tuple[in
         tests.append((F.col("file") != "") & F.contains("file", F.lit(file)))
     if pages:
         tests.append(F.col("page").between(*pages))
-    out = None
-    for test in tests:
-        hit = entries.where(test).select("doc", F.explode(F.concat(F.array("ord"), "ancestors")).alias("ord")).distinct()
-        out = hit if out is None else out.join(hit, ["doc", "ord"], "left_semi")
-    return entries.select("doc", "ord") if out is None else out
+    if not tests:
+        return entries.select("doc", "ord")
+    # one pass: what an entry satisfies holds for all that stands above it
+    flags = [f"__{i}" for i in range(len(tests))]
+    hit = entries.select("doc", F.explode(F.concat(F.array("ord"), "ancestors")).alias("ord"), *(F.coalesce(t, F.lit(False)).alias(c) for t, c in zip(tests, flags, strict=True)))
+    met = hit.where(" OR ".join(flags)).groupBy("doc", "ord").agg(*(F.max(c).alias(c) for c in flags))
+    return met.where(" AND ".join(flags)).select("doc", "ord")
 
 
 def of_part(entries: DataFrame, part: str) -> DataFrame:
@@ -90,58 +93,51 @@ def descendants(entries: DataFrame, floats: DataFrame | None = None) -> DataFram
 def render(entries: DataFrame, floats: DataFrame | None = None, depth: int = 3, shown: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
     """``doc, at, text``: the table as indented lines: number, title, ``[label]``, place (the file only where it differs from
     the parent's), page; fields of a new source file (``meta(file, field, value)``); floats; and for headings at the
-    greatest depth a summary of what is below. ``shown``: see ``matched``. One document's table is one group."""
+    greatest depth a summary of what is below. ``shown``: see ``matched``. Every line is made from its entry and what stands
+    above it, so no document is held whole."""
     rows = entries if "label" in entries.columns else entries.withColumn("label", F.lit(""))
     rows = rows.join(descendants(entries, floats), ["doc", "ord"])
     rows = rows.join(shown.withColumn("__shown", F.lit(True)), ["doc", "ord"], "left").withColumn("__shown", F.coalesce("__shown", F.lit(False))) if shown is not None else rows.withColumn("__shown", F.lit(True))
-    one = F.struct("ord", "parent", "level", "depth", "number", "title", "page", "file", "line", "label", "below", "figures", "tables", F.col("__shown").alias("shown"))
-    out = rows.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("entries"))
-    item = "array<struct<parent:int,kind:string,at:int,number:string,caption:string,page:int,file:string,line:int>>"
-    if floats is not None:
-        f = F.struct(F.col("parent").cast("int").alias("parent"), "kind", F.col("ord").cast("int").alias("at"), "number", "caption", "page", "file", "line")
-        out = out.join(floats.where("parent IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_list(f)).alias("floats")), "doc", "left")
-    else:
-        out = out.withColumn("floats", F.lit(None).cast(item))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("file", "label", "number", "title")})
+    kind = entries.schema["ord"].dataType.simpleString()
+    # what a line needs of the entries above it: the last earlier entries of each depth, of which the ancestors are some
+    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("depth") == d, F.struct(F.col("ord").alias("o"), F.col("file").alias("f"), (F.col("__shown") & (F.col("depth") < depth)).alias("open"))), ignorenulls=True).over(w) for d in range(LEVELS)]
+    rows = rows.withColumn("__above", F.array(*last))
+    chain = F.transform("ancestors", lambda a: F.filter("__above", lambda x: x["o"] == a)[0])
+    rows = rows.withColumn("__chain", chain).drop("__above").where(F.col("__shown") & F.forall("__chain", lambda x: x["open"]))
+    files = F.filter(F.transform("__chain", lambda x: x["f"]), lambda f: f != "")
+    rows = rows.withColumn("__from", F.coalesce(F.try_element_at(files, F.lit(1)), F.lit(""))).withColumn("__pad", F.repeat(F.lit("  "), F.size("ancestors"))).drop("__chain")
+    rows = rows.withColumn("__here", F.when(F.col("file") == "", F.col("__from")).otherwise(F.col("file")))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    given = lambda c: F.coalesce(c, F.lit(0)) != 0
+    at = F.when(given(F.col("line")), F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise("")
+    place = F.when(F.col("file") == "", "").when(F.col("file") != F.col("__from"), F.concat(F.lit("  "), "file", at)).when(at != "", F.concat(F.lit("  "), at)).otherwise("")
+    mark = F.when(F.col("level") == "part", F.concat(F.trim(F.concat(F.lit("Part "), "number")), F.lit(" "))).when(F.col("number") != "", F.concat(F.lit("§"), "number", F.lit(" "))).otherwise("")
+    label = F.when(F.col("label") != "", F.concat(F.lit("  ["), "label", F.lit("]"))).otherwise("")
+    page = F.when(given(F.col("page")), F.concat(F.lit("  p."), F.col("page").cast("string"))).otherwise("")
+    none = F.array().cast("array<string>")
+    parts = [F.array(F.concat("__pad", mark, "title", label, place, page))]
     if meta is not None:
-        own = entries.where("file <> ''").select("doc", "file").distinct().join(meta, "file").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("file", "field", "value"))).alias("meta"))
-        out = out.join(own, "doc", "left")
-    else:
-        out = out.withColumn("meta", F.lit(None).cast("array<struct<file:string,field:string,value:string>>"))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for doc, own, fl, notes in zip(pdf["doc"], pdf["entries"], pdf["floats"], pdf["meta"], strict=True):
-                lines = _lines(list(own), [] if fl is None else list(fl), [] if notes is None else list(notes), depth)
-                yield pd.DataFrame({"doc": [doc] * len(lines), "at": range(len(lines)), "text": lines})
-
-    return out.select("doc", "entries", "floats", "meta").mapInPandas(run, f"doc {entries.schema['doc'].dataType.simpleString()}, at int, text string")
-
-
-def _lines(entries: list, floats: list, meta: list, depth: int) -> list[str]:
-    out: list[str] = []
-    seen: dict = {}  # shown entry: (indent, file in force)
-    for e in entries:
-        above = seen.get(e["parent"]) if e["parent"] is not None and not pd.isna(e["parent"]) else (-1, "", True)
-        if above is None or not e["shown"] or not above[2]:
-            continue
-        indent, parent_file = above[0] + 1, above[1]
-        here = e["file"] or parent_file
-        opens = e["depth"] < depth
-        seen[e["ord"]] = indent, here, opens
-        pad = "  " * indent
-        mark = f"Part {e['number']}".strip() if e["level"] == "part" else f"§{e['number']}" if e["number"] else ""
-        line = f":{e['line']}" if e["line"] else ""
-        place = "" if not e["file"] else (f"  {line}" if line else "") if e["file"] == parent_file else f"  {e['file']}{line}"
-        out.append(f"{pad}{mark + ' ' if mark else ''}{e['title']}{'  [' + e['label'] + ']' if e['label'] else ''}{place}{'  p.' + str(e['page']) if e['page'] else ''}")
-        if e["file"] and e["file"] != parent_file:
-            out += [f"{pad}  # {m['field']}: {m['value']}" for m in meta if m["file"] == e["file"]]
-        for kind, name in (("figure", "Fig"), ("table", "Tab")):
-            for x in floats:
-                if x["parent"] == e["ord"] and x["kind"] == kind:
-                    where = f"  {x['file']}:{x['line']}" if x["file"] and x["file"] != here else f"  :{x['line']}" if x["line"] else ""
-                    out.append(f"{pad}  {name} {x['number']}: {x['caption']}{where}  p.{x['page']}")
-        if not opens:
-            what = [f"{e[c]} {n}" for c, n in (("below", "subsections"), ("figures", "figures"), ("tables", "tables")) if e[c]]
-            if what:
-                out.append(f"{pad}  [{', '.join(what)}]")
-    return out
+        field = F.concat(F.lit("  # "), "field", F.lit(": "), "value")
+        fields = meta.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("field", "value", field.alias("l")))), lambda x: x["l"]).alias("__meta"))
+        rows = rows.join(fields, "file", "left")
+        parts.append(F.when((F.col("file") != "") & (F.col("file") != F.col("__from")), F.transform("__meta", lambda x: F.concat("__pad", x))))
+    if floats is not None:
+        f = F.struct(F.col("kind").alias("k"), F.col("ord").cast("int").alias("at"), text(F.col("number")).alias("number"), text(F.col("caption")).alias("caption"), "page", F.coalesce("file", F.lit("")).alias("file"), "line")
+        own = floats.where("parent IS NOT NULL AND kind IN ('figure', 'table')").groupBy("doc", F.col("parent").cast(kind).alias("ord")).agg(F.array_sort(F.collect_list(f)).alias("__floats"))
+        rows = rows.join(own, ["doc", "ord"], "left")
+
+        def shown_float(x: Column) -> Column:
+            line = F.when(given(x["line"]), F.concat(F.lit(":"), x["line"].cast("string"))).otherwise("")
+            where = F.when((x["file"] != "") & (x["file"] != F.col("__here")), F.concat(F.lit("  "), x["file"], F.lit(":"), text(x["line"]))).when(line != "", F.concat(F.lit("  "), line)).otherwise("")
+            return F.concat("__pad", F.lit("  "), F.when(x["k"] == "figure", "Fig").otherwise("Tab"), F.lit(" "), x["number"], F.lit(": "), x["caption"], where, F.lit("  p."), text(x["page"]))
+
+        parts.append(F.transform("__floats", shown_float))
+    what = F.concat_ws(", ", *(F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {n}"))) for c, n in (("below", "subsections"), ("figures", "figures"), ("tables", "tables"))))
+    parts.append(F.when((F.col("depth") >= depth) & (what != ""), F.array(F.concat("__pad", F.lit("  ["), what, F.lit("]")))))
+    lines = F.concat(*(F.coalesce(p, none) for p in parts))
+    # a document's lines before each entry
+    before = F.sum("__n").over(Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    out = rows.select("doc", "ord", lines.alias("__lines")).withColumn("__n", F.size("__lines")).withColumn("__first", before)
+    return out.select("doc", "__first", F.posexplode("__lines").alias("__k", "text")).select("doc", (F.col("__first") + F.col("__k")).cast("int").alias("at"), "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchmint.functions import text as tx
-from parchmint.operators import contents, figures, graph, search, structure
+from parchmint.operators import contents, figures, graph, search, simjoin, structure
 from parchmint.plans.catalogue import _pages, _read, query
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
@@ -169,7 +169,8 @@ def _toc_sql(orders: str) -> str:
 
 
 def _toc(spark, sf):
-    return contents.tree(readers.toc_lines(spark.sql(_toc_sql(f"parquet.`{sf}/orders.parquet`"))))
+    # lines are small in bytes and dear to parse: a file of few row groups would be parsed by few tasks
+    return contents.tree(readers.toc_lines(simjoin.spread(spark.sql(_toc_sql(f"parquet.`{sf}/orders.parquet`")))))
 
 
 _TOC = rf"""WITH RECURSIVE t0 AS ({_toc_sql("orders")}), t1 AS (SELECT file AS doc, line AS ord, regexp_extract(text, '^\\contentsline \{{(\w+)\}}', 1) AS level, regexp_extract(text, 'numberline \{{([^}}]*)\}}', 1) AS num, regexp_extract(text, 'emph \{{([^}}]*)\}}~(\d+)', 1) AS pri,

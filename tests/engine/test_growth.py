@@ -1,11 +1,12 @@
 """Queries on small tables that show what larger ones ran into."""
 
 import datetime as dt
+import random
 import re
 
 import duckdb
 
-from parchmint.operators import search
+from parchmint.operators import contents, search
 from parchmint.plans import catalogue
 
 
@@ -44,3 +45,68 @@ def test_lengths_are_taken_once_a_file(spark):
     hits = search.find_in_files(files, "here as", 0)
     assert not re.search(r"lambdafunction\([^\n]*length\(text", plan(hits))
     assert sorted((x.hit, x.line_start, x.line_end) for x in hits.collect())[-1] == (499, 999, 1000)
+
+
+def rendered(entries, floats, meta, depth):
+    """A document's table by a walk over all its entries."""
+    out = []
+    seen = {}  # shown entry: (indent, file in force)
+    for e in entries:
+        above = seen.get(e["parent"]) if e["parent"] is not None else (-1, "", True)
+        if above is None or not e["shown"] or not above[2]:
+            continue
+        indent, parent_file = above[0] + 1, above[1]
+        here = e["file"] or parent_file
+        opens = e["depth"] < depth
+        seen[e["ord"]] = indent, here, opens
+        pad = "  " * indent
+        mark = f"Part {e['number']}".strip() if e["level"] == "part" else f"§{e['number']}" if e["number"] else ""
+        line = f":{e['line']}" if e["line"] else ""
+        place = "" if not e["file"] else (f"  {line}" if line else "") if e["file"] == parent_file else f"  {e['file']}{line}"
+        out.append(f"{pad}{mark + ' ' if mark else ''}{e['title']}{'  [' + e['label'] + ']' if e['label'] else ''}{place}{'  p.' + str(e['page']) if e['page'] else ''}")
+        if e["file"] and e["file"] != parent_file:
+            out += [f"{pad}  # {m['field']}: {m['value']}" for m in meta if m["file"] == e["file"]]
+        for kind, name in (("figure", "Fig"), ("table", "Tab")):
+            for x in floats:
+                if x["parent"] == e["ord"] and x["kind"] == kind:
+                    where = f"  {x['file']}:{x['line']}" if x["file"] and x["file"] != here else f"  :{x['line']}" if x["line"] else ""
+                    out.append(f"{pad}  {name} {x['number']}: {x['caption']}{where}  p.{x['page']}")
+        if not opens:
+            what = [f"{e[c]} {n}" for c, n in (("below", "subsections"), ("figures", "figures"), ("tables", "tables")) if e[c]]
+            if what:
+                out.append(f"{pad}  [{', '.join(what)}]")
+    return out
+
+
+def test_tables_are_rendered_line_by_line(spark):
+    """Against a walk over whole documents, which is what the query did, in one Python row a document."""
+    r = random.Random(5)
+    rows, figs = [], []
+    for doc in ("a", "b", "c"):
+        for n in range(1, 60):
+            d = r.randrange(5)
+            rows.append((doc, n, "part" if d == 0 else "section", d, r.choice(["", "1.2", "IV"]), f"T{n}", r.randrange(3), r.choice(["", "x.tex", "y.tex"]), r.randrange(3), r.choice(["", "sec:q"])))
+            figs.append((doc, r.randrange(70) or None, r.choice(["figure", "table"]), n, str(n), "Cap", r.randrange(9), r.choice(["", "x.tex", "y.tex"]), r.randrange(3)))
+    notes = [("x.tex", "status", "draft"), ("x.tex", "owner", "me"), ("z.tex", "k", "v")]
+    e = contents.tree(spark.createDataFrame(rows, "doc string, ord int, level string, depth int, number string, title string, page int, file string, line int, label string"))
+    floats = spark.createDataFrame(figs, "doc string, parent int, kind string, ord int, number string, caption string, page int, file string, line int")
+    meta = spark.createDataFrame(notes, "file string, field string, value string")
+    for fl, shown, me, depth in ((floats, contents.matched(e, file="x.tex"), meta, 3), (None, None, None, 2), (floats, contents.matched(e, "t1", "y", (1, 2)), None, 9)):
+        got = contents.render(e, fl, depth, shown, me)
+        assert "MapInPandas" not in plan(got)
+        below = {(x.doc, x.ord): x for x in contents.descendants(e, fl).collect()}
+        seen = None if shown is None else {tuple(x) for x in shown.collect()}
+        want = []
+        for doc in "abc":
+            own = [{**x.asDict(), **below[doc, x.ord].asDict(), "shown": seen is None or (doc, x.ord) in seen} for x in e.where(e.doc == doc).orderBy("ord").collect()]
+            f = [x.asDict() for x in fl.where(fl.doc == doc).orderBy("ord").collect()] if fl is not None else []
+            m = [dict(zip(("file", "field", "value"), x, strict=True)) for x in sorted(notes)] if me is not None else []
+            want += [(doc, i, x) for i, x in enumerate(rendered(own, f, m, depth))]
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 3
+
+
+def test_filters_read_the_entries_once(spark):
+    e = contents.tree(spark.createDataFrame([("d", 1, 0, "A", "", 1, "a"), ("d", 2, 1, "urgent", "1", 9, ""), ("d", 3, 1, None, None, 1, "a.tex")], "doc string, ord int, depth int, title string, number string, page int, file string"))
+    got = contents.matched(e, "urgent", "a", (0, 1))
+    assert len(re.findall("Relation|LocalRelation|LogicalRDD", plan(got))) == 1
+    assert [tuple(x) for x in got.collect()] == [("d", 1)]
