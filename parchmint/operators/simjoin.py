@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +38,13 @@ def grams(text: Column, n: int) -> Column:
     return F.transform(F.array(sorted_), numbered)[0]
 
 
-def spread(pairs: DataFrame) -> DataFrame:
-    """Dealt over all cores: pairs are small in bytes and dear to score, so partitions must not be chosen by size."""
-    spark = pairs.sparkSession
-    return pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Dealt over all cores: for rows that are small in bytes and dear to work on, so that partitions aren't chosen by size."""
+    return rows.repartition(_tasks(rows.sparkSession))
 
 
 def _order(tokens: DataFrame) -> DataFrame:
@@ -63,7 +66,8 @@ def _lookup_words(asked: DataFrame, known: DataFrame, cover: float, a: str, b: s
     common = Window.partitionBy(a).orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0)
     # the commonest words, as long as they alone can't cover enough, needn't be looked up
     first = ranked.withColumn("upto", F.sum(F.length("t") + 1).over(common)).where(F.col("upto") - 1 >= cover * F.col("la") - 1e-6)
-    return first.select(a, "t").join(index, "t").select(a, b)
+    n = _tasks(asked.sparkSession)
+    return first.select(a, "t").repartition(n, "t").join(index.repartition(n, "t"), "t").select(a, b)
 
 
 def set_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -98,10 +102,13 @@ def set_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
     size = lambda c: F.floor(F.log(F.length(c).cast("double")) / (math.log(ratio) * (1 + 1e-6)) if ratio > 1 else F.length(c)).cast("int")
     first = _rarest(left, df, "row", "most").select("s", "t", F.explode(F.array(size("s") - 1, size("s"), size("s") + 1)).alias("size"))
     index = _rarest(right, df, "row", "most").select("s2", "t", size("s2").alias("size"))
-    met = met.unionByName(first.join(index, ["t", "size"]).select("s", "s2")).distinct()
+    n = _tasks(asked.sparkSession)
+    # pairs are scored where they meet and only those that are near are shuffled; the others are many times the input
+    met = met.unionByName(first.repartition(n, "t", "size").join(index.repartition(n, "t", "size"), ["t", "size"]).select("s", "s2"))
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            pdf = pdf.drop_duplicates()
             a, b = pdf["s"].tolist(), pdf["s2"].tolist()
             near = _can_share(a, b, least, 3)
             out = []
@@ -113,7 +120,7 @@ def set_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
                         out.append((x, y, ratio))
             yield pd.DataFrame(out, columns=["s", "s2", "ratio"])
 
-    return spread(met).mapInPandas(score, "s string, s2 string, ratio double")
+    return met.mapInPandas(score, "s string, s2 string, ratio double").distinct()
 
 
 def title_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float = 0.9) -> DataFrame:

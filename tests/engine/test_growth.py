@@ -6,7 +6,7 @@ import re
 
 import duckdb
 
-from parchmint.operators import contents, search
+from parchmint.operators import contents, search, simjoin
 from parchmint.plans import catalogue
 
 
@@ -110,3 +110,16 @@ def test_filters_read_the_entries_once(spark):
     got = contents.matched(e, "urgent", "a", (0, 1))
     assert len(re.findall("Relation|LocalRelation|LogicalRDD", plan(got))) == 1
     assert [tuple(x) for x in got.collect()] == [("d", 1)]
+
+
+def test_pairs_are_scored_where_they_meet(spark):
+    """Before anything gathers them: they are many times the input."""
+    words = spark.createDataFrame([(i, f"word{i} other{i % 3} third") for i in range(9)], "k long, t string")
+    hits = simjoin.title_hits(words, "k", "t", words, "k", "t")
+    assert re.search(r"MapInPandas[^\n]*\n[^\n]*Union", plan(hits)) and hits.where("k = known_key").count() == 9
+
+
+def test_scans_hold_no_distinct_pairs(spark, sf):
+    """Edges and texts are dealt before they are aggregated, so a task's memory doesn't grow with a file's row groups."""
+    for name, least in (("citers_with_metadata", 1), ("references_with_metadata", 1), ("shared_citers", 2), ("inverted_index_reconstruct", 1)):
+        assert plan(catalogue.QUERIES[name](spark, sf)).count("RepartitionByExpression") >= least, name
