@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.sources.staging import Rounds
+from parchmint.sources.staging import Rounds, tasks_for
 
 
 def shared_citers(edges: DataFrame, seeds: DataFrame, least: int, limit: int) -> DataFrame:
     """Papers that cite at least ``least`` of ``seeds`` (column ``cited``): ``citing, shared``, the most first."""
-    hit = edges.join(seeds.select("cited").distinct(), "cited", "left_semi").dropDuplicates(["citing", "cited"])
-    return hit.groupBy("citing").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).orderBy(F.desc("shared"), "citing").limit(limit)
+    n = tasks_for(edges)
+    hit = edges.repartition(n, "cited").join(seeds.select("cited").distinct(), "cited", "left_semi").dropDuplicates(["citing", "cited"])
+    return hit.repartition(n, "citing").groupBy("citing").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).orderBy(F.desc("shared"), "citing").limit(limit)
 
 
 def recency(year: Column, as_of: int) -> Column:
@@ -45,8 +46,10 @@ def neighbours(edges: DataFrame, of: DataFrame, papers: DataFrame, towards: str,
     """Citers (``towards="citing"``) or references (``"cited"``) of each paper with their metadata, ``most`` each and the
     number in all."""
     key = "cited" if towards == "citing" else "citing"
-    hit = edges.join(of.select(F.col("key").alias(key)).distinct(), key, "left_semi").dropDuplicates(["citing", "cited"])
-    # ranked apart from the count, so that the limit works before the shuffle and no key's rows are gathered
+    n = tasks_for(edges)
+    # distinct pairs are dealt by both ends, written once and dealt by key, so that no task holds more of them as tables grow
+    hit = edges.join(of.select(F.col("key").alias(key)).distinct(), key, "left_semi").repartition(n, "citing", "cited").dropDuplicates(["citing", "cited"])
+    hit = Rounds(edges.sparkSession, "edges").put(hit.select("citing", "cited")).repartition(n, key)
     ranked = hit.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(towards))).where(F.col("rn") <= most)
     ranked = ranked.join(hit.groupBy(key).agg(F.count("*").alias("total")), key)
     return ranked.join(papers, towards, "left").withColumnRenamed(key, "key").withColumnRenamed(towards, "other")

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def tasks_for(df: DataFrame, rows: int = 500_000) -> int:
+    """Partitions that hold some ``rows`` of a table each, so that a task's memory doesn't grow with the table; at least as many
+    as the session has. Counting reads no column of a Parquet table."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 class Rounds:
     """Writes each round's table and reads it back, so that plans stay short, a lost executor costs one round, and joins are
     chosen by sizes that were seen. Where each round reads only the one before, ``keep=2`` deletes older tables."""
