@@ -19,7 +19,7 @@ from parchmint.operators import catalog, gates, graph, ordered, search, simjoin,
 from parchmint.plans import fixtures
 from parchmint.plans.fixtures import sql as fix
 from parchmint.plans.fixtures import table
-from parchmint.sources.staging import shared_folder
+from parchmint.sources.staging import shared_folder, tasks_for
 from parchmint.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,7 +436,10 @@ def fuzzy_title_dedup(spark, sf):
 WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents)
 SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w""")
 def inverted_index_reconstruct(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word"))
+    d = _read(spark, sf, "documents").select("doc_id", "text")
+    # texts are shuffled once, whole; words then meet where they lie, in parts of some 16 MB
+    n = max(tasks_for(d), -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (16 << 20)))
+    d = d.repartition(n, "doc_id").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word"))
     inverted = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
     return structure.rebuild_abstract(inverted, "doc_id")
 
