@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -172,16 +173,82 @@ def _ratios(pairs: DataFrame) -> DataFrame:
     return spread(pairs.select("asked", "key", "goal")).sortWithinPartitions("asked").mapInPandas(run, "asked string, key string, ratio double")
 
 
+#: Up to so many subsequences of a key are looked up, and from this ratio on.
+SUBSEQUENCES, ALIKE = 2048, 0.9
+
+
+def _subsequences(rows: DataFrame, text: str, left: str) -> DataFrame:
+    """``rows`` with ``h``, once for each hash of the subsequences of ``left`` characters of ``text``. Equal ones have equal hashes."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("h", T.LongType())])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for (size, keep), same in pdf.groupby([pdf[text].str.len(), left]):
+                kept = np.array(list(combinations(range(size), keep)), int).reshape(-1, keep)
+                factor = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(keep)], np.uint64)
+                for low in range(0, len(same), step := max(1, (1 << 18) // len(kept))):
+                    part = same.iloc[low : low + step]
+                    points = np.frombuffer("".join(part[text]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size).astype(np.uint64)
+                    h = np.zeros((len(part), len(kept)), np.uint64)
+                    for k in range(keep):
+                        h += points[:, kept[:, k]] * factor[k]
+                    h.sort(axis=1)
+                    row, col = np.nonzero(np.diff(h, axis=1, prepend=~h[:, :1]))
+                    yield part.iloc[row].assign(h=h[row, col].view(np.int64))
+
+    return spread(rows).mapInPandas(run, schema)
+
+
+def _alike(want: DataFrame, have: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(``asked, key`` of pairs that can reach ``least``, ``la, upto``: ratios that may be missing for asked keys of a length).
+
+    Of joint length n, such a pair has a common subsequence of ``least * n / 2`` characters, so leaving out the others gives
+    equal strings. Spelt alike or not, keys meet only where they are near. Lengths at which one side would have more than
+    ``SUBSEQUENCES`` are left out; their ratios are bounded by the shorter side."""
+    sizes = have.select(F.length("key").alias("lk")).distinct()
+    keep = F.greatest(F.lit(1), F.ceil(least * (F.col("la") + F.col("lk")) / 2 - 1e-6).cast("int"))
+
+    def ways(n: Column, gone: Column) -> Column:
+        return F.when(gone == 0, 1).when(gone == 1, n).when(gone == 2, n * (n - 1) / 2).when(gone == 3, n * (n - 1) * (n - 2) / 6).otherwise(2.0 * SUBSEQUENCES)
+
+    most = F.greatest(*(ways(F.col(c).cast("double"), F.col(c) - F.col("keep")) for c in ("la", "lk")))
+    meets = want.select(F.length("asked").alias("la")).distinct().crossJoin(sizes).withColumn("keep", keep).where(F.col("keep") <= F.least("la", "lk")).withColumn("most", most)
+    open_ = meets.where(F.col("most") > SUBSEQUENCES).groupBy("la").agg(F.max(2 * F.least("la", "lk") / (F.col("la") + F.col("lk"))).alias("upto"))
+    meets = meets.where(F.col("most") <= SUBSEQUENCES).join(open_.where("upto = 1"), "la", "left_anti")
+    left = want.withColumn("la", F.length("asked")).join(meets.select("la", "keep").distinct(), "la").select("asked", "keep")
+    right = have.withColumn("lk", F.length("key")).join(meets.select("lk", "keep").distinct(), "lk").select("key", "keep")
+    n = _tasks(want.sparkSession)
+    pairs = _subsequences(left, "asked", "keep").repartition(n, "h").join(_subsequences(right, "key", "keep").repartition(n, "h"), ["keep", "h"])
+    return pairs.select("asked", "key").distinct(), open_
+
+
 def close_keys(asked: DataFrame, keys: DataFrame, n: int = 5, least: float = 0.5) -> DataFrame:
     """``asked, key, ratio``: for every asked key that doesn't exist the ``n`` likeliest keys that do, by matching blocks, from
-    ``least`` on; of equal ones the last by name.
+    ``least`` on; of equal ones the last by name. Null keys are left out.
 
-    Keys that share an asked key's rarest neighbouring two are scored first; the nth of them raises its threshold. With
-    that, how many neighbouring two, or single characters, a likelier key must share is known, and all keys that can share
-    so many are looked up by the rarest of them and scored. Null keys are left out."""
+    First pairs of ``ALIKE`` and more are found by common subsequences: an asked key is answered by ``n`` of them that are
+    likelier than any that may be missing.
+    For the others, keys that share an asked key's rarest neighbouring two are scored; the nth of them raises its threshold.
+    With that, how many neighbouring two, or single characters, a likelier key must share is known, and all keys that can
+    share so many are looked up by the rarest of them and scored."""
     rounds = Rounds(keys.sparkSession, "keys")
-    have = keys.select("key").where("key IS NOT NULL").distinct()
-    want = asked.select(F.col("key").alias("asked")).where("asked IS NOT NULL").distinct().join(have, F.col("asked") == F.col("key"), "left_anti")
+    have = rounds.put(keys.select("key").where("key IS NOT NULL").distinct())
+    want = rounds.put(asked.select(F.col("key").alias("asked")).where("asked IS NOT NULL").distinct().join(have, F.col("asked") == F.col("key"), "left_anti"))
+    best = Window.partitionBy("asked").orderBy(F.desc("ratio"), F.desc("key"))
+    first = lambda scored: scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= n)
+    near, open_ = _alike(want, have, max(ALIKE, least))
+    near = rounds.put(first(_ratios(near.withColumn("goal", F.lit(max(ALIKE, least))))).select("asked", "key", "ratio"))
+    nth = near.groupBy("asked").agg(F.count("*").alias("hits"), F.min("ratio").alias("nth")).where(F.col("hits") == n)
+    done = nth.withColumn("la", F.length("asked")).join(open_, "la", "left").where(F.col("nth") > F.coalesce("upto", F.lit(0.0)) + 1e-9).select("asked")
+    rest = rounds.put(want.join(done, "asked", "left_anti"))
+    near = near.join(done, "asked", "left_semi")
+    if not rest.isEmpty():
+        near = near.unionByName(first(_by_grams(rounds, rest, have, n, least)).select("asked", "key", "ratio"))
+    return near.select("asked", "key", F.round("ratio", 6).alias("ratio"))
+
+
+def _by_grams(rounds: Rounds, want: DataFrame, have: DataFrame, n: int, least: float) -> DataFrame:
+    """``asked, key, ratio``: the ``n`` likeliest keys of each asked one and some others, by neighbouring two and characters."""
     index = have.select("key", F.explode(F.concat(grams(F.col("key"), 1), grams(F.col("key"), 2))).alias("t"))
     index = rounds.put(index)
     own = want.select("asked", F.explode(grams(F.col("asked"), 2)).alias("t"), F.lit(4).alias("most"))
@@ -198,5 +265,4 @@ def close_keys(asked: DataFrame, keys: DataFrame, n: int = 5, least: float = 0.5
     two = goal.where(pairs >= 1).select("asked", "goal", (length - pairs).alias("most"), F.explode(grams(F.col("asked"), 2)).alias("t"))
     one = goal.where(pairs < 1).select("asked", "goal", (length - single + 1).alias("most"), F.explode(grams(F.col("asked"), 1)).alias("t"))
     met = _rarest(two.unionByName(one), df, "asked", "most").join(index, "t").select("asked", "goal", "key").distinct()
-    ranked = _ratios(met).withColumn("rn", F.row_number().over(best))
-    return ranked.where(F.col("rn") <= n).select("asked", "key", F.round("ratio", 6).alias("ratio"))
+    return _ratios(met)

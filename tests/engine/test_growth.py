@@ -1,10 +1,12 @@
 """Queries on small tables that show what larger ones ran into."""
 
 import datetime as dt
+import difflib
 import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from parchmint.operators import contents, search, simjoin
 from parchmint.plans import catalogue
@@ -123,3 +125,21 @@ def test_scans_hold_no_distinct_pairs(spark, sf):
     """Edges and texts are dealt before they are aggregated, so a task's memory doesn't grow with a file's row groups."""
     for name, least in (("citers_with_metadata", 1), ("references_with_metadata", 1), ("shared_citers", 2), ("inverted_index_reconstruct", 1)):
         assert plan(catalogue.QUERIES[name](spark, sf)).count("RepartitionByExpression") >= least, name
+
+
+def test_keys_spelt_alike_meet_only_near_ones(spark, monkeypatch):
+    """Not most of the keys, by which the pairs grew with the product of both tables."""
+    r = random.Random(3)
+    names = [f"Customer#{k:09}" for k in range(3000)] + sorted({"".join(r.choice("01") for _ in range(r.randrange(8, 23))) for _ in range(400)})
+    asked = [f"Custmer#{k:09}" for k in range(0, 3000, 100)]
+    seen, scored = [], simjoin._ratios
+    monkeypatch.setattr(simjoin, "_ratios", lambda pairs: seen.append(pairs.count()) or scored(pairs))
+    mixed = [x for n in names[3000::8] if (x := n[:3] + n[4:] + "1") not in names]
+    for some, most in ((asked, 200), (mixed, 6000)):
+        seen.clear()
+        got = simjoin.close_keys(spark.createDataFrame([(a,) for a in some], "key string"), spark.createDataFrame([(k,) for k in names], "key string"))
+        found = {}
+        for x in got.orderBy("asked", F.desc("ratio"), F.desc("key")).collect():
+            found.setdefault(x.asked, []).append(x.key)
+        assert found == {a: difflib.get_close_matches(a, names, 5, 0.5) for a in some}
+        assert sum(seen) <= most * len(some)
