@@ -246,43 +246,147 @@ def bags(sets: Sequence[str], classes: int = 32, pair: bool = False) -> np.ndarr
     return np.bincount(row * classes + points % classes, minlength=classes * len(sets)).reshape(len(sets), classes).astype(np.int32)
 
 
-def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[int, int, float]]:
+class Known:
+    """Word sets that others are held against: which words are in which set, their characters, and where each stands.
+
+    Characters are taken in classes; several in one class only loosen bounds."""
+
+    CLASSES = 128
+
+    def __init__(self, sets: Sequence[str]):
+        self.sets, self.size, self.bag = sets, np.array([len(x) for x in sets], int), bags(sets)
+        holders: dict[str, list[int]] = {}
+        for j, x in enumerate(sets):
+            for w in x.split():
+                holders.setdefault(w, []).append(j)
+        self.place = {w: k for k, w in enumerate(holders)}
+        self.length = np.array([len(w) + 1 for w in holders], int)
+        self.first = np.concatenate([[0], np.cumsum([len(h) for h in holders.values()], dtype=int)]).astype(int)
+        self.holders = np.array([j for h in holders.values() for j in h], int)
+        begin = [dict(zip(ws := x.split(), np.cumsum([0, *(len(w) + 1 for w in ws)]).tolist(), strict=False)) for x in sets]
+        self.begin = np.array([begin[j][w] for w, h in holders.items() for j in h], int)
+        # one class more, in which nothing stands
+        self.places = [np.zeros(len(sets) * (self.CLASSES + 1), np.uint64) for _ in range(-(-self.size.max(initial=0) // 64))]
+        for j, x in enumerate(sets):
+            for k, c in enumerate(x):
+                self.places[k >> 6][j * (self.CLASSES + 1) + ord(c) % self.CLASSES] |= np.uint64(1 << (k & 63))
+
+    def words(self, part: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ``part`` that any set has, and their rows."""
+        own = [[k for w in x.split() if (k := self.place.get(w)) is not None] for x in part]
+        return np.array([k for x in own for k in x], int), np.repeat(np.arange(len(part)), [len(x) for x in own])
+
+    def held(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In how many sets each word is, and the places of these in ``holders``."""
+        n = self.first[words + 1] - self.first[words]
+        return n, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[words], n)
+
+    def covered(self, part: Sequence[str], size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which common words alone can give ``least``: they cover a share of the shorter side."""
+        words, row = self.words(part)
+        share = (least - 1e-5) / (2 - least + 1e-5)
+        # most rows have too few words that any of the sets has
+        enough = np.bincount(row, self.length[words], len(part)) - 1 >= share * np.minimum(size, self.size.min())
+        words, row = words[enough[row]], row[enough[row]]
+        n, at = self.held(words)
+        pair, inverse = np.unique(np.repeat(row, n) * len(self.sets) + self.holders[at], return_inverse=True)
+        both = np.bincount(inverse, np.repeat(self.length[words], n), len(pair)) - 1
+        i, j = np.divmod(pair, len(self.sets))
+        ok = 2 * both / np.maximum(both + np.minimum(size[i], self.size[j]), 1) >= least - 1e-5
+        return i[ok], j[ok]
+
+    def sequences(self, part: Sequence[str], i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which pairs can have a common subsequence of ``need`` characters (classes) when the words that both have come
+        first: these count whole and are taken out of the known side. ``_indel``'s rows, for many pairs at once. A pair is
+        given up when the characters that are left can't make up for those that were lost."""
+        if not len(i):
+            return np.zeros(0, bool)
+        position = np.full(len(part) * len(self.sets), -1)
+        position[i * len(self.sets) + j] = np.arange(len(i))
+        shared, row = self.words(part)
+        some = np.isin(row, i)
+        shared, row = shared[some], row[some]
+        n, entry = self.held(shared)
+        pos = position[np.repeat(row, n) * len(self.sets) + self.holders[entry]]
+        some = pos >= 0
+        pos, entry, length = pos[some], entry[some], np.repeat(self.length[shared], n)[some]
+        need = need - np.bincount(pos, length, len(i))
+        # bits of words of up to 64 characters; longer ones stay in, which only loosens the bound
+        brief = length <= 64
+        pos, begin, length = pos[brief], self.begin[entry[brief]], length[brief].astype(np.uint64)
+        shift = (begin & 63).astype(np.uint64)
+        bits = ~np.uint64(0) >> (np.uint64(64) - length)
+        over_ = np.where(shift > 0, bits >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        keep = np.full((len(self.places) + 1, len(i)), ~np.uint64(0))
+        np.bitwise_and.at(keep, (begin >> 6, pos), ~(bits << shift))
+        np.bitwise_and.at(keep, ((begin >> 6) + 1, pos), ~over_)
+        size = np.array([len(x) for x in part], int)
+        wide = -(-size // 8) * 8  # eight steps at a time, filled up with the class in which nothing stands
+        start, out = np.cumsum(wide) - wide, np.zeros(len(i), bool)
+        points = np.full(wide.sum(), self.CLASSES)
+        inside = np.arange(len(points)) - np.repeat(start, wide) < np.repeat(size, wide)
+        points[inside] = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32) % self.CLASSES
+        words = -(-self.size[j] // 64)
+        order = np.lexsort((j, words))
+        low = 0
+        while low < len(order):
+            same = order[low : low + 8192]
+            same = same[words[same] == words[same[0]]]
+            low, k = low + len(same), words[same[0]]
+            rows = [np.full(len(same), ~np.uint64(0)) for _ in range(k)]
+            own = [keep[w, same] for w in range(k)]
+            base, at, left, goal = j[same] * (self.CLASSES + 1), start[i[same]], size[i[same]], need[same]
+            while len(same):
+                for t in range(8):
+                    index, over = base + points[at + t], None
+                    for w in range(k):
+                        row = rows[w]
+                        m = row & self.places[w][index] & own[w]
+                        total = row + m
+                        if w + 1 < k:
+                            last, over = over, total < m
+                        else:
+                            last = over
+                        if last is not None:
+                            total += last
+                            if w + 1 < k:
+                                over |= total < last
+                        rows[w] = total | (row ^ m)
+                at, left = at + 8, np.maximum(left - 8, 0)
+                found = 64 * k - np.sum([np.bitwise_count(x) for x in rows], 0, int)
+                out[same[found >= goal]] = True
+                go = np.nonzero((found < goal) & (found + left >= goal) & (left > 0))[0]
+                if len(go) < len(same):
+                    same, base, at, left, goal = same[go], base[go], at[go], left[go], goal[go]
+                    rows, own = [x[go] for x in rows], [x[go] for x in own]
+        return out
+
+
+def similar(a: Sequence[str], known: Known, least: float) -> Iterator[tuple[int, int, float]]:
     """(i, j, ratio) of all pairs of word sets with a token-set ratio of ``least`` and more. Scored are only pairs for which
-    one of the three ratios can reach it: by the length of the common words, and by the characters in common, which
-    bound a common subsequence from above. Its runs are parted by characters outside of it, so L of la and lb characters
-    also keep 3 L - la - lb - 1 neighbouring two (less two, as words are in another order here)."""
-    place = {w: k for k, w in enumerate(sorted({w for x in b for w in x.split()}))}
-    if not place:
+    one of the three ratios can reach it: by the length of the common words, or by a common subsequence, looked for only
+    where lengths and the characters in common leave room for it."""
+    if not len(known.place):
         return
-    length = np.array([len(w) + 1 for w in place], np.float32)
-    has = np.zeros((len(b), len(place)), np.float32)
-    for j, x in enumerate(b):
-        has[j, [place[w] for w in x.split()]] = 1
-    size_b, bag_b, two_b = np.array([len(x) for x in b]), bags(b), bags(b, 512, True)
-    for low in range(0, len(a), 1024):
-        part = a[low : low + 1024]
-        own = np.zeros((len(part), len(place)), np.float32)
-        for i, x in enumerate(part):
-            k = [place[w] for w in x.split() if w in place]
-            own[i, k] = length[k]
-        both = np.maximum(own @ has.T - 1, 0)
-        size_a, bag_a = np.array([len(x) for x in part])[:, None], bags(part)
-        size = size_a + size_b
-        subset = 2 * both / np.maximum(both + np.minimum(size_a, size_b), 1) >= least - 1e-5
-        need = (least - 1e-5) * size / 2
-        i, j = np.nonzero(~subset & (np.minimum(size_a, size_b) >= need))
-        for c in range(0, 32, 8):  # fewer pairs are left after each step
-            rest = np.minimum(bag_a[i, c + 8 :].sum(1), bag_b[j, c + 8 :].sum(1))
-            ok = np.minimum(bag_a[i, : c + 8], bag_b[j, : c + 8]).sum(1) + rest >= need[i, j]
-            i, j = i[ok], j[ok]
-        two_a = bags(part, 512, True)
-        near = np.zeros(subset.shape, bool)
-        for k in range(0, len(i), 8192):
-            x, y = i[k : k + 8192], j[k : k + 8192]
-            ok = np.minimum(two_a[x], two_b[y]).sum(1) >= 3 * need[x, y] - size[x, y] - 3
-            near[x[ok], y[ok]] = True
-        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(subset | near)), strict=True):
-            ratio = round(token_set_ratio(part[i], b[j]), 6)
+    step = 16384
+    for low in range(0, len(a), step):
+        part = a[low : low + step]
+        size = np.array([len(x) for x in part], int)
+        i, j = known.covered(part, size, least)
+        subset = i * len(known.sets) + j
+        need = (least - 1e-5) * (size[:, None] + known.size) / 2
+        i, j = np.nonzero(np.minimum(size[:, None], known.size) >= np.maximum(need, 1))
+        bag, near = bags(part), []
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            goal = need[x, y]
+            ok = np.minimum(bag[x], known.bag[y]).sum(1) >= goal
+            x, y, goal = x[ok], y[ok], goal[ok]
+            ok = known.sequences(part, x, y, goal)
+            near.append(x[ok] * len(known.sets) + y[ok])
+        for pair in np.unique(np.concatenate([subset, *near])).tolist():
+            i, j = divmod(pair, len(known.sets))
+            ratio = round(token_set_ratio(part[i], known.sets[j]), 6)
             if ratio >= least:
                 yield low + i, j, ratio
 
@@ -290,7 +394,10 @@ def similar(a: Sequence[str], b: Sequence[str], least: float) -> Iterator[tuple[
 def score_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, row_id: str, text: str, least: float, block: int = 512) -> DataFrame:
     """``quote_id, row_id, ratio``: the best token-set ratio of each whole quote among all sentences of each document, where
     it reaches ``least``. Quotes are a stated query set and go to the executors in blocks; each block meets all rows."""
-    sentences = documents.select(row_id, F.explode(tx.sentences(F.col(text))).alias("s"))
+    # texts are small in bytes for the work on them, so they are dealt: a file of one row group would be one task
+    spark = documents.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sentences = documents.select(row_id, text).repartition(n).select(row_id, F.explode(tx.sentences(F.col(text))).alias("s"))
     types = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((quotes, quote_id), (documents, row_id))]
     out, held = None, []
 
@@ -298,10 +405,11 @@ def score_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, quote:
         keys, sets = [r[0] for r in held], _word_sets(r[1] for r in held)
 
         def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = Known(sets)
             for pdf in it:
                 best: dict[tuple, float] = {}
                 rows = pdf[row_id].tolist()
-                for i, j, ratio in similar(_word_sets(pdf["s"]), sets, least):
+                for i, j, ratio in similar(_word_sets(pdf["s"]), known, least):
                     pair = keys[j], rows[i]
                     best[pair] = max(best.get(pair, 0.0), ratio)
                 yield pd.DataFrame([(*k, v) for k, v in best.items()], columns=[quote_id, row_id, "ratio"])

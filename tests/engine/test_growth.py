@@ -143,3 +143,20 @@ def test_keys_spelt_alike_meet_only_near_ones(spark, monkeypatch):
             found.setdefault(x.asked, []).append(x.key)
         assert found == {a: difflib.get_close_matches(a, names, 5, 0.5) for a in some}
         assert sum(seen) <= most * len(some)
+
+
+def test_quotes_are_held_against_near_sentences(spark, monkeypatch):
+    """Only these are scored one by one, and the texts of one file are dealt over all tasks."""
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice(["th", "er", "on", "in", "ed", "é", "日本"]) for _ in range(r.randrange(1, 5))) for _ in range(n))
+    quotes = [" ".join(sorted(set(say(n).split()))) for n in (0, 1, 2, 9, 10, 11, 12, 40, 40)]
+    rows = [" ".join(sorted(set(say(r.randrange(1, 50)).split()))) for _ in range(300)] + ["", "x"]
+    rows += [" ".join(sorted({w[:-1] + "q" if r.random() < most else w for w in q.split()})) for q in quotes for most in (0.1, 0.3, 0.6, 1)]
+    want = {(i, j): x for i, a in enumerate(rows) for j, b in enumerate(quotes) if (x := round(search.token_set_ratio(a, b), 6)) >= 0.8}
+    scored, ratio = [], search.token_set_ratio
+    monkeypatch.setattr(search, "token_set_ratio", lambda a, b: scored.append(1) or ratio(a, b))
+    got = {(i, j): x for i, j, x in search.similar(rows, search.Known(quotes), 0.8)}
+    assert got == want and len(want) > 12
+    assert len(scored) <= 1.5 * len(want)
+    one = spark.createDataFrame([(1, "a b c")], "k long, t string")
+    assert "Repartition" in plan(search.score_quotes(one, one.coalesce(1).withColumnRenamed("k", "k2"), "k", "t", "k2", "t", 0.8))
