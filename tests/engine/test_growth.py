@@ -8,7 +8,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from parchmint.operators import contents, search, simjoin
+from parchmint.operators import contents, library, search, simjoin
 from parchmint.plans import catalogue
 
 
@@ -160,3 +160,15 @@ def test_quotes_are_held_against_near_sentences(spark, monkeypatch):
     assert len(scored) <= 1.5 * len(want)
     one = spark.createDataFrame([(1, "a b c")], "k long, t string")
     assert "Repartition" in plan(search.score_quotes(one, one.coalesce(1).withColumnRenamed("k", "k2"), "k", "t", "k2", "t", 0.8))
+
+
+def test_prefixes_of_any_form_are_dealt_over_all_tasks(spark):
+    """A surname with digits or a year of other than four had no key; all pairs of a prefix were made in one task."""
+    papers = [(1, "3M", 2020), (2, "Xu", 199), (3, "Xu", 19901), (4, None, 2000), (5, "Xu", None), (6, "Xu", 1990), (6, "Xu", 1990), (7, "\u00d6zg\u00fcr", 2001)]
+    keys = ["3m2020slug", "xu199", "xu1990slug", "xu19901x", "xu1990slug", "nokey", "", None, "\u00f6zg\u00fcr2001"]
+    got = library.parent_candidates(spark.createDataFrame(papers, "id long, surname string, year int"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    want = sorted((i, k) for i, s, y in papers for k in keys if s and y and k and k.startswith(f"{s.lower()}{y}"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 13
+    many = library.parent_candidates(spark.range(2000).selectExpr("id", "'Xu' AS surname", "1990 AS year"), spark.range(50).selectExpr("concat('xu1990s', id) AS key"))
+    made = many.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(x.n for x in made) == 100_000 and max(x.n for x in made) < 80_000
