@@ -114,7 +114,7 @@ def search_gates(documents: DataFrame, key: str, known: DataFrame, least: float
     )
     named = own.where(F.coalesce(F.size("registry_authors"), F.lit(0)) > 0)
     named = named.select(key, "pages", F.flatten(F.transform("registry_authors", lambda a: ids.name_variants(a))).alias("n"), F.filter(F.transform("registry_authors", lambda a: ids.first_surname(a)), lambda a: F.length(a) >= 2).alias("last"))
-    named = fuzzy.search_pages(fuzzy.search_pages(named, "n", "pages", "f"), "last", "pages", "l")
+    named = fuzzy.search_pages(named, ["n", "last"], "pages", ["f", "l"])
     best = F.greatest("f.score", "l.score")
     authored = named.select(
         key,
@@ -132,8 +132,8 @@ def search_gates(documents: DataFrame, key: str, known: DataFrame, least: float
     )
     extracted = own.where(F.coalesce("title", F.lit("")) != "").select(F.col(key).alias("__key"), "title")
     catalogued = known.where(F.coalesce("title", F.lit("")) != "")
-    hits = simjoin.title_hits(extracted, "__key", "title", catalogued, "key", "title", title_least)
-    near = hits.groupBy(F.col("__key").alias("__k")).agg(F.min_by(F.struct(F.col("known_key").alias("key"), "ratio"), "known_key").alias("m"))
+    near = simjoin.first_hits(extracted, "__key", "title", catalogued, "key", "title", title_least)
+    near = near.select(F.col("__key").alias("__k"), F.struct(F.col("known_key").alias("key"), "ratio").alias("m"))
     dedup = extracted.join(near, F.col("__key") == F.col("__k"), "left").select(
         F.col("__key").alias(key), _gate(8, "title_dedup", F.col("m").isNull(), F.lit("No similar titles found"), F.concat(F.lit("Similar title in vault: '"), F.col("m.key"), F.lit("' (score "), two("m.ratio"), F.lit(")"))).alias("g")
     )

@@ -218,6 +218,60 @@ def _indel(a: str, b: str) -> float:
     return 2 * lcs / (len(a) + len(b))
 
 
+def subsequence_lengths(a: Sequence[str], b: Sequence[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a[i]`` and ``b[j]``: ``_indel``'s rows for many pairs at once. Letters have
+    places of their own, so lengths are exact."""
+    out = np.zeros(len(i), int)
+    points = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    left, right = (np.array([len(x) for x in texts], int) for texts in (a, b))
+    codes, other = points(a), points(b)
+    if not len(i) or not len(codes):
+        return out
+    place_of = np.zeros(int(codes.max()) + 2, int)
+    place_of[codes] = 1
+    n = int(place_of.sum()) + 1  # one more, which stands nowhere
+    place_of = np.where(place_of > 0, np.cumsum(place_of) - 1, n - 1)
+    codes, other = place_of[codes], place_of[np.minimum(other, len(place_of) - 1)]
+    begin, start = np.cumsum(left) - left, np.cumsum(right) - right
+    words = -(-left // 64)
+    order = np.lexsort((i, words[i]))
+    order = order[words[i[order]] > 0]
+    while len(order):
+        k = words[i[order[0]]]
+        same = order[:8192]
+        same = same[words[i[same]] == k]
+        new = np.concatenate([[0], np.cumsum(np.diff(i[same]) != 0)])  # the pair's string in this part
+        same = same[new < max(1, (1 << 21) // (n * k))]
+        new, order = new[: len(same)], order[len(same) :]
+        own = i[same][np.concatenate([[True], np.diff(new) != 0])]
+        place = np.arange(left[own].sum()) - np.repeat(np.cumsum(left[own]) - left[own], left[own])
+        row = np.repeat(np.arange(len(own)), left[own])
+        code = codes[np.repeat(begin[own], left[own]) + place]
+        held = np.zeros(k * len(own) * n, np.uint64)
+        np.add.at(held, ((place >> 6) * len(own) + row) * n + code, np.uint64(1) << (place & 63).astype(np.uint64))
+        held = held.reshape(k, -1)
+        long = np.argsort(-right[j[same]], kind="stable")
+        same, base, size = same[long], new[long] * n, right[j[same]][long]
+        first, rows = start[j[same]], [np.full(len(same), ~np.uint64(0)) for _ in range(k)]
+        going = len(same) - np.searchsorted(size[::-1], np.arange(size[0]), "right")
+        for t, m in enumerate(going.tolist()):
+            index, over = base[:m] + other[first[:m] + t], None
+            for w in range(k):
+                x = rows[w][:m]
+                y = x & held[w][index]
+                total = x + y
+                if k > 1:
+                    carry = total < y
+                    if over is not None:
+                        total += over
+                        carry |= total < over
+                    over = carry
+                x ^= y
+                x |= total
+        out[same] = 64 * k - np.sum([np.bitwise_count(x) for x in rows], 0, int)
+    return out
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """The best of three indel ratios between the common words and each side's words, sorted."""
     x, y = set(a.split()), set(b.split())
@@ -232,6 +286,54 @@ def token_set_ratio(a: str, b: str) -> float:
     return max((2 * head + _indel(left, right) * (len(left) + len(right))) / (la + lb), *((2 * len(both) / (len(both) + n) for n in (la, lb)) if both else (0.0, 0.0)))
 
 
+class Ratios:
+    """Token-set ratios of many pairs: pairs are added one by one and scored together."""
+
+    def __init__(self):
+        self.sides: tuple[dict[str, int], dict[str, int]] = {}, {}
+        self.a, self.b, self.head = [], [], []
+
+    def words(self, text: str, side: int) -> tuple[set[str], int]:
+        """What ``add`` takes: a text's words, and the number here of these sorted."""
+        words, known = set(text.split()), self.sides[side]
+        return words, known.setdefault(" ".join(sorted(words)), len(known))
+
+    def add(self, a: tuple[set[str], int], b: tuple[set[str], int]) -> None:
+        x, y = a[0], b[0]
+        left, right, head = a[1], b[1], 0
+        if not x.isdisjoint(y):
+            both = x & y
+            if len(both) == len(x) or len(both) == len(y):
+                head = -1
+            else:
+                own, known = self.sides
+                left = own.setdefault(" ".join(sorted(x - both)), len(own))
+                right = known.setdefault(" ".join(sorted(y - both)), len(known))
+                head = sum(map(len, both)) + len(both)
+        self.a.append(left)
+        self.b.append(right)
+        self.head.append(head)
+
+    def take(self) -> list[float]:
+        """The ratios in the order of ``add``; sides and pairs are forgotten. The same arithmetic as ``token_set_ratio``."""
+        a, b = (list(x) for x in self.sides)
+        left, right = (np.array([len(x) for x in texts], int) for texts in (a, b))
+        i, j, head = np.array(self.a, int), np.array(self.b, int), np.array(self.head, int)
+        out = np.where(head < 0, 1.0, 0.0)
+        some = np.nonzero((head > 0) | (head == 0) & (left[i] > 0) & (right[j] > 0))[0] if len(i) else i
+        i, j, head = i[some], j[some], head[some]
+        left, right = left[i], right[j]
+        ratio = 2 * subsequence_lengths(a, b, i, j) / (left + right)
+        la, lb = head + left, head + right
+        best = (2 * head + ratio * (left + right)) / (la + lb)
+        both = np.maximum(head - 1, 0)
+        for n in (la, lb):
+            best = np.maximum(best, 2 * both / (both + n))
+        out[some] = best
+        self.sides, self.a, self.b, self.head = ({}, {}), [], [], []
+        return out.tolist()
+
+
 def _word_sets(texts: Iterable[str | None]) -> list[str]:
     """Each text's distinct words, sorted: all that its token-set ratio depends on."""
     return [" ".join(sorted(set((t or "").split()))) for t in texts]

@@ -1,4 +1,4 @@
-"""Similarity joins by an index: lossless prefix filters over words and character grams, then exact scores.
+"""Similarity joins by lossless filters over words and characters, then exact scores.
 
 A token is rare or common by the rows of both sides that have it. If two rows must share at least ``m`` of a row's ``n`` tokens,
 they share one of its ``n - m + 1`` rarest: only these are looked up, by an equi-join on tokens. The bounds follow from the
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchmint.operators.search import bags, token_set_ratio
+from parchmint.operators.search import Ratios, bags
 from parchmint.sources.staging import Rounds
 
 
@@ -71,15 +71,20 @@ def _lookup_words(asked: DataFrame, known: DataFrame, cover: float, a: str, b: s
     return first.select(a, "t").repartition(n, "t").join(index.repartition(n, "t"), "t").select(a, b)
 
 
+#: Word sets of either side that meet in a cell, on the average.
+BLOCK = 16384
+
+
 def set_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """``s, s2, ratio``: all pairs of word sets (columns ``s`` and ``s2``, distinct, as ``word_set`` gives them, not empty) with a
     token-set ratio of ``least`` and more.
 
     A ratio reaches it in one of three ways. The common words cover ``least / (2 - least)`` of one side's length: looked up
-    from either side. Or the whole strings have a common subsequence of ``least`` of their mean length: then they also
-    share bags of neighbouring two (all but those at borders of its runs, and two more because common words
-    come first), or of single characters where they are so short that this leaves none. Lengths differ by the factor
-    ``(2 - least) / least`` at most, so rows meet by classes of length."""
+    from either side. Or the whole strings have a common subsequence of ``least`` of their mean length: then they share as
+    many characters, in any order, and their lengths differ by the factor ``(2 - least) / least`` at most. Strings of few
+    different letters share most of these with most others, so an index would only list nearly all pairs: rows meet by classes
+    of length in cells of ``BLOCK`` by ``BLOCK``, where products of matrices count what they share. That is quadratic in
+    the sets of a class, but of some nanoseconds a pair; a task holds one side of a cell and a part of the other."""
     if not 0.7 <= least <= 1:
         raise ValueError("ratios below 0.7 leave no bound on what is shared")
     rounds = Rounds(asked.sparkSession, "pairs")
@@ -87,52 +92,149 @@ def set_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
     cover, ratio = least / (2 - least), (2 - least) / least
     met = _lookup_words(asked, known, cover, "s", "s2").unionByName(_lookup_words(known, asked, cover, "s2", "s"))
 
-    total = 3 / (1.5 * least - 1)  # joint lengths up to which two neighbours needn't be shared
-
-    def tokens(rows: DataFrame, c: str) -> DataFrame:
-        """``c``'s tokens with how many of the rarest must be looked up, for partners of any admissible length."""
-        n = F.length(c)
-        pairs = F.ceil((1.5 * least - 1) * (n + F.ceil(n * cover - 1e-6)) - 3 - 1e-6)
-        single = F.ceil(least / 2 * (n + F.ceil(n * cover - 1e-6)) - 1e-6)
-        two = rows.select(c, F.lit("2").alias("kind"), (n - F.greatest(F.lit(1), pairs)).alias("most"), F.explode(grams(F.col(c), 2)).alias("t")).where((F.length(c) * (1 + ratio) > total))
-        one = rows.select(c, F.lit("1").alias("kind"), (n - single + 1).alias("most"), F.explode(grams(F.col(c), 1)).alias("t")).where(F.length(c) * (1 + cover) <= total + 1)
-        return two.unionByName(one).withColumn("t", F.concat("kind", "t")).withColumn("row", F.concat("kind", F.col(c)))
-
-    left, right = tokens(asked, "s"), tokens(known, "s2")
-    df = rounds.put(_order(left.select("t").unionByName(right.select("t"))))
-    size = lambda c: F.floor(F.log(F.length(c).cast("double")) / (math.log(ratio) * (1 + 1e-6)) if ratio > 1 else F.length(c)).cast("int")
-    first = _rarest(left, df, "row", "most").select("s", "t", F.explode(F.array(size("s") - 1, size("s"), size("s") + 1)).alias("size"))
-    index = _rarest(right, df, "row", "most").select("s2", "t", size("s2").alias("size"))
-    n = _tasks(asked.sparkSession)
-    # pairs are scored where they meet and only those that are near are shuffled; the others are many times the input
-    met = met.unionByName(first.repartition(n, "t", "size").join(index.repartition(n, "t", "size"), ["t", "size"]).select("s", "s2"))
-
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             pdf = pdf.drop_duplicates()
-            a, b = pdf["s"].tolist(), pdf["s2"].tolist()
-            near = _can_share(a, b, least, 3)
-            out = []
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                # what the common words cover of the shorter side is the other way to a high ratio
-                if near[k] or len(" ".join(set(x.split()) & set(y.split()))) >= cover * min(len(x), len(y)) - 1e-6:
-                    ratio = token_set_ratio(x, y)
-                    if ratio >= least:
-                        out.append((x, y, ratio))
-            yield pd.DataFrame(out, columns=["s", "s2", "ratio"])
+            pairs = [(x, y) for x, y in zip(pdf["s"].tolist(), pdf["s2"].tolist(), strict=True) if len(" ".join(set(x.split()) & set(y.split()))) >= cover * min(len(x), len(y)) - 1e-6]
+            yield pd.DataFrame(_scored(pairs, least), columns=["s", "s2", "ratio"])
 
-    return met.mapInPandas(score, "s string, s2 string, ratio double").distinct()
+    # pairs are scored where they meet and only those that are near are shuffled; the others are many times the input
+    covered = met.mapInPandas(score, "s string, s2 string, ratio double")
+
+    size = lambda n: F.floor(F.log(n.cast("double")) / (4 * math.log(ratio)) if ratio > 1 else n).cast("int")
+    many, parts = [max(1, -(-x.count() // BLOCK)) for x in (asked, known)], []
+    for rows, c, side in ((known, "s2", 0), (asked, "s", 1)):
+        n = F.length(c)
+        low, high = (n, n) if side == 0 else (F.ceil(n * cover - 1e-6), F.floor(n / cover + 1e-6))
+        own = F.pmod(F.hash(c), F.lit(many[1 - side]))
+        rows = rows.select(F.col(c).alias("s"), F.lit(side).alias("side"), own.alias("own"), F.explode(F.sequence(size(low), size(high))).alias("size"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many[side] - 1))))
+        parts.append(rows.select(F.concat_ws(" ", "size", *(("own", "other") if side else ("other", "own"))).alias("cell"), "side", "s"))
+    n = max(_tasks(asked.sparkSession), min(4 * many[0] * many[1], 4096))
+    cells = parts[0].unionByName(parts[1]).repartition(n, "cell").sortWithinPartitions("cell", "side")
+
+    def meet(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, block, held = None, None, []
+        for pdf in it:
+            for name, part in pdf.groupby("cell", sort=False):
+                if name != cell:
+                    cell, block, held = name, None, []
+                first = part["side"] == 0
+                held += part["s"][first].tolist()
+                new = part["s"][~first].tolist()
+                if new and held:
+                    block = block or _Block(held, least)
+                    for low in range(0, len(new), 8192):
+                        yield from block.near(new[low : low + 8192])
+
+    return covered.unionByName(cells.mapInPandas(meet, "s string, s2 string, ratio double")).distinct()
+
+
+def _scored(pairs: list[tuple[str, str]], least: float) -> list[tuple[str, str, float]]:
+    ratios = Ratios()
+    for low in range(0, len(pairs), 1 << 16):
+        for a, b in pairs[low : low + (1 << 16)]:
+            ratios.add(ratios.words(a, 0), ratios.words(b, 1))
+        pairs[low : low + (1 << 16)] = [(*x, r) for x, r in zip(pairs[low : low + (1 << 16)], ratios.take(), strict=True)]
+    return [x for x in pairs if x[2] >= least]
+
+
+class _Block:
+    """Strings that others are held against: shared characters by a product of matrices, then shared neighbouring two, then
+    the ratio."""
+
+    CLASSES, PLACES = 32, 128
+
+    def __init__(self, texts: list[str], least: float):
+        self.texts, self.least = sorted(texts, key=len), least
+        self.size = np.array([len(x) for x in self.texts], int)
+        # a place is a class of characters and how often it stands at least; those that tell most strings apart are used
+        bag, self.pick = bags(self.texts, self.CLASSES), []
+        self.most = bag.max(0)
+        for c in range(self.CLASSES):
+            often = np.bincount(bag[:, c])
+            share = often[::-1].cumsum()[::-1][1:] / len(bag)
+            self.pick += [(-x * (1 - x), c, k + 1) for k, x in enumerate(share.tolist())]
+        self.pick = sorted(self.pick)[: self.PLACES]
+        places = self._places(bag)
+        # the length's share is part of the product, so that what is left is a comparison with 0
+        self.matrix = np.concatenate([places, -least / 2 * self.size[:, None], -np.ones((len(places), 1))], 1).astype(np.float32).T.copy()
+        self.two = bags(self.texts, 512, True)
+
+    def _places(self, bag: np.ndarray) -> np.ndarray:
+        return bag[:, [c for _, c, _ in self.pick]] >= np.array([k for _, _, k in self.pick], int)
+
+    def near(self, texts: list[str]) -> Iterator[pd.DataFrame]:
+        """``s, s2, ratio`` of pairs whose whole strings can have a long enough common subsequence, and that reach the ratio."""
+        texts = sorted(texts, key=len)
+        size = np.array([len(x) for x in texts], int)
+        bag = bags(texts, self.CLASSES)
+        places = self._places(bag)
+        # places that aren't used may all be shared
+        goal = self.least / 2 * size - (np.minimum(bag, self.most).sum(1) - places.sum(1))
+        left = np.concatenate([places, np.ones((len(places), 1)), goal[:, None]], 1).astype(np.float32)
+        two = bags(texts, 512, True)
+        cover = self.least / (2 - self.least)
+        for low in range(0, len(texts), 256):
+            high = min(low + 256, len(texts))
+            a, b = np.searchsorted(self.size, [size[low] * cover - 1e-6, size[high - 1] / cover + 1e-6])
+            slack = 1e-3 + 1e-6 * float(size[high - 1] + self.size[-1])
+            found = np.flatnonzero(left[low:high] @ self.matrix[:, a:b] >= -slack)
+            near = []
+            for some in np.array_split(found, -(-len(found) // 8192)) if len(found) else []:
+                i, j = np.divmod(some, b - a)
+                i, j = i + low, j + a
+                need = self.least * (size[i] + self.size[j]) / 2 - 1e-6
+                ok = np.minimum(two[i], self.two[j]).sum(1) >= 3 * need - size[i] - self.size[j] - 3
+                near += [(texts[x], self.texts[y]) for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True)]
+            out = _scored(near, self.least)
+            if out:
+                yield pd.DataFrame(out, columns=["s", "s2", "ratio"])
+
+
+def _titles(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``__n, s`` of new rows, ``__k, s2`` of known ones, and ``set_pairs`` of their distinct word sets."""
+    rounds = Rounds(new.sparkSession, "titles")
+    asked = rounds.put(new.select(F.col(key).alias("__n"), word_set(F.col(title)).alias("s")).where("s <> ''"))
+    rows = rounds.put(known.where(F.col(known_title).isNotNull()).select(F.col(known_key).alias("__k"), word_set(F.col(known_title)).alias("s2")).where("s2 <> ''"))
+    return asked, rows, set_pairs(asked.select("s").distinct(), rows.select("s2").distinct(), least)
 
 
 def title_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float = 0.9) -> DataFrame:
     """``key, known_key, ratio``: all known titles that are much the same as a new one. Distinct word sets of both sides are
     joined by ``set_pairs``; copies of a title meet only when keys are joined back. Titles without a word match nothing."""
-    asked = new.select(F.col(key).alias("__n"), word_set(F.col(title)).alias("s")).where("s <> ''")
-    rows = known.where(F.col(known_title).isNotNull()).select(F.col(known_key).alias("__k"), word_set(F.col(known_title)).alias("s2")).where("s2 <> ''")
-    pairs = set_pairs(asked.select("s").distinct(), rows.select("s2").distinct(), least)
+    asked, rows, pairs = _titles(new, key, title, known, known_key, known_title, least)
     return asked.join(pairs, "s").join(rows, "s2").select(F.col("__n").alias(key), F.col("__k").alias("known_key"), "ratio")
 
 
+def first_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key: str, known_title: str, least: float = 0.9, other: bool = False) -> DataFrame:
+    """``key, known_key, ratio, hits``: of the rows of ``title_hits`` for each new key the one with the least known key, and their
+    number; null keys have none. With ``other`` a key's hits with itself are left out. Copies of a title are counted first, so that new
+    and known copies never meet row by row."""
+    asked, rows, pairs = _titles(new, key, title, known, known_key, known_title, least)
+    pairs = Rounds(new.sparkSession, "hits").put(pairs)
+    rows = rows.where("__k IS NOT NULL")
+
+    def least_of(df: DataFrame, by: str) -> DataFrame:
+        """The least ``v``; with ``other`` that of the next key as well, since one of two at most is a new row's own."""
+        first = df.groupBy(by).agg(F.min("v").alias("v"))
+        if not other:
+            return first
+        rest = df.join(first.withColumnRenamed("v", "w"), by).where(F.col("v.__k") > F.col("w.__k"))
+        return first.unionByName(rest.groupBy(by).agg(F.min("v").alias("v")))
+
+    keys = pairs.join(least_of(rows.select("s2", F.struct("__k").alias("v")), "s2"), "s2").select("s", F.struct("v.__k", "ratio").alias("v"))
+    keys = least_of(keys, "s").groupBy("s").agg(F.array_sort(F.collect_list("v")).alias("m"))
+    sums = pairs.join(rows.groupBy("s2").agg(F.count("*").alias("n")), "s2").groupBy("s").agg(F.sum("n").alias("hits"))
+    found = asked.where("__n IS NOT NULL").join(keys.join(sums, "s"), "s")
+    if other:
+        own = asked.distinct().join(rows, F.col("__n") == F.col("__k")).join(pairs, ["s", "s2"]).groupBy("s", "__n").agg(F.count("*").alias("own"))
+        found = found.join(own, ["s", "__n"], "left").withColumn("m", F.filter("m", lambda x: x["__k"] != F.col("__n"))).withColumn("hits", F.col("hits") - F.coalesce("own", F.lit(0)))
+    found = found.where("hits > 0").select("__n", F.get("m", F.lit(0)).alias("m"), "hits")
+    found = found.groupBy("__n").agg(F.min_by("m", "m.__k").alias("m"), F.sum("hits").alias("hits"))
+    return found.select(F.col("__n").alias(key), F.col("m.__k").alias("known_key"), "m.ratio", "hits")
+
+
 def _can_share(a: list[str], b: list[str], goal: float | np.ndarray, loss: int) -> np.ndarray:
     """Which pairs can have a common subsequence of ``goal`` of their mean length: by the characters in common, and by the
     neighbouring two, of which ``3 L - la - lb - loss`` stay. Bags are counted once for each string of the batch."""

@@ -8,7 +8,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from parchmint.operators import contents, library, search, simjoin
+from parchmint.operators import contents, fuzzy, library, search, simjoin
 from parchmint.plans import catalogue
 
 
@@ -172,3 +172,40 @@ def test_prefixes_of_any_form_are_dealt_over_all_tasks(spark):
     many = library.parent_candidates(spark.range(2000).selectExpr("id", "'Xu' AS surname", "1990 AS year"), spark.range(50).selectExpr("concat('xu1990s', id) AS key"))
     made = many.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     assert sum(x.n for x in made) == 100_000 and max(x.n for x in made) < 80_000
+
+
+def test_windows_are_scored_together(spark, monkeypatch):
+    """Not one by one, and the pages of one file are dealt over all tasks; sizes of needles share windows."""
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choice(["th", "er", "on", "IN", "ed", "é", "日本", "a\u0130"]) for _ in range(r.randrange(1, 5))) for _ in range(n))
+    rows = []
+    for k in range(60):
+        pages = [say(r.randrange(150)), None if k % 7 == 0 else say(r.randrange(90)), say(9)]
+        words = pages[0].split()
+        needles = [" ".join(words[3 : 3 + r.randrange(1, 40)]), say(3), "", None, "two words", say(r.randrange(30))]
+        rows.append((k, r.sample(needles, r.randrange(len(needles) + 1)) if k % 9 else None, [say(1), "two words"], pages if k % 11 else None))
+
+    def brute(needles, pages):
+        best = (0.0, "", "")
+        for n in [] if pages is None else [n for n in needles or [] if n]:
+            low, wide, step, own = n.lower(), max(len(n.lower()) + len(n.lower()) // 2, 60), max(len(n.lower()) // 3, 20), (0.0, "")
+            for page, at in ((p or "", at) for p in pages[:2] for at in range(0, max(len((p or "").lower()) - wide + 1, 1), step)):
+                ratio = search.token_set_ratio(low, page.lower()[at : at + wide])
+                if own[0] < 0.95 and ratio > own[0]:
+                    own = (ratio, page[at : at + wide].strip())
+            if best[0] < 0.95 and own[0] > best[0]:
+                best = (*own, n)
+        return best
+
+    got = {x.k: (tuple(x.f), tuple(x.g)) for x in fuzzy.search_pages(spark.createDataFrame(rows, "k int, n array<string>, m array<string>, p array<string>"), ["n", "m"], "p", ["f", "g"]).collect()}
+    assert got == {k: (brute(n, p), brute(m, p)) for k, n, m, p in rows} and sum(x[0][0] >= 0.95 for x in got.values()) > 5
+    pages, short = [say(400), say(200)], say(5).lower()
+    want = brute([short], pages)[:2]
+    monkeypatch.setattr(search, "_indel", lambda a, b: 1 / 0)
+    assert fuzzy.window_search(short, pages) == want
+    some = fuzzy._Windows(pairs=7)
+    (found,) = some.search([short], pages)
+    some.flush()
+    assert (found.ratio, found.snippet) == want
+    one = spark.createDataFrame([(["a b"], ["a b c"])], "n array<string>, p array<string>").coalesce(1)
+    assert "Repartition" in plan(fuzzy.search_pages(one, "n", "p", "f"))
