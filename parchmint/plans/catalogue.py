@@ -426,9 +426,9 @@ def fuzzy_title_dedup(spark, sf):
     """Titles of every fiftieth page, as new ones, against those of all other pages: the first that is much the same. No SQL:
     tested by brute force."""
     titles = _read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    hits = simjoin.title_hits(titles.where("page_id % 50 = 0"), "page_id", "title", titles, "page_id", "title").where("page_id <> known_key")
-    first = hits.groupBy("page_id").agg(F.min_by(F.struct("known_key", "ratio"), "known_key").alias("m"), F.count("*").alias("hits"))
-    return titles.where("page_id % 50 = 0").select("page_id").join(first, "page_id", "left").select("page_id", "m.known_key", "m.ratio", F.coalesce("hits", F.lit(0)).alias("hits"))
+    new = titles.where("page_id % 50 = 0")
+    first = simjoin.first_hits(new, "page_id", "title", titles, "page_id", "title", other=True)
+    return new.select("page_id").join(first, "page_id", "left").select("page_id", "known_key", "ratio", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 

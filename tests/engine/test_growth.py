@@ -209,3 +209,18 @@ def test_windows_are_scored_together(spark, monkeypatch):
     assert (found.ratio, found.snippet) == want
     one = spark.createDataFrame([(["a b"], ["a b c"])], "n array<string>, p array<string>").coalesce(1)
     assert "Repartition" in plan(fuzzy.search_pages(one, "n", "p", "f"))
+
+
+def test_copied_titles_are_counted(spark, tmp_path, monkeypatch):
+    """New and known rows of a title met one by one, so that hits grew with the square of its copies."""
+    rows = [(k, f"<html><title>{t}</title>") for k, t in enumerate(["the same words", "words the same", "other words here", "", "lone"] * 60)] + [(None, "<title>lone</title>"), (500, "no title"), (501, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(simjoin, "title_hits", lambda *a, **b: 1 / 0)
+    got = {x.page_id: (x.known_key, x.ratio, x.hits) for x in catalogue.QUERIES["fuzzy_title_dedup"](spark, str(tmp_path)).collect()}
+    titles = [(k, (re.search("<title>([^<]*)</title>", h) or ["", ""])[1] if h else "") for k, h in rows]
+    want = {}
+    for n, a in titles:
+        if n is not None and n % 50 == 0:
+            hits = [(k, x) for k, b in titles if k is not None and k != n and (x := search.token_set_ratio(a, b)) >= 0.9]
+            want[n] = (*min(hits, default=(None, None)), len(hits))
+    assert got == want and want[0] == (1, 1.0, 119) and want[500] == (None, None, 0)
