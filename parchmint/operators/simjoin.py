@@ -212,7 +212,8 @@ def first_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key
     number; null keys have none. With ``other`` a key's hits with itself are left out. Copies of a title are counted first, so that new
     and known copies never meet row by row."""
     asked, rows, pairs = _titles(new, key, title, known, known_key, known_title, least)
-    pairs = Rounds(new.sparkSession, "hits").put(pairs)
+    rounds = Rounds(new.sparkSession, "hits")
+    pairs = rounds.put(pairs)
     rows = rows.where("__k IS NOT NULL")
 
     def least_of(df: DataFrame, by: str) -> DataFrame:
@@ -226,7 +227,8 @@ def first_hits(new: DataFrame, key: str, title: str, known: DataFrame, known_key
     keys = pairs.join(least_of(rows.select("s2", F.struct("__k").alias("v")), "s2"), "s2").select("s", F.struct("v.__k", "ratio").alias("v"))
     keys = least_of(keys, "s").groupBy("s").agg(F.array_sort(F.collect_list("v")).alias("m"))
     sums = pairs.join(rows.groupBy("s2").agg(F.count("*").alias("n")), "s2").groupBy("s").agg(F.sum("n").alias("hits"))
-    found = asked.where("__n IS NOT NULL").join(keys.join(sums, "s"), "s")
+    # written, so that the join with a title's many copies can be split
+    found = asked.where("__n IS NOT NULL").join(rounds.put(keys.join(sums, "s")), "s")
     if other:
         own = asked.distinct().join(rows, F.col("__n") == F.col("__k")).join(pairs, ["s", "s2"]).groupBy("s", "__n").agg(F.count("*").alias("own"))
         found = found.join(own, ["s", "__n"], "left").withColumn("m", F.filter("m", lambda x: x["__k"] != F.col("__n"))).withColumn("hits", F.col("hits") - F.coalesce("own", F.lit(0)))
